@@ -12,8 +12,10 @@ the order; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,59 +25,79 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, text_blocks
 
 WINDOW, END = 4096, 2
-#: ASCII marks that the tokenizer's split keeps in one run; the apostrophe starts contractions and is left out.
-MARKS = ".,!?;:\"#$%&()*+-/<=>@[\\]^_`{|}~"
+#: The letters and numbers among plain characters in lower case, and the tokenizer's split for those.
+LETTER, NUMBER = "a-zªµºß-öø-įA-ZÀ-ÖØ-Þ", "0-9²³¹¼½¾"
+SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+").findall
+PLAIN = re.compile("[ \\n\\t\\r!-~¡-į]*").fullmatch
+RAW = "\0"
 PIECES = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,nth long"
 
 
 class WordIds:
-    """Little-endian ids of words by a tokenizer whose pieces never cross white space.
+    """Little-endian ids of texts by a tokenizer that lower-cases and splits by ``SPLIT``, through a table of pieces.
 
-    Words go through a table.  A new word of letters below U+0130 and then marks is looked up as its lower-case letters and its marks, which
-    the tokenizer's rules split in the same way; any other is given to the tokenizer as it is.
+    Texts of plain characters (ASCII, and Latin below U+0130: no composition, no case that depends on its neighbours) are split
+    here; new pieces of letters are tokenized many at a time and taken apart at the ends of words that the ids tell.  In other texts
+    this is done word by word, and a word with other characters is given to the tokenizer as it is; none of its pieces crosses a blank.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
         self.most = most
 
-    @staticmethod
-    def split(word: str) -> tuple[str, str] | None:
-        letters = word.rstrip(MARKS)
-        if (letters.isalpha() or not letters) and (letters.isascii() or max(letters) < "İ"):
-            return letters.lower(), word[len(letters) :]
-        return None
-
-    def learn(self, words: set[str]) -> None:
-        known, new, halves = self.known, [], []
-        for w in words:
-            if w in known:
-                continue
-            if (pair := self.split(w)) is None or pair[0] == w or pair[1] == w:
-                new.append(w)
+    def split(self, text: str) -> list[str]:
+        if PLAIN(text):
+            return SPLIT(text.lower())
+        out = []
+        for word in text.replace("\n", " ").split(" "):
+            if PLAIN(word):
+                out += SPLIT(word.lower())
             else:
-                halves.append((w, *pair))
-                new += [x for x in pair if x not in known]
-        new = list(set(new))
-        for i in range(0, len(new), 4096):
-            for w, e in zip(part := new[i : i + 4096], self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, letters, marks in halves:
-            known[w] = known[letters] + known[marks]
+                out.append(RAW + word)
+        return out
+
+    def one_by_one(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.tokenizer.encode_batch_fast([p.removeprefix(RAW) for p in pieces], add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        letters = [p for p in new if p[0] != RAW and p.isalpha()]
+        self.one_by_one(list(new.difference(letters)))
+        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group):
+                self.one_by_one(group)
+                continue
+            buf, at = ids.tobytes(), 0
+            for p, to in zip(group, (4 * stops).tolist(), strict=True):
+                self.known[p] = buf[at:to]
+                at = to
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*words)
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {"": b""}, every
+        pieces = [self.split(t) for t in texts]
+        known = self.known
+        new = {p for ps in pieces for p in ps if p not in known}
+        if len(known) + len(new) > self.most:
+            self.known = {}
+            new = set().union(*pieces)
         self.learn(new)
-        for ws in words:
-            yield b"".join(map(self.known.__getitem__, ws))
+        for ps in pieces:
+            yield b"".join(map(self.known.__getitem__, ps))
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One table for all tasks of a worker."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -84,8 +106,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from .common import row_numbers
 
-        ids, last, numbers = WordIds(tokenizer), np.array([end], "<u4").tobytes(), row_numbers()
-        for block in text_blocks(batches, limit=4 << 20):
+        ids, last, numbers = word_ids(tokenizer), np.array([end], "<u4").tobytes(), row_numbers()
+        for block in text_blocks(batches, limit=2 << 20):
             out = []
             for doc, buf in zip(block.column("doc_id").to_pylist(), ids.encode([x or "" for x in block.column("text").to_pylist()]), strict=True):
                 buf += last
