@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, secrets, simhash, suffix_dedup, webp
+from . import exact_dedup, html_extract, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, webp
 from .common import table
 
 
@@ -48,8 +48,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sharding.sharded(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", got["_bytes"].alias("n_bytes"), "shard", "shard_tier", "shard_rows", "shard_bytes", "shard_arrivals", "manifest_version")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_quality, op3_mixing, op4_exact_dedup, op5_webp, op6_secrets, op7_suffix_dedup, op8_packing)
+    f.__name__: f
+    for f in (op1_simhash, op2_quality, op3_mixing, op4_exact_dedup, op5_webp, op6_secrets, op7_suffix_dedup, op8_packing, op9_sharding, op10_html)
 }
 
 SQL: dict[str, str] = {
