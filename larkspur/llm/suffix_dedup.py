@@ -5,7 +5,7 @@ are judged on the input.
 
 Shipping every suffix to its place would send each byte ``width`` times.  Instead the windows of a text are dealt out by their
 minimiser, the smallest hash of their ``seed`` -byte strings: windows in a row with the same minimiser go together as one
-string, about 3.5 bytes for each byte of text, packed by zstd.  Equal windows have equal minimisers at the same place, so they meet in
+string, about 3.2 bytes for each byte of text, packed by zstd.  Equal windows have equal minimisers at the same place, so they meet in
 one bucket.  There:
 
 1. A string takes part if the ``width``-limited context to one side of its minimiser (half of what the window has beyond it) also
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, encoded, free_shuffles, map_arrow, merged_blocks, shuffle_parts, text_blocks
 
-WIDTH, SEED_BYTES = 50, 12
+WIDTH, SEED_BYTES = 50, 8
 NO_ID = 2**63 - 1
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -139,19 +139,24 @@ class Strings:
         self.doc = np.searchsorted(bounds, self.start, "right") - 1
 
 
-def pack(head: list[np.ndarray], body: np.ndarray) -> bytes:
-    parts = [np.array([len(head[0]), len(head[2])], np.int64).tobytes(), *(x.tobytes() for x in head), body.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+def pack(docs: np.ndarray, start: np.ndarray, windows: np.ndarray, rel: np.ndarray, body: np.ndarray) -> bytes:
+    """docs: rows, doc_ids, places in the block and in the text of the texts concerned; start: ascending places in the block."""
+    parts = [np.array([docs.shape[1], len(start)]), docs, np.diff(start, prepend=0).astype(np.uint32), windows.astype(np.uint16), rel.astype(np.uint16), body]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """rows and doc_ids of texts; index of the text, start in it, windows and place of the minimiser of strings; their bytes."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    nd, ns = np.frombuffer(raw, np.int64, 2)
-    at, out = 16, []
-    for kind, n in ((np.int64, nd), (np.int64, nd), (np.int32, ns), (np.int32, ns), (np.int32, ns), (np.int32, ns)):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
-    return (*out, np.frombuffer(raw, np.uint8, offset=at))
+    nd, ns = np.frombuffer(raw, np.int64, 2).tolist()
+    rows, ids, place, base = np.frombuffer(raw, np.int64, 4 * nd, 16).reshape(4, nd)
+    at, out = 16 + 32 * nd, []
+    for kind in (np.uint32, np.uint16, np.uint16):
+        out.append(np.frombuffer(raw, kind, ns, at).astype(np.int64))
+        at += ns * np.dtype(kind).itemsize
+    start = np.cumsum(out[0])
+    text = np.searchsorted(place, start, "right") - 1
+    return rows, ids, text, start - place[text] + base[text], out[1], out[2], np.frombuffer(raw, np.uint8, offset=at)
 
 
 RANGES = "row long,start long,stop long"
@@ -186,7 +191,6 @@ def deal(width: int, seed: int, buckets: int, block: int):
             if not len(s.start):
                 continue
             at8, size, doc = words(data), s.windows + width - 1, s.doc
-            begin = s.start - bounds[doc] + base[doc]
             leader = collapse(data, at8, s.start, size, s.rel, ids[doc])
             known = ids[doc] > ids[doc[leader]]
             where = np.where(known, -1, (s.hash % np.uint64(buckets)).astype(np.int64))
@@ -196,10 +200,10 @@ def deal(width: int, seed: int, buckets: int, block: int):
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 x = order[lo:hi]
                 bucket = int(where[x[0]])
-                used, short = np.unique(doc[x], return_inverse=True)
-                head = [rows[used], ids[used], *(v.astype(np.int32) for v in (short, begin[x], s.windows[x], s.rel[x]))]
+                used = np.unique(doc[x])
+                docs = np.stack((rows[used], ids[used], bounds[used], base[used]))
                 out["bucket"].append(bucket)
-                out["blob"].append(pack(head, data[:0] if bucket < 0 else gather(data, s.start[x], size[x])))
+                out["blob"].append(pack(docs, s.start[x], s.windows[x], s.rel[x], data[:0] if bucket < 0 else gather(data, s.start[x], size[x])))
             yield out
 
     return run
@@ -246,8 +250,8 @@ def bucket_ranges(blobs: list[bytes], width: int, seed: int) -> dict[str, np.nda
     parts = [unpack(b) for b in blobs]
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
     rows, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    short = np.concatenate([p[2] + b for p, b in zip(parts, base, strict=False)]).astype(np.int64)
-    begin, windows, rel = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (3, 4, 5))
+    short = np.concatenate([p[2] + b for p, b in zip(parts, base, strict=False)])
+    begin, windows, rel = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
     data = np.concatenate([*(p[6] for p in parts), np.zeros(64, np.uint8)])
     del parts
     size = windows + width - 1
@@ -303,7 +307,7 @@ def judge(width: int, seed: int):
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if bucket < 0:
                     rows, _, short, begin, windows, _, _ = unpack(blob)
-                    yield {"row": rows[short], "start": begin.astype(np.int64), "stop": begin.astype(np.int64) + windows + (width - 1)}
+                    yield {"row": rows[short], "start": begin, "stop": begin + windows + (width - 1)}
                     continue
                 if bucket != key and blobs:
                     if out := bucket_ranges(blobs, width, seed):
