@@ -47,7 +47,7 @@ def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that no block holds much more than ``limit`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -62,7 +62,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         yield batch.slice(start)
 
 
-def merged_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 16 << 20) -> Iterator[pa.Table]:
+def merged_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.Table]:
     """Like :func:`text_blocks`, but small batches are put together up to ``limit`` as well."""
     held: list[pa.RecordBatch] = []
     total = 0

@@ -193,7 +193,7 @@ def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield dict(zip(("grp", "n", "owner", "owner_row"), zip(*out, strict=True), strict=True))
 
 
-def exact_groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
     """doc_id, row, keep_id, keep_row, group_size, kept, text_sha256: one row for each row of ``docs``.
 
     budget: bytes of trie that a map task holds before it spills subtrees.
@@ -213,7 +213,7 @@ def exact_groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+def drop_copies(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` that own their group, with all their columns."""
     names = docs.columns
 

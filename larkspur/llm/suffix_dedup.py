@@ -325,7 +325,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES, block: int = 16_000_000) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES, block: int = 5_000_000) -> DataFrame:
     """Row number, start and stop of ranges of repeated bytes; ranges may overlap and touch."""
     n = shuffle_parts(docs.sparkSession)
     dealt = map_arrow(numbered(docs), deal(width, seed, 4 * n, block), "bucket int,blob binary")
