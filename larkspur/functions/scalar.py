@@ -57,7 +57,7 @@ def is_power_of_two(n: Column) -> Column:
 
 
 def next_power_of_two(n: Column) -> Column:
-    return F.when(n <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(n - 1)))).cast("long")
+    return F.when(n <= 1, F.lit(1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n - 1)))).cast("long")
 
 
 def clamped_acos(c: Column) -> Column:

@@ -72,15 +72,7 @@ def compressed(a: Column, weights: list[float]) -> Column:
 
 
 def hadamard(a: Column, size: int) -> Column:
-    """The Walsh-Hadamard transform of a vector of ``size`` = 2**m components, divided by sqrt(size), by m butterfly passes."""
-    step = 1
-    while step < size:
-        h = step
-
-        def one(x, i, v=a, h=h):
-            other = F.element_at(v, i.bitwiseXOR(F.lit(h)) + 1)
-            return F.when(i.bitwiseAND(F.lit(h)) == 0, x + other).otherwise(other - x)
-
-        a = F.transform(a, one)
-        step *= 2
-    return divided(a, F.lit(float(size) ** 0.5))
+    """The Walsh-Hadamard transform of a vector of ``size`` = 2**m components, divided by sqrt(size): sums by the parity of common bits."""
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    signed = lambda j: F.transform(a, lambda x, i: F.when(F.bit_count(i.bitwiseAND(j)) % 2 == 0, x).otherwise(-x))
+    return F.transform(places, lambda j: total(signed(j)) / F.lit(float(size) ** 0.5))

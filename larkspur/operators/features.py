@@ -118,7 +118,7 @@ def mapped(df: DataFrame, vec: str, f, keep: list[str], name: str = "z") -> Data
                 at = pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(at, pa.array(out.ravel()))], names=[*keep, name])
 
-    ddl = ", ".join(f"`{n}` {t}" for n, t in df.select(*keep).dtypes) + f", `{name}` array<double>"
+    ddl = ", ".join([*(f"`{n}` {t}" for n, t in df.select(*keep).dtypes), f"`{name}` array<double>"])
     return df.filter(F.col(vec).isNotNull()).select(*keep, F.col(vec).cast("array<double>").alias("_x")).mapInArrow(run, ddl)
 
 

@@ -177,7 +177,7 @@ def feature_loo_errors(df: DataFrame, z: str, y: str, g: np.ndarray, r: np.ndarr
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(h), pa.array((zz @ alpha - y_) / (1 - h))], names=[*keep, "leverage", "err"])
 
     rows = df.select(*keep, F.col(z).cast("array<double>").alias("_z"), F.col(y).cast("double").alias("_y"))
-    ddl = ", ".join(f"`{n}` {t}" for n, t in df.select(*keep).dtypes) + ", leverage double, err double"
+    ddl = ", ".join([*(f"`{n}` {t}" for n, t in df.select(*keep).dtypes), "leverage double", "err double"])
     return rows.mapInArrow(run, ddl)
 
 
