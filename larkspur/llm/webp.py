@@ -2,12 +2,12 @@
 
 Decoder: prefix codes (simple and normal, meta prefix groups), back-references with the short-distance map, colour cache; then
 the predictor, cross-colour, subtract-green and colour-indexing transforms are inverted and RGBA arrays are written.
-A stream of literals alone under one group of codes, as most of our own, is decoded for many bit positions at once: for
-each position the lengths of the four codes there are looked up, and the chain of pixels walks over them.
+A stream under one group of codes without a cache, such as our own, is decoded for many bit positions at once: for
+each position the lengths of the four codes there are looked up, and the chain of literals walks over them from copy to copy.
 
 Operator: the UTF-8 bytes of a text, filled up with bytes 255 to a positive multiple of 576, are the samples of RGBA
 images 144 pixels wide (one row is 576 bytes; 16,384 rows at most, longer payloads go on in another image), coded with prefix codes
-fitted to the payload.  They are decoded again from the stored bytes.
+fitted to the payload and copies for runs of equal pixels.  They are decoded again from the stored bytes.
 
 Cases: a null text counts as empty (one row of 255); repeated rows give equal values; a null doc_id stays null; an
 empty table gives an empty result; other columns are ignored.
@@ -162,17 +162,45 @@ def extra(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
 
 
-def literal_pixels(bits: Bits, group: list[Code], count: int, block: int = 1 << 17) -> np.ndarray:
-    """Pixels of a stream of literals under one group, from many bit positions at once."""
+def copied(out: np.ndarray, at: int, n: int, d: int) -> None:
+    """out[at : at + n] from d places before, which may reach into what is written."""
+    if d >= n:
+        out[at : at + n] = out[at - d : at - d + n]
+    else:
+        out[at : at + n] = np.resize(out[at - d : at], n)
+
+
+def back_reference(bits: Bits, symbol: int, far: Code, wide: int, at: int, count: int) -> tuple[int, int]:
+    """Length and distance of a copy that begins with this symbol of the green code."""
+    n, d = extra(bits, symbol - 256), extra(bits, far.read(bits))
+    if d > 120:
+        d -= 120
+    else:
+        x, y = NEAR[d - 1]
+        d = max(1, x + y * wide)
+    if d > at or at + n > count:
+        raise ValueError("a back-reference leaves the image")
+    return n, d
+
+
+def one_group_pixels(bits: Bits, group: list[Code], count: int, wide: int, block: int = 1 << 17) -> np.ndarray:
+    """Pixels of a stream under one group of codes without a colour cache.
+
+    For many bit positions at once, the ends of a literal pixel that would start there are looked up; the chain of literals walks over
+    these until a copy begins, which is read by itself.
+    """
+    green, red, blue, alpha, far = group
     data = np.frombuffer(bits.data + bytes(16), np.uint8)
-    most, start, out = 4 * max(c.bits for c in group[:4]), bits.position(), []
-    if not most:
-        only = [int(c.symbols[0]) for c in group[:4]]
+    codes, most = (green, red, blue, alpha), 4 * max(c.bits for c in group[:4])
+    plain = int(green.symbols.max()) < 256
+    if not most and plain:
+        only = [int(c.symbols[0]) for c in codes]
         return np.full(count, only[3] << 24 | only[1] << 16 | only[0] << 8 | only[2], np.uint32)
-    mask = (1 << max(c.bits for c in group[:4])) - 1
+    mask = (1 << max(c.bits for c in codes)) - 1
     shifts = np.arange(8, dtype=np.uint32)
-    same = all(np.array_equal(c.lengths, group[0].lengths) for c in group[1:4])
-    while count:
+    out, done = np.empty(count, np.uint32), 0
+    while done < count:
+        start = bits.position()
         low = start // 8
         n = min(len(data) - 3 - low, (block + most) // 8 + 2)
         if n <= 0:
@@ -181,30 +209,40 @@ def literal_pixels(bits: Bits, group: list[Code], count: int, block: int = 1 <<
         window = (b[:-3] | b[1:-2] << 8 | b[2:-1] << 16)[:, None] >> shifts
         window &= mask
         window = window.ravel()
-        if same:
-            lengths = [group[0].lengths[window]] * 4
-        else:
-            lengths = [c.lengths[window & ((1 << c.bits) - 1)] for c in group[:4]]
-        reach = len(window) - most
-        p1 = np.arange(reach, dtype=np.int32) + lengths[0][:reach]
-        p2 = p1 + lengths[1][p1]
-        p3 = p2 + lengths[2][p2]
-        p4 = p3 + lengths[3][p3]
-        walk, at, stops = memoryview(p4), start - low * 8, []
-        for _ in range(count):
-            if at >= reach:
-                break
-            stops.append(at)
-            at = walk[at]
-        if not stops:
+        reach, sizes, known = len(window) - most, [], {}
+        for c in codes:
+            if id(c) not in known:
+                known[id(c)] = c.lengths[window if c.bits and (1 << c.bits) - 1 == mask else window & ((1 << c.bits) - 1)]
+            sizes.append(known[id(c)])
+        p1 = np.arange(reach, dtype=np.int32) + sizes[0][:reach]
+        p2 = p1 + sizes[1][p1]
+        p3 = p2 + sizes[2][p2]
+        p4 = p3 + sizes[3][p3]
+        if not plain:
+            p4[green.symbols[window[:reach] & ((1 << green.bits) - 1)] >= 256] = -1
+        walk, at = memoryview(p4), start - low * 8
+        while done < count and at < reach:
+            stops, left = [], count - done
+            for _ in range(left):
+                if at >= reach or (to := walk[at]) < 0:
+                    break
+                stops.append(at)
+                at = to
+            if stops:
+                places = np.array(stops)
+                g, r, bl, a = (c.symbols[window[p] & ((1 << c.bits) - 1)].astype(np.uint32) for c, p in zip(codes, (places, p1[places], p2[places], p3[places]), strict=True))
+                out[done : done + len(stops)] = a << 24 | r << 16 | g << 8 | bl
+                done += len(stops)
+            if done < count and at < reach:
+                bits.seek(low * 8 + at)
+                size, d = back_reference(bits, green.read(bits), far, wide, done, count)
+                copied(out, done, size, d)
+                done += size
+                at = bits.position() - low * 8
+        if low * 8 + at == start and done < count:
             raise ValueError("the stream ends early")
-        places = np.array(stops)
-        g, r, bl, a = (c.symbols[window[p] & ((1 << c.bits) - 1)].astype(np.uint32) for c, p in zip(group, (places, p1[places], p2[places], p3[places]), strict=False))
-        out.append(a << 24 | r << 16 | g << 8 | bl)
-        count -= len(stops)
-        start = low * 8 + at
-    bits.seek(start)
-    return np.concatenate(out)
+        bits.seek(low * 8 + at)
+    return out
 
 
 def read_image(bits: Bits, wide: int, high: int, main: bool) -> np.ndarray:
@@ -219,7 +257,7 @@ def read_image(bits: Bits, wide: int, high: int, main: bool) -> np.ndarray:
         meta = (read_image(bits, across, -(-high >> meta_bits), False) >> np.uint32(8) & np.uint32(0xFFFF)).tolist()
         groups = max(meta) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    tables, literal = [], True
+    tables = []
     for _ in range(groups):
         codes, last = [], None
         for size in (256 + 24 + cache_size, 256, 256, 256, 40):
@@ -231,12 +269,11 @@ def read_image(bits: Bits, wide: int, high: int, main: bool) -> np.ndarray:
             lengths = read_lengths(bits, size)
             n = bits.position() - start
             last = size, n, bits.slice(start, n)
-            literal &= not (size > 256 and lengths[256:].any())
             codes.append(Code(lengths))
         tables.append(codes)
     count = wide * high
-    if literal and groups == 1:
-        return literal_pixels(bits, tables[0], count)
+    if groups == 1 and not cache_size:
+        return one_group_pixels(bits, tables[0], count, wide)
     out, cache, filed, at = [0] * count, [0] * cache_size, 0, 0
     while at < count:
         green, red, blue, alpha, far = tables[meta[(at // wide >> meta_bits) * across + (at % wide >> meta_bits)] if meta else 0]
@@ -247,14 +284,7 @@ def read_image(bits: Bits, wide: int, high: int, main: bool) -> np.ndarray:
             out[at] = alpha.read(bits) << 24 | r << 16 | s << 8 | b
             at += 1
         elif s < 280:
-            n, d = extra(bits, s - 256), extra(bits, far.read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * wide)
-            if d > at or at + n > count:
-                raise ValueError("a back-reference leaves the image")
+            n, d = back_reference(bits, s, far, wide, at, count)
             for i in range(at, at + n):
                 out[i] = out[i - d]
             at += n
@@ -504,39 +534,76 @@ def riff(stream: bytes) -> bytes:
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(stream) + len(pad), b"WEBP", b"VP8L", len(stream)) + stream + pad
 
 
-def literal_bits(out: Writer, symbols: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    """What ``out`` holds, then the codes of all symbols (12 bits each at most)."""
-    n = lengths[symbols]
-    ends = np.cumsum(n)
-    at = ends - n + out.n % 8
+def put_fields(out: Writer, value: np.ndarray, size: np.ndarray) -> bytes:
+    """What ``out`` holds, then fields of 24 bits at most."""
+    ends = np.cumsum(size)
+    at = ends - size + out.n % 8
     total = (int(ends[-1]) + out.n % 8 + 7) // 8
-    value = codes[symbols] << (at & 7)
+    value = value << (at & 7)
     at >>= 3
-    body = np.bincount(at, value & 255, total + 3)
-    body[1:] += np.bincount(at, value >> 8 & 255, total + 2)
-    body[2:] += np.bincount(at, value >> 16, total + 1)
+    body = np.bincount(at, value & 255, total + 4)
+    for k in (1, 2, 3):
+        body[k:] += np.bincount(at, value >> (8 * k) & 255, total + 4 - k)
     body = body[:total].astype(np.uint8)
     head = out.value.to_bytes(out.n // 8 + 1, "little")
     body[0] |= head[-1]
     return head[:-1] + body.tobytes()
 
 
+def prefix_of(n: int) -> tuple[int, int, int]:
+    """Symbol, number of extra bits and their value for a length or distance n."""
+    if n <= 4:
+        return n - 1, 0, 0
+    top = (n - 1).bit_length() - 1
+    return 2 * top + ((n - 1) >> (top - 1) & 1), top - 1, (n - 1) & ((1 << (top - 1)) - 1)
+
+
+def equal_runs(pixels: np.ndarray, least: int = 8, most: int = 4096) -> list[tuple[int, int]]:
+    """(start, length) of copies of the pixel before, in runs of ``least`` equal pixels or more."""
+    edge = np.flatnonzero(pixels[1:] != pixels[:-1]) + 1
+    starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(pixels)]))
+    out = []
+    for k in np.flatnonzero(ends - starts >= least).tolist():
+        out += [(at, min(most, int(ends[k]) - at)) for at in range(int(starts[k]) + 1, int(ends[k]), most)]
+    return out
+
+
 def encode_samples(rgba: np.ndarray) -> bytes:
-    """A WebP file of RGBA pixels (rows, columns, 4), literals under one code fitted to all samples."""
+    """A WebP file of RGBA pixels (rows, columns, 4): literals and, for runs of equal pixels, copies of the pixel before.
+
+    The green code is fitted to its samples and copies, one more code to all other samples.
+    """
     high, wide, _ = rgba.shape
-    symbols = np.ascontiguousarray(rgba[..., [1, 0, 2, 3]]).ravel()
-    lengths = code_lengths(np.bincount(symbols, minlength=256), 12)
-    out = header(wide, high)
+    flat = np.ascontiguousarray(rgba).reshape(-1, 4)
+    runs = equal_runs(flat.view("<u4")[:, 0])
+    literal = np.ones(len(flat), bool)
+    for at, n in runs:
+        literal[at : at + n] = False
+    symbols = flat[literal][:, [1, 0, 2, 3]].astype(np.int64)
+    copies = [prefix_of(n) for _, n in runs]
+    counts = np.bincount(symbols[:, 0], minlength=280)
+    for s, _, _ in copies:
+        counts[256 + s] += 1
+    green, rest = code_lengths(counts, 12), code_lengths(np.bincount(symbols[:, 1:].ravel(), minlength=256), 12)
+    out, one = header(wide, high), Writer()
     out.put(0, 3)  # no transform, no colour cache, no meta prefix codes
-    put_code(out, np.concatenate((lengths, np.zeros(24, np.int64))))
-    one = Writer()
-    put_code(one, lengths)
+    put_code(out, green)
+    put_code(one, rest)
     for _ in range(3):
         out.put(one.value, one.n)
-    put_code(out, np.zeros(40, np.int64))
-    if np.count_nonzero(lengths) == 1:
+    near = np.zeros(40, np.int64)
+    near[NEAR.index((1, 0))] = 1
+    put_code(out, near)  # one distance, the pixel before, in no bits
+    codes = [(np.where(np.count_nonzero(n) > 1, codes_of(n), 0), np.where(np.count_nonzero(n) > 1, n, 0)) for n in (green, rest)]
+    value, size = (np.concatenate((codes[0][k][symbols[:, :1]], codes[1][k][symbols[:, 1:]]), axis=1).ravel() for k in (0, 1))
+    if runs:
+        before = np.cumsum(literal)
+        places = [4 * int(before[at - 1]) for at, _ in runs]
+        value = np.insert(value, places, [codes[0][0][256 + s] | extra << codes[0][1][256 + s] for s, _, extra in copies])
+        size = np.insert(size, places, [codes[0][1][256 + s] + bits for s, bits, _ in copies])
+    if not size.any():
         return riff(out.value.to_bytes((out.n + 7) // 8, "little"))
-    return riff(literal_bits(out, symbols, codes_of(lengths), lengths))
+    return riff(put_fields(out, value, size))
 
 
 def store(payload: bytes) -> bytes:

@@ -199,6 +199,14 @@ def test_webp_payload_round_trip(data):
     assert webp.restore(webp.store(payload)).tobytes() == payload
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([b"abcd", b"aaaa", b"\xff" * 4, b"xyz", b"q"]), st.integers(1, 6000)), min_size=1, max_size=6))
+def test_webp_runs_round_trip(parts):
+    payload = b"".join(p * n for p, n in parts)
+    payload += b"\xff" * (-len(payload) % 576)
+    assert webp.restore(webp.store(payload)).tobytes() == payload
+
+
 def test_webp_rows_beyond_one_image(monkeypatch):
     monkeypatch.setattr(webp, "MOST_ROWS", 3)
     payload = np.random.default_rng(1).integers(0, 256, 576 * 8, dtype=np.uint8).tobytes()
