@@ -165,17 +165,18 @@ class FeatureRidge:
         self.g, self.r, self.yy, self.n = np.zeros((d + 1, d + 1)), np.zeros(d + 1), 0.0, 0
         return self
 
-    def add(self, df: DataFrame) -> FeatureRidge:
-        """Training rows (x, y); sums of earlier calls stay."""
-        z = self.features(df.select("x", "y"), ["y"]).withColumn("z", F.concat("z", F.array(F.lit(1.0))))
-        g, r, yy, n = solvers.gramian(z, "z", "y")
+    def add(self, df: DataFrame, weight: str | None = None) -> FeatureRidge:
+        """Training rows (x, y), with importances in ``weight``; sums of earlier calls stay."""
+        keep = ["y", weight] if weight else ["y"]
+        z = self.features(df.select("x", *keep), keep).withColumn("z", F.concat("z", F.array(F.lit(1.0))))
+        g, r, yy, n = solvers.gramian(z, "z", "y", weight)
         if n:
             self.g, self.r, self.yy, self.n = self.g + g, self.r + r, self.yy + yy, self.n + n
         return self
 
     def solve(self) -> FeatureRidge:
         d = self.params.features
-        self.mean = float(self.r[d] / self.n) if self.shift and self.n else 0.0
+        self.mean = float(self.r[d] / self.g[d, d]) if self.shift and self.n else 0.0
         g, r = self.g[:d, :d], self.r[:d] - self.mean * self.g[:d, d]
         self.l2 = solvers.relative_l2(g, self.n, self.ratio)
         self.alphas = solvers.cholesky_solve(g, r, max(self.l2, 1e-12 * float(np.trace(g)) / max(1, d)))
