@@ -95,6 +95,10 @@ def test_blocks():
     assert html_extract.blocks("a < b > c & d") == (["a < b > c & d"], False)
     assert html_extract.blocks("<main><p>x</main><p>y") == (["x"], True)
     assert html_extract.blocks(None) == html_extract.blocks("") == ([], False)
+    assert html_extract.blocks("<form id=f><div class=menu>m</div><article>x<form>n</form></article>y</form>") == (["x"], True)
+    assert html_extract.blocks("<article><p>x<article class='comment reply'>no</article></article><article class='post has-sidebar'>y</article>") == (["x", "y"], True)
+    assert html_extract.blocks("<h1>Site</h1><div id='page' class='with-sidebar'><div id='main-content'><p>long text here</p></div><div class='sidebar'>s</div></div>") == (["long text here"], True)
+    assert html_extract.blocks("<div class='content'>a</div><p>much more text than in there</p>")[1] is False
     assert html_extract.blocks("<div>" * 5000 + "deep")[0] == ["deep"]
 
 
