@@ -192,7 +192,8 @@ def near_groups(docs: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE) ->
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp"), limit)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
+    # written first: Spark can then split the rows of a large component in the join below
+    ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")))
     named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id", "component_size")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
