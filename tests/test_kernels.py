@@ -128,3 +128,28 @@ def test_orbital_kernel(spark):
     pair = orbitals.determinant_pairs(df, df)
     assert abs(orbitals.orbital_kernel(pair, pair, s, g).agg(F.sum(F.abs("k"))).first()[0]) < 1e-9
     assert np.allclose(orbitals.renormed_sigmas(np.array([1.0, 1e-9, 3.0])), [math.sqrt(3), 2 * math.sqrt(3), 3 * math.sqrt(3)])
+
+
+def test_orbital_representation(spark):
+    """Orthonormal orbitals: atoms' weights of an orbital sum to 1, populations to the weight."""
+    rng = np.random.default_rng(6)
+    n = 6
+    m = rng.normal(size=(n, n))
+    s = m @ m.T + n * np.eye(n)
+    w, v = np.linalg.eigh(s)
+    c = v / np.sqrt(w) @ v.T @ np.linalg.qr(rng.normal(size=(n, n)))[0]
+    assert np.allclose(c.T @ s @ c, np.eye(n))
+    momenta, spans = np.array([0, 1, 1, 0, 0, 1]), [(0, 3), (3, 4), (4, 6)]
+    for k in range(n):
+        assert math.isclose(sum(orbitals.populations(c[:, k], s, momenta, a, 1).sum() for a in spans), 1.0)
+    f = orbitals.rebuilt_matrices(c, np.arange(n) - 2.0, np.array([2.0, 2, 2, 0, 0, 0]), s)
+    assert np.allclose(c.T @ f[1] @ c, np.diag(np.arange(n) - 2.0)) and np.allclose(orbitals.propagators(c, np.zeros(n), s, [1.0])[0], s)
+    for parts in orbitals.orbital_representation(c, s, f, momenta, spans, 1, cut=0.0):
+        assert math.isclose(sum(p[1] for p in parts), 1.0) and all(math.isclose(v[:2].sum(), 1.0) for _, _, v in parts)
+    row = (7, c.ravel().tolist(), s.ravel().tolist(), (np.arange(n) - 2.0).tolist(), [2.0, 2.0, 2.0, 0.0, 0.0, 0.0], momenta.tolist(), [0, 3, 4])
+    df = spark.createDataFrame([row], "mol long, coeff array<double>, overlap array<double>, energy array<double>, occ array<double>, momenta array<int>, starts array<int>")
+    rows = orbitals.representation_rows(df)
+    assert rows.select("orb").distinct().count() == 3
+    k = orbitals.orbital_kernel(rows, rows, [1.0] * len(rows.first()["v"]), 1.0).first()["k"]
+    assert 0 < k <= 36 + 1e-9
+    assert orbitals.by_atom(rows).filter("size(parts) > 3").count() == 0
