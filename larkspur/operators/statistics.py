@@ -47,7 +47,8 @@ def self_consistent_huber(df: DataFrame, e: str, c: float, by: list[str] | None
 
     With |e| ascending and m of n errors in the square part, L solves
     4 c L (n + c (n - m)) L = S2 + 4 c L S1, S2 the sum of squares of the first m and S1 the sum of the rest; the
-    m that holds is the one for which 2 c L parts the sorted errors at m.
+    m that holds is the one for which 2 c L parts the sorted errors at m.  A group's errors are sorted in one task; without ``by``, for a whole table, use
+    :func:`self_consistent`.
     """
     by = by or []
     part = Window.partitionBy(*by)
@@ -89,7 +90,8 @@ def self_consistent(df: DataFrame, e: str, c: float, term, tol: float = 1e-12, r
 
 
 def weighted_median(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """x that makes sum |a x - b| least: the median of b / a weighted by |a| (the lower one where two do)."""
+    """x that makes sum |a x - b| least: the median of b / a weighted by |a| (the lower one where two do).  A group is sorted in one task; see
+    :func:`weighted_median_of_all` for a whole table."""
     by = by or []
     part = Window.partitionBy(*by)
     r = df.select(*by, (F.col(b) / F.col(a)).alias("x"), F.abs(F.col(a)).alias("w")).filter("w > 0 and x is not null")
@@ -97,6 +99,29 @@ def weighted_median(df: DataFrame, a: str, b: str, by: list[str] | None = None)
     return r.filter("2 * run >= all").groupBy(*by).agg(F.min("x").alias("x"))
 
 
+def weighted_median_of_all(df: DataFrame, a: str, b: str, bins: int = 1024, rounds: int = 12) -> float | None:
+    """The same over a whole table, by narrowing histograms: each round is one aggregation to ``bins`` sums, and no task sorts all rows."""
+    r = df.select((F.col(b) / F.col(a)).alias("x"), F.abs(F.col(a)).alias("w")).filter("w > 0 and x is not null")
+    low, high, total = r.agg(F.min("x"), F.max("x"), F.sum("w")).first()
+    if total is None:
+        return None
+    before = 0.0  # weight below ``low``
+    for _ in range(rounds):
+        step = (high - low) / bins
+        if not step or low + step == low:
+            break
+        place = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.lit(low)) / F.lit(step))).cast("int")
+        got = r.filter((F.col("x") >= low) & (F.col("x") <= high)).groupBy(place.alias("k")).agg(F.sum("w").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+        for k in sorted(got.collect(), key=lambda k: k["k"]):  # at most ``bins`` rows
+            if 2 * (before + k["w"]) >= total:
+                low, high = k["lo"], k["hi"]
+                break
+            before += k["w"]
+        if low == high:
+            break
+    return low if 2 * (before + (r.filter(F.col("x") == low).agg(F.sum("w")).first()[0] or 0.0)) >= total else high
+
+
 def vector_std(df: DataFrame, vec: str, by: list[str] | None = None) -> DataFrame:
     """sqrt of the sum over components of their population variance."""
     by = by or []

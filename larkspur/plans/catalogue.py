@@ -187,6 +187,16 @@ def weighted_median(s, d):
     return statistics.weighted_median(table(s, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", r6("x").alias("x"))
 
 
+@query(
+    "weighted_median_whole",
+    """WITH p AS (SELECT l_extendedprice / l_quantity AS x, abs(l_quantity) AS w FROM lineitem WHERE abs(l_quantity) > 0),
+r AS (SELECT *, sum(w) OVER (ORDER BY x RANGE UNBOUNDED PRECEDING) AS run, sum(w) OVER () AS total FROM p) SELECT round(min(x), 6) AS x FROM r WHERE 2 * run >= total""",
+)
+def weighted_median_whole(s, d):
+    x = statistics.weighted_median_of_all(table(s, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return s.createDataFrame([(x,)], "x double").select(r6("x").alias("x"))
+
+
 @query("shift_mean", "SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (), 4) AS shifted, round(avg(o_totalprice) OVER (), 4) AS shift FROM orders")
 def shift_mean(s, d):
     return statistics.shift_mean(table(s, d, "orders"), "o_totalprice").select("o_orderkey", r6("shifted", 4).alias("shifted"), r6("shift", 4).alias("shift"))

@@ -46,7 +46,17 @@ def test_weighted_median(spark):
         assert loss(r["x"]) <= min(loss(b / a) for g, a, b in rows if g == r["g"]) + 1e-9
 
 
-def reference_cut(rho, cut):
+def test_weighted_median_of_all(spark):
+    rng = random.Random(5)
+    for values in ([rng.gauss(0, 5) for _ in range(200)], [rng.choice([1.0, 2.0, 2.0, 7.0]) for _ in range(50)], [3.0]):
+        rows = [(rng.choice([0.5, 1.0, 3.0]), v) for v in values]
+        df = spark.createDataFrame(rows, "a double, b double").withColumn("g", F.lit(0))
+        want = statistics.weighted_median(df, "a", "b", ["g"]).first()["x"]
+        assert statistics.weighted_median_of_all(df, "a", "b", bins=8) == want
+    assert statistics.weighted_median_of_all(df.limit(0), "a", "b") is None
+
+
+def plain_cut(rho, cut):
     rho = sorted((x / sum(rho) for x in rho), reverse=True)
     if len(rho) == 1:
         return rho
@@ -66,7 +76,7 @@ def test_cut_weights(spark):
     for r in ranking.cut_weights(df, ["g"], "w", ["i"], 0.2).orderBy("g", F.desc("rho")).collect():
         got.setdefault(r["g"], []).append(r["rho"])
     for g, v in groups.items():
-        assert np.allclose(got[g], reference_cut(v, 0.2))
+        assert np.allclose(got[g], plain_cut(v, 0.2))
 
 
 def test_ranks_are_those_of_one_sort(spark):
