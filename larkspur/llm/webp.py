@@ -81,19 +81,6 @@ class Bits:
         self.read(bit % 8)
 
 
-def codes_of(lengths: np.ndarray) -> np.ndarray:
-    """Canonical codes, their bits reversed for a stream that is read from the least bit."""
-    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    order = np.flatnonzero(lengths)
-    for s in order[np.argsort(lengths[order], kind="stable")].tolist():
-        n = int(lengths[s])
-        code <<= n - last
-        last = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
-    return out
-
-
 @lru_cache(16)
 def reversal(bits: int) -> np.ndarray:
     """Each number of so many bits, its bits reversed."""
@@ -103,6 +90,17 @@ def reversal(bits: int) -> np.ndarray:
     return out
 
 
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """Canonical codes, their bits reversed for a stream that is read from the least bit."""
+    out, order = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    if len(order):
+        order = order[np.argsort(lengths[order], kind="stable")]
+        most = int(lengths[order[-1]])
+        share = 1 << (most - lengths[order])  # of the code space; where a symbol's share begins is its code, filled up with zeros
+        out[order] = reversal(most)[(np.cumsum(share) - share) % (1 << most)]
+    return out
+
+
 class Code:
     """A prefix code as a table over its longest length: symbol and length at each index."""
 
@@ -112,17 +110,20 @@ class Code:
             self.bits, self.symbols, self.lengths = 0, np.array([used[0] if len(used) else 0], np.int32), np.zeros(1, np.uint8)
         else:
             self.bits = int(lengths.max())
-            if sum(1 << (self.bits - int(n)) for n in lengths[used]) != 1 << self.bits:
+            if int((1 << (self.bits - lengths[used])).sum()) != 1 << self.bits:
                 raise ValueError("a prefix code is not complete")
             order = used[np.argsort(lengths[used], kind="stable")]  # in the order of their codes, most significant bit first
             table = np.repeat(order, 1 << (self.bits - lengths[order]))[reversal(self.bits)]
             self.symbols, self.lengths = table.astype(np.int32), lengths[table].astype(np.uint8)
         self.pairs = None
 
-    def read(self, bits: Bits) -> int:
+    def steps(self) -> list[tuple[int, int]]:
         if self.pairs is None:
             self.pairs = list(zip(self.symbols.tolist(), self.lengths.tolist(), strict=True))
-        s, n = self.pairs[bits.peek(self.bits)]
+        return self.pairs
+
+    def read(self, bits: Bits) -> int:
+        s, n = self.steps()[bits.peek(self.bits)]
         bits.skip(n)
         return s
 
@@ -140,18 +141,28 @@ def read_lengths(bits: Bits, size: int) -> np.ndarray:
         first[LENGTH_ORDER[i]] = bits.read(3)
     most = size if not bits.read(1) else 2 + bits.read(2 + 2 * bits.read(3))
     code, at, last = Code(first), 0, 8
+    pairs, mask = code.steps(), (1 << code.bits) - 1
+    start = bits.position()
+    value, read, out = bits.slice(start, 14 * size + 64), 0, []  # 7 bits of code and 7 more for a symbol at most
     while at < size and most:
         most -= 1
-        n = code.read(bits)
+        n, step = pairs[value & mask]
+        value >>= step
+        read += step
         if n < 16:
-            lengths[at] = n
+            out.append(n)
             at, last = at + 1, n or last
-        else:
-            value, count = (last, 3 + bits.read(2)) if n == 16 else (0, 3 + bits.read(3)) if n == 17 else (0, 11 + bits.read(7))
-            if at + count > size:
-                raise ValueError("code lengths run over the alphabet")
-            lengths[at : at + count] = value
-            at += count
+            continue
+        more, base = ((2, 3), (3, 3), (7, 11))[n - 16]
+        count = base + (value & ((1 << more) - 1))
+        value >>= more
+        read += more
+        at += count
+        if at > size:
+            raise ValueError("code lengths run over the alphabet")
+        out += [last if n == 16 else 0] * count
+    bits.seek(start + read)
+    lengths[: len(out)] = out
     return lengths
 
 
