@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur import ship
 from larkspur.llm import exact_dedup, mixing, packing, quality, simhash
 from larkspur.llm.common import shared_checkpoints, table
 from larkspur.llm.queries import tokenizer_file
@@ -13,26 +14,31 @@ from larkspur.llm.queries import tokenizer_file
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, predicts as good."""
+    ship(spark)
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The owner of each group of equal texts."""
+    ship(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ship(spark)
     return simhash.drop_near(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: documents as often as their source's target takes them, the last one of a source in part."""
+    ship(spark)
     return mixing.mixture(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixture's documents in windows of 4,096 tokens."""
+    ship(spark)
     return packing.packed(docs, tokenizer_file())
 
 
