@@ -23,17 +23,23 @@ def pairs(atoms: DataFrame, other: DataFrame | None = None, both: bool = True) -
     )
 
 
-def neighbours(atoms: DataFrame, rcut: float) -> DataFrame:
-    """(mol, i, j, r) with r < rcut: a range join by cells of edge rcut; each atom meets its own and the 26 cells around."""
-    cell = [F.floor(F.col(k) / rcut).alias(f"c{k}") for k in ("x", "y", "c")]
-    left = atoms.select("*", *cell)
-    steps = F.expr("sequence(-1, 1)")
+def neighbours(atoms: DataFrame, rcut: float, small: int = 64) -> DataFrame:
+    """(mol, i, j, r) with r < rcut.
+
+    Molecules of at most ``small`` atoms are joined with themselves; larger ones by a range join over cells of edge rcut, where each
+    atom meets its own cell and the 26 around, so that pairs grow with the atoms and not with their square.
+    """
+    sized = atoms.withColumn("_n", F.count("*").over(Window.partitionBy("mol")))
+    few, many = sized.filter(F.col("_n") <= small).drop("_n"), sized.filter(F.col("_n") > small).drop("_n")
+    near = (F.col("l.atom") != F.col("r.atom")) & (_d2() < rcut * rcut)
+    out = [F.col("l.mol").alias("mol"), F.col("l.atom").alias("i"), F.col("r.atom").alias("j"), F.sqrt(_d2()).alias("r")]
+    own = few.alias("l").join(few.alias("r"), (F.col("l.mol") == F.col("r.mol")) & near).select(*out)
+    left = many.select("*", *[F.floor(F.col(k) / rcut).alias(f"c{k}") for k in ("x", "y", "c")])
     right = left
     for k in ("x", "y", "c"):
-        right = right.withColumn("_s", F.explode(steps)).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_s")).drop("_s")
+        right = right.withColumn("_s", F.explode(F.expr("sequence(-1, 1)"))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_s")).drop("_s")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("mol", "cx", "cy", "cc")]
-    cond = same[0] & same[1] & same[2] & same[3] & (F.col("l.atom") != F.col("r.atom")) & (_d2() < rcut * rcut)
-    return left.alias("l").join(right.alias("r"), cond).select(F.col("l.mol").alias("mol"), F.col("l.atom").alias("i"), F.col("r.atom").alias("j"), F.sqrt(_d2()).alias("r"))
+    return own.union(left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & near).select(*out))
 
 
 def periodic_images(atoms: DataFrame, cell: list[list[float]], rcut: float) -> DataFrame:

@@ -79,8 +79,8 @@ def l2sq_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
-def tiles(df: DataFrame, id_col: str, vec: str, z: str | None = None, size: int = TILE) -> DataFrame:
-    """One row for each run of at most ``size`` vectors (of one element, if z is given): n, ids, vectors."""
+def tiles(df: DataFrame, id_col: str, vec: str, z: str | None = None, size: int = TILE, weight: str | None = None) -> DataFrame:
+    """One row for each run of at most ``size`` vectors (of one element, if z is given): n, ids, vectors, weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,23 +89,23 @@ def tiles(df: DataFrame, id_col: str, vec: str, z: str | None = None, size: int
             cuts = [0, *(np.flatnonzero(np.diff(zs[order])) + 1).tolist(), len(zs)]
             flat = b.column("vec")
             x = np.asarray(flat.flatten(), float).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
-            ids = b.column("id").to_numpy()
+            ids, w = b.column("id").to_numpy(), b.column("w").to_numpy()
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 for at in range(lo, hi, size):
                     rows = order[at : min(hi, at + size)]
                     yield pa.RecordBatch.from_pydict(
-                        {"z": pa.array([int(zs[rows[0]])], pa.int64()), "n": pa.array([len(rows)], pa.int32()), "ids": [ids[rows].astype(np.int64).tobytes()], "x": [x[rows].tobytes()]}
+                        {"z": pa.array([int(zs[rows[0]])], pa.int64()), "n": pa.array([len(rows)], pa.int32()), "ids": [ids[rows].astype(np.int64).tobytes()], "x": [x[rows].tobytes()], "w": [w[rows].tobytes()]}
                     )
 
-    picked = df.select((F.col(z) if z else F.lit(0)).cast("long").alias("z"), F.col(id_col).cast("long").alias("id"), V.as_vector(vec).alias("vec")).filter("id is not null and vec is not null and z is not null")
+    picked = df.select((F.col(z) if z else F.lit(0)).cast("long").alias("z"), F.col(id_col).cast("long").alias("id"), V.as_vector(vec).alias("vec"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).filter("id is not null and vec is not null and z is not null")
     if z:
         picked = picked.repartition("z")
-    return picked.mapInArrow(run, "z long, n int, ids binary, x binary")
+    return picked.mapInArrow(run, "z long, n int, ids binary, x binary, w binary")
 
 
 def _pairs(a: DataFrame, b: DataFrame, matched: bool) -> DataFrame:
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in ("z", "n", "ids", "x")])
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in ("z", "n", "ids", "x")])
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in ("z", "n", "ids", "x", "w")])
     return left.join(right, F.col("a_z") == F.col("b_z")) if matched else left.crossJoin(right)
 
 
@@ -168,10 +168,34 @@ def mirrored(lower: DataFrame) -> DataFrame:
 
 
 def kernel_predictions(train: DataFrame, query: DataFrame, kernel: Kernel, alpha: str = "alpha", id_col: str = "id", vec: str = "x") -> DataFrame:
-    """(id, prediction): sum over training rows of alpha * k, added up by the engine from blocks."""
-    k = kernel_matrix(query, train, kernel, id_col, vec)
-    a = train.select(F.col(id_col).cast("long").alias("j"), F.col(alpha).alias("alpha"))
-    return k.join(a, "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("k") * F.col("alpha")).alias("prediction"))
+    """(id, prediction): sum over training rows of alpha * k.  A block leaves one partial sum for each query row."""
+    pairs = _pairs(tiles(query, id_col, vec), tiles(train, id_col, vec, weight=alpha), False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b = (np.frombuffer(r[c]).reshape(r[n], -1) for c, n in (("a_x", "a_n"), ("b_x", "b_n")))
+                yield pa.RecordBatch.from_pydict({"id": np.frombuffer(r["a_ids"], np.int64), "p": kernel.block(a, b)[0] @ np.frombuffer(r["b_w"])})
+
+    return pairs.mapInArrow(run, "id long, p double").groupBy("id").agg(F.sum("p").alias("prediction"))
+
+
+def dense(df: DataFrame, kernel: Kernel, ids: list[int], id_col: str = "id", vec: str = "x") -> np.ndarray:
+    """The kernels (sigmas, n, n) of a training set on the driver, in the order of ids: blocks travel, not rows."""
+    t = tiles(df, id_col, vec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b = (np.frombuffer(r[c]).reshape(r[n], -1) for c, n in (("a_x", "a_n"), ("b_x", "b_n")))
+                yield pa.RecordBatch.from_pydict({"i": [r["a_ids"]], "j": [r["b_ids"]], "k": [np.stack(kernel.block(a, b)).tobytes()]})
+
+    place = {v: i for i, v in enumerate(ids)}
+    out = np.zeros((len(kernel.sigmas), len(ids), len(ids)))
+    for r in _pairs(t, t, False).mapInArrow(run, "i binary, j binary, k binary").toLocalIterator():
+        i, j = ([place[v] for v in np.frombuffer(r[c], np.int64).tolist()] for c in ("i", "j"))
+        out[:, np.array(i)[:, None], np.array(j)[None]] = np.frombuffer(r["k"]).reshape(len(kernel.sigmas), len(i), len(j))
+    return out
 
 
 def squared_distances(k: DataFrame) -> DataFrame:

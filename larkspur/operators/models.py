@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import solvers
 from .features import Signs, random_features
-from .kernels import Kernel, kernel_matrix, kernel_predictions, local_kernel_matrix
+from .kernels import Kernel, dense, kernel_predictions, local_kernel_matrix
 from .statistics import dressed_atoms
 
 
@@ -36,10 +36,7 @@ class KernelRidge:
     ratio: float = 1e-9
     shift: bool = True
     solver: str = "cholesky"
-    most: int = 20_000  # training rows that the driver may hold a kernel of
-
-    def matrix(self, df: DataFrame, kernel: Kernel | None = None) -> DataFrame:
-        return kernel_matrix(df, None, kernel or self.kernel, "id", "x")
+    most: int = 10_000  # training rows that the driver may hold a kernel of
 
     def training(self, df: DataFrame) -> tuple[list[int], np.ndarray, float]:
         rows = df.select("id", "y").orderBy("id").limit(self.most + 1).collect()
@@ -52,7 +49,7 @@ class KernelRidge:
     def fit(self, df: DataFrame) -> KernelRidge:
         """df: id, x, y."""
         self.ids, y, self.mean = self.training(df)
-        k = square(self.matrix(df), self.ids)
+        k = dense(df, self.kernel, self.ids)[0]
         self.l2 = self.ratio * float(np.mean(np.diag(k)))
         self.alphas = solvers.SOLVERS[self.solver](k, y, self.l2)
         self.train = df.select("id", "x")
@@ -68,7 +65,7 @@ class KernelRidge:
 
     def loo_errors(self, df: DataFrame) -> np.ndarray:
         ids, y, _ = self.training(df)
-        k = square(self.matrix(df), ids)
+        k = dense(df, self.kernel, ids)[0]
         return solvers.kernel_loo_errors(k, y, self.ratio * float(np.mean(np.diag(k))))
 
     def optimise(self, df: DataFrame, sigma_log: tuple[float, float], ratio_log: tuple[float, float] = (-25.0, 0.0), points: int = 8, loss=None) -> KernelRidge:
@@ -76,11 +73,8 @@ class KernelRidge:
         loss = loss or (lambda e: float(np.abs(e).mean()))
         ids, y, _ = self.training(df)
         best = (math.inf, self.kernel.sigmas[0], self.ratio)
-        # all widths of the grid in one pass over the pairs
-        sigmas = tuple(math.exp(s) for s in np.linspace(*sigma_log, points))
-        every = self.matrix(df, replace(self.kernel, sigmas=sigmas)).persist()
-        for s in sigmas:
-            k = square(every.filter(F.col("sigma") == s), ids)
+        for s in (math.exp(s) for s in np.linspace(*sigma_log, points)):
+            k = dense(df, replace(self.kernel, sigmas=(s,)), ids)[0]
             scale = float(np.mean(np.diag(k)))
             w, v = np.linalg.eigh(k)
             vy = v.T @ y
@@ -91,7 +85,6 @@ class KernelRidge:
 
             at, got = solvers.grid_minimum(value, *ratio_log, points=24, refine=20)
             best = min(best, (got, s, math.exp(at)))
-        every.unpersist()
         self.kernel, self.ratio = replace(self.kernel, sigmas=(best[1],)), best[2]
         return self
 

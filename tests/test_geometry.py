@@ -20,8 +20,9 @@ def atoms(spark, mols):
     return spark.createDataFrame(rows, "mol long, atom long, z int, x double, y double, c double")
 
 
-def test_neighbours(atoms, mols):
-    got = {(r["mol"], r["i"], r["j"]): r["r"] for r in geometry.neighbours(atoms, 2.0).collect()}
+@pytest.mark.parametrize("small", [64, 5, 0])
+def test_neighbours(atoms, mols, small):
+    got = {(r["mol"], r["i"], r["j"]): r["r"] for r in geometry.neighbours(atoms, 2.0, small).collect()}
     want = {(m, i, j): np.linalg.norm(r[i] - r[j]) for m, (z, r) in mols.items() for i in range(len(z)) for j in range(len(z)) if i != j and np.linalg.norm(r[i] - r[j]) < 2}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
