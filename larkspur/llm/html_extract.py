@@ -4,10 +4,10 @@ A page is cut into blocks by its block elements; menus, headers, footers, sideba
 reader comments are left out by element, role, class and id.  Where a page marks its article (``article``, ``main``, role or itemprop; else a class or id such as
 "post" or "content" around half of its text or more), the blocks inside are its text.  These are left alone: articles are quoted and copied within a host, and what repeats there is not boilerplate.
 
-Pages without such a mark go to their host.  The token streams of a host's pages are put together, block ends being tokens too, and a
-suffix array limited in depth finds the substrings of ``least`` tokens or more that occur on two distinct pages or more (``spread``); what they cover is boilerplate, and the
-unique runs are kept.  A page of which more than ``most_share`` is covered is a copy of another and keeps all.  A host's pages are dealt out by hash in lots of about ``lot`` pages,
-so that no task holds a large host; boilerplate shows in any lot.
+Pages without such a mark are compared with their host.  A page's token stream holds the words of its blocks, block ends being tokens too.  A window of ``least`` tokens that
+occurs on ``spread`` distinct streams of the host or more is boilerplate with all its tokens, which is what a suffix array over the host's streams finds (:func:`repeated`), but windows are
+dealt by the hash of host and window, so that no task holds a host and the result is the same however large it is.  Equal pages count as one stream.
+A page of which more than ``most_share`` is covered is a copy of another and keeps all.
 
 Cases: null and empty html give empty text; a page without markup is one block; broken and cut-off markup is read as far as it goes; a null url is a host of its own, where
 nothing is compared; repeated rows give a row each; a null page_id stays null; an empty table gives an empty result; other columns are ignored.
@@ -15,6 +15,7 @@ nothing is compared; repeated rows give a row each; a null page_id stays null; a
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shuffle_parts, text_blocks
+from .common import cut, encoded, map_arrow, text_blocks
 
 #: Elements by their role.
 DROPPED = frozenset("nav footer aside script style noscript template iframe svg math canvas object select textarea button input dialog menu head title audio video map datalist".split())
@@ -229,74 +230,102 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int, spread: int) -> n
     return np.cumsum(step)[:n] > 0
 
 
-def unique_runs(pages: list[list[str]], least: int, spread: int, most_share: float) -> list[str]:
-    """The text of each page of one host without what it shares with other pages."""
-    words, ids, at = {}, [], []
-    for i, page in enumerate(pages):
-        for block in page:
-            ids.append(0)
-            ids += [words.setdefault(w, len(words) + 1) for w in block.split(" ")]
-            at += [i] * (len(ids) - len(at))
-        ids.append(0)
-        at.append(i)
-    tokens, page = np.array(ids, np.int64), np.array(at, np.int64)
-    covered = repeated(tokens, page, least, spread) & (tokens > 0)
-    total = np.bincount(page[tokens > 0], minlength=len(pages))
-    share = np.bincount(page[covered], minlength=len(pages)) / np.maximum(1, total)
-    keep = (~covered | (share > most_share)[page]) & (tokens > 0)
-    names = np.array(["", *words], object)
-    cuts = np.searchsorted(page[keep], np.arange(len(pages) + 1))
-    kept = names[tokens[keep]]
-    return [" ".join(kept[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+#: Odd numbers for the hashes of windows.
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-PAGE = "page_id long,url string,host string,marked boolean,text string"
+def hash64(text: str) -> int:
+    """64 bits with a sign, the same in all workers."""
+    return int.from_bytes(hashlib.blake2b(encoded(text), digest_size=8).digest(), "little", signed=True)
+
+
+class Stream:
+    """A page's tokens, block ends among them, and the hash of the window of ``least`` tokens that begins at each."""
+
+    def __init__(self, host: str, text: str, least: int, seen: dict[str, int]):
+        self.words: list[str | None] = []
+        for block in text.split("\n"):
+            if block:
+                self.words += block.split(" ")
+                self.words.append(None)
+        self.least = least
+        for w in self.words:
+            if w not in seen:
+                seen[w] = 1 if w is None else hash64(w)
+        ids = np.fromiter(map(seen.__getitem__, self.words), np.int64, len(self.words)).view(np.uint64)
+        n = max(0, len(ids) - least + 1)
+        h = np.full(n, np.array(hash64(host)).view(np.uint64))
+        for j in range(least):
+            h = h * FACTOR + ids[j : j + n]
+        for shift in (30, 27):
+            h = (h ^ (h >> np.uint64(shift))) * MIX
+        self.windows = (h ^ (h >> np.uint64(31))).view(np.int64)
+
+    def covered(self, hits: np.ndarray) -> np.ndarray:
+        """Which tokens lie in one of the windows."""
+        at = np.flatnonzero(np.isin(self.windows, hits))
+        step = np.zeros(len(self.words) + 1, np.int64)
+        step[at] += 1
+        step[at + self.least] -= 1
+        return np.cumsum(step)[:-1] > 0
+
+    def without(self, covered: np.ndarray) -> str:
+        return " ".join(w for w, c in zip(self.words, covered.tolist(), strict=True) if w is not None and not c)
+
+
+def stripped(s: Stream, hits: np.ndarray, most_share: float) -> str:
+    covered = s.covered(hits)
+    words = np.array([w is not None for w in s.words], bool)
+    return s.without(covered & (np.sum(covered & words) <= most_share * max(1, np.sum(words))))
+
+
+PAGE = "page_id long,url string,host string,text string,stream long"
 
 
 def main_text(pages: DataFrame, least: int = 8, spread: int = 2, most_share: float = 0.9, lot: int = 2000) -> DataFrame:
-    """page_id, url, text, n_chars: one row for each row of ``pages``.  Blocks travel joined by a line feed, which no block holds."""
+    """page_id, url, text, n_chars: one row for each row of ``pages``.  Blocks travel joined by a line feed, which no block holds.
+
+    At most ``lot`` pages are worked on at once; the result does not depend on it.
+    """
+
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_blocks(batches, limit=1 << 20):
+            for i in range(0, b.num_rows, lot):
+                yield b.slice(i, lot)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in text_blocks(batches, "html", limit=8 << 20):
             got = [blocks(h) for h in b.column("html").to_pylist()]
+            alone = [m or h is None for (_, m), h in zip(got, b.column("host").to_pylist(), strict=True)]
+            text = [(" " if a else "\n").join(t) for (t, _), a in zip(got, alone, strict=True)]
             yield {
                 "page_id": b.column("page_id"),
                 "url": b.column("url"),
                 "host": b.column("host"),
-                "marked": [m for _, m in got],
-                "text": [(" " if m else "\n").join(t) for t, m in got],
+                "text": text,
+                "stream": [None if a else hash64(f"{h}\n{t}") for a, h, t in zip(alone, b.column("host").to_pylist(), text, strict=True)],
             }
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        key, held = None, []
-
-        def done():
-            texts = [[x for x in r[3].split("\n") if x] for r in held]
-            out = unique_runs(texts, least, spread, most_share) if key and key[0] is not None else [" ".join(t) for t in texts]
-            return {"page_id": [r[1] for r in held], "url": [r[2] for r in held], "text": out}
-
-        for b in batches:
-            for host, part, *row in zip(*(b.column(c).to_pylist() for c in ("host", "part", "page_id", "url", "text")), strict=True):
-                if (host, part) != key and held:
-                    yield done()
-                    held = []
-                key = (host, part)
-                held.append((host, *row))
-        if held:
-            yield done()
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in lots(batches):
+            seen: dict = {}
+            for host, text, stream in zip(*(b.column(c).to_pylist() for c in ("host", "text", "stream")), strict=True):
+                w = np.unique(Stream(host, text, least, seen).windows)
+                yield {"stream": np.full(len(w), stream, np.int64), "w": w}
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in lots(batches):
+            seen: dict = {}
+            out = []
+            for host, text, hits in zip(*(b.column(c).to_pylist() for c in ("host", "text", "hits")), strict=True):
+                out.append(stripped(Stream(host, text, least, seen), np.array(hits, np.int64), most_share) if hits else " ".join(x for x in text.split("\n") if x))
+            yield {"page_id": b.column("page_id"), "url": b.column("url"), "text": out}
 
     host = F.when(F.col("url").rlike(HOST), F.lower(F.regexp_extract("url", HOST, 1)))
     parsed = map_arrow(pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html"), parse, PAGE)
-    sure = parsed.filter("marked").select("page_id", "url", "text")
-    # only hosts of more than a lot need a number of lots; they are counted from the urls alone
-    large = pages.select(host.alias("large")).groupBy("large").agg(F.ceil(F.count("*") / F.lit(lot)).alias("lots")).filter("lots > 1")
-    dealt = (
-        parsed.filter("not marked")
-        .join(large, F.col("host") == F.col("large"), "left")
-        .withColumn("part", F.pmod(F.xxhash64("url", "text"), F.coalesce("lots", F.lit(1))))
-        .withColumn("part", F.when(F.col("host").isNull(), F.xxhash64("page_id", "text") % 4096).otherwise(F.col("part")))
-        .select("host", "part", "page_id", "url", "text")
-    )
-    ordered = dealt.repartition(shuffle_parts(pages.sparkSession), "host", "part").sortWithinPartitions("host", "part", "url", "page_id", "text")
-    rest = map_arrow(ordered, compare, "page_id long,url string,text string")
+    sure = parsed.filter("stream is null").select("page_id", "url", "text")
+    held = cut(map_arrow(parsed.filter("stream is not null").select("host", "text", "stream"), windows, "stream long,w long").distinct())
+    common = held.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= spread).select("w")
+    hits = held.join(common, "w").groupBy("stream").agg(F.collect_list("w").alias("hits"))
+    rest = map_arrow(parsed.filter("stream is not null").join(hits, "stream", "left").select("page_id", "url", "host", "text", "hits"), strip, "page_id long,url string,text string")
     return sure.unionByName(rest).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -159,6 +159,39 @@ def test_host_boilerplate(spark, lot):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def of_host(spark, sources, **options):
+    """The text of each page of one host."""
+    rows = [(i, f"http://h.example/{i}", x) for i, x in enumerate(sources)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+    assert len(got) == len(rows)
+    return [got[i] for i in range(len(rows))]
+
+
+def own(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+
+
+@pytest.mark.parametrize("lot", [1, 3, 2000])
+def test_repeats_do_not_depend_on_lots(spark, lot):
+    shared = [own(1000 + i, 12) for i in range(10)]  # each on two pages alone, on a host most of whose pages are marked
+    texts = [own(i, 40) for i in range(20)]
+    sources = [f"<div>{texts[i]}</div><div>{shared[i // 2]}</div>" for i in range(20)] + [f"<article>{own(100 + i, 20)}</article>" for i in range(40)]
+    assert of_host(spark, sources, lot=lot) == texts + [own(100 + i, 20) for i in range(40)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text("ab", min_size=1, max_size=2), min_size=1, max_size=15), min_size=1, max_size=6), st.integers(1, 9))
+def test_windows_against_suffix_array(pages, least):
+    streams = [html_extract.Stream("h", " ".join(p), least, {}) for p in pages]
+    number = {w: i for i, w in enumerate({w for s in streams for w in s.words})}
+    tokens = np.array([number[w] for s in streams for w in s.words], np.int64)
+    page = np.array([i for i, s in enumerate(streams) for _ in s.words], np.int64)
+    kinds, counts = np.unique(np.concatenate([np.unique(s.windows) for s in streams]), return_counts=True)
+    covered = np.concatenate([s.covered(kinds[counts >= 2]) for s in streams])
+    assert np.array_equal(covered, html_extract.repeated(tokens, page, least, 2))
+
+
 # shards
 
 
