@@ -2,7 +2,9 @@
 
 A page is cut into blocks by its block elements; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
 reader comments are left out by element, role, class and id.  Where a page marks its article (``article``, ``main``, role or itemprop; else a class or id such as
-"post" or "content" around half of its text or more), the blocks inside are its text.  These are left alone: articles are quoted and copied within a host, and what repeats there is not boilerplate.
+"post" or "content" around half of its text or more), the blocks inside are its text.  Articles are quoted and copied within a host, so what repeats there may be text: a window of
+``least`` tokens in there is boilerplate if more than half of the host's marked pages hold it, in ``voices`` distinct texts or more (share lines, lists of other articles, notices, a page-wide
+``main``).  A marked page that holds no run of ``least`` words besides is a copy and keeps all.
 
 Pages without such a mark are compared with their host.  A page's token stream holds the words of its blocks, block ends being tokens too.  A window of ``least`` tokens that
 occurs on ``spread`` distinct streams of the host or more is boilerplate with all its tokens, which is what a suffix array over the host's streams finds (:func:`repeated`), but windows are
@@ -279,10 +281,91 @@ def stripped(s: Stream, hits: np.ndarray, most_share: float) -> str:
     return s.without(covered & (np.sum(covered & words) <= most_share * max(1, np.sum(words))))
 
 
+def own_run(s: Stream, covered: np.ndarray) -> int:
+    """The words in the longest run that is not covered; block ends do not end a run."""
+    free = np.array([not c for w, c in zip(s.words, covered.tolist(), strict=True) if w is not None], bool)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], free, [0]))))
+    return int(np.max(edges[1::2] - edges[::2], initial=0))
+
+
+def article_text(host: str, parts: list[str], hits: bytes | None, least: int, seen: dict[str, int]) -> str:
+    """A marked page's text without the windows that ``hits`` packs."""
+    if hits:
+        s = Stream(host, "\n".join(parts), least, seen)
+        covered = s.covered(np.frombuffer(hits, np.int64))
+        if covered.any() and own_run(s, covered) >= least:
+            return s.without(covered)
+    return " ".join(parts)
+
+
+def site_windows(pages: DataFrame, least: int, voices: int, lot: int) -> DataFrame | None:
+    """(h, hits): for a host's key the windows, packed, that more than half of its marked pages hold, in ``voices`` distinct texts or more; None if there are none.
+
+    ``pages``: h, host, html; no null hosts.  A block of pages sends on the windows that more than a third of its pages of a host hold.  One sent by no block is on a third of the
+    pages at most, so what the blocks sent bounds the count from above; those that may be on half are then counted over all pages.
+    """
+
+    def articles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+        for b in text_blocks(batches, "html", limit=8 << 20):
+            for i in range(0, b.num_rows, size):
+                part, seen, out = b.slice(i, size), {}, []
+                asked = part.column("asked").to_pylist() if "asked" in part.schema.names else [None] * part.num_rows
+                for h, host, source, a in zip(*(part.column(c).to_pylist() for c in ("h", "host", "html")), asked, strict=True):
+                    parts, marked = blocks(source)
+                    if marked:
+                        text = "\n".join(parts)
+                        out.append((h, hash64(text), np.unique(Stream(host, text, least, seen).windows), a))
+                yield out
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for block in articles(batches, lot):
+            by: dict[int, list] = {}
+            for h, _, w, _ in block:
+                by.setdefault(h, []).append(w)
+            for h, held in by.items():
+                kinds, counts = np.unique(np.concatenate(held), return_counts=True)
+                sent = 3 * counts > len(held)
+                n = int(np.sum(sent))
+                # the row without a window counts the host's pages
+                yield {"h": [h] * (n + 1), "w": [None, *kinds[sent].tolist()], "c": [0, *counts[sent].tolist()], "r": [len(held)] * (n + 1)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for block in articles(batches, lot):
+            for _, text, w, asked in block:
+                w = w[np.isin(w, np.frombuffer(asked, np.int64))]
+                yield {"w": w, "text": np.full(len(w), text, np.int64)}
+
+    sent = cut(map_arrow(pages, likely, "h long,w long,c long,r long").groupBy("h", "w").agg(F.sum("c").alias("c"), F.sum("r").alias("r")))
+    total = sent.filter("w is null").select("h", F.col("r").alias("m"))
+    asked = cut(sent.filter("w is not null").join(total, "h").filter(f"6 * c - 2 * r > m and m >= {voices}").select("h", "w", "m"))
+    if asked.isEmpty():
+        return None
+    per_text = with_hits(pages, packed_windows(asked, "asked"), "inner").transform(lambda d: map_arrow(d, count, "w long,text long")).groupBy("w", "text").agg(F.count("*").alias("n"))
+    counted = per_text.groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    found = cut(asked.join(counted, "w").filter(f"2 * n > m and texts >= {voices}").select("h", "w"))
+    return None if found.isEmpty() else packed_windows(found, "hits")
+
+
+def packed_windows(windows: DataFrame, name: str) -> DataFrame:
+    """(h, name): a host's windows as one string of bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"h": b.column("h"), name: [np.array(x, np.int64).tobytes() for x in b.column("w").to_pylist()]}
+
+    return cut(map_arrow(windows.groupBy("h").agg(F.collect_list("w").alias("w")), pack, f"h long,{name} binary"))
+
+
+def with_hits(pages: DataFrame, hits: DataFrame, how: str, small: int = 16 << 20) -> DataFrame:
+    """Pages with their host's windows.  Few windows are sent to the pages, more are joined; the result is the same."""
+    size = hits.agg(F.sum(F.octet_length(hits.columns[1]) + 64)).first()[0] or 0
+    return pages.join(F.broadcast(hits) if size <= small else hits, "h", how)
+
+
 PAGE = "page_id long,url string,host string,text string,stream long"
 
 
-def main_text(pages: DataFrame, least: int = 8, spread: int = 2, most_share: float = 0.9, lot: int = 2000) -> DataFrame:
+def main_text(pages: DataFrame, least: int = 8, spread: int = 2, most_share: float = 0.9, lot: int = 2000, voices: int = 3) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages``.  Blocks travel joined by a line feed, which no block holds.
 
     At most ``lot`` pages are worked on at once; the result does not depend on it.
@@ -295,16 +378,15 @@ def main_text(pages: DataFrame, least: int = 8, spread: int = 2, most_share: flo
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in text_blocks(batches, "html", limit=8 << 20):
-            got = [blocks(h) for h in b.column("html").to_pylist()]
-            alone = [m or h is None for (_, m), h in zip(got, b.column("host").to_pylist(), strict=True)]
-            text = [(" " if a else "\n").join(t) for (t, _), a in zip(got, alone, strict=True)]
-            yield {
-                "page_id": b.column("page_id"),
-                "url": b.column("url"),
-                "host": b.column("host"),
-                "text": text,
-                "stream": [None if a else hash64(f"{h}\n{t}") for a, h, t in zip(alone, b.column("host").to_pylist(), text, strict=True)],
-            }
+            seen: dict = {}
+            text, stream = [], []
+            hits = b.column("hits").to_pylist() if "hits" in b.schema.names else [None] * b.num_rows
+            for host, source, found in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), hits, strict=True):
+                parts, marked = blocks(source)
+                alone = marked or host is None
+                text.append(article_text(host, parts, found, least, seen) if alone else "\n".join(parts))
+                stream.append(None if alone else hash64(f"{host}\n{text[-1]}"))
+            yield {"page_id": b.column("page_id"), "url": b.column("url"), "host": b.column("host"), "text": text, "stream": stream}
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in lots(batches):
@@ -322,8 +404,12 @@ def main_text(pages: DataFrame, least: int = 8, spread: int = 2, most_share: flo
             yield {"page_id": b.column("page_id"), "url": b.column("url"), "text": out}
 
     host = F.when(F.col("url").rlike(HOST), F.lower(F.regexp_extract("url", HOST, 1)))
-    parsed = map_arrow(pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html"), parse, PAGE)
-    sure = parsed.filter("stream is null").select("page_id", "url", "text")
+    key = F.when(host.isNull(), F.xxhash64("page_id", "html")).otherwise(F.xxhash64(host)).alias("h")
+    raw = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html", key)
+    parsed = map_arrow(raw.drop("h"), parse, PAGE)
+    site = site_windows(raw.filter("host is not null").select("h", "host", "html"), least, voices, lot)
+    sure = parsed if site is None else map_arrow(with_hits(raw, site, "left").drop("h"), parse, PAGE)
+    sure = sure.filter("stream is null").select("page_id", "url", "text")
     held = cut(map_arrow(parsed.filter("stream is not null").select("host", "text", "stream"), windows, "stream long,w long").distinct())
     common = held.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= spread).select("w")
     hits = held.join(common, "w").groupBy("stream").agg(F.collect_list("w").alias("hits"))

@@ -180,6 +180,19 @@ def test_repeats_do_not_depend_on_lots(spark, lot):
     assert of_host(spark, sources, lot=lot) == texts + [own(100 + i, 20) for i in range(40)]
 
 
+@pytest.mark.parametrize("lot", [1, 4, 2000])
+def test_boilerplate_in_marked_pages(spark, lot):
+    notice, quote = own(2000, 12), own(2001, 12)
+    texts = [own(200 + i, 25) for i in range(12)]
+    texts[1:4] = [f"{t} {quote}" for t in texts[1:4]]  # a quarter of the pages quote it
+    wrap = [("<main>", "</main>"), ("<div id='content'>", "</div>"), ("<article>", "</article>")]
+    sources = [f"{wrap[i % 3][0]}<p>{texts[i]}</p><div class='more'>{notice}</div>{wrap[i % 3][1]}" for i in range(12)]
+    sources += [sources[5]] * 2  # copies
+    assert of_host(spark, sources, lot=lot) == [*texts, texts[5], texts[5]]
+    copies = [f"<article>{texts[0]} {own(300 + i, 3)}</article>" for i in range(5)]
+    assert of_host(spark, copies, lot=lot) == [f"{texts[0]} {own(300 + i, 3)}" for i in range(5)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.text("ab", min_size=1, max_size=2), min_size=1, max_size=15), min_size=1, max_size=6), st.integers(1, 9))
 def test_windows_against_suffix_array(pages, least):
