@@ -8,8 +8,9 @@ reader comments are left out by element, role, class and id.  Where a page marks
 
 Pages without such a mark are compared with their host.  A page's token stream holds the words of its blocks, block ends being tokens too.  A window of ``least`` tokens that
 occurs on ``spread`` distinct streams of the host or more is boilerplate with all its tokens, which is what a suffix array over the host's streams finds (:func:`repeated`), but windows are
-dealt by the hash of host and window, so that no task holds a host and the result is the same however large it is.  Equal pages count as one stream.
-A page of which more than ``most_share`` is covered is a copy of another and keeps all.
+dealt by the hash of host and window, so that no task holds a host and the result is the same however large it is.  Equal and near-equal pages count as one stream, so copies do
+not take each other's text, but lose what other pages hold too.  Two pages are near-equal if neither has a run of ``least`` words or more, or of the part ``near`` of its words without those that more than
+half of the host's streams hold if that is longer, in no window of the other; chains of near-equal pages are one group.
 
 Cases: null and empty html give empty text; a page without markup is one block; broken and cut-off markup is read as far as it goes; a null url is a host of its own, where
 nothing is compared; repeated rows give a row each; a null page_id stays null; an empty table gives an empty result; other columns are ignored.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, encoded, map_arrow, text_blocks
+from .components import components
 
 #: Elements by their role.
 DROPPED = frozenset("nav footer aside script style noscript template iframe svg math canvas object select textarea button input dialog menu head title audio video map datalist".split())
@@ -275,12 +277,6 @@ class Stream:
         return " ".join(w for w, c in zip(self.words, covered.tolist(), strict=True) if w is not None and not c)
 
 
-def stripped(s: Stream, hits: np.ndarray, most_share: float) -> str:
-    covered = s.covered(hits)
-    words = np.array([w is not None for w in s.words], bool)
-    return s.without(covered & (np.sum(covered & words) <= most_share * max(1, np.sum(words))))
-
-
 def own_run(s: Stream, covered: np.ndarray) -> int:
     """The words in the longest run that is not covered; block ends do not end a run."""
     free = np.array([not c for w, c in zip(s.words, covered.tolist(), strict=True) if w is not None], bool)
@@ -362,10 +358,46 @@ def with_hits(pages: DataFrame, hits: DataFrame, how: str, small: int = 16 << 20
     return pages.join(F.broadcast(hits) if size <= small else hits, "h", how)
 
 
+def near_groups(streams: DataFrame, held: DataFrame, least: int, near: float) -> DataFrame:
+    """(stream, root) for streams that have near-equal ones: stars around the least stream of each window, each link verified on both texts, then components."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Streams of which others hold nearly all: only these can have near-equal ones."""
+        for b in text_blocks(batches):
+            seen: dict = {}
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in ("stream", "host", "text", "shared", "wide")), strict=True):
+                s = Stream(row[1], row[2], least, seen)
+                words = np.array([w is not None for w in s.words], bool)
+                most = max(least, int(near * np.sum(words & ~s.covered(np.array(row[4], np.int64)))))
+                if own_run(s, s.covered(np.array(row[3], np.int64))) < most:
+                    out.append((*row[:3], most))
+            yield {n: [x[i] for x in out] for i, n in enumerate(("stream", "host", "text", "most"))}
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in text_blocks(batches, limit=4 << 20):
+            seen: dict = {}
+            out = []
+            for u, v, host, text, most, text_v, most_v in zip(*(b.column(c).to_pylist() for c in ("u", "v", "host", "text", "most", "text_v", "most_v")), strict=True):
+                x, y = Stream(host, text, least, seen), Stream(host, text_v, least, seen)
+                if own_run(x, x.covered(y.windows)) < most and own_run(y, y.covered(x.windows)) < most_v:
+                    out.append((u, v))
+            yield {"u": [x for x, _ in out], "v": [x for _, x in out]}
+
+    total = streams.groupBy("h").agg(F.count("*").alias("m"))
+    shared = held.groupBy("w").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter("n > 1").join(total, "h").select("w", F.expr("2 * n > m").alias("wide"))
+    of = held.select("stream", "w").join(shared, "w").groupBy("stream").agg(F.collect_list("w").alias("shared"), F.collect_list(F.when(F.col("wide"), F.col("w"))).alias("wide"))
+    few = cut(map_arrow(streams.join(of, "stream").select("stream", "host", "text", "shared", "wide"), alike, "stream long,host string,text string,most long"))
+    theirs = held.join(few.select("stream"), "stream").select("stream", "w")
+    stars = theirs.join(theirs.groupBy("w").agg(F.min("stream").alias("v")), "w").filter("stream <> v").select(F.col("stream").alias("u"), "v").distinct()
+    pairs = stars.join(few.withColumnRenamed("stream", "u"), "u").join(few.select(F.col("stream").alias("v"), F.col("text").alias("text_v"), F.col("most").alias("most_v")), "v")
+    return components(map_arrow(pairs, verified, "u long,v long")).select(F.col("node").alias("stream"), "root")
+
+
 PAGE = "page_id long,url string,host string,text string,stream long"
 
 
-def main_text(pages: DataFrame, least: int = 8, spread: int = 2, most_share: float = 0.9, lot: int = 2000, voices: int = 3) -> DataFrame:
+def main_text(pages: DataFrame, least: int = 8, spread: int = 2, near: float = 0.05, lot: int = 2000, voices: int = 3) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages``.  Blocks travel joined by a line feed, which no block holds.
 
     At most ``lot`` pages are worked on at once; the result does not depend on it.
@@ -391,17 +423,18 @@ def main_text(pages: DataFrame, least: int = 8, spread: int = 2, most_share: flo
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in lots(batches):
             seen: dict = {}
-            for host, text, stream in zip(*(b.column(c).to_pylist() for c in ("host", "text", "stream")), strict=True):
-                w = np.unique(Stream(host, text, least, seen).windows)
-                yield {"stream": np.full(len(w), stream, np.int64), "w": w}
+            got = [np.unique(Stream(host, text, least, seen).windows) for host, text in zip(b.column("host").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            counts = [len(w) for w in got]
+            yield {"stream": np.repeat(b.column("stream").to_numpy(), counts), "h": np.repeat(b.column("h").to_numpy(), counts), "w": np.concatenate(got)}
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in lots(batches):
             seen: dict = {}
             out = []
             for host, text, hits in zip(*(b.column(c).to_pylist() for c in ("host", "text", "hits")), strict=True):
-                out.append(stripped(Stream(host, text, least, seen), np.array(hits, np.int64), most_share) if hits else " ".join(x for x in text.split("\n") if x))
-            yield {"page_id": b.column("page_id"), "url": b.column("url"), "text": out}
+                s = Stream(host, text, least, seen)
+                out.append(s.without(s.covered(np.array(hits or [], np.int64))))
+            yield {"stream": b.column("stream"), "text": out}
 
     host = F.when(F.col("url").rlike(HOST), F.lower(F.regexp_extract("url", HOST, 1)))
     key = F.when(host.isNull(), F.xxhash64("page_id", "html")).otherwise(F.xxhash64(host)).alias("h")
@@ -410,8 +443,18 @@ def main_text(pages: DataFrame, least: int = 8, spread: int = 2, most_share: flo
     site = site_windows(raw.filter("host is not null").select("h", "host", "html"), least, voices, lot)
     sure = parsed if site is None else map_arrow(with_hits(raw, site, "left").drop("h"), parse, PAGE)
     sure = sure.filter("stream is null").select("page_id", "url", "text")
-    held = cut(map_arrow(parsed.filter("stream is not null").select("host", "text", "stream"), windows, "stream long,w long").distinct())
-    common = held.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= spread).select("w")
+    # each distinct stream once
+    streams = parsed.filter("stream is not null").groupBy("stream").agg(F.first("host").alias("host"), F.first("text").alias("text"))
+    streams = cut(streams.select("stream", F.xxhash64("host").alias("h"), "host", "text"))
+    every = map_arrow(streams, windows, "stream long,h long,w long")
+    # windows of one stream decide nothing and go no further
+    again = cut(every.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= min(spread, 2)).select("w"))
+    held = cut(every.join(F.broadcast(again) if again.count() <= 1 << 20 else again, "w").select("stream", "h", "w"))
+    voice = held.select("stream", "w")
+    if not held.isEmpty():
+        voice = voice.join(near_groups(streams, held, least, near), "stream", "left").select(F.coalesce("root", "stream").alias("stream"), "w").distinct()
+    common = voice.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= spread).select("w")
     hits = held.join(common, "w").groupBy("stream").agg(F.collect_list("w").alias("hits"))
-    rest = map_arrow(parsed.filter("stream is not null").join(hits, "stream", "left").select("page_id", "url", "host", "text", "hits"), strip, "page_id long,url string,text string")
+    clean = map_arrow(streams.join(hits, "stream", "left").select("stream", "host", "text", "hits"), strip, "stream long,text string")
+    rest = parsed.filter("stream is not null").select("page_id", "url", "stream").join(clean, "stream").select("page_id", "url", "text")
     return sure.unionByName(rest).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -180,6 +180,19 @@ def test_repeats_do_not_depend_on_lots(spark, lot):
     assert of_host(spark, sources, lot=lot) == texts + [own(100 + i, 20) for i in range(40)]
 
 
+@pytest.mark.parametrize("lot", [1, 2000])
+def test_short_pages_and_copies(spark, lot):
+    menu, end = own(3000, 100), own(3001, 100)
+    page = lambda text: f"<div>{menu}</div><div>{text}</div><div>{end}</div>"
+    short = [own(400 + i, 20) for i in range(6)]
+    article = own(500, 300).split(" ")
+    near = [" ".join([*article[:k], "edited", *article[k + 1 :]]) for k in (40, 150, 260)] + [f"{own(501, 10)} {' '.join(article)}"]
+    long = own(502, 60)
+    texts = [*short, long, long, *near, *near[:1]]
+    assert of_host(spark, [page(t) for t in texts], lot=lot) == texts
+    assert of_host(spark, [page(t) for t in short[:2]], lot=lot) == short[:2]
+
+
 @pytest.mark.parametrize("lot", [1, 4, 2000])
 def test_boilerplate_in_marked_pages(spark, lot):
     notice, quote = own(2000, 12), own(2001, 12)
