@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one of our own only where that is unset and everything runs in one process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,12 +37,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that are no longer referenced: it works on what the JVM has collected, some moments later."""
-    for _ in range(4):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it: for wide rows of which later steps need some columns.
+
+    The shuffles of the job that wrote it are removed when it ends (Spark's own setting), since nothing needs them again.
+    """
+    spark = df.sparkSession
+    path, key = f"{shared_checkpoints(spark)}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, or that with underscores after it until no column is called so (names do not depend on case)."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+#: Plans that give the rows of one file scan, each once.
+ROW_WISE = ("Project", "Filter", "SubqueryAlias")
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` gives rows of Parquet files, each at most once and the same ones at every reading."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.deterministic() and node.getClass().getSimpleName() in ROW_WISE:
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation" and "parquet" in node.relation().toString().lower()
+
+
+def named_rows(df: DataFrame) -> DataFrame:
+    """``df`` with the columns ``file`` and ``row``, which name a row alike in every reading, however the scan is split.
+
+    They are the hash of the file's path and the row's place in it.  What is no plain scan is written first.
+    """
+    if not is_scan(df):
+        df = stored(df)
+    meta = df.metadataColumn("_metadata")
+    return df.select(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row"), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def encoded(text: str | None) -> bytes:
@@ -77,9 +119,9 @@ def merged_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit
         yield pa.Table.from_batches(held)
 
 
-def row_numbers() -> Iterator[int]:
-    """Numbers unique over all rows of a scan: the partition in the high bits.  Equal for each reading of the same scan."""
-    base = TaskContext.get().partitionId() << 40
+def row_numbers(first: int = 0) -> Iterator[int]:
+    """Numbers unique over all rows of one reading: the partition in the high bits.  Another reading may be split otherwise, so write them before they are used twice."""
+    base = (TaskContext.get().partitionId() << 40) + first
     while True:
         yield base
         base += 1

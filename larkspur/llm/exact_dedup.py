@@ -8,11 +8,14 @@ hash; a terminal node keeps the best owner and the number of rows.  When the tri
 subtrees are spilled, the largest first: their terminals go out as partial groups and the memory is released.  Partial groups
 are shuffled by (length, hash), so a text with any number of copies sends one row for each map task, and a reducer's
 trie merges them, comparing full byte strings.  It reads in key order, so the subtree of a finished key is released.
-Reading the rows again, each finds its partial group's owner by an equi-join.
+
+The input is read once.  That reading writes partial groups and, beside them, each row with the name of its partial group; owners come
+back to the rows by an equi-join on that name, which no more than a task's rows share.  :func:`drop_copies` needs no join: a terminal
+node there holds the best row itself.
 
 Cases: a null text counts as empty and empty texts are equal; repeated rows count as copies, one row stays; a null
-doc_id loses ties and yields a null keep_id when nobody better is there; an empty table gives an empty result; other columns are ignored.
-The input must give the same rows in the same order when it is scanned twice, as files do.
+doc_id loses ties and yields a null keep_id when nobody better is there; an empty table gives an empty result; other columns are ignored
+and may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, encoded, map_arrow, row_numbers, text_blocks
+from .common import WHITE, encoded, fresh, map_arrow, row_numbers, stored, text_blocks
 
 NO_ID = 2**63 - 1
 
@@ -110,56 +113,49 @@ def trie_key(body: bytes) -> bytes:
     return xxhash.xxh64_digest(body) + len(body).to_bytes(8, "big") + body
 
 
-def local_groups(batches: Iterator[pa.RecordBatch], budget: int, on_row, on_spill) -> Iterator[dict]:
-    """Both readings take this way, so that they see the same partial groups.  A group's name is its first row's number."""
-    trie, numbers = Patricia(), row_numbers()
-    for batch in text_blocks(batches):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            n, body = next(numbers), normalised(text)
-            node = trie.find(trie_key(body))
-            mine = (-len(text or ""), NO_ID if doc is None else doc, n)
-            if node.value is None:
-                node.value = [n, 1, mine]
-            else:
-                node.value[1] += 1
-                node.value[2] = min(node.value[2], mine)
-            on_row(doc, n, node.value[0], body)
-            if trie.size > budget:
-                on_spill(trie.spill())
-        yield {}
-    on_spill(trie.items())
-    yield {}
-
-
 PARTIAL = "h long,len long,body binary,grp long,n long,chars long,owner long,owner_row long"
 OWNED = "grp long,n long,owner long,owner_row long"
-MEMBER = "doc_id long,row long,grp long,text_sha256 string"
+#: Rows of the reading: partial groups (body is set), and members (row is set) with the name of their partial group.
+READ = f"{PARTIAL},doc_id long,row long,text_sha256 string"
 
 
-def partial_groups(budget: int):
-    def run(batches):
-        out: list[tuple] = []
+def columns_of(rows: list[tuple], ddl: str) -> dict[str, tuple]:
+    return dict(zip([x.split()[0] for x in ddl.split(",")], zip(*rows, strict=True), strict=True))
 
-        def spilled(items):
-            for key, (grp, n, (chars, owner, row)) in items:
-                out.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:16], "big"), key[16:], grp, n, -chars, owner, row))
-
-        for _ in local_groups(batches, budget, lambda *_: None, spilled):
-            for i in range(0, len(out), 2000):
-                yield dict(zip([x.split()[0] for x in PARTIAL.split(",")], zip(*out[i : i + 2000], strict=True), strict=True))
-            out.clear()
 
-    return run
+def read_groups(budget: int):
+    """Rows to partial groups and members.  A partial group's name is its first row's number."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        trie, numbers = Patricia(), row_numbers()
 
-def members(budget: int):
-    def run(batches):
-        out: list[tuple] = []
-        row = lambda doc, n, grp, body: out.append((doc, n, grp, hashlib.sha256(body).hexdigest()))
-        for _ in local_groups(batches, budget, row, lambda items: [None for _ in items]):
-            if out:
-                yield dict(zip(("doc_id", "row", "grp", "text_sha256"), zip(*out, strict=True), strict=True))
-                out.clear()
+        def partial(items) -> Iterator[dict]:
+            held, total = [], 0
+            for key, (grp, n, (chars, owner, row)) in items:
+                held.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:16], "big"), key[16:], grp, n, -chars, owner, row, None, None, None))
+                total += len(key)
+                if total > 4 << 20 or len(held) == 2000:
+                    yield columns_of(held, READ)
+                    held, total = [], 0
+            if held:
+                yield columns_of(held, READ)
+
+        for batch in text_blocks(batches):
+            members = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                n, body = next(numbers), normalised(text)
+                node = trie.find(trie_key(body))
+                mine = (-len(text or ""), NO_ID if doc is None else doc, n)
+                if node.value is None:
+                    node.value = [n, 1, mine]
+                else:
+                    node.value[1] += 1
+                    node.value[2] = min(node.value[2], mine)
+                members.append((None, None, None, node.value[0], None, None, None, None, doc, n, hashlib.sha256(body).hexdigest()))
+                if trie.size > budget:
+                    yield from partial(trie.spill())
+            yield columns_of(members, READ)
+        yield from partial(trie.items())
 
     return run
 
@@ -198,11 +194,11 @@ def exact_groups(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
 
     budget: bytes of trie that a map task holds before it spills subtrees.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    partial = map_arrow(rows, partial_groups(budget), PARTIAL)
+    read = stored(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), read_groups(budget), READ))
+    partial = read.filter("body is not null").select(*[x.split()[0] for x in PARTIAL.split(",")])
     owned = map_arrow(partial.repartition("h", "len").sortWithinPartitions("h", "len"), owners, OWNED)
-    every = map_arrow(rows, members(budget), MEMBER)
-    return every.join(owned, "grp").select(
+    members = read.filter("row is not null").select("grp", "doc_id", "row", "text_sha256")
+    return members.join(owned, "grp").select(
         "doc_id",
         "row",
         F.when(F.col("owner") != NO_ID, F.col("owner")).alias("keep_id"),
@@ -213,17 +209,61 @@ def exact_groups(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
-    """The rows of ``docs`` that own their group, with all their columns."""
-    names = docs.columns
+def best_rows(schema: pa.Schema, text_at: int, id_at: int, budget: int, extra: list[str]):
+    """Rows to the best row of each text so far; with ``extra`` names the hash and length of its text are added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, last = Patricia(), None
+        names = [*schema.names, *extra]
+        kinds = [*schema.types, *([pa.int64(), pa.int64()] if extra else [])]
+        done: list[tuple] = []
+
+        def finish(items) -> None:
+            for key, (_, row) in items:
+                done.append((*row, int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:16], "big")) if extra else row)
+
+        def out(least: int = 1) -> Iterator[pa.RecordBatch]:
+            if len(done) >= least:
+                for i in range(0, len(done), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done[i : i + 500], strict=True), kinds, strict=True)], names=names)
+                done.clear()
+
+        for batch in text_blocks(batches, schema.names[text_at], limit=4 << 20):
+            keys = None if extra else list(zip(batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist(), strict=True))
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[: len(schema)]), strict=True)):
+                if keys and keys[i] != last:  # in key order: what came before is finished
+                    finish(trie.items())
+                    trie, last = Patricia(), keys[i]
+                text, doc = row[text_at], row[id_at]
+                node = trie.find(trie_key(normalised(text)))
+                rank = (-len(text or ""), NO_ID if doc is None else doc)
+                if node.value is None:
+                    trie.size += len(text or "")
+                    node.value = (rank, row)
+                elif rank < node.value[0] or (rank == node.value[0] and repr(row) < repr(node.value[1])):
+                    node.value = (rank, row)
+                if extra and trie.size > budget:
+                    finish(trie.spill())
+                    yield from out()
+            yield from out()
+        finish(trie.items())
+        yield from out()
 
-    def numbered(batches):
-        numbers = row_numbers()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([next(numbers) for _ in range(batch.num_rows)], pa.int64())], names=[*names, "__row"])
+    return run
 
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__row", T.LongType())])
-    kept = exact_groups(docs, budget).filter("kept").select(F.col("row").alias("__row"))
-    return docs.mapInArrow(numbered, schema).join(kept, "__row", "left_semi").select(*[F.col(f"`{x}`") for x in names])
+def drop_copies(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that own their group, with all their columns; of repeated owners the one that sorts first.
+
+    Read once, shuffled once: the best row of each text in a map task travels whole.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    h, size = fresh(docs.columns, "h"), fresh(docs.columns, "len")
+    lower = [c.lower() for c in docs.columns]
+    where = lower.index("text"), lower.index("doc_id")
+    schema = to_arrow_schema(docs.schema)
+    keyed = T.StructType([*docs.schema.fields, T.StructField(h, T.LongType()), T.StructField(size, T.LongType())])
+    best = docs.mapInArrow(best_rows(schema, *where, budget, [h, size]), keyed)
+    return best.repartition(h, size).sortWithinPartitions(h, size).mapInArrow(best_rows(schema, *where, budget, []), docs.schema)

@@ -18,8 +18,10 @@ one bucket.  There:
 The removed ranges come back by row and meet the texts in one join.
 
 Cases: a null text counts as empty; texts shorter than ``width`` keep all; rows with the same doc_id do not remove each
-other's bytes; a null doc_id is larger than all others; an empty table gives an empty result; other columns are ignored.  The input
-must give the same rows in the same order when it is scanned twice, as files do.
+other's bytes; a null doc_id is larger than all others; an empty table gives an empty result; other columns are ignored.
+
+The texts are read twice.  Rows go by their file and their place in it, so both readings name them alike however the scans are split;
+an input that is no plain scan of Parquet files is written first.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, free_shuffles, map_arrow, merged_blocks, shuffle_parts, text_blocks
+from .common import encoded, map_arrow, merged_blocks, named_rows, shuffle_parts, stored, text_blocks
 
 WIDTH, SEED_BYTES = 50, 8
 NO_ID = 2**63 - 1
@@ -140,49 +142,49 @@ class Strings:
 
 
 def pack(docs: np.ndarray, start: np.ndarray, windows: np.ndarray, rel: np.ndarray, body: np.ndarray) -> bytes:
-    """docs: rows, doc_ids, places in the block and in the text of the texts concerned; start: ascending places in the block."""
+    """docs: files, rows, doc_ids, places in the block and in the text of the texts concerned; start: ascending places in the block."""
     parts = [np.array([docs.shape[1], len(start)]), docs, np.diff(start, prepend=0).astype(np.uint32), windows.astype(np.uint16), rel.astype(np.uint16), body]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """rows and doc_ids of texts; index of the text, start in it, windows and place of the minimiser of strings; their bytes."""
+    """(file, row) and doc_ids of texts; index of the text, start in it, windows and place of the minimiser of strings; their bytes."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     nd, ns = np.frombuffer(raw, np.int64, 2).tolist()
-    rows, ids, place, base = np.frombuffer(raw, np.int64, 4 * nd, 16).reshape(4, nd)
-    at, out = 16 + 32 * nd, []
+    files, rows, ids, place, base = np.frombuffer(raw, np.int64, 5 * nd, 16).reshape(5, nd)
+    at, out = 16 + 40 * nd, []
     for kind in (np.uint32, np.uint16, np.uint16):
         out.append(np.frombuffer(raw, kind, ns, at).astype(np.int64))
         at += ns * np.dtype(kind).itemsize
     start = np.cumsum(out[0])
     text = np.searchsorted(place, start, "right") - 1
-    return rows, ids, text, start - place[text] + base[text], out[1], out[2], np.frombuffer(raw, np.uint8, offset=at)
+    return np.stack((files, rows), axis=1), ids, text, start - place[text] + base[text], out[1], out[2], np.frombuffer(raw, np.uint8, offset=at)
 
 
-RANGES = "row long,start long,stop long"
+RANGES = "file long,row long,start long,stop long"
 
 
 def segments(batches: Iterator[pa.RecordBatch], width: int, block: int) -> Iterator[tuple]:
-    """Row numbers, doc_ids, places in their texts and bytes of blocks of texts; a longer text goes in pieces, each with its own windows."""
+    """Names (file, row), doc_ids, places in their texts and bytes of blocks of texts; a longer text goes in pieces, each with its own windows."""
     for table in merged_blocks(batches, limit=block):
         held, total = [], 0
-        for row, doc, text in zip(*(table.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+        for file, row, doc, text in zip(*(table.column(c).to_pylist() for c in ("file", "row", "doc_id", "text")), strict=True):
             data = encoded(text)
             for at in range(0, max(1, len(data) - width + 1), block):
                 part = data[at : at + block + width - 1]
                 if held and total + len(part) > block + width:
-                    yield tuple(np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3]) + ([h[3] for h in held],)
+                    yield tuple(np.array(x, np.int64) for x in list(zip(*held, strict=True))[:4]) + ([h[4] for h in held],)
                     held, total = [], 0
-                held.append((row, NO_ID if doc is None else doc, at, part))
+                held.append((file, row, NO_ID if doc is None else doc, at, part))
                 total += len(part)
-        yield tuple(np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3]) + ([h[3] for h in held],)
+        yield tuple(np.array(x, np.int64) for x in list(zip(*held, strict=True))[:4]) + ([h[4] for h in held],)
 
 
 def deal(width: int, seed: int, buckets: int, block: int):
     """Texts to packed strings by bucket (bucket >= 0), and ranges already known as repeats (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows, ids, base, texts in segments(batches, width, block):
+        for files, rows, ids, base, texts in segments(batches, width, block):
             bounds = np.cumsum([0, *map(len, texts)])
             if bounds[-1] < width:
                 continue
@@ -201,7 +203,7 @@ def deal(width: int, seed: int, buckets: int, block: int):
                 x = order[lo:hi]
                 bucket = int(where[x[0]])
                 used = np.unique(doc[x])
-                docs = np.stack((rows[used], ids[used], bounds[used], base[used]))
+                docs = np.stack((files[used], rows[used], ids[used], bounds[used], base[used]))
                 out["bucket"].append(bucket)
                 out["blob"].append(pack(docs, s.start[x], s.windows[x], s.rel[x], data[:0] if bucket < 0 else gather(data, s.start[x], size[x])))
             yield out
@@ -294,8 +296,8 @@ def bucket_ranges(blobs: list[bytes], width: int, seed: int) -> dict[str, np.nda
         t = np.repeat(twin, n)
         e = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         found.append((rows[short[t]], begin[t] + step[edge[e]], begin[t] + step[close[e]] + width))
-    row, a, b = (np.concatenate([f[i] for f in found]) for i in range(3))
-    return {"row": row, "start": a, "stop": b} if len(row) else None
+    name, a, b = (np.concatenate([f[i] for f in found]) for i in range(3))
+    return {"file": name[:, 0], "row": name[:, 1], "start": a, "stop": b} if len(a) else None
 
 
 def judge(width: int, seed: int):
@@ -307,7 +309,7 @@ def judge(width: int, seed: int):
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if bucket < 0:
                     rows, _, short, begin, windows, _, _ = unpack(blob)
-                    yield {"row": rows[short], "start": begin, "stop": begin + windows + (width - 1)}
+                    yield {"file": rows[short, 0], "row": rows[short, 1], "start": begin, "stop": begin + windows + (width - 1)}
                     continue
                 if bucket != key and blobs:
                     if out := bucket_ranges(blobs, width, seed):
@@ -321,17 +323,19 @@ def judge(width: int, seed: int):
     return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+def buckets_for(docs: DataFrame, target: int = 48 << 20) -> int:
+    """So many buckets that a bucket's strings, about 3.2 bytes for each byte of text, take about ``target``; by the size Spark states for the scan, thrice for its packing."""
+    stated = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(4 * shuffle_parts(docs.sparkSession), min(1 << 20, 10 * stated // target))
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES, block: int = 5_000_000) -> DataFrame:
-    """Row number, start and stop of ranges of repeated bytes; ranges may overlap and touch."""
-    n = shuffle_parts(docs.sparkSession)
-    dealt = map_arrow(numbered(docs), deal(width, seed, 4 * n, block), "bucket int,blob binary")
+def repeats(rows: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES, block: int = 5_000_000) -> DataFrame:
+    """From rows (file, row, doc_id, text) to file, row, start and stop of ranges of repeated bytes; ranges may overlap and touch."""
+    buckets = buckets_for(rows)
+    dealt = map_arrow(rows, deal(width, seed, buckets, block), "bucket int,blob binary")
     # known ranges stay where they are spread: each goes by its own hash
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("blob"), F.lit(1 << 20))).cast("int")
-    met = dealt.withColumn("place", place).repartition(n, "place").sortWithinPartitions("place").select("bucket", "blob")
+    met = dealt.withColumn("place", place).repartition(max(shuffle_parts(rows.sparkSession), buckets // 4), "place").sortWithinPartitions("place").select("bucket", "blob")
     return map_arrow(met, judge(width, seed), RANGES)
 
 
@@ -348,10 +352,9 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES) -> DataFrame:
     """doc_id, kept (the bytes left), n_bytes, n_removed, n_spans, kept_sha256: one row for each row of ``docs``."""
-    ranges = repeats(docs, width, seed)
-    by_row = cut(ranges.groupBy("row").agg(F.collect_list(F.shiftleft("start", 31).bitwiseOR(F.col("stop"))).alias("ranges")))
-    del ranges
-    free_shuffles(docs.sparkSession)  # the packed strings are no longer needed when the texts move
+    rows = named_rows(docs.select(F.col("doc_id").cast("long"), "text"))
+    # written, so that the packed strings are off the disks when the texts move
+    by_row = stored(repeats(rows, width, seed).groupBy("file", "row").agg(F.collect_list(F.shiftleft("start", 31).bitwiseOR(F.col("stop"))).alias("ranges")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in text_blocks(batches, limit=8 << 20):
@@ -371,5 +374,5 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES)
                     out[k].append(v)
             yield {"doc_id": b.column("doc_id"), **out}
 
-    both = numbered(docs).join(by_row, "row", "left").select("doc_id", "text", "ranges")
+    both = rows.join(by_row, ["file", "row"], "left").select("doc_id", "text", "ranges")
     return map_arrow(both, run, "doc_id long,kept binary,n_bytes long,n_removed long,n_spans long,kept_sha256 string")
