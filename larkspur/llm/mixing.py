@@ -8,10 +8,11 @@ cap / weight; the first whose share of what is left fits under its cap fixes the
 A source's target is filled by whole repetitions of all its documents and one fractional repetition: documents in
 seeded order (md5 of seed and doc_id) until the words are used up, the last of them in part.  So the words taken of a source are
 its target, rounded.  The running sum over a source goes through ``16**digits`` buckets of the order,
-so no task sorts a whole source.
+so no task sorts a whole source.  The water level itself is found in one task over one row for each source.
 
 Cases: null and empty texts have size 0 and take 0; repeated rows count each and share their place in
-the order by turn; a null doc_id is ordered by its hash as the empty string; a null source is a source; an empty table gives an empty result; other columns are ignored.
+the order by turn; rows without a doc_id are ordered by their text in its place; a null source is a source; an empty table gives an empty result; other columns are ignored
+and may have any name.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import source_key
+from .common import cut, fresh, source_key
 
 WEIGHTS = (3, 1, 2)
 SEED = "larkspur-mix"
-#: Set after each word of a text that is cut; not expected in a text.
-MARK = "\ue000\ue001\ue000"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -53,63 +52,67 @@ def water_levels(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs:
     )
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, seed: str = SEED, digits: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row for each row of ``docs``."""
-    rows = docs.select(
-        F.col("doc_id").cast("long"),
-        source_key().alias("skey"),
-        word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"),
-    ).withColumn("bucket", F.substring("place", 1, digits))
-    buckets = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+def order_key(seed: str):
+    """Where a row stands in its source's order; null ids go by their text, so that they are not all in one place."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
+
+
+def shares(rows: DataFrame, names: dict[str, str], weights, share: float, epochs: int) -> DataFrame:
+    """``rows`` with source_size, target, whole and part under ``names``; they have skey, bucket, place, id and size under ``names``.
+
+    Totals of buckets are written once; the rows then meet them where the windows over buckets have put them, without another shuffle.
+    """
+    n = names
+    buckets = cut(rows.groupBy(F.col(n["skey"]).alias("skey"), F.col(n["bucket"]).alias("bucket")).agg(F.sum(n["size"]).alias("bucket_size")))
     targets = water_levels(buckets.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs)
     running = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        buckets.join(targets, "skey")
-        .withColumn("before", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
-        .select("skey", "bucket", "source_size", "target", "before")
-    )
-    inside = Window.partitionBy("skey", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.round("target").cast("long") - F.col("whole") * F.col("source_size")
+    offsets = buckets.join(targets, "skey").select(
+        F.col("skey").alias(n["skey"]), F.col("bucket").alias(n["bucket"]), F.col("source_size").alias(n["source_size"]), F.col("target").alias(n["target"]),
+        F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias(n["before"]),
+    )
+    inside = Window.partitionBy(n["skey"], n["bucket"]).orderBy(n["place"], n["id"], n["size"]).rowsBetween(Window.unboundedPreceding, -1)
+    size, source_size, target = (F.col(n[x]) for x in ("size", "source_size", "target"))
+    rest = F.round(target).cast("long") - F.col(n["whole"]) * source_size
     return (
-        rows.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(offsets, ["skey", "bucket"])
-        .withColumn("whole", whole)
-        .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("at"))))
-        .select(
-            "doc_id",
-            F.when(F.col("skey") != "0", F.expr("substring(skey, 2)")).alias("source"),
-            "size",
-            "source_size",
-            "target",
-            (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
-            "whole",
-            "part",
-        )
+        rows.withColumn(n["at"], F.coalesce(F.sum(n["size"]).over(inside), F.lit(0)))
+        .join(offsets, [n["skey"], n["bucket"]])
+        .withColumn(n["whole"], F.when(source_size > 0, F.floor(F.round(target) / source_size)).otherwise(0).cast("long"))
+        .withColumn(n["part"], F.greatest(F.lit(0), F.least(size, rest - F.col(n["before"]) - F.col(n["at"]))).cast("long"))
     )
 
 
-def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, seed: str = SEED) -> DataFrame:
+NAMES = ("skey", "bucket", "place", "id", "size", "source_size", "target", "before", "at", "whole", "part")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, seed: str = SEED, digits: int = 4) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, whole, part: one row for each row of ``docs``.  Texts are read once; sizes and places are written."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), source_key().alias("skey"), word_count(F.col("text")).alias("size"), order_key(seed).alias("place"))
+    rows = cut(rows.withColumn("bucket", F.substring("place", 1, digits)))
+    return shares(rows, {x: x for x in NAMES}, weights, share, epochs).select(
+        F.col("id").alias("doc_id"), F.when(F.col("skey") != "0", F.expr("substring(skey, 2)")).alias("source"), "size", "source_size", "target",
+        (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part",
+    )
+
+
+def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, seed: str = SEED, digits: int = 4) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, a partial one cut after its last word taken.
 
-    All columns of ``docs`` are kept; only ``text`` of a partial repetition differs.  A repeated or null doc_id is matched with its rows by turn.
+    All columns of ``docs`` are kept; only ``text`` of a partial repetition differs.  Each row goes through the plan itself, whole, so
+    repeated and null doc_ids need no matching; it moves once.
     """
     names = docs.columns
-    turn = Window.partitionBy("__id").orderBy("__words", "__tie")
-    left = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__words", word_count(F.col("text"))).withColumn("__tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    left = left.withColumn("__turn", F.row_number().over(turn))
-    plan = mixed(docs, weights, share, epochs, seed).select(F.col("doc_id").alias("__pid"), F.col("size").alias("__psize"), "whole", "part")
-    plan = plan.withColumn("__pturn", F.row_number().over(Window.partitionBy("__pid").orderBy("__psize", F.desc("part"))))
-    both = left.join(plan.withColumnsRenamed({"whole": "__whole", "part": "__part"}), F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__turn") == F.col("__pturn")))
-    marked = F.regexp_replace("text", f"({NOT_SPACE})", f"$1{MARK}")
-    head = F.replace(F.expr(f"substring_index(__marked, '{MARK}', cast(__part as int))"), F.lit(MARK), F.lit(""))
+    n = {x: fresh(names, f"_mix_{x}") for x in NAMES}
+    text = F.col("text")
+    rows = docs.withColumns({n["id"]: F.col("doc_id").cast("long"), n["skey"]: source_key(), n["size"]: word_count(text), n["place"]: order_key(seed)})
+    planned = shares(rows.withColumn(n["bucket"], F.substring(n["place"], 1, digits)), n, weights, share, epochs)
+    part, cutoff = F.col(n["part"]), fresh(names, "_mix_cut")
     cases = F.concat(
-        F.array_repeat(F.lit(False), F.col("__whole").cast("int")),
-        F.when(F.col("__part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
+        F.array_repeat(F.lit(False), F.col(n["whole"]).cast("int")),
+        F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
     )
-    out = both.withColumn("__cut", F.explode(cases))
-    partial = F.col("__cut") & (F.col("__part") < F.col("__words"))
-    out = out.withColumn("__marked", F.when(partial, marked))
-    text = F.when(partial, head).otherwise(F.col("text"))
-    return out.select(*[text.alias(x) if x == "text" else F.col(f"`{x}`") for x in names])
+    # words with the white space before them: the first ones, put together, are the text as far as the last of them
+    words = F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(words, 1, part.cast("int")), "")
+    out = planned.withColumn(cutoff, F.explode(cases))
+    new = F.when(F.col(cutoff) & (part < F.col(n["size"])), head).otherwise(text)
+    return out.select(*[new.alias(x) if x.lower() == "text" else F.col(f"`{x}`") for x in names])
