@@ -15,7 +15,7 @@ its size and yields a spanning forest, not its pairs.  A pigeonhole of over ``mo
 fingerprints meets in some pair of tiles, so nothing is lost and no task holds more than two tiles.
 
 Cases: a null text counts as empty; equal fingerprints are one node, so repeated rows and copies cost nothing; a null
-doc_id takes part, a group of nothing else has a null component_id; an empty table gives an empty result; other columns are ignored.
+doc_id takes part, a group of nothing else has a null component_id; an empty table gives an empty result; other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, map_arrow, shuffle_parts, text_blocks
+from .common import cut, encoded, fresh, map_arrow, shuffle_parts, text_blocks
 from .components import components
 
 LIMIT, SHINGLE, SEED = 4, 4, 42
@@ -52,15 +52,19 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, block: int = 1 << 16) -> in
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def text_mark():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, mark (a hash of the text), fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in text_blocks(batches):
             fps = np.array([fingerprint(encoded(t), shingle) for t in b.column("text").to_pylist()], np.uint64)
-            yield {"doc_id": b.column("doc_id"), "fp": fps.view(np.int64)}
+            yield {"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": fps.view(np.int64)}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long,fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_mark().alias("mark"), "text"), run, "doc_id long,mark long,fp long")
 
 
 class Ring:
@@ -168,11 +172,10 @@ def links(nodes: DataFrame, limit: int = LIMIT, most: int = 20_000) -> DataFrame
                 for at in range(0, len(hole), 100_000):
                     yield {"hole": hole[at : at + 100_000], "fp": fp[at : at + 100_000], "home": home[at : at + 100_000]}
 
-    from pyspark.sql import Window
-
     filed = map_arrow(nodes, file, "hole long,fp long,home boolean")
-    there = Window.partitionBy("hole")
-    met = filed.withColumn("n", F.count("*").over(there)).withColumn("any", F.max("home").over(there)).filter("n > 1 and any")
+    # counted apart, so that the entries of a hole with very many need not be in one task before they are dealt out
+    holes = filed.groupBy("hole").agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 and any")
+    met = filed.join(holes.select("hole", "n"), "hole")
     tiles = F.ceil(F.col("n") / F.lit(most)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     dealt = (
@@ -186,23 +189,39 @@ def links(nodes: DataFrame, limit: int = LIMIT, most: int = 20_000) -> DataFrame
     return map_arrow(dealt, flood(ring), "u long,v long")
 
 
-def near_groups(docs: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint, component_id, component_size: one row for each row of ``docs``."""
+NO_ID = 2**63 - 1
+
+
+def rooted_groups(docs: DataFrame, limit: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, mark, fp); fingerprints with their component's root; and each root's best row (id, fp, mark) and size.
+
+    mark: a hash of the text, which tells rows with the same doc_id apart.
+    """
     prints = cut(fingerprints(docs, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    best = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "fp", "mark")
+    nodes = prints.groupBy("fp").agg(F.min(best).alias("least"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp"), limit)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written first: Spark can then split the rows of a large component in the join below
-    ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id", "component_size")
+    groups = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("component_size")))
+    return prints, rooted.select("fp", "root"), groups
+
+
+def near_groups(docs: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint, component_id, component_size: one row for each row of ``docs``."""
+    prints, rooted, groups = rooted_groups(docs, limit, shingle)
+    named = rooted.join(groups, "root").select("fp", F.when(F.col("least.id") != NO_ID, F.col("least.id")).alias("component_id"), "component_size")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
 def drop_near(docs: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, one row for each component, with all their columns.
+    """One row of each component with all its columns: the one with the smallest doc_id (nulls last, then the smallest fingerprint and hash of the text).
 
-    Rows without a doc_id stay.
+    Rows that agree in doc_id and text are one row here; which of them stays is open where their other columns differ.
     """
-    keep = near_groups(docs, limit, shingle).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    found = docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
-    return found.unionByName(docs.filter("doc_id is null"))
+    _, _, groups = rooted_groups(docs, limit, shingle)
+    names = docs.columns
+    i, m = fresh(names, "_near_id"), fresh(names, "_near_mark")
+    keep = groups.select(F.col("least.id").alias(i), F.col("least.mark").alias(m))
+    found = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), m: text_mark()}).join(keep, [i, m], "left_semi")
+    return found.dropDuplicates([i, m]).select(*[F.col(f"`{x}`") for x in names])
