@@ -4,7 +4,9 @@ A document's ids, with an end id, are first cut into full windows and one rest.
 interchangeable, so the whole corpus is planned at once from the counts of its lengths (at most ``window`` rows): from
 the longest length down, a segment tree indexed by remaining capacity finds the tightest open windows, and a block of equal
 pieces goes into a block of equal windows in one step.  The plan says which ranks of a length go to which run of windows;
-ranks are given by a running count in buckets, so no task orders all pieces of one length.
+ranks are given by a running count in buckets, so no task orders all pieces of one length.  Full windows need no place and no rank.
+
+A sequence is padded to ``window`` unless its length is a power of two; ``padded`` is that length.
 
 Cases: null text counts as empty and yields its end id alone; repeated rows are packed each; null doc_ids come last in
 the order; an empty table gives no pieces; other columns are ignored.
@@ -30,6 +32,7 @@ LETTER, NUMBER = "a-zªµºß-öø-įA-ZÀ-ÖØ-Þ", "0-9²³¹¼½¾"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+").findall
 PLAIN = re.compile("[ \\n\\t\\r!-~¡-į]*").fullmatch
 RAW = "\0"
+REST = 1 << 39
 PIECES = "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,nth long"
 
 
@@ -45,7 +48,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -53,6 +56,8 @@ class WordIds:
         self.most = most
 
     def split(self, text: str) -> list[str]:
+        if "<" in text and self.special.search(text):
+            return [RAW + text]  # the tokenizer takes its own tokens out of a text before it splits
         if PLAIN(text):
             return SPLIT(text.lower())
         out = []
@@ -92,6 +97,8 @@ class WordIds:
         self.learn(new)
         for ps in pieces:
             yield b"".join(map(self.known.__getitem__, ps))
+        for p in [p for p in new if len(p) > 1000]:
+            del self.known[p]  # whole texts are not kept
 
 
 @lru_cache(1)
@@ -101,12 +108,12 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, nth (number among all pieces of its scan partition's rows)."""
+    """doc_id, start, length, ids_crc32, doc_tokens, nth: a number of its own, the scan partition above 40 bits; full windows are counted from 0, others from ``REST``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from .common import row_numbers
 
-        ids, last, numbers = word_ids(tokenizer), np.array([end], "<u4").tobytes(), row_numbers()
+        ids, last, full, rest = word_ids(tokenizer), np.array([end], "<u4").tobytes(), row_numbers(), row_numbers(REST)
         for block in text_blocks(batches, limit=2 << 20):
             out = []
             for doc, buf in zip(block.column("doc_id").to_pylist(), ids.encode([x or "" for x in block.column("text").to_pylist()]), strict=True):
@@ -114,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                 n = len(buf) // 4
                 for at in range(0, n, window):
                     size = min(window, n - at)
-                    out.append((doc, at, size, zlib.crc32(buf[4 * at : 4 * (at + size)]), n, next(numbers)))
+                    out.append((doc, at, size, zlib.crc32(buf[4 * at : 4 * (at + size)]), n, next(full if size == window else rest)))
             yield dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"), zip(*out, strict=True), strict=True))
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
@@ -186,20 +193,44 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> list[tu
     return plan
 
 
-def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, buckets: int = 256) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece."""
+def sequence_lengths(plan: list[tuple[int, int, int, int]], counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of windows with one filling begin (ascending), and that filling; from the plan alone."""
+    ends: list[tuple[int, int, int]] = []  # window, +1 or -1, length
+    by: dict[int, list[tuple[int, int]]] = {}
+    for length, rank, first, _ in plan:
+        by.setdefault(length, []).append((rank, first))
+    for length, runs in by.items():
+        runs.sort()
+        for (rank, first), (until, _) in zip(runs, [*runs[1:], (counts[length], 0)], strict=True):
+            ends += [(first, 1, length), (first + until - rank, -1, length)]
+    steps: dict[int, int] = {}
+    for at, sign, length in ends:
+        steps[at] = steps.get(at, 0) + sign * length
+    at = sorted(steps)
+    return np.array(at, np.int64), np.cumsum(np.array([steps[x] for x in at], np.int64))
+
+
+def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, in_bucket: int = 1 << 20) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded: one row for each piece.
+
+    in_bucket: pieces that one task ranks, about; full windows are sequences of their own, numbered after all others.
+    """
     cutup = cut(pieces(docs, tokenizer, window, end))
-    keyed = cutup.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    full, parts = cutup.filter(F.col("length") == window), cutup.filter(F.col("length") < window)
+    buckets = max(256, parts.count() // in_bucket)
+    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", "nth"), "start"), F.lit(buckets)))
+    counts = cut(keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
     plan = sorted(best_fit_decreasing(totals, window))
     runs = np.array([(a << 44) | b for a, b, _, _ in plan], np.int64)
     firsts = np.array([c for _, _, c, _ in plan], np.int64)
     offsets = np.array([d for _, _, _, d in plan], np.int64)
+    places, fill = sequence_lengths(plan, totals)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("length", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "start", "nth")
     ranked = keyed.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -207,12 +238,16 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                 continue
             length, rank = (b.column(x).to_numpy() for x in ("length", "rank"))
             run = np.searchsorted(runs, (length << 44) | rank, "right") - 1
-            got = {x: b.column(x) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            yield got | {"sequence_id": firsts[run] + rank - (runs[run] & ((1 << 44) - 1)), "offset": offsets[run]}
-
-    return map_arrow(
-        ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long")),
-        place,
-        "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long",
+            sequence = firsts[run] + rank - (runs[run] & ((1 << 44) - 1))
+            held = fill[np.searchsorted(places, sequence, "right") - 1]
+            yield {x: b.column(x) for x in columns} | {"sequence_id": sequence, "offset": offsets[run], "padded": np.where(held & (held - 1), window, held)}
+
+    placed = map_arrow(ranked.select(*columns, F.col("rank").cast("long")), place, "doc_id long,start long,length long,ids_crc32 long,doc_tokens long,sequence_id long,offset long,padded long")
+    used = int(places[-1]) if len(places) else 0
+    # one row for each scan partition
+    of = cut(full.groupBy(F.shiftright("nth", 40).alias("scan")).agg(F.count("*").alias("n")))
+    of = of.select("scan", (F.coalesce(F.sum("n").over(Window.orderBy("scan").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + used).alias("from"))
+    whole = full.withColumn("scan", F.shiftright("nth", 40)).join(of, "scan").select(
+        *columns, (F.col("from") + F.col("nth").bitwiseAND(F.lit(REST - 1))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(window).cast("long").alias("padded")
     )
-
+    return placed.unionByName(whole)
