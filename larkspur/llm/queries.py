@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, html_extract, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, webp
 from .common import table
@@ -50,7 +51,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.sharded(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", got["_bytes"].alias("n_bytes"), "shard", "shard_tier", "shard_rows", "shard_bytes", "shard_arrivals", "manifest_version")
+    facts = [F.col(f"shard.{a}").alias(b) for a, b in (("name", "shard"), ("tier", "shard_tier"), ("rows", "shard_rows"), ("bytes", "shard_bytes"), ("arrivals", "shard_arrivals"), ("version", "manifest_version"))]
+    return got.select("doc_id", F.col("_bytes").alias("n_bytes"), *facts)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
