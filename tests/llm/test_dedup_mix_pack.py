@@ -192,7 +192,7 @@ def test_packing(spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = False
     extra = [(-1, "", "s"), (-2, None, None), (-3, "ΑΣ ΣΑΣ. ǅabc İx i̇ ... don't 're THE'LL <|endoftext|> éé a\x1cb c", "s"), (-4, "z" * 20_000 + "!?" * 9000, "s"), (-4, "q.Q! 12ab ½ Ωß ẞ.", None), (None, "hi", None)]
     for df in (spark.read.parquet(f"{sf}/documents.parquet"), docs(spark, extra)):
         got = packing.packed(df, tokenizer_file()).collect()
@@ -212,3 +212,92 @@ def test_packing(spark, sf):
                 at += n
             assert at <= 4096
     assert packing.packed(docs(spark, []), tokenizer_file()).count() == 0
+
+
+CLASHES = ("h", "len", "__row", "row", "grp", "__keep", "_near_id", "_near_mark", "_mix_size", "_mix_place", "_mix_cut", "__words", "__turn", "__id", "skey", "bucket", "place", "size", "part", "whole", "file")
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.drop_copies, simhash.drop_near, mixing.mixture])
+def test_clashing_names(spark, stage):
+    df = spark.createDataFrame([(i, t, s, *[j + 7 for j in range(len(CLASHES))]) for i, t, s in AWKWARD], "doc_id long, text string, source string, " + ", ".join(f"`{c}` long" for c in CLASHES))
+    out = stage(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert got and all([r[c] for c in CLASHES] == [j + 7 for j in range(len(CLASHES))] for r in got)
+    assert sorted(map(str, stage(df.drop(*CLASHES)).collect())) == sorted(map(str, out.drop(*CLASHES).collect()))
+
+
+def test_one_row_of_each_component(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(3, text, "s"), (3, text, "s"), (3, "quite another text of five words", "s"), (None, text, "s"), (1, "quite another text of five words", None), (None, "", "s"), (None, None, "s")]
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in simhash.drop_near(docs(spark, rows)).collect())
+    assert got == sorted([("3", text), ("1", "quite another text of five words"), ("None", "")])
+
+
+def test_mixture_of_null_ids_and_odd_characters(spark):
+    odd = "a1 b c d e f  g h"
+    rows = [(None, " ".join([f"{s}{i}"] * n), s) for s, n in (("p", 20), ("q", 200), ("r", 20)) for i in range(20)] + [(9, odd, "z")]
+    plan = {r["source"]: r["target"] for r in mixing.mixed(docs(spark, rows)).collect()}
+    out = mixing.mixture(docs(spark, rows)).collect()
+    words = {}
+    for r in out:
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].encode().split())
+    assert {s: words.get(s, 0) for s in plan} == {s: int(t + 0.5) for s, t in plan.items()}
+    assert all(odd.startswith(r["text"]) for r in out if r["doc_id"] == 9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 7, 8])
+def test_a_text_is_cut_after_its_nth_word(spark, n):
+    """The fractional repetition of one source is a prefix that ends with the word."""
+    text = " \t a1  b\nc d e f\x0bg h  "
+    got = [r["text"] for r in mixing.mixture(docs(spark, [(1, text, "s")]), share=n / 7).collect()]
+    ends = [i for i in range(1, len(text) + 1) if text[i - 1] not in " \t\n\x0b" and (i == len(text) or text[i] in " \t\n\x0b")]
+    whole, part = divmod(n, len(ends))
+    assert got == [text] * whole + ([text[: ends[part - 1]]] if part else [])
+
+
+def test_readings_split_otherwise(spark, sf, tmp_path):
+    """Exact and suffix dedup give equal rows when the default parallelism falls between two readings."""
+    from larkspur.llm import suffix_dedup
+
+    df = spark.read.parquet(f"{sf}/documents.parquet").repartition(4)
+    df.write.parquet(str(tmp_path / "d"))
+    read = lambda: spark.read.parquet(str(tmp_path / "d"))
+    want = sorted(map(str, suffix_dedup.without_repeats(read()).drop("kept").collect()))
+    owners = sorted(map(str, exact_dedup.exact_groups(read()).drop("row", "keep_row").collect()))
+    key, whole = "spark.sql.leafNodeDefaultParallelism", suffix_dedup.stored
+
+    def between(x):
+        out = whole(x)
+        spark.conf.set(key, "1")
+        return out
+
+    try:
+        spark.conf.set(key, "64")
+        suffix_dedup.stored = exact_dedup.stored = between
+        assert sorted(map(str, suffix_dedup.without_repeats(read()).drop("kept").collect())) == want
+        spark.conf.set(key, "64")
+        assert sorted(map(str, exact_dedup.exact_groups(read()).drop("row", "keep_row").collect())) == owners
+    finally:
+        suffix_dedup.stored = exact_dedup.stored = whole
+        spark.conf.unset(key)
+
+
+def test_padding(spark, sf):
+    got = packing.packed(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer_file()).collect()
+    fill, padded = {}, {}
+    for r in got:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+        padded.setdefault(r["sequence_id"], set()).add(r["padded"])
+    assert all(padded[s] == {n if n & (n - 1) == 0 else 4096} for s, n in fill.items())
+    assert sorted(fill) == list(range(len(fill)))
+    assert sum(next(iter(p)) - fill[s] for s, p in padded.items()) < 0.1 * sum(fill.values())
+
+
+def test_special_tokens_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    t, text = Tokenizer.from_file(tokenizer_file()), "One<|endoftext|>two <|startoftext|> Don't <|endoftext| > é"
+    (got,) = packing.packed(docs(spark, [(1, text, "s")]), tokenizer_file()).collect()
+    want = [*t.encode(text, add_special_tokens=False).ids, 2]
+    assert 49407 in want and (got["length"], got["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))

@@ -228,12 +228,14 @@ def test_plan_merges_like_sizes():
     assert [sharding.tier(x) for x in (0, 1, 3, 4, 15, 16)] == [0, 1, 1, 2, 2, 3]
 
 
-def simulated(arrivals, fan):
+def simulated(arrivals, fan, target):
     """arrivals: {key: (rows, bytes)}; the shards after all rounds as sets of arrivals."""
-    live, version = [(1, f"a{k:06d}", r, b, (k,)) for k, (r, b) in arrivals.items()], 1
+    live, version = [(1, f"a000001-{k:06d}", r, b, (k,)) for k, (r, b) in arrivals.items()], 1
     while True:
         by, merges = {}, []
         for s in sorted(live):
+            if s[3] >= target:
+                continue
             t = 0
             while 4**t <= s[3]:
                 t += 1
@@ -257,14 +259,15 @@ def test_sharded(spark, sf):
         a = m if m < 24 else 24 + (m - 24) // 8
         n, b = arrivals.get(a, (0, 0))
         arrivals[a] = n + 1, b + len((r["text"] or "").encode())
-    version, live = simulated(arrivals, 4)
+    version, live = simulated(arrivals, 4, 20_000)
     of = {a: s for s in live for a in s[4]}
     got = out.collect()
     assert sorted(r["doc_id"] for r in got) == sorted(rows)
     for r in got:
         m = zlib.crc32(str(r["doc_id"]).encode()) % 64
         s = of[m if m < 24 else 24 + (m - 24) // 8]
-        assert (r["shard"], r["shard_rows"], r["shard_bytes"], r["shard_arrivals"], r["manifest_version"]) == (s[1], s[2], s[3], len(s[4]), version)
+        tier = next(t for t in range(40) if 4**t > s[3])
+        assert tuple(r["shard"]) == (s[1], tier, s[2], s[3], len(s[4]), version)
         assert r["text"] == rows[r["doc_id"]]["text"]
 
 
@@ -281,10 +284,60 @@ def test_store_versions_and_conflicts(spark, tmp_path):
     with pytest.raises(sharding.Conflict):
         store.commit(1, old)
     assert len(store.shards()) == 2 and store.read(df.schema).drop("x").count() == 2 * len(AWKWARD)
+    assert store.read(df.schema, small=0).select("shard.*").distinct().count() == 2
     empty = sharding.sharded(docs(spark, []))
     assert empty.count() == 0
 
 
+def test_append_beside_a_compaction(spark, tmp_path):
+    """A writer that has its files but no manifest yet keeps them, and readers keep the versions they opened."""
+    from pyspark.sql import functions as F
+
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    df = docs(spark, AWKWARD)
+    for i in range(4):
+        store.append(df, F.lit(i), F.lit(10))
+    old = store.read(df.schema, 4)
+    late = store.version() + 1  # compaction commits this one; the late writer commits the next
+    folder = "data/late"
+    df.write.parquet(f"file://{tmp_path}/store/{folder}")
+    assert store.compact(df.schema) == late and len(store.shards()) == 1
+    store.vacuum()
+    store.vacuum(versions=2, age=3600)
+    store.commit(late, [*store.shards(), sharding.Shard("late", len(AWKWARD), 10, late + 1, (9,), (folder,))])
+    assert store.read(df.schema).count() == 5 * len(AWKWARD) and old.count() == 4 * len(AWKWARD)
+    store.vacuum(1, 0)
+    assert store.read(df.schema).count() == 5 * len(AWKWARD)
+
+
+def test_files_near_the_target(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x" * 100).alias("text"))
+    store.append(df, F.col("doc_id") % 4, F.lit(100))
+    store.compact(df.schema, target=101_000)
+    (one,) = store.shards()
+    files = [f for f in os.listdir(tmp_path / "store" / one.folders[0]) if f.endswith(".parquet")]
+    assert len(files) == 4 and {spark.read.parquet(str(tmp_path / "store" / one.folders[0] / f)).count() for f in files} <= set(range(900, 1101))
+    assert sharding.plan([one] * 4, target=101_000) == []
+
+
+def test_no_python_in_the_plan(spark, sf):
+    out = sharding.sharded(spark.read.parquet(f"{sf}/documents.parquet"), target=20_000)
+    assert "Python" not in out._jdf.queryExecution().toRdd().toDebugString()
+    assert "Python" not in sharding.sharded(docs(spark, []).limit(0))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sharded_with_clashing_names(spark):
+    df = docs(spark, AWKWARD).selectExpr("*", "7 as _bytes", "8 as _arrival", "9 as shard", "10 as folder")
+    got = sharding.sharded(df)
+    assert got.columns == [*df.columns, "_bytes_", "shard_"]
+    assert {(r["_bytes"], r["_arrival"], r["shard"], r["folder"]) for r in got.collect()} == {(7, 8, 9, 10)} and got.count() == len(AWKWARD)
+
+
 def test_sharded_awkward(spark):
     got = sharding.sharded(docs(spark, AWKWARD)).select("doc_id", "text", "extra", "row").collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
