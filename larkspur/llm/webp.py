@@ -2,12 +2,17 @@
 
 Decoder: prefix codes (simple and normal, meta prefix groups), back-references with the short-distance map, colour cache; then
 the predictor, cross-colour, subtract-green and colour-indexing transforms are inverted and RGBA arrays are written.
-A stream under one group of codes without a cache, such as our own, is decoded for many bit positions at once: for
-each position the lengths of the four codes there are looked up, and the chain of literals walks over them from copy to copy.
+A stream under one group of codes is decoded for many bit positions at once: for each position the lengths of the four codes there
+are looked up, and the chain of literals and cache symbols walks over them from copy to copy.  What a cache symbol stands for is found
+afterwards for all of them: the pixel before it in the same slot, by pointer jumping.
+
+Encoder: per image it takes the transform that leaves the least entropy by the histograms (none, prediction from the left or from
+above, cross-colour by green, a palette of up to 256 pixels), then copies of the nearest equal stretch before, then a
+colour cache if its hits are worth its symbols; prefix codes are fitted to what is left.
 
 Operator: the UTF-8 bytes of a text, filled up with bytes 255 to a positive multiple of 576, are the samples of RGBA
-images 144 pixels wide (one row is 576 bytes; 16,384 rows at most, longer payloads go on in another image), coded with prefix codes
-fitted to the payload and copies for runs of equal pixels.  They are decoded again from the stored bytes.
+images 144 pixels wide (one row is 576 bytes; 16,384 rows at most, longer payloads go on in another image).  They are decoded again
+from the stored bytes.
 
 Cases: a null text counts as empty (one row of 255); repeated rows give equal values; a null doc_id stays null; an
 empty table gives an empty result; other columns are ignored.
@@ -16,7 +21,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,6 +49,7 @@ NEAR = (
 )
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+LEFT, TOP = 1, 2
 TILE, WIDE, MOST_ROWS = 576, 144, 16_384
 
 
@@ -194,22 +200,56 @@ def back_reference(bits: Bits, symbol: int, far: Code, wide: int, at: int, count
     return n, d
 
 
-def one_group_pixels(bits: Bits, group: list[Code], count: int, wide: int, block: int = 1 << 17) -> np.ndarray:
-    """Pixels of a stream under one group of codes without a colour cache.
+def slots_of(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Where the colour cache keeps each pixel."""
+    return argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)
+
+
+def before_in_slot(slots: np.ndarray) -> np.ndarray:
+    """For each pixel the one before it in the same slot, -1 if there is none."""
+    order = np.argsort(slots, kind="stable")
+    out = np.full(len(slots), -1)
+    follows = slots[order[1:]] == slots[order[:-1]]
+    out[order[1:][follows]] = order[:-1][follows]
+    return out
 
-    For many bit positions at once, the ends of a literal pixel that would start there are looked up; the chain of literals walks over
+
+def from_cache(out: np.ndarray, cached: np.ndarray, copies: list[tuple[int, int, int]], cache_bits: int) -> np.ndarray:
+    """Pixels with what their cache symbols stand for.  cached: slots of cache symbols, -1 elsewhere; copies: (at, size, distance) in order."""
+    n = len(out)
+    slots = np.where(cached >= 0, cached, slots_of(out, cache_bits))
+    source = np.arange(n + 1)
+    for at, size, d in copies:
+        copied(slots, at, size, d)
+        copied(cached, at, size, d)
+        source[at : at + size] -= d
+    symbols = np.flatnonzero((cached >= 0) & (source[:n] == np.arange(n)))
+    earlier = before_in_slot(slots)[symbols]
+    source[symbols] = np.where(earlier < 0, n, earlier)  # an empty slot holds zero
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return np.append(out, np.uint32(0))[source[:n]]
+        source = further
+
+
+def one_group_pixels(bits: Bits, group: list[Code], count: int, wide: int, cache_bits: int = 0, block: int = 1 << 17) -> np.ndarray:
+    """Pixels of a stream under one group of codes.
+
+    For many bit positions at once, the ends of a literal pixel or cache symbol that would start there are looked up; their chain walks over
     these until a copy begins, which is read by itself.
     """
     green, red, blue, alpha, far = group
     data = np.frombuffer(bits.data + bytes(16), np.uint8)
     codes, most = (green, red, blue, alpha), 4 * max(c.bits for c in group[:4])
-    plain = int(green.symbols.max()) < 256
-    if not most and plain:
+    top = int(green.symbols.max())
+    if not most and top < 256:
         only = [int(c.symbols[0]) for c in codes]
         return np.full(count, only[3] << 24 | only[1] << 16 | only[0] << 8 | only[2], np.uint32)
     mask = (1 << max(c.bits for c in codes)) - 1
     shifts = np.arange(8, dtype=np.uint32)
     out, done = np.empty(count, np.uint32), 0
+    cached, copies = (np.full(count, -1, np.int64) if cache_bits else None), []
     while done < count:
         start = bits.position()
         low = start // 8
@@ -229,8 +269,11 @@ def one_group_pixels(bits: Bits, group: list[Code], count: int, wide: int, block
         p2 = p1 + sizes[1][p1]
         p3 = p2 + sizes[2][p2]
         p4 = p3 + sizes[3][p3]
-        if not plain:
-            p4[green.symbols[window[:reach] & ((1 << green.bits) - 1)] >= 256] = -1
+        if top >= 256:
+            first = green.symbols[window[:reach] & ((1 << green.bits) - 1)]
+            p4[first >= 256] = -1
+            if cache_bits:
+                p4 = np.where(first >= 280, p1, p4)
         walk, at = memoryview(p4), start - low * 8
         while done < count and at < reach:
             stops, left = [], count - done
@@ -242,18 +285,21 @@ def one_group_pixels(bits: Bits, group: list[Code], count: int, wide: int, block
             if stops:
                 places = np.array(stops)
                 g, r, bl, a = (c.symbols[window[p] & ((1 << c.bits) - 1)].astype(np.uint32) for c, p in zip(codes, (places, p1[places], p2[places], p3[places]), strict=True))
-                out[done : done + len(stops)] = a << 24 | r << 16 | g << 8 | bl
+                out[done : done + len(stops)] = a << 24 | r << 16 | (g & 255) << 8 | bl
+                if cache_bits:
+                    cached[done : done + len(stops)] = np.where(g >= 280, g.astype(np.int64) - 280, -1)
                 done += len(stops)
             if done < count and at < reach:
                 bits.seek(low * 8 + at)
                 size, d = back_reference(bits, green.read(bits), far, wide, done, count)
                 copied(out, done, size, d)
+                copies.append((done, size, d))
                 done += size
                 at = bits.position() - low * 8
         if low * 8 + at == start and done < count:
             raise ValueError("the stream ends early")
         bits.seek(low * 8 + at)
-    return out
+    return from_cache(out, cached, copies, cache_bits) if cache_bits else out
 
 
 def read_image(bits: Bits, wide: int, high: int, main: bool) -> np.ndarray:
@@ -283,8 +329,8 @@ def read_image(bits: Bits, wide: int, high: int, main: bool) -> np.ndarray:
             codes.append(Code(lengths))
         tables.append(codes)
     count = wide * high
-    if groups == 1 and not cache_size:
-        return one_group_pixels(bits, tables[0], count, wide)
+    if groups == 1:
+        return one_group_pixels(bits, tables[0], count, wide, cache_bits)
     out, cache, filed, at = [0] * count, [0] * cache_size, 0, 0
     while at < count:
         green, red, blue, alpha, far = tables[meta[(at // wide >> meta_bits) * across + (at % wide >> meta_bits)] if meta else 0]
@@ -350,9 +396,36 @@ def neighbours(p: list, x: int, y: int, wide: int):
     return row[x - 1], above[x], above[x - 1], above[x + 1] if x + 1 < wide else row[0]
 
 
+BLACK = np.array([0, 0, 0, 255], np.uint8)
+
+
+def differences(bgra: np.ndarray, mode: int) -> np.ndarray:
+    """Pixels less the one to the left (above in the first column), or above (to the left in the first row); the first one less black."""
+    out = bgra.copy()
+    out[0, 0] -= BLACK
+    out[0, 1:] -= bgra[0, :-1]
+    out[1:, 0] -= bgra[:-1, 0]
+    out[1:, 1:] -= bgra[1:, :-1] if mode == LEFT else bgra[:-1, 1:]
+    return out
+
+
+def summed(residual: np.ndarray, mode: int) -> np.ndarray:
+    """Undo :func:`differences`."""
+    out = residual.copy()
+    out[0, 0] += BLACK
+    if mode == LEFT:
+        out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+        return np.cumsum(out, axis=1, dtype=np.uint8)
+    out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+    return np.cumsum(out, axis=0, dtype=np.uint8)
+
+
 def predict(bgra: np.ndarray, bits: int, modes: np.ndarray, inverse: bool) -> np.ndarray:
-    """The predictor transform: residuals to pixels if ``inverse``, else pixels to residuals."""
+    """The predictor transform: residuals to pixels if ``inverse``, else pixels to residuals.  One mode, left or top, for all goes by sums and differences."""
     high, wide, _ = bgra.shape
+    only = int(modes.flat[0])
+    if only in (LEFT, TOP) and (modes == only).all():
+        return summed(bgra, only) if inverse else differences(bgra, only)
     src, mode = bgra.tolist(), modes_at(bits, modes, wide, high)
     out = [[None] * wide for _ in range(high)]
     p = out if inverse else src
@@ -474,19 +547,27 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     lengths = np.zeros(len(counts), np.int64)
     weights = [int(counts[s]) for s in used]
     while len(used) > 1:
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(used)), len(used)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[1]] = parent[b[1]] = n
-            heapq.heappush(heap, (a[0] + b[0], n))
-            n += 1
-        depth = [0] * n
-        for i in range(n - 2, -1, -1):
+        n = len(used)
+        by = sorted(range(n), key=weights.__getitem__)
+        leaves, made, parent = [weights[i] for i in by] + [math.inf], [], [0] * (2 * n - 1)
+        i = j = 0  # the next leaf and the next inner node: both queues ascend
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if j < len(made) and made[j] < leaves[i]:
+                    total += made[j]
+                    parent[n + j] = k
+                    j += 1
+                else:
+                    total += leaves[i]
+                    parent[by[i]] = k
+                    i += 1
+            made.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(used)]) <= most:
-            lengths[used] = depth[: len(used)]
+        if max(depth[:n]) <= most:
+            lengths[used] = depth[:n]
             break
         weights = [(w + 1) // 2 + 1 for w in weights]
     else:
@@ -569,52 +650,175 @@ def prefix_of(n: int) -> tuple[int, int, int]:
     return 2 * top + ((n - 1) >> (top - 1) & 1), top - 1, (n - 1) & ((1 << (top - 1)) - 1)
 
 
-def equal_runs(pixels: np.ndarray, least: int = 8, most: int = 4096) -> list[tuple[int, int]]:
-    """(start, length) of copies of the pixel before, in runs of ``least`` equal pixels or more."""
-    edge = np.flatnonzero(pixels[1:] != pixels[:-1]) + 1
-    starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(pixels)]))
-    out = []
-    for k in np.flatnonzero(ends - starts >= least).tolist():
-        out += [(at, min(most, int(ends[k]) - at)) for at in range(int(starts[k]) + 1, int(ends[k]), most)]
+#: Copies: the least pixels of one, the most, and the farthest distance of the format.
+LEAST, LONGEST, FARTHEST = 4, 4096, (1 << 20) - 120
+
+
+def entropies(samples: np.ndarray) -> np.ndarray:
+    """Bits of each row of bytes under a code fitted to it."""
+    k, n = samples.shape
+    counts = np.bincount((samples + (np.arange(k) << 8)[:, None]).ravel(), minlength=k << 8).reshape(k, 256)
+    return n * math.log2(n) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1)
+
+
+def best_transform(bgra: np.ndarray, rows: int = 16) -> tuple[int | None, object]:
+    """The transform that leaves the least entropy on up to ``rows`` rows in a row from the middle, and its parameter."""
+    start = max(0, (len(bgra) - rows) // 2)
+    some = bgra[start : start + rows]
+    crossed = some.copy()
+    crossed[..., 0::2] -= some[..., 1:2]  # what the factors of CROSS do, but for rounding
+    crossed[..., 3] = some[..., 3]
+    tried = (None, None), (PREDICTOR, LEFT), (PREDICTOR, TOP), (CROSS_COLOUR, CROSS)
+    costs = entropies(np.stack((some, differences(some, LEFT), differences(some, TOP), crossed)).reshape(4, -1))
+    costs[0] *= 0.98  # a transform must be worth its description
+    costs[1:] += 60
+    best = int(np.argmin(costs))
+    argb = argb_of(some).ravel()
+    if 3 * len(table := set(argb[:400].tolist())) < min(400, len(argb)):  # repeats enough to ask for all pixels
+        table = np.unique(argb_of(bgra))
+        if len(table) <= 256:
+            index = entropies(np.searchsorted(table, argb)[None])[0]
+            if index + 24.0 * len(table) * len(some) / len(bgra) < costs[best]:
+                return PALETTE, table
+    return tried[best]
+
+
+#: Red and blue less green: factors of 32 (one, in fifths of bits), green to red in blue's place, green to blue in green's.
+CROSS = (32, 32, 0, 255)
+
+
+def equal_stretches(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, size, distance) of copies, ascending and apart: stretches whose pairs of pixels all occurred last at one distance."""
+    n = len(argb)
+    if n <= LEAST:
+        return []
+    pair = argb[:-1].astype(np.uint64) << np.uint64(32) | argb[1:]
+    before = before_in_slot(pair)
+    at = np.arange(n - 1)
+    d = np.where((before >= 0) & (at - before <= FARTHEST), at - before, 0)
+    edge = np.flatnonzero(np.diff(d)) + 1
+    starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [n - 1]))
+    use = np.flatnonzero((d[starts] > 0) & (ends - starts >= LEAST - 1))
+    out, free = [], 0
+    for start, end, dist in zip(starts[use].tolist(), ends[use].tolist(), d[starts[use]].tolist(), strict=True):
+        start, end = max(start, free), end + 1
+        if end - start < LEAST:
+            continue
+        out += [(i, min(LONGEST, end - i), dist) for i in range(start, end, LONGEST)]
+        free = end
     return out
 
 
-def encode_samples(rgba: np.ndarray) -> bytes:
-    """A WebP file of RGBA pixels (rows, columns, 4): literals and, for runs of equal pixels, copies of the pixel before.
+@lru_cache(4)
+def distance_codes(wide: int) -> dict[int, int]:
+    """Distances that have one of the 120 short codes."""
+    out: dict[int, int] = {}
+    for i, (x, y) in enumerate(NEAR):
+        out.setdefault(max(1, x + y * wide), i + 1)
+    return out
 
-    The green code is fitted to its samples and copies, one more code to all other samples.
-    """
-    high, wide, _ = rgba.shape
-    flat = np.ascontiguousarray(rgba).reshape(-1, 4)
-    runs = equal_runs(flat.view("<u4")[:, 0])
-    literal = np.ones(len(flat), bool)
-    for at, n in runs:
+
+def cache_gain(argb: np.ndarray, literal: np.ndarray, bits: int) -> tuple[float, np.ndarray]:
+    """Bits that a cache would save, by and large, and which literals it would hit."""
+    before = before_in_slot(slots_of(argb, bits))
+    hits = literal & (before >= 0) & (argb == argb[before])
+    n, m = int(np.count_nonzero(hits)), int(np.count_nonzero(literal))
+    if not n:
+        return 0.0, hits
+    kinds = len(np.unique(argb[hits]))
+    each = np.log2(max(2, kinds)) + np.log2(m / n)  # of a symbol; what it takes the place of has some 20 bits
+    return n * (20 - each) - 5 * kinds - (m - n) * np.log2(m / max(1, m - n) if m > n else 1), hits
+
+
+def put_pixels(out: Writer, argb: np.ndarray, wide: int, main: bool) -> Writer:
+    """An entropy-coded image: copies, cache symbols and literals under one group of codes."""
+    copies = equal_stretches(argb)
+    literal = np.ones(len(argb), bool)
+    for at, n, _ in copies:
         literal[at : at + n] = False
-    symbols = flat[literal][:, [1, 0, 2, 3]].astype(np.int64)
-    copies = [prefix_of(n) for _, n in runs]
-    counts = np.bincount(symbols[:, 0], minlength=280)
-    for s, _, _ in copies:
-        counts[256 + s] += 1
-    green, rest = code_lengths(counts, 12), code_lengths(np.bincount(symbols[:, 1:].ravel(), minlength=256), 12)
-    out, one = header(wide, high), Writer()
-    out.put(0, 3)  # no transform, no colour cache, no meta prefix codes
-    put_code(out, green)
-    put_code(one, rest)
+    cache_bits, hits = 0, None
+    if main and len(argb) >= 64:
+        gain, hits = cache_gain(argb, literal, 8)
+        cache_bits = 8 if gain > 0.05 * 20 * len(argb) else 0
+    out.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)  # no meta prefix codes
+    bgra = planes(argb)
+    symbols = bgra[:, [1, 2, 0, 3]].astype(np.int64)
+    if cache_bits:
+        symbols[hits, 0] = 280 + slots_of(argb[hits], cache_bits).astype(np.int64)
+        lone = hits[literal]
+    symbols = symbols[literal]
+    near = distance_codes(wide)
+    tokens = [(*prefix_of(n), *prefix_of(near.get(d, d + 120))) for _, n, d in copies]
+    size = 280 + (1 << cache_bits if cache_bits else 0)
+    greens = np.bincount(symbols[:, 0], minlength=size)
+    fars = np.zeros(40, np.int64)
+    for t in tokens:
+        greens[256 + t[0]] += 1
+        fars[t[3]] += 1
+    others = symbols[~lone, 1:] if cache_bits else symbols[:, 1:]
+    lengths = code_lengths(greens, 12), code_lengths(np.bincount(others.ravel(), minlength=256), 12), code_lengths(fars, 12)
+    one = Writer()
+    put_code(out, lengths[0])
+    put_code(one, lengths[1])
     for _ in range(3):
         out.put(one.value, one.n)
-    near = np.zeros(40, np.int64)
-    near[NEAR.index((1, 0))] = 1
-    put_code(out, near)  # one distance, the pixel before, in no bits
-    codes = [(np.where(np.count_nonzero(n) > 1, codes_of(n), 0), np.where(np.count_nonzero(n) > 1, n, 0)) for n in (green, rest)]
-    value, size = (np.concatenate((codes[0][k][symbols[:, :1]], codes[1][k][symbols[:, 1:]]), axis=1).ravel() for k in (0, 1))
-    if runs:
+    put_code(out, lengths[2])
+    codes = [(np.where(np.count_nonzero(n) > 1, codes_of(n), 0), np.where(np.count_nonzero(n) > 1, n, 0)) for n in lengths]
+    if cache_bits:
+        symbols[lone, 1:] = 0
+    value, bits = (np.concatenate((codes[0][k][symbols[:, :1]], codes[1][k][symbols[:, 1:]]), axis=1) for k in (0, 1))
+    if cache_bits:
+        value[lone, 1:] = 0
+        bits[lone, 1:] = 0
+    value, bits = value.ravel(), bits.ravel()
+    if copies:
+        # two fields of each copy: its length, then its distance; extra bits follow their symbol
         before = np.cumsum(literal)
-        places = [4 * int(before[at - 1]) for at, _ in runs]
-        value = np.insert(value, places, [codes[0][0][256 + s] | extra << codes[0][1][256 + s] for s, _, extra in copies])
-        size = np.insert(size, places, [codes[0][1][256 + s] + bits for s, bits, _ in copies])
-    if not size.any():
-        return riff(out.value.to_bytes((out.n + 7) // 8, "little"))
-    return riff(put_fields(out, value, size))
+        places = np.repeat([4 * int(before[at - 1]) for at, _, _ in copies], 3)
+        (gv, gn), (fv, fn) = ([x.tolist() for x in codes[k]] for k in (0, 2))
+        fields = [f for s, nb, extra, ds, db, dx in tokens for f in ((gv[256 + s] | extra << gn[256 + s], gn[256 + s] + nb), (fv[ds], fn[ds]), (dx, db))]
+        value = np.insert(value, places, [f[0] for f in fields])
+        bits = np.insert(bits, places, [f[1] for f in fields])
+    if not bits.any():
+        return out
+    total = out.n + int(bits.sum())
+    written = Writer()
+    written.value, written.n = int.from_bytes(put_fields(out, value, bits), "little"), total
+    return written
+
+
+def encode_samples(rgba: np.ndarray) -> bytes:
+    """A WebP file of RGBA pixels (rows, columns, 4)."""
+    high, wide, _ = rgba.shape
+    bgra = np.ascontiguousarray(rgba[..., [2, 1, 0, 3]])
+    kind, how = best_transform(bgra)
+    out = header(wide, high)
+    across = wide
+    if kind in (PREDICTOR, CROSS_COLOUR):
+        blocks = -(-wide >> 9) * -(-high >> 9)  # one parameter for all, in the largest blocks
+        out.put(1 | kind << 1 | 7 << 3, 6)
+        out = put_pixels(out, np.full(blocks, how << 8 if kind == PREDICTOR else int(argb_of(np.array(how, np.uint8))), np.uint32), -(-wide >> 9), False)
+        argb = argb_of(differences(bgra, how) if kind == PREDICTOR else cross_colour(bgra, 9, np.broadcast_to(np.array(how, np.uint8), (-(-high >> 9), -(-wide >> 9), 4)), False)).ravel()
+    elif kind == PALETTE:
+        steps = planes(how).copy()
+        steps[1:] -= planes(how)[:-1]
+        out.put(1 | kind << 1 | (len(how) - 1) << 3, 11)
+        out = put_pixels(out, argb_of(steps), len(how), False)
+        bits = palette_bits(len(how))
+        each, across = 8 >> bits, -(-wide >> bits)
+        index = np.zeros((high, across << bits), np.uint32)
+        index[:, :wide] = np.searchsorted(how, argb_of(bgra))
+        shifts = (each * np.arange(1 << bits)).astype(np.uint32)
+        argb = ((index.reshape(high, across, 1 << bits) << shifts).sum(axis=2, dtype=np.uint32) << np.uint32(8) | np.uint32(0xFF000000)).ravel()
+    else:
+        argb = argb_of(bgra).ravel()
+    out.put(0, 1)  # no more transforms
+    out = put_pixels(out, argb, across, True)
+    return riff(out.value.to_bytes((out.n + 7) // 8, "little"))
 
 
 def store(payload: bytes) -> bytes:

@@ -296,6 +296,72 @@ def test_webp_palette(size):
     assert np.array_equal(got, table[index][..., [2, 1, 0, 3]])
 
 
+def kinds(file):
+    """Transforms and cache bits of a one-image file: what its encoder chose."""
+    seen, whole = [], webp.read_image
+
+    def spy(bits, wide, high, main):
+        if main:
+            seen.append(bits.peek(5) >> 1 if bits.peek(1) else 0)
+        return whole(bits, wide, high, main)
+
+    body = next(b for n, b in webp.chunks(file) if n == b"VP8L")
+    bits = webp.Bits(body)
+    bits.read(8 + 14), bits.read(14 + 1 + 3)
+    webp.read_image = spy
+    try:
+        webp.decode_stream(body)
+    finally:
+        webp.read_image = whole
+    return (bits.read(2) if bits.read(1) else None), seen[0]
+
+
+@pytest.mark.parametrize("case", ["prose", "left", "top", "cross", "palette", "few", "cache", "copies"])
+def test_webp_encoder_chooses_by_content(case):
+    rng = np.random.default_rng(5)
+    n, want = 20, None
+    px = rng.integers(0, 256, (n, 144, 4), dtype=np.uint8)
+    if case == "prose":
+        px = np.frombuffer(" ".join(rng.choice([f"{a}{b}" for a in "bcdfgst" for b in ("ale", "on", "ith", "rum", "ee")], 6000)).encode()[: n * 576], np.uint8).reshape(n, 144, 4)
+    elif case == "left":
+        px, want = np.cumsum(rng.integers(0, 3, px.shape), axis=1).astype(np.uint8), webp.PREDICTOR
+    elif case == "top":
+        px, want = (np.cumsum(rng.integers(0, 3, px.shape), axis=0) + rng.integers(0, 256, (1, 144, 4))).astype(np.uint8), webp.PREDICTOR
+    elif case == "cross":
+        g = rng.integers(0, 256, (n, 144, 1))
+        px, want = np.concatenate((g + rng.integers(0, 3, g.shape), g, g + rng.integers(0, 3, g.shape), 255 + 0 * g), axis=2).astype(np.uint8), webp.CROSS_COLOUR
+    elif case in ("palette", "few"):
+        table = rng.integers(0, 256, (90 if case == "palette" else 13, 4), dtype=np.uint8)
+        px, want = table[rng.integers(0, len(table), (n, 144))], webp.PALETTE
+    elif case == "cache":
+        table = rng.integers(0, 256, (400, 4), dtype=np.uint8)
+        px = table[(rng.pareto(0.7, (n, 144)) % 400).astype(int)]
+    else:
+        px = np.tile(px[:3], (7, 1, 1))[:n]
+    file = webp.encode_samples(px)
+    got = webp.decode(file)
+    assert len(got) == 1 and np.array_equal(got[0], px)
+    transform, cache = kinds(file)
+    if case == "cache":
+        assert cache == 8
+    else:
+        assert transform == want
+    if case == "copies":
+        assert len(file) < 0.3 * px.size
+    if case != "prose":
+        assert len(file) < 0.97 * px.size
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([2, 3, 40, 300]), st.sampled_from([1, 4, 9]))
+def test_webp_round_trip_of_patterns(seed, colours, rows):
+    rng = np.random.default_rng(seed)
+    table = rng.integers(0, 256, (colours, 4), dtype=np.uint8)
+    px = table[np.minimum(rng.geometric(0.05, (rows, 144)), colours) - 1]
+    px[:, 50:90] = px[:, :40]
+    assert np.array_equal(webp.decode(webp.encode_samples(px))[0], px)
+
+
 def test_webp_meta_groups():
     """Two groups of codes, dealt by blocks of 4 x 4 pixels."""
     rng, wide, high = random.Random(2), 8, 8
