@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, map_arrow, text_blocks
+from .common import cut, encoded, map_arrow, stored, text_blocks
 from .components import components
 
 #: Elements by their role.
 DROPPED = frozenset("nav footer aside script style noscript template iframe svg math canvas object select textarea button input dialog menu head title audio video map datalist".split())
+UNSEEN = DROPPED - {"nav", "footer", "aside", "dialog", "menu", "button"}
 RAW_TEXT = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -106,8 +107,12 @@ def marks_article(name: str, source: str) -> bool:
 GONE, FORM, TEXT = 2, 1, 0
 
 
-def blocks(source: str | None) -> tuple[list[str], bool]:
-    """A page's blocks in order, and whether they come from a marked article."""
+def blocks(source: str | None, markup: bool = True) -> tuple[list[str], bool]:
+    """A page's blocks in order, and whether they come from a marked article.  Without ``markup`` all that a reader would see, and no marks."""
+    if markup:
+        out_of_text, marks = left_out, marks_article
+    else:
+        out_of_text, marks = (lambda name, _source, _inside: name in UNSEEN), (lambda _name, _source: False)
     every: list[str] = []
     inner: list[str] = []
     weak: list[str] = []
@@ -184,14 +189,14 @@ def blocks(source: str | None) -> tuple[list[str], bool]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
-        strong = out < GONE and marks_article(name, rest) and not left_out(name, rest, True)
+        strong = out < GONE and marks(name, rest) and not out_of_text(name, rest, True)
         if strong:
             new = TEXT, 2
         elif out:
-            new = GONE if out == GONE or left_out(name, rest, inside == 2) else FORM, inside
+            new = GONE if out == GONE or out_of_text(name, rest, inside == 2) else FORM, inside
         else:
-            gone = left_out(name, rest, inside == 2)
-            new = GONE if gone else FORM if name == "form" else TEXT, inside or int(not gone and bool(rest.strip(" /")) and bool(WEAK & said(attributes(rest))))
+            gone = out_of_text(name, rest, inside == 2)
+            new = GONE if gone else FORM if markup and name == "form" else TEXT, inside or int(markup and not gone and bool(rest.strip(" /")) and bool(WEAK & said(attributes(rest))))
         stack.append((name, *new))
         marked |= strong
         if new != (out, inside):
@@ -284,33 +289,30 @@ def own_run(s: Stream, covered: np.ndarray) -> int:
     return int(np.max(edges[1::2] - edges[::2], initial=0))
 
 
-def article_text(host: str, parts: list[str], hits: bytes | None, least: int, seen: dict[str, int]) -> str:
+def article_text(host: str, text: str, hits: bytes | None, least: int, seen: dict[str, int]) -> str:
     """A marked page's text without the windows that ``hits`` packs."""
     if hits:
-        s = Stream(host, "\n".join(parts), least, seen)
+        s = Stream(host, text, least, seen)
         covered = s.covered(np.frombuffer(hits, np.int64))
         if covered.any() and own_run(s, covered) >= least:
             return s.without(covered)
-    return " ".join(parts)
+    return text.replace("\n", " ")
 
 
 def site_windows(pages: DataFrame, least: int, voices: int, lot: int) -> DataFrame | None:
     """(h, hits): for a host's key the windows, packed, that more than half of its marked pages hold, in ``voices`` distinct texts or more; None if there are none.
 
-    ``pages``: h, host, html; no null hosts.  A block of pages sends on the windows that more than a third of its pages of a host hold.  One sent by no block is on a third of the
+    ``pages``: h, host, text of marked pages; no null hosts.  A block of pages sends on the windows that more than a third of its pages of a host hold.  One sent by no block is on a third of the
     pages at most, so what the blocks sent bounds the count from above; those that may be on half are then counted over all pages.
     """
 
     def articles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
-        for b in text_blocks(batches, "html", limit=8 << 20):
+        for b in text_blocks(batches, limit=8 << 20):
             for i in range(0, b.num_rows, size):
                 part, seen, out = b.slice(i, size), {}, []
                 asked = part.column("asked").to_pylist() if "asked" in part.schema.names else [None] * part.num_rows
-                for h, host, source, a in zip(*(part.column(c).to_pylist() for c in ("h", "host", "html")), asked, strict=True):
-                    parts, marked = blocks(source)
-                    if marked:
-                        text = "\n".join(parts)
-                        out.append((h, hash64(text), np.unique(Stream(host, text, least, seen).windows), a))
+                for h, host, text, a in zip(*(part.column(c).to_pylist() for c in ("h", "host", "text")), asked, strict=True):
+                    out.append((h, hash64(text), np.unique(Stream(host, text, least, seen).windows), a))
                 yield out
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -394,13 +396,14 @@ def near_groups(streams: DataFrame, held: DataFrame, least: int, near: float) ->
     return components(map_arrow(pairs, verified, "u long,v long")).select(F.col("node").alias("stream"), "root")
 
 
-PAGE = "page_id long,url string,host string,text string,stream long"
+PAGE = "page_id long,url string,host string,h long,text string,marked boolean,stream long"
 
 
-def main_text(pages: DataFrame, least: int = 8, spread: int = 2, near: float = 0.05, lot: int = 2000, voices: int = 3) -> DataFrame:
-    """page_id, url, text, n_chars: one row for each row of ``pages``.  Blocks travel joined by a line feed, which no block holds.
+def main_text(pages: DataFrame, least: int = 8, spread: int = 2, near: float = 0.05, lot: int = 2000, voices: int = 3, markup: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars: one row for each row of ``pages``.
 
-    At most ``lot`` pages are worked on at once; the result does not depend on it.
+    Pages are parsed once and their blocks written, joined by a line feed, which no block holds.  At most ``lot`` pages are worked on at once; the result does not depend on it.
+    markup: whether elements, roles and classes are looked at; without it the repeats of a host decide alone.
     """
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,15 +413,16 @@ def main_text(pages: DataFrame, least: int = 8, spread: int = 2, near: float = 0
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in text_blocks(batches, "html", limit=8 << 20):
+            got = [blocks(x, markup) for x in b.column("html").to_pylist()]
+            text, marked = ["\n".join(parts) for parts, _ in got], [m for _, m in got]
+            stream = [None if m or host is None else hash64(f"{host}\n{t}") for m, host, t in zip(marked, b.column("host").to_pylist(), text, strict=True)]
+            yield {"page_id": b.column("page_id"), "url": b.column("url"), "host": b.column("host"), "h": b.column("h"), "text": text, "marked": marked, "stream": stream}
+
+    def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in text_blocks(batches, limit=8 << 20):
             seen: dict = {}
-            text, stream = [], []
-            hits = b.column("hits").to_pylist() if "hits" in b.schema.names else [None] * b.num_rows
-            for host, source, found in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), hits, strict=True):
-                parts, marked = blocks(source)
-                alone = marked or host is None
-                text.append(article_text(host, parts, found, least, seen) if alone else "\n".join(parts))
-                stream.append(None if alone else hash64(f"{host}\n{text[-1]}"))
-            yield {"page_id": b.column("page_id"), "url": b.column("url"), "host": b.column("host"), "text": text, "stream": stream}
+            text = [article_text(host, t, hits, least, seen) for host, t, hits in zip(*(b.column(c).to_pylist() for c in ("host", "text", "hits")), strict=True)]
+            yield {"page_id": b.column("page_id"), "url": b.column("url"), "text": text}
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in lots(batches):
@@ -438,14 +442,18 @@ def main_text(pages: DataFrame, least: int = 8, spread: int = 2, near: float = 0
 
     host = F.when(F.col("url").rlike(HOST), F.lower(F.regexp_extract("url", HOST, 1)))
     key = F.when(host.isNull(), F.xxhash64("page_id", "html")).otherwise(F.xxhash64(host)).alias("h")
-    raw = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html", key)
-    parsed = map_arrow(raw.drop("h"), parse, PAGE)
-    site = site_windows(raw.filter("host is not null").select("h", "host", "html"), least, voices, lot)
-    sure = parsed if site is None else map_arrow(with_hits(raw, site, "left").drop("h"), parse, PAGE)
-    sure = sure.filter("stream is null").select("page_id", "url", "text")
+    parsed = stored(map_arrow(pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html", key), parse, PAGE))
+    alone = parsed.filter("stream is null")
+    site = site_windows(alone.filter("host is not null").select("h", "host", "text"), least, voices, lot)
+    if site is None:
+        sure = alone.select("page_id", "url", F.translate("text", "\n", " ").alias("text"))
+    else:
+        sure = map_arrow(with_hits(alone.select("page_id", "url", "host", "h", "text"), site, "left"), articles, "page_id long,url string,text string")
     # each distinct stream once
-    streams = parsed.filter("stream is not null").groupBy("stream").agg(F.first("host").alias("host"), F.first("text").alias("text"))
-    streams = cut(streams.select("stream", F.xxhash64("host").alias("h"), "host", "text"))
+    others = parsed.filter("stream is not null")
+    streams = cut(others.groupBy("stream").agg(F.first("h").alias("h"), F.first("host").alias("host"), F.first("text").alias("text")))
+    if streams.isEmpty():
+        return sure.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
     every = map_arrow(streams, windows, "stream long,h long,w long")
     # windows of one stream decide nothing and go no further
     again = cut(every.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= min(spread, 2)).select("w"))
@@ -456,5 +464,5 @@ def main_text(pages: DataFrame, least: int = 8, spread: int = 2, near: float = 0
     common = voice.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= spread).select("w")
     hits = held.join(common, "w").groupBy("stream").agg(F.collect_list("w").alias("hits"))
     clean = map_arrow(streams.join(hits, "stream", "left").select("stream", "host", "text", "hits"), strip, "stream long,text string")
-    rest = parsed.filter("stream is not null").select("page_id", "url", "stream").join(clean, "stream").select("page_id", "url", "text")
+    rest = others.select("page_id", "url", "stream").join(clean, "stream").select("page_id", "url", "text")
     return sure.unionByName(rest).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
