@@ -68,3 +68,15 @@ def negative_inverse(x: Column) -> Column:
     """-1/x; 0 where x is null, not finite or zero."""
     bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x == 0)
     return F.when(bad, 0.0).otherwise(-1 / x)
+
+
+def element_place(z: Column, elements: list[int]) -> Column:
+    """Where an element stands in the sorted list; an element that is not in it is an error."""
+    known = F.array(*[F.lit(int(e)) for e in sorted(elements)])
+    at = F.array_position(known, z.cast("int"))
+    return F.when(z.isNotNull() & (at == 0), F.raise_error(F.concat(F.lit("unknown element "), z.cast("string"))).cast("long")).otherwise(at - 1).cast("int")
+
+
+def outside(v: Column, low: float, high: float) -> Column:
+    """Whether v lies outside [low, high)."""
+    return (v < low) | (v >= high)

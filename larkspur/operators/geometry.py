@@ -29,8 +29,8 @@ def neighbours(atoms: DataFrame, rcut: float, small: int = 64) -> DataFrame:
     Molecules of at most ``small`` atoms are joined with themselves; larger ones by a range join over cells of edge rcut, where each
     atom meets its own cell and the 26 around, so that pairs grow with the atoms and not with their square.
     """
-    sized = atoms.withColumn("_n", F.count("*").over(Window.partitionBy("mol")))
-    few, many = sized.filter(F.col("_n") <= small).drop("_n"), sized.filter(F.col("_n") > small).drop("_n")
+    large = atoms.groupBy("mol").agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select("mol")
+    few, many = atoms.join(large, "mol", "left_anti"), atoms.join(large, "mol", "left_semi")
     near = (F.col("l.atom") != F.col("r.atom")) & (_d2() < rcut * rcut)
     out = [F.col("l.mol").alias("mol"), F.col("l.atom").alias("i"), F.col("r.atom").alias("j"), F.sqrt(_d2()).alias("r")]
     own = few.alias("l").join(few.alias("r"), (F.col("l.mol") == F.col("r.mol")) & near).select(*out)
@@ -42,6 +42,28 @@ def neighbours(atoms: DataFrame, rcut: float, small: int = 64) -> DataFrame:
     return own.union(left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & near).select(*out))
 
 
+def too_close(points: DataFrame, atoms: DataFrame, least: float) -> DataFrame:
+    """The rows of ``points`` that have an atom of their molecule nearer than ``least``: a semi join on cells of that edge, each point looking into its own cell and the 26 around."""
+    left = points.select("*", *[F.floor(F.col(k) / least).alias(f"c{k}") for k in ("x", "y", "c")])
+    right = atoms.select("mol", "x", "y", "c", *[F.floor(F.col(k) / least).alias(f"c{k}") for k in ("x", "y", "c")])
+    for k in ("x", "y", "c"):
+        right = right.withColumn("_s", F.explode(F.expr("sequence(-1, 1)"))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_s")).drop("_s")
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("mol", "cx", "cy", "cc")]
+    return left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & (_d2() < least * least), "left_semi").drop("cx", "cy", "cc")
+
+
+def torsions(atoms: DataFrame) -> DataFrame:
+    """(mol, atom, angle): the angle of each four atoms in a row about the middle bond, in (-pi, pi]; null where it is not defined."""
+    w = Window.partitionBy("mol").orderBy("atom")
+    bond = lambda n: [F.lead(k, n + 1).over(w) - (F.lead(k, n).over(w) if n else F.col(k)) for k in ("x", "y", "c")]
+    t = atoms.select("mol", "atom", *[v.alias(f"{k}{n}") for n in range(3) for k, v in zip("xyc", bond(n), strict=True)])
+    u, v, q = ([F.col(f"{k}{n}") for k in "xyc"] for n in range(3))
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    one, two = _cross(u, v), _cross(v, q)
+    t = t.filter("x2 is not null").select("mol", "atom", (dot(_cross(one, two), v) / F.sqrt(dot(v, v))).alias("s"), dot(one, two).alias("k"))
+    return t.select("mol", "atom", F.when((F.col("s") != 0) | (F.col("k") != 0), F.atan2("s", "k")).alias("angle"))
+
+
 def periodic_images(atoms: DataFrame, cell: list[list[float]], rcut: float) -> DataFrame:
     """All atoms and those images by whole cell vectors that lie within rcut of an atom of the molecule: (…, na, nb, nc), 0 for the atoms."""
     volume = abs(_det(cell))
@@ -101,16 +123,16 @@ def dipole(atoms: DataFrame) -> DataFrame:
 
 def coulomb_matrix(atoms: DataFrame, size: int = 29) -> DataFrame:
     """(mol, x): lower triangle by rows of the matrix with 0.5 z**2.4 on the diagonal and z z'/r beside it, atoms by falling row
-    norm (then by atom), zero-padded to size (size + 1) / 2."""
-    entries = pairs(atoms).select("mol", "i", "j", (F.col("zi") * F.col("zj") / F.col("r")).alias("v"))
-    entries = entries.union(atoms.select("mol", F.col("atom").alias("i"), F.col("atom").alias("j"), (0.5 * F.pow(F.col("z").cast("double"), F.lit(2.4))).alias("v")))
-    order = entries.groupBy("mol", "i").agg(F.sum(F.col("v") * F.col("v")).alias("n"))
-    order = order.withColumn("p", F.row_number().over(Window.partitionBy("mol").orderBy(F.desc("n"), "i"))).select("mol", F.col("i").alias("atom"), "p")
-    pi, pj = order.select("mol", F.col("atom").alias("i"), F.col("p").alias("pi")), order.select("mol", F.col("atom").alias("j"), F.col("p").alias("pj"))
-    flat = entries.join(pi, ["mol", "i"]).join(pj, ["mol", "j"]).filter("pj <= pi")
-    vec = F.transform(F.sort_array(F.collect_list(F.struct("pi", "pj", "v"))), lambda s: s["v"])
+    norm (then by atom), zero-padded to size (size + 1) / 2.  One shuffle brings molecules together; triangles are made many at a time and padded in the JVM."""
+    from .representations import coulomb_many, molecules, represented_many
+
     n = size * (size + 1) // 2
-    return flat.groupBy("mol").agg(F.slice(F.concat(vec, F.array_repeat(F.lit(0.0), n)), 1, n).alias("x"))
+
+    def tight(z, r):
+        k = z.shape[1]
+        return coulomb_many(z, r, k) if k < size else coulomb_many(z, r, size)
+
+    return represented_many(molecules(atoms), tight, False).select("mol", F.slice(F.concat("x", F.array_repeat(F.lit(0.0), n)), 1, n).alias("x"))
 
 
 def bags(atoms: DataFrame) -> DataFrame:

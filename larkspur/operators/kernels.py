@@ -1,8 +1,9 @@
 """Kernel matrices: all pairs of vectors, or sums over the atoms of pairs of molecules.
 
-Vectors are packed, where they lie, into tiles of at most ``tile`` rows; tiles are paired (by element for element-matched kernels), and each
-pair of tiles is one dense block in NumPy.  Nothing is broadcast by us, a task holds two tiles and one block at a time, and sums over
-atoms leave a block already added up for each pair of molecules.
+Vectors are packed into tiles of about ``tile`` rows, tiles are dealt out to a square of cells, and a cell's tiles meet by an equi-join: each
+pair of tiles is one dense block in NumPy.  Nothing is broadcast, a task holds two tiles and one block at a time, and neither an element nor a
+molecule is a join key, so none of them can be hot.  Tiles of molecules hold whole ones, so a block's sums over atoms are final and the
+pairs of molecules are not shuffled.
 """
 
 from __future__ import annotations
@@ -67,9 +68,11 @@ class Kernel:
 
 
 def l1_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    for i, x in enumerate(a):
-        np.abs(b - x).sum(axis=1, out=out[i])
+    out, step = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):  # component by component: no array of all differences
+        np.subtract(x[:, None], y[None], out=step)
+        np.abs(step, out=step)
+        out += step
     return out
 
 
@@ -79,69 +82,123 @@ def l2sq_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
-def tiles(df: DataFrame, id_col: str, vec: str, z: str | None = None, size: int = TILE, weight: str | None = None) -> DataFrame:
-    """One row for each run of at most ``size`` vectors (of one element, if z is given): n, ids, vectors, weights."""
+def picked(df: DataFrame, id_col: str, vec: str, z: str | None = None, weight: str | None = None) -> DataFrame:
+    cols = (F.col(id_col).cast("long").alias("id"), (F.col(z) if z else F.lit(0)).cast("long").alias("z"), V.as_vector(vec).alias("vec"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    return df.select(*cols).filter("id is not null and vec is not null and z is not null")
+
+
+def tiles(df: DataFrame, id_col: str, vec: str, z: str | None = None, size: int = TILE, weight: str | None = None, whole: bool = False) -> DataFrame:
+    """One row for each run of about ``size`` vectors: n, ids, elements, vectors, weights.  Rows stay where they lie; with ``whole`` those of one id come together and share a tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            zs = b.column("z").to_numpy(zero_copy_only=False)
-            order = np.argsort(zs, kind="stable")
-            cuts = [0, *(np.flatnonzero(np.diff(zs[order])) + 1).tolist(), len(zs)]
-            flat = b.column("vec")
-            x = np.asarray(flat.flatten(), float).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
-            ids, w = b.column("id").to_numpy(), b.column("w").to_numpy()
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                for at in range(lo, hi, size):
-                    rows = order[at : min(hi, at + size)]
-                    yield pa.RecordBatch.from_pydict(
-                        {"z": pa.array([int(zs[rows[0]])], pa.int64()), "n": pa.array([len(rows)], pa.int32()), "ids": [ids[rows].astype(np.int64).tobytes()], "x": [x[rows].tobytes()], "w": [w[rows].tobytes()]}
-                    )
-
-    picked = df.select((F.col(z) if z else F.lit(0)).cast("long").alias("z"), F.col(id_col).cast("long").alias("id"), V.as_vector(vec).alias("vec"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).filter("id is not null and vec is not null and z is not null")
-    if z:
-        picked = picked.repartition("z")
-    return picked.mapInArrow(run, "z long, n int, ids binary, x binary, w binary")
-
-
-def _pairs(a: DataFrame, b: DataFrame, matched: bool) -> DataFrame:
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in ("z", "n", "ids", "x")])
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in ("z", "n", "ids", "x", "w")])
-    return left.join(right, F.col("a_z") == F.col("b_z")) if matched else left.crossJoin(right)
-
-
-def _blocks(pairs: DataFrame, kernel: Kernel, summed: bool, lower: bool = False, skip_same: bool = False) -> DataFrame:
-    """Blocks of kernel values as rows; summed over equal ids if these are molecules."""
+            held.append(b)
+            n += b.num_rows
+            if n < size:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            end = n - n % size
+            if whole:
+                ids = t.column("id").to_numpy()
+                end = int(np.searchsorted(ids, ids[-1]))  # ascending; the last molecule may go on
+            yield from cut(t.slice(0, end))
+            held, n = [t.slice(end)], n - end
+        if n:
+            yield from cut(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not b.num_rows:
+            return
+        ids, zs, w = (b.column(c).to_numpy() for c in ("id", "z", "w"))
+        x = np.asarray(b.column("vec").flatten(), float).reshape(len(ids), -1)
+        at = 0
+        while at < len(ids):
+            end = min(len(ids), at + size)
+            if whole and end < len(ids):
+                first = int(np.searchsorted(ids, ids[end], "left"))
+                end = first if first > at else int(np.searchsorted(ids, ids[end], "right"))
+            rows = at + np.argsort(zs[at:end], kind="stable")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int32()), "ids": [ids[rows].tobytes()], "z": [zs[rows].tobytes()], "x": [x[rows].tobytes()], "w": [w[rows].tobytes()]})
+            at = end
+
+    rows = picked(df, id_col, vec, z, weight)
+    if whole:
+        rows = rows.repartition("id").sortWithinPartitions("id")
+    return rows.mapInArrow(run, "n int, ids binary, z binary, x binary, w binary")
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every pair of tiles once.  Tiles go to ``g`` rows and columns of cells by their hash, g * g being about the shuffle partitions, so each is sent g times."""
+    g = max(1, round(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    cell = lambda *c: F.pmod(F.xxhash64(*c), F.lit(g)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    left = a.select(cell("ids", "x").alias("row"), every.alias("col"), *[F.col(c).alias(f"a_{c}") for c in ("n", "ids", "z", "x")])
+    right = b.select(every.alias("row"), cell("ids", "x").alias("col"), *[F.col(c).alias(f"b_{c}") for c in ("n", "ids", "z", "x", "w")])
+    return left.join(right.hint("merge"), ["row", "col"]).drop("row", "col")
+
+
+def _tile_pairs(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    """The arrays of each pair of tiles of a batch, on the batch's own memory."""
+    kinds = {"ids": np.int64, "z": np.int64, "x": np.float64, "w": np.float64}
+    names = [n for n in batch.schema.names if n[2:] in kinds]
+    for k in range(batch.num_rows):
+        r = {n: np.frombuffer(batch.column(n)[k].as_buffer(), kinds[n[2:]]) for n in names}
+        for side in "ab":
+            r[f"{side}_x"] = r[f"{side}_x"].reshape(len(r[f"{side}_ids"]), -1)
+        yield r
+
+
+def _rows(i: np.ndarray, j: np.ndarray, sigma: float, k: np.ndarray, lower: bool) -> pa.RecordBatch:
+    ii, jj, kk = np.repeat(i, len(j)), np.tile(j, len(i)), k.ravel()
+    if lower:
+        keep = jj <= ii
+        ii, jj, kk = ii[keep], jj[keep], kk[keep]
+    return pa.RecordBatch.from_arrays([pa.array(ii), pa.array(jj), pa.array(np.full(len(ii), sigma)), pa.array(kk)], names=["i", "j", "sigma", "k"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                i, j = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
-                a, b = np.frombuffer(r["a_x"]).reshape(len(i), -1), np.frombuffer(r["b_x"]).reshape(len(j), -1)
-                for sigma, k in zip(kernel.sigmas, kernel.block(a, b), strict=True):
-                    if summed:
-                        ui, pi = np.unique(i, return_inverse=True)
-                        uj, pj = np.unique(j, return_inverse=True)
-                        part = np.zeros((len(ui), k.shape[1]))
-                        np.add.at(part, pi, k)
-                        k = np.zeros((len(uj), len(ui)))
-                        np.add.at(k, pj, part.T)
-                        k = k.T
-                    else:
-                        ui, uj = i, j
-                    ii, jj, kk = np.repeat(ui, len(uj)), np.tile(uj, len(ui)), k.ravel()
-                    if lower:
-                        keep = jj <= ii
-                        ii, jj, kk = ii[keep], jj[keep], kk[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(ii), pa.array(jj), pa.array(np.full(len(ii), sigma)), pa.array(kk)], names=["i", "j", "sigma", "k"])
-
-    return pairs.mapInArrow(run, "i long, j long, sigma double, k double")
+
+K_ROWS = "i long, j long, sigma double, k double"
 
 
 def kernel_matrix(a: DataFrame, b: DataFrame | None, kernel: Kernel, id_col: str = "id", vec: str = "x", lower: bool = False, tile: int = TILE) -> DataFrame:
     """(i, j, sigma, k) for all pairs; with b None the kernel of ``a`` with itself, only j <= i if ``lower``."""
     ta = tiles(a, id_col, vec, size=tile)
     tb = ta if b is None else tiles(b, id_col, vec, size=tile)
-    return _blocks(_pairs(ta, tb, False), kernel, False, lower)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _tile_pairs(batch):
+                if not lower or r["b_ids"].min() <= r["a_ids"].max():
+                    for sigma, k in zip(kernel.sigmas, kernel.block(r["a_x"], r["b_x"]), strict=True):
+                        yield _rows(r["a_ids"], r["b_ids"], sigma, k, lower)
+
+    return _pairs(ta, tb).mapInArrow(run, K_ROWS)
+
+
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and where each begins."""
+    starts = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+    return sorted_values[starts], starts
+
+
+def _molecule_sums(kernel: Kernel, r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Molecules of both tiles and, for each width, sums of kernel values over pairs of atoms of one element."""
+    ui, uj = np.unique(r["a_ids"]), np.unique(r["b_ids"])
+    out = np.zeros((len(kernel.sigmas), len(ui), len(uj)))
+    za, sa = _runs(r["a_z"])
+    zb, sb = _runs(r["b_z"])
+    ends = {int(z): (int(s), int(e)) for z, s, e in zip(zb, sb, [*sb[1:], len(r["b_z"])], strict=True)}
+    for z, lo, hi in zip(za.tolist(), sa.tolist(), [*sa[1:].tolist(), len(r["a_z"])], strict=True):
+        if z not in ends:
+            continue
+        at, end = ends[z]
+        oi, oj = lo + np.argsort(r["a_ids"][lo:hi], kind="stable"), at + np.argsort(r["b_ids"][at:end], kind="stable")
+        mi, si = _runs(r["a_ids"][oi])
+        mj, sj = _runs(r["b_ids"][oj])
+        place = np.ix_(np.searchsorted(ui, mi), np.searchsorted(uj, mj))
+        for n, k in enumerate(kernel.block(r["a_x"][oi], r["b_x"][oj])):
+            out[n][place] += np.add.reduceat(np.add.reduceat(k, si, axis=0), sj, axis=1)
+    return ui, uj, out
 
 
 def local_kernel_matrix(a: DataFrame, b: DataFrame | None, kernel: Kernel, mol: str = "mol", vec: str = "x", z: str | None = None, lower: bool = False, tile: int = TILE) -> DataFrame:
@@ -149,17 +206,42 @@ def local_kernel_matrix(a: DataFrame, b: DataFrame | None, kernel: Kernel, mol:
 
     Pairs without a common element have k = 0 and are in the result too.
     """
-    ta = tiles(a, mol, vec, z, tile)
-    tb = ta if b is None else tiles(b, mol, vec, z, tile)
-    sums = _blocks(_pairs(ta, tb, bool(z)), kernel, True, lower).groupBy("i", "j", "sigma").agg(F.sum("k").alias("k"))
-    if not z:
-        return sums
-    left = a.select(F.col(mol).cast("long").alias("i")).distinct()
-    right = (a if b is None else b).select(F.col(mol).cast("long").alias("j")).distinct()
-    grid = left.crossJoin(right).crossJoin(a.sparkSession.createDataFrame([(float(s),) for s in kernel.sigmas], "sigma double"))
-    if lower:
-        grid = grid.filter("j <= i")
-    return grid.join(sums, ["i", "j", "sigma"], "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
+    ta = tiles(a, mol, vec, z, tile, whole=True)
+    tb = ta if b is None else tiles(b, mol, vec, z, tile, whole=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _tile_pairs(batch):
+                if lower and r["b_ids"].min() > r["a_ids"].max():
+                    continue
+                i, j, sums = _molecule_sums(kernel, r)
+                for sigma, k in zip(kernel.sigmas, sums, strict=True):
+                    yield _rows(i, j, sigma, k, lower)
+
+    return _pairs(ta, tb).mapInArrow(run, K_ROWS)
+
+
+def local_dense(df: DataFrame, kernel: Kernel, ids: list[int], mol: str = "id", vec: str = "x", z: str | None = None) -> np.ndarray:
+    """The local kernel (n, n) of a training set on the driver, in the order of ids: blocks travel, not rows."""
+    t = tiles(df, mol, vec, z, whole=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _tile_pairs(batch):
+                i, j, sums = _molecule_sums(kernel, r)
+                yield pa.RecordBatch.from_pydict({"i": [i.tobytes()], "j": [j.tobytes()], "k": [sums[0].tobytes()]})
+
+    return _gathered(_pairs(t, t).mapInArrow(run, "i binary, j binary, k binary"), ids, 1)[0]
+
+
+def _gathered(blocks: DataFrame, ids: list[int], widths: int) -> np.ndarray:
+    order = np.argsort(np.array(ids, np.int64))
+    known = np.array(ids, np.int64)[order]
+    out = np.zeros((widths, len(ids), len(ids)))
+    for r in blocks.toLocalIterator():
+        i, j = (order[np.searchsorted(known, np.frombuffer(r[c], np.int64))] for c in ("i", "j"))
+        out[:, i[:, None], j[None]] = np.frombuffer(r["k"]).reshape(widths, len(i), len(j))
+    return out
 
 
 def mirrored(lower: DataFrame) -> DataFrame:
@@ -169,13 +251,12 @@ def mirrored(lower: DataFrame) -> DataFrame:
 
 def kernel_predictions(train: DataFrame, query: DataFrame, kernel: Kernel, alpha: str = "alpha", id_col: str = "id", vec: str = "x") -> DataFrame:
     """(id, prediction): sum over training rows of alpha * k.  A block leaves one partial sum for each query row."""
-    pairs = _pairs(tiles(query, id_col, vec), tiles(train, id_col, vec, weight=alpha), False)
+    pairs = _pairs(tiles(query, id_col, vec), tiles(train, id_col, vec, weight=alpha))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[c]).reshape(r[n], -1) for c, n in (("a_x", "a_n"), ("b_x", "b_n")))
-                yield pa.RecordBatch.from_pydict({"id": np.frombuffer(r["a_ids"], np.int64), "p": kernel.block(a, b)[0] @ np.frombuffer(r["b_w"])})
+            for r in _tile_pairs(batch):
+                yield pa.RecordBatch.from_pydict({"id": r["a_ids"], "p": kernel.block(r["a_x"], r["b_x"])[0] @ r["b_w"]})
 
     return pairs.mapInArrow(run, "id long, p double").groupBy("id").agg(F.sum("p").alias("prediction"))
 
@@ -186,39 +267,69 @@ def dense(df: DataFrame, kernel: Kernel, ids: list[int], id_col: str = "id", vec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[c]).reshape(r[n], -1) for c, n in (("a_x", "a_n"), ("b_x", "b_n")))
-                yield pa.RecordBatch.from_pydict({"i": [r["a_ids"]], "j": [r["b_ids"]], "k": [np.stack(kernel.block(a, b)).tobytes()]})
-
-    place = {v: i for i, v in enumerate(ids)}
-    out = np.zeros((len(kernel.sigmas), len(ids), len(ids)))
-    for r in _pairs(t, t, False).mapInArrow(run, "i binary, j binary, k binary").toLocalIterator():
-        i, j = ([place[v] for v in np.frombuffer(r[c], np.int64).tolist()] for c in ("i", "j"))
-        out[:, np.array(i)[:, None], np.array(j)[None]] = np.frombuffer(r["k"]).reshape(len(kernel.sigmas), len(i), len(j))
-    return out
+            for r in _tile_pairs(batch):
+                yield pa.RecordBatch.from_pydict({"i": [r["a_ids"].tobytes()], "j": [r["b_ids"].tobytes()], "k": [np.stack(kernel.block(r["a_x"], r["b_x"])).tobytes()]})
+
+    return _gathered(_pairs(t, t).mapInArrow(run, "i binary, j binary, k binary"), ids, len(kernel.sigmas))
 
 
 def squared_distances(k: DataFrame) -> DataFrame:
-    """(i, j, sqdist): K_ii + K_jj - 2 K_ij from a full kernel."""
+    """(i, j, sqdist): K_ii + K_jj - 2 K_ij from any full kernel table."""
     diagonal = k.filter("i = j")
     di, dj = diagonal.select("i", F.col("k").alias("kii")), diagonal.select("j", F.col("k").alias("kjj"))
     return k.join(di, "i").join(dj, "j").select("i", "j", (F.col("kii") + F.col("kjj") - 2 * F.col("k")).alias("sqdist"))
 
 
+def _own(kernel: Kernel, x: np.ndarray) -> np.ndarray:
+    """Each row's kernel with itself."""
+    return np.full(len(x), kernel.of_distance(np.zeros(1), kernel.sigmas[0])[0])
+
+
+def rkhs_distances(a: DataFrame, kernel: Kernel, id_col: str = "id", vec: str = "x", tile: int = TILE) -> DataFrame:
+    """(i, j, sqdist) of a kernel of vectors: the diagonal is computed beside each block, which leaves distances and no kernel values."""
+    t = tiles(a, id_col, vec, size=tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _tile_pairs(batch):
+                d = _own(kernel, r["a_x"])[:, None] + _own(kernel, r["b_x"])[None] - 2 * kernel.block(r["a_x"], r["b_x"])[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r["a_ids"], len(r["b_ids"]))), pa.array(np.tile(r["b_ids"], len(r["a_ids"]))), pa.array(d.ravel())], names=["i", "j", "sqdist"])
+
+    return _pairs(t, t).mapInArrow(run, "i long, j long, sqdist double")
+
+
 def nearest(sqdist: DataFrame) -> DataFrame:
     """(i, j, sqdist) of the nearest other row; the smallest j of equals."""
     return sqdist.filter("i <> j").groupBy("i").agg(F.min(F.struct("sqdist", "j")).alias("m")).select("i", "m.j", "m.sqdist")
 
 
+def nearest_in_rkhs(a: DataFrame, kernel: Kernel, id_col: str = "id", vec: str = "x", tile: int = TILE, digits: int = 9) -> DataFrame:
+    """The same from the vectors: a block leaves one row for each of its rows.  Distances equal to ``digits`` places are ties."""
+    t = tiles(a, id_col, vec, size=tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _tile_pairs(batch):
+                order = np.argsort(r["b_ids"], kind="stable")
+                j = r["b_ids"][order]
+                d = np.round(_own(kernel, r["a_x"])[:, None] + _own(kernel, r["b_x"])[None] - 2 * kernel.block(r["a_x"], r["b_x"][order])[0], digits)
+                d[r["a_ids"][:, None] == j[None]] = np.inf
+                at = d.argmin(axis=1)
+                least = d[np.arange(len(at)), at]
+                use = np.isfinite(least)
+                yield pa.RecordBatch.from_pydict({"i": r["a_ids"][use], "j": j[at][use], "sqdist": least[use]})
+
+    return nearest(_pairs(t, t).mapInArrow(run, "i long, j long, sqdist double"))
+
+
 def max_pair_distance(df: DataFrame, metric: str, id_col: str = "id", vec: str = "x", tile: int = TILE) -> DataFrame:
     """(max_dist): the largest distance of all pairs; one number leaves each block."""
     ta = tiles(df, id_col, vec, size=tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[c]).reshape(r[n], -1) for c, n in (("a_x", "a_n"), ("b_x", "b_n")))
-                m = l1_block(a, b).max() if metric == "l1" else math.sqrt(l2sq_block(a, b).max())
+            for r in _tile_pairs(batch):
+                m = l1_block(r["a_x"], r["b_x"]).max() if metric == "l1" else math.sqrt(l2sq_block(r["a_x"], r["b_x"]).max())
                 yield pa.RecordBatch.from_pydict({"d": [float(m)]})
 
-    return _pairs(ta, ta, False).mapInArrow(run, "d double").agg(F.max("d").alias("max_dist"))
+    return _pairs(ta, ta).mapInArrow(run, "d double").agg(F.max("d").alias("max_dist"))

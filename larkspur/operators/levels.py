@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vector as V
+from . import solvers
 from .features import Signs, mapped
 from .statistics import component_moments, vector_sum
 
@@ -164,12 +165,120 @@ class Pipeline:
         return df
 
     def guess_sigmas(self, df: DataFrame) -> Pipeline:
-        """For each map from the inside out: sigma is the root of the summed variances of its input over the data set."""
+        """For each map from the inside out: sigma is the root of the summed variances of its input over the data set.  Rows are kept between maps, so each level runs once."""
+        done = 0
         for i, step in enumerate(self.steps):
             if step[0] == "map":
-                step[1].sigma = dispersion(self.run(df, i), "x") or 1.0
+                df = Pipeline(self.steps[done:i]).run(df).persist()
+                done = i
+                step[1].sigma = dispersion(df, "x") or 1.0
         return self
 
+    def maps(self) -> list[FeatureLevel]:
+        return [step[1] for step in self.steps if step[0] == "map"]
+
+
+@dataclass
+class MultilevelModel:
+    """Ridge regression on the features that a pipeline ends with.
+
+    Objects are the pipeline's base rows; what it leaves is (key, x).  Labels are (key, y).  With ``shift`` the labels' mean is taken off and added again.  Only Z'Z, Z'y and their number are gathered, so rows may come in parts.
+    """
+
+    pipeline: Pipeline
+    key: str
+    ratio: float = 1e-9
+    shift: bool = True
+
+    def features(self, objects: DataFrame) -> DataFrame:
+        return self.pipeline.run(objects).select(self.key, "x")
+
+    def rows(self, objects: DataFrame, labels: DataFrame) -> DataFrame:
+        return self.features(objects).join(labels.select(self.key, "y"), self.key)
+
+    def start(self) -> MultilevelModel:
+        self.g = self.r = None
+        self.yy, self.n = 0.0, 0
+        return self
+
+    def add(self, objects: DataFrame, labels: DataFrame) -> MultilevelModel:
+        """More training objects; what was added before stays."""
+        z = self.rows(objects, labels).withColumn("z", F.concat("x", F.array(F.lit(1.0))))  # a constant, so that the mean can be taken off at the end
+        g, r, yy, n = solvers.gramian(z, "z", "y")
+        if n:
+            self.g, self.r = (g, r) if self.g is None else (self.g + g, self.r + r)
+            self.yy, self.n = self.yy + yy, self.n + n
+        return self
+
+    def solve(self) -> MultilevelModel:
+        self.mean = float(self.r[-1] / self.n) if self.shift else 0.0
+        g, r = self.g[:-1, :-1], self.r[:-1] - self.mean * self.g[:-1, -1]
+        self.l2 = solvers.relative_l2(g, self.n, self.ratio)
+        self.alphas = solvers.cholesky_solve(g, r, max(self.l2, 1e-12 * float(np.trace(g)) / len(r)))
+        return self
+
+    def fit(self, objects: DataFrame, labels: DataFrame) -> MultilevelModel:
+        return self.start().add(objects, labels).solve()
+
+    def refit(self, objects: DataFrame, labels: DataFrame) -> MultilevelModel:
+        return self.add(objects, labels).solve()
+
+    def predict(self, objects: DataFrame) -> DataFrame:
+        """(key, prediction)."""
+        p = mapped(self.features(objects), "x", lambda x, a=self.alphas[:, None]: x @ a, [self.key], "p")
+        return p.select(self.key, (F.col("p")[0] + F.lit(self.mean)).alias("prediction"))
+
+    def loo(self, objects: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, leverage, err) of the training rows."""
+        z = self.rows(objects, labels).withColumn("y", F.col("y") - F.lit(self.mean))
+        return solvers.feature_loo_errors(z, "x", "y", self.g[:-1, :-1], self.r[:-1] - self.mean * self.g[:-1, -1], self.l2, [self.key])
+
+    def learning_curve(self, objects: DataFrame, labels: DataFrame, test: DataFrame, test_labels: DataFrame, sizes: list[int], most: int = 8) -> DataFrame:
+        """(size, mean, std) of the mean absolute error on the test objects over disjoint training subsets.  Features are made once; each subset adds up its own Gramian."""
+        from .ranking import learning_curve, learning_subsets
+
+        spark = objects.sparkSession
+        z, t = self.rows(objects, labels).persist(), self.rows(test, test_labels).persist()
+        subsets = learning_subsets(labels, self.key, sizes, most).persist()
+        errors = None
+        for size, subset in sorted((r["size"], r["subset"]) for r in subsets.select("size", "subset").distinct().collect()):  # at most ``most`` for each size
+            part = z.join(subsets.filter((F.col("size") == size) & (F.col("subset") == subset)).select(self.key), self.key)
+            g, r, _, n = solvers.gramian(part.withColumn("z", F.concat("x", F.array(F.lit(1.0)))), "z", "y")
+            one = MultilevelModel(self.pipeline, self.key, self.ratio, self.shift)
+            one.g, one.r, one.n = g, r, n
+            one.solve()
+            p = mapped(t, "x", lambda x, a=one.alphas[:, None]: x @ a, ["y"], "p")
+            e = p.select(F.lit(size).alias("size"), F.lit(subset).alias("subset"), (F.col("p")[0] + F.lit(one.mean) - F.col("y")).alias("err"))
+            errors = e if errors is None else errors.unionByName(e)
+        return learning_curve(errors if errors is not None else spark.createDataFrame([], "size int, subset int, err double"))
+
+    def optimise(self, objects: DataFrame, labels: DataFrame, rounds: int = 20, ratios: tuple[float, float] = (-20.0, 0.0)) -> MultilevelModel:
+        """Widths of the maps by normalised steepest descent in their logarithms, regularisation by a grid inside; the loss is the mean absolute leave-one-out error."""
+        from .models import descend
+
+        maps = self.pipeline.maps()
+
+        def loss() -> float:
+            return float(self.loo(objects, labels).agg(F.avg(F.abs("err"))).first()[0])
+
+        def value(x: np.ndarray) -> float:
+            for level, t in zip(maps, x, strict=True):
+                level.sigma = math.exp(t)
+            self.start().add(objects, labels)
+            got = []
+            for t in np.linspace(*ratios, 5):
+                self.ratio = math.exp(t)
+                self.solve()
+                got.append((loss(), self.ratio))
+            best, self.ratio = min(got)
+            return best
+
+        x = descend(value, np.log([level.sigma for level in maps]), rounds=rounds, delta=0.05, shortest=0.1)
+        value(x)
+        return self.solve()
+
+
+
 
 def dispersion(df: DataFrame, vec: str, weight: str | None = None) -> float:
     m = component_moments(df, vec, None if weight is None else F.abs(F.col(weight)))

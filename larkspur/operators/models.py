@@ -14,18 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import solvers
-from .features import Signs, random_features
-from .kernels import Kernel, dense, kernel_predictions, local_kernel_matrix
-from .statistics import dressed_atoms
-
-
-def square(k: DataFrame, ids: list[int]) -> np.ndarray:
-    """A kernel's rows as a matrix in the order of ids; for training sets, n x n numbers."""
-    place = {v: i for i, v in enumerate(ids)}
-    out = np.zeros((len(ids), len(ids)))
-    p = k.select("i", "j", "k").toPandas()
-    out[p["i"].map(place), p["j"].map(place)] = p["k"]
-    return out
+from .features import Signs, local_random_features, mapped, random_features
+from .kernels import Kernel, dense, kernel_predictions, local_dense, local_kernel_matrix
+from .statistics import dressed_atoms, element_counts
 
 
 @dataclass
@@ -126,7 +117,7 @@ class LocalKernelRidge(KernelRidge):
         if len(rows) > self.most:
             raise ValueError(f"more than {self.most} training molecules")
         self.ids, y = [r[0] for r in rows], np.array([r[1] for r in rows])
-        k = square(self.atom_matrix(atoms), self.ids)
+        k = local_dense(atoms, self.kernel, self.ids, z="z" if self.matched else None)
         self.l2 = self.ratio * float(np.mean(np.diag(k)))
         self.alphas, self.train = solvers.SOLVERS[self.solver](k, y, self.l2), atoms
         return self
@@ -181,8 +172,6 @@ class FeatureRidge:
     def predict(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         keep = keep or ["id"]
         a, p = self.alphas[:, None], self
-        from .features import mapped
-
         z = mapped(df, "x", lambda x: p.params.map(x if p.reductor is None else x @ p.reductor, p.sigma) @ a, keep)
         return z.select(*keep, (F.col("z")[0] + F.lit(self.mean)).alias("prediction"))
 
@@ -208,18 +197,107 @@ class FeatureRidge:
         """keep, d2: l2 z'(Z'Z + l2)^-1 z, how far a row lies from what was trained."""
         d = self.params.features
         inv = np.linalg.inv(self.g[:d, :d] + self.l2 * np.eye(d)) * self.l2
-        from .features import mapped
-
         z = mapped(df, "x", lambda x: (lambda zz: ((zz @ inv) * zz).sum(axis=1)[:, None])(self.params.map(x if self.reductor is None else x @ self.reductor, self.sigma)), keep)
         return z.select(*keep, F.greatest(F.lit(0.0), F.col("z")[0]).alias("d2"))
 
 
+@dataclass
+class LocalFeatureRidge(FeatureRidge):
+    """Feature ridge over molecules of atoms, with parameters (and reductors) of each element: rows (id, z, x) with labels (id, y) apart; dressed-atom shift."""
+
+    elements: dict[int, Signs] | None = None
+    reductors: dict[int, np.ndarray] | None = None
+
+    def molecule_features(self, atoms: DataFrame) -> DataFrame:
+        """(id, z): sums over atoms."""
+        return local_random_features(atoms, "id", "z", "x", self.elements, self.sigma, self.reductors)
+
+    def _base(self, counts: DataFrame):
+        return sum((F.col(f"n_{e}") * float(c) for e, c in zip(sorted(self.elements), self.coefficients, strict=True)), F.lit(0.0))
+
+    def fit_atoms(self, atoms: DataFrame, labels: DataFrame) -> LocalFeatureRidge:
+        counts = element_counts(atoms, "id", "z", sorted(self.elements)).join(labels, "id")
+        names = [f"n_{e}" for e in sorted(self.elements)]
+        self.coefficients = dressed_atoms(counts, names, "y", intensive=False) if self.shift else np.zeros(len(names))
+        rows = self.molecule_features(atoms).join(counts.select("id", (F.col("y") - self._base(counts)).alias("y")), "id")
+        self.g, self.r, self.yy, self.n = solvers.gramian(rows, "z", "y")
+        self.mean = 0.0
+        self.l2 = solvers.relative_l2(self.g, self.n, self.ratio)
+        self.alphas = solvers.cholesky_solve(self.g, self.r, max(self.l2, 1e-12 * float(np.trace(self.g)) / max(1, len(self.r))))
+        return self
+
+    def predict_atoms(self, atoms: DataFrame) -> DataFrame:
+        """(id, prediction)."""
+        counts = element_counts(atoms, "id", "z", sorted(self.elements))
+        p = mapped(self.molecule_features(atoms), "z", lambda z, a=self.alphas[:, None]: z @ a, ["id"], "p")
+        return p.join(counts, "id").select("id", (F.col("p")[0] + self._base(counts)).alias("prediction"))
+
+
+def fold_objective(k: np.ndarray, y: np.ndarray, ids: list, folds: DataFrame, key: str, ratio: float) -> float:
+    """-1 / the mean over folds of the mean absolute error on a fold's test rows (0 where a system is singular), from a training kernel in the order of ``ids``.
+
+    folds: (key, fold, train), as :func:`ranking.folds` draws them.
+    """
+    from .selection import fold_mae
+
+    place = {v: i for i, v in enumerate(ids)}
+    got: dict[int, tuple[list[int], list[int]]] = {}
+    for r in folds.select(key, "fold", "train").collect():  # folds times training rows, whose kernel is here already
+        got.setdefault(r["fold"], ([], []))[0 if r["train"] else 1].append(place[r[key]])
+    return fold_mae(k, y, [(np.array(sorted(a), int), np.array(sorted(b), int)) for a, b in got.values()], ratio * float(np.mean(np.diag(k))))
+
+
+def local_fold_objective(atoms: DataFrame, labels: DataFrame, kernel: Kernel, folds: DataFrame, ratio: float = 1e-6, matched: bool = True, most: int = 10_000) -> float:
+    """The same of a local kernel of molecules (id, z, x) and labels (id, y)."""
+    rows = labels.select("id", "y").orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} training molecules")
+    ids, y = [r["id"] for r in rows], np.array([r["y"] for r in rows], float)
+    return fold_objective(local_dense(atoms, kernel, ids, z="z" if matched else None), y, ids, folds, "id", ratio)
+
+
+def feature_fold_objective(rows: DataFrame, folds: DataFrame, key: str, ratio: float = 1e-6) -> float:
+    """The same of feature rows (key, z, y): a Gramian for each fold, added up on the executors, and one pass for the errors."""
+    total, folded = 0.0, [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    for f in folded:
+        part = rows.join(folds.filter(F.col("fold") == f).select(key, "train"), key)
+        g, r, _, n = solvers.gramian(part.filter("train"), "z", "y")
+        try:
+            a = solvers.cholesky_solve(g, r, solvers.relative_l2(g, n, ratio))
+        except np.linalg.LinAlgError:
+            return 0.0
+        p = mapped(part.filter("not train"), "z", lambda z, a=a[:, None]: z @ a, ["y"], "p")
+        total += p.agg(F.avg(F.abs(F.col("p")[0] - F.col("y")))).first()[0]
+    return -len(folded) / total if total > 0 else 0.0
+
+
 def uncertainty_targets(errors: DataFrame, logs: bool = False) -> DataFrame:
     """From (err, d2) what a second model is fitted to: |err| / d2, or its logarithm."""
     t = F.abs("err") / F.greatest(F.col("d2"), F.lit(1e-300))
     return errors.withColumn("y", F.log(F.greatest(t, F.lit(1e-300))) if logs else t)
 
 
+@dataclass
+class Uncertainty:
+    """A second model of a first one's errors: |err| over the distance from the training plane, or its logarithm, by features; predictions are scaled by the distance again."""
+
+    model: FeatureRidge
+    second: FeatureRidge
+    logs: bool = False
+
+    def fit(self, df: DataFrame) -> Uncertainty:
+        """df: id, x, y, rows the first model knows; its leave-one-out errors are what is learned."""
+        errors = self.model.loo(df, ["id"]).select("id", "err").join(self.model.plane_distances(df, ["id"]), "id")
+        self.second.fit(uncertainty_targets(errors, self.logs).join(df.select("id", "x"), "id"))
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(id, uncertainty)."""
+        p = self.second.predict(df).join(self.model.plane_distances(df, ["id"]), "id")
+        ratio = F.exp("prediction") if self.logs else F.abs("prediction")
+        return p.select("id", (ratio * F.col("d2")).alias("uncertainty"))
+
+
 def kernel_learning_curve(k: np.ndarray, y: np.ndarray, k_test: np.ndarray, y_test: np.ndarray, subsets: dict[int, list[list[int]]], l2: float) -> dict[int, tuple[float, float]]:
     """Mean and population deviation of the mean absolute error over disjoint subsets, from given kernels (train x train, train x test)."""
     out = {}

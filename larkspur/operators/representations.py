@@ -42,9 +42,55 @@ def represented(mols: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarra
     return mols.select(F.col("mol").cast("long"), "atoms").mapInArrow(run, ddl)
 
 
+def represented_many(mols: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], local: bool, most: int = 1 << 18) -> DataFrame:
+    """The same by f(charges (m, n), coordinates (m, n, 3)) of many molecules of one size at a time: (m, features), or (m, n, features) if ``local``.
+
+    most: so many triples of atoms, about, go into one call.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("atoms")
+            at, flat = col.offsets.to_numpy(), col.flatten()
+            at = at - at[0]
+            field = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
+            z, r = field("z").astype(np.int64), np.stack([field(k) for k in "xyc"], axis=1) if len(flat) else np.empty((0, 3))
+            mol, atom, sizes = b.column("mol").to_numpy(), field("atom"), np.diff(at)
+            for n in np.unique(sizes[sizes > 0]):
+                same, step = np.flatnonzero(sizes == n), max(1, most // int(n) ** 3)
+                for lo in range(0, len(same), step):
+                    which = same[lo : lo + step]
+                    rows = at[which][:, None] + np.arange(n)
+                    x = f(z[rows], r[rows])
+                    x = x.reshape(-1, x.shape[-1])
+                    ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+                    vectors = pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
+                    if local:
+                        flat_rows = rows.ravel()
+                        cols = {"mol": np.repeat(mol[which], n), "atom": atom[flat_rows], "z": pa.array(z[flat_rows], pa.int32()), "x": vectors}
+                    else:
+                        cols = {"mol": mol[which], "x": vectors}
+                    yield pa.RecordBatch.from_pydict(cols)
+
+    ddl = "mol long, atom long, z int, x array<double>" if local else "mol long, x array<double>"
+    return mols.select(F.col("mol").cast("long"), "atoms").mapInArrow(run, ddl)
+
+
+def added_up(values: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """(size, width) sums of the rows of ``values`` by key: sorted, then added stretch by stretch."""
+    out = np.zeros((size, values.shape[1]))
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        out[k[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 def distances(r: np.ndarray) -> np.ndarray:
-    d = r[:, None] - r[None]
-    return np.sqrt((d * d).sum(axis=2))
+    """Of one molecule (n, 3) or of many of one size (m, n, 3)."""
+    d = r[..., :, None, :] - r[..., None, :, :]
+    return np.sqrt((d * d).sum(axis=-1))
 
 
 def cosines(ab, ac, bc):
@@ -52,18 +98,25 @@ def cosines(ab, ac, bc):
     return (ab * ab + ac * ac - bc * bc) / (2 * ab * ac)
 
 
-def coulomb(z: np.ndarray, r: np.ndarray, size: int = 29) -> np.ndarray:
-    d = distances(r)
-    np.fill_diagonal(d, 1)
-    c = np.outer(z, z) / d
-    np.fill_diagonal(c, 0.5 * z**2.4)
-    order = np.argsort(-(c * c).sum(axis=1), kind="stable")
-    out = np.zeros(size * (size + 1) // 2)
-    tri = c[np.ix_(order, order)][np.tril_indices(len(z))]
-    out[: len(tri)] = tri
+def coulomb_many(z: np.ndarray, r: np.ndarray, size: int = 29) -> np.ndarray:
+    """Lower triangles by rows, atoms by falling row norm (to nine places, then as given), zero-padded."""
+    m, n = z.shape
+    d, own = distances(r), np.arange(n)
+    d[:, own, own] = 1
+    c = z[:, :, None] * z[:, None, :] / d
+    c[:, own, own] = 0.5 * z**2.4
+    order = np.argsort(-np.round((c * c).sum(axis=2), 9), axis=1, kind="stable")
+    c = np.take_along_axis(np.take_along_axis(c, order[:, :, None], 1), order[:, None, :], 2)
+    i, j = np.tril_indices(n)
+    out = np.zeros((m, size * (size + 1) // 2))
+    out[:, : len(i)] = c[:, i, j][:, : out.shape[1]]
     return out
 
 
+def coulomb(z: np.ndarray, r: np.ndarray, size: int = 29) -> np.ndarray:
+    return coulomb_many(z[None], r[None], size)[0]
+
+
 # SLATM
 
 
@@ -72,88 +125,110 @@ def slatm_grids(rcut: float, dgrids, r0: float = 0.1) -> tuple[np.ndarray, np.nd
     return np.linspace(r0, rcut, int((rcut - r0) / dgrids[0]) + 1), np.linspace(-edge, math.pi + edge, int((math.pi + 2 * edge) / dgrids[1]) + 1)
 
 
-def slatm(z: np.ndarray, r: np.ndarray, types: list[tuple[int, ...]], local: bool = False, sigmas=(0.05, 0.05), dgrids=(0.03, 0.03), rcut: float = 4.8, alchemy: bool = False, power: int = 6) -> np.ndarray:
-    """Spectrum of one-, two- and three-body terms, of the molecule or of each atom (two-body terms halved)."""
-    n, d = len(z), distances(r)
+def slatm_many(z: np.ndarray, r: np.ndarray, types: list[tuple[int, ...]], local: bool = False, sigmas=(0.05, 0.05), dgrids=(0.03, 0.03), rcut: float = 4.8, alchemy: bool = False, power: int = 6) -> np.ndarray:
+    """Spectrum of one-, two- and three-body terms of many molecules of one size, of the molecule (m, size) or of each atom (m, n, size; two-body terms halved)."""
+    (m, n), d = z.shape, distances(r)
     xs, angles = slatm_grids(rcut, dgrids)
-    rows, blocks = (n if local else 1), {1: [], 2: [], 3: []}
+    rows = m * n if local else m
+    row = (lambda mol, atom: mol * n + atom) if local else (lambda mol, _atom: mol)
     two = 1 / math.sqrt(2 * math.pi * sigmas[0] ** 2) * dgrids[0] / xs**power
     three = dgrids[1] / math.sqrt(2 * math.pi * sigmas[1] ** 2) / 3
+    twos, threes = [t for t in types if len(t) == 2], [t for t in types if len(t) == 3]
+    blocks: list[list[np.ndarray]] = [[], [], []]
     for t in types:
         if len(t) == 1:
             hit = (z == t[0]).astype(float)
-            blocks[1].append(t[0] * (hit if local else hit.sum(keepdims=True))[:, None])
-            continue
-        if len(t) == 2:
-            i, j = np.nonzero((z[:, None] == t[0]) & (z[None] == t[1]) & (d < rcut) & ~np.eye(n, dtype=bool))
-            if t[0] == t[1]:
-                i, j = i[i < j], j[i < j]
-            v = t[0] * t[1] * two * np.exp(-((xs - d[i, j][:, None]) ** 2) / (2 * sigmas[0] ** 2))
-            out = np.zeros((rows, len(xs)))
-            if local:
-                np.add.at(out, i, v / 2)
-                np.add.at(out, j, v / 2)
-            else:
-                out[0] = v.sum(axis=0)
-            blocks[2].append(out)
-            continue
-        near = (d > 0) & ((d < rcut) if local else (d <= rcut))
-        i, j, k = np.nonzero((z == t[0])[:, None, None] & (z == t[1])[None, :, None] & (z == t[2])[None, None] & near[:, :, None] & near[:, None, :] & near[None])
-        if t[0] == t[2]:
-            keep = i < k
-            i, j, k = i[keep], j[keep], k[keep]
-        ij, ik, jk = d[i, j], d[i, k], d[j, k]
-        middle = np.arccos(np.clip(cosines(ij, jk, ik), -1, 1))
-        ends = cosines(ik, jk, ij) * cosines(ij, ik, jk)
-        v = t[0] * t[1] * t[2] * three / ((ij * ik * jk) ** 3)[:, None] * (1 + np.cos(angles) * ends[:, None]) * np.exp(-((angles - middle[:, None]) ** 2) / (2 * sigmas[1] ** 2))
-        out = np.zeros((rows, len(angles)))
-        if local:
-            np.add.at(out, j, v)
-        else:
-            out[0] = v.sum(axis=0)
-        blocks[3].append(out)
-    if alchemy:
-        parts = [sum(b) for b in blocks.values() if b]
+            blocks[0].append(t[0] * (hit.reshape(-1, 1) if local else hit.sum(axis=1, keepdims=True)))
+    # all pairs once, all triples of a middle and two ends once; each goes to its type's place
+    top = int(z.max(initial=0)) + 1
+    pair_place = {t: k for k, t in enumerate(twos)}
+    b, i, j = np.nonzero((d < rcut) & np.triu(np.ones((n, n), bool), 1)[None])
+    lo, hi = np.minimum(z[b, i], z[b, j]), np.maximum(z[b, i], z[b, j])
+    kind = _places({(min(t), max(t)): k for t, k in pair_place.items()}, lo * top + hi, top)
+    b, i, j, lo, hi, kind = (v[kind >= 0] for v in (b, i, j, lo, hi, kind))
+    v = (lo * hi)[:, None] * two * np.exp(-((xs - d[b, i, j][:, None]) ** 2) / (2 * sigmas[0] ** 2))
+    if local:
+        both = added_up(np.concatenate((v, v)) / 2, np.concatenate((row(b, i), row(b, j))) * max(1, len(twos)) + np.concatenate((kind, kind)), rows * max(1, len(twos)))
     else:
-        parts = [x for b in blocks.values() for x in b]
+        both = added_up(v, row(b, i) * max(1, len(twos)) + kind, rows * max(1, len(twos)))
+    both = both.reshape(rows, -1, len(xs))
+    blocks[1] = [both[:, k] for k in range(len(twos))]
+    near = (d > 0) & ((d < rcut) if local else (d <= rcut))
+    b, i, j, k = np.nonzero(near[:, :, :, None] & near[:, :, None, :] & near[:, None] & np.triu(np.ones((n, n), bool), 1)[None, :, None, :])  # ends i < k, middle j
+    first, last = np.minimum(z[b, i], z[b, k]), np.maximum(z[b, i], z[b, k])
+    kind = _places({(min(t[0], t[2]), t[1], max(t[0], t[2])): p for p, t in enumerate(threes)}, (first * top + z[b, j]) * top + last, top)
+    b, i, j, k, kind = (v[kind >= 0] for v in (b, i, j, k, kind))
+    ij, ik, jk = d[b, i, j], d[b, i, k], d[b, j, k]
+    middle = np.arccos(np.clip(cosines(ij, jk, ik), -1, 1))
+    ends = cosines(ik, jk, ij) * cosines(ij, ik, jk)
+    weight = z[b, i] * z[b, j] * z[b, k] * three / (ij * ik * jk) ** 3
+    v = weight[:, None] * (1 + np.cos(angles) * ends[:, None]) * np.exp(-((angles - middle[:, None]) ** 2) / (2 * sigmas[1] ** 2))
+    all3 = added_up(v, row(b, j) * max(1, len(threes)) + kind, rows * max(1, len(threes))).reshape(rows, -1, len(angles))
+    blocks[2] = [all3[:, p] for p in range(len(threes))]
+    parts = [sum(x) for x in blocks if x] if alchemy else [x for k in blocks for x in k]
     out = np.concatenate(parts, axis=1) if parts else np.zeros((rows, 0))
-    return out if local else out[0]
+    return out.reshape(m, n, -1) if local else out
+
+
+def _places(known: dict[tuple[int, ...], int], code: np.ndarray, top: int) -> np.ndarray:
+    """The place of each code among the known tuples, -1 for others."""
+    if not known:
+        return np.full(len(code), -1)
+    codes = {k: p for t, p in known.items() if max(t) < top for k in [sum(v * top ** (len(t) - 1 - q) for q, v in enumerate(t))]}
+    keys = np.array(sorted(codes), np.int64)
+    if not len(keys):
+        return np.full(len(code), -1)
+    places = np.array([codes[k] for k in keys.tolist()])
+    at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+    return np.where(keys[at] == code, places[at], -1)
+
+
+def slatm(z: np.ndarray, r: np.ndarray, types: list[tuple[int, ...]], local: bool = False, **how) -> np.ndarray:
+    """Of one molecule: (size,), or (atoms, size) if ``local``."""
+    return slatm_many(z[None], r[None], types, local, **how)[0]
 
 
 # FCHL19
 
 
-def fchl19(
+def fchl19_many(
     z: np.ndarray, r: np.ndarray, elements=(1, 6, 7, 8, 16), n2: int = 24, n3: int = 20, fourier: int = 1, eta2: float = 0.32, eta3: float = 2.7, zeta: float = math.pi,
     rcut: float = 8.0, acut: float = 8.0, decay2: float = 1.8, decay3: float = 0.57, weight3: float = 13.4,
 ) -> np.ndarray:
-    """(atoms, features): radial terms for each element, then radial-angular terms for each pair of elements p <= q in the order of a triangle."""
-    n, ne = len(z), len(elements)
-    kind = np.array([list(elements).index(int(c)) for c in z])
+    """(m, n, features) of many molecules of one size: radial terms for each element, then radial-angular terms for each pair of elements p <= q in the order of a triangle."""
+    (m, n), ne = z.shape, len(elements)
+    known = np.array(sorted(elements))
+    found = np.minimum(np.searchsorted(known, z), ne - 1)
+    if (known[found] != z).any():
+        raise ValueError(f"elements {sorted(set(z.ravel().tolist()) - set(elements))} are not among those of the representation")
+    kind = np.array([list(elements).index(e) for e in known.tolist()])[found]
     grid2, grid3 = np.linspace(0, rcut, n2 + 1)[1:], np.linspace(0, acut, n3 + 1)[1:]
-    out = np.zeros((n, ne * n2 + ne * (ne + 1) * n3 * fourier))
-    d = distances(r)
+    d, others = distances(r), ~np.eye(n, dtype=bool)[None]
     cut = lambda x, c: 0.5 * (np.cos(np.pi * x / c) + 1)
-    i, j = np.nonzero(~np.eye(n, dtype=bool) & (d <= rcut))
-    x = d[i, j][:, None]
+    b, i, j = np.nonzero(others & (d <= rcut))
+    x = d[b, i, j][:, None]
     s2 = np.log(1 + eta2 / x**2)
     radial = cut(x, rcut) / (np.sqrt(2 * np.pi * s2) * grid2) * np.exp(-((np.log(grid2) - np.log(x / np.sqrt(1 + eta2 / x**2))) ** 2) / (2 * s2)) / x**decay2
-    np.add.at(out, (i[:, None], kind[j][:, None] * n2 + np.arange(n2)), radial)
-    near = ~np.eye(n, dtype=bool) & (d <= acut)
-    i, j, k = np.nonzero(near[:, :, None] & near[:, None, :] & np.triu(np.ones((n, n), bool), 1)[None])
-    if len(i):
-        ij, ik, jk = d[i, j], d[i, k], d[j, k]
-        c1 = cosines(ij, ik, jk)
-        angle = np.arccos(np.clip(c1, -1, 1))
-        strength = math.sqrt(eta3 / math.pi) * weight3 * (1 + 3 * c1 * cosines(ij, jk, ik) * cosines(ik, jk, ij)) / (ij * ik * jk) ** decay3
-        shell = np.exp(-eta3 * ((ij + ik)[:, None] / 2 - grid3) ** 2) * (cut(ij, acut) * cut(ik, acut) * strength)[:, None]
-        odd = 2 * np.arange(fourier) + 1
-        waves = np.stack((np.cos(odd * angle[:, None]), np.sin(odd * angle[:, None])), axis=2) * (2 * np.exp(-((zeta * odd) ** 2) / 2))[:, None]
-        terms = (shell[:, :, None] * waves.reshape(len(i), 1, 2 * fourier)).reshape(len(i), -1)
-        p, q = np.minimum(kind[j], kind[k]), np.maximum(kind[j], kind[k])
-        start = ne * n2 + n3 * 2 * fourier * (q + ne * p - p * (p + 1) // 2)
-        np.add.at(out, (i[:, None], start[:, None] + np.arange(terms.shape[1])), terms)
-    return out
+    first = added_up(radial, (b * n + i) * ne + kind[b, j], m * n * ne).reshape(m, n, ne * n2)
+    near = others & (d <= acut)
+    b, i, j, k = np.nonzero(near[:, :, :, None] & near[:, :, None, :] & np.triu(np.ones((n, n), bool), 1)[None, None])
+    ij, ik, jk = d[b, i, j], d[b, i, k], d[b, j, k]
+    c1 = cosines(ij, ik, jk)
+    angle = np.arccos(np.clip(c1, -1, 1))
+    strength = math.sqrt(eta3 / math.pi) * weight3 * (1 + 3 * c1 * cosines(ij, jk, ik) * cosines(ik, jk, ij)) / (ij * ik * jk) ** decay3
+    shell = np.exp(-eta3 * ((ij + ik)[:, None] / 2 - grid3) ** 2) * (cut(ij, acut) * cut(ik, acut) * strength)[:, None]
+    odd = 2 * np.arange(fourier) + 1
+    waves = np.stack((np.cos(odd * angle[:, None]), np.sin(odd * angle[:, None])), axis=2) * (2 * np.exp(-((zeta * odd) ** 2) / 2))[:, None]
+    terms = (shell[:, :, None] * waves.reshape(len(i), 1, 2 * fourier)).reshape(len(i), n3 * 2 * fourier)
+    p, q = np.minimum(kind[b, j], kind[b, k]), np.maximum(kind[b, j], kind[b, k])
+    pairs = ne * (ne + 1) // 2
+    second = added_up(terms, (b * n + i) * pairs + q + ne * p - p * (p + 1) // 2, m * n * pairs).reshape(m, n, pairs * n3 * 2 * fourier)
+    return np.concatenate((first, second), axis=2)
+
+
+def fchl19(z: np.ndarray, r: np.ndarray, **how) -> np.ndarray:
+    """(atoms, features) of one molecule."""
+    return fchl19_many(z[None], r[None], **how)[0]
 
 
 def numeric_gradient(f: Callable[[np.ndarray], np.ndarray], r: np.ndarray, step: float = 1e-4) -> np.ndarray:
@@ -225,29 +300,33 @@ def default_convolutions(rstep: float = 0.0008, rcut: float = 10.0, astep: float
     return convolutions(*grids, **how)
 
 
-def cmbdf(z: np.ndarray, r: np.ndarray, tables: tuple[np.ndarray, np.ndarray], rcut: float = 10.0, n_atm: float = 2.0) -> np.ndarray:
-    """(atoms, features): sums over partners of tabulated two- and three-body weights."""
+def cmbdf_many(z: np.ndarray, r: np.ndarray, tables: tuple[np.ndarray, np.ndarray], rcut: float = 10.0, n_atm: float = 2.0) -> np.ndarray:
+    """(m, n, features) of many molecules of one size: sums over partners of tabulated two- and three-body weights."""
     radial, angular = tables
-    n, d = len(z), distances(r)
+    (m, n), d = z.shape, distances(r)
     nr, na = radial.shape[0] * radial.shape[1], angular.shape[0] * angular.shape[1]
-    out = np.zeros((n, nr + na))
-    i, j = np.nonzero(np.triu((d > 0) & (d < rcut), 1))
-    v = (radial.reshape(nr, -1)[:, (d[i, j] / (rcut / radial.shape[2])).astype(int)] * np.sqrt(z[i] * z[j])).T
-    for a in (i, j):
-        np.add.at(out[:, :nr], a, v)
-    near = (d > 0) & (d < rcut)
-    i, j, k = np.nonzero(near[:, :, None] & near[:, None, :] & np.triu(np.ones((n, n), bool), 1)[None] & (np.arange(n)[:, None, None] < np.arange(n)[None, :, None]))
-    if len(i):
-        ij, ik, jk = d[i, j], d[i, k], d[j, k]
-        cos = [np.clip(c, -1, 1) for c in (cosines(ij, ik, jk), cosines(ij, jk, ik), cosines(ik, jk, ij))]
-        pref = np.cbrt(z[i] * z[j] * z[k]) / (ij * ik * jk) ** n_atm
-        flat = angular.reshape(na, -1)
-        first = np.arange(na) % angular.shape[1] == 0
-        for at, c, others in ((i, cos[0], cos[1] * cos[2]), (j, cos[1], cos[0] * cos[2]), (k, cos[2], cos[0] * cos[1])):
-            place = np.minimum((np.arccos(c) / (math.pi / flat.shape[1])).astype(int), flat.shape[1] - 1)
-            v = flat[:, place] * pref * np.where(first[:, None], others, 1.0)
-            np.add.at(out[:, nr:], at, 2 * v.T)  # a triple stands for both orders of the partners
-    return out
+    near, above = (d > 0) & (d < rcut), np.triu(np.ones((n, n), bool), 1)
+    b, i, j = np.nonzero(near & above[None])
+    v = (radial.reshape(nr, -1)[:, (d[b, i, j] / (rcut / radial.shape[2])).astype(int)] * np.sqrt(z[b, i] * z[b, j])).T
+    first = added_up(np.concatenate((v, v)), np.concatenate((b * n + i, b * n + j)), m * n)
+    b, i, j, k = np.nonzero(near[:, :, :, None] & near[:, :, None, :] & (above[None, :, :] & above[:, :, None])[None])  # i < j < k
+    ij, ik, jk = d[b, i, j], d[b, i, k], d[b, j, k]
+    cos = [np.clip(c, -1, 1) for c in (cosines(ij, ik, jk), cosines(ij, jk, ik), cosines(ik, jk, ij))]
+    pref = np.cbrt(z[b, i] * z[b, j] * z[b, k]) / (ij * ik * jk) ** n_atm
+    flat = angular.reshape(na, -1)
+    leading = np.arange(na) % angular.shape[1] == 0
+    values, keys = [np.empty((0, na))], [np.empty(0, np.int64)]
+    for at, c, others in ((i, cos[0], cos[1] * cos[2]), (j, cos[1], cos[0] * cos[2]), (k, cos[2], cos[0] * cos[1])):
+        place = np.minimum((np.arccos(c) / (math.pi / flat.shape[1])).astype(int), flat.shape[1] - 1)
+        values.append(2 * (flat[:, place] * pref * np.where(leading[:, None], others, 1.0)).T)  # a triple stands for both orders of the partners
+        keys.append(b * n + at)
+    second = added_up(np.concatenate(values), np.concatenate(keys), m * n)
+    return np.concatenate((first, second), axis=1).reshape(m, n, nr + na)
+
+
+def cmbdf(z: np.ndarray, r: np.ndarray, tables: tuple[np.ndarray, np.ndarray], rcut: float = 10.0, n_atm: float = 2.0) -> np.ndarray:
+    """(atoms, features) of one molecule."""
+    return cmbdf_many(z[None], r[None], tables, rcut, n_atm)[0]
 
 
 def bagged(z: np.ndarray, x: np.ndarray, sizes: dict[int, int]) -> np.ndarray:

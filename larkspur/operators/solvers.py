@@ -181,6 +181,42 @@ def feature_loo_errors(df: DataFrame, z: str, y: str, g: np.ndarray, r: np.ndarr
     return rows.mapInArrow(run, ddl)
 
 
+def feature_loo_derivative(df: DataFrame, z: str, dz: str, y: str, g: np.ndarray, r: np.ndarray, l2: float, keep: list[str]) -> DataFrame:
+    """keep, err, derr: leave-one-out errors and their derivative by a hyperparameter that moves the features by ``dz``.
+
+    With A = Z'Z + l2 and alpha = A^-1 Z'y, the rows' part is local once Z'dZ and dZ'(y - Z alpha) are known: one pass adds these up, a second gives the rows.
+    """
+    d = len(r)
+    inverse = np.linalg.inv(g + l2 * np.eye(d))
+    alpha = inverse @ r
+    rows = df.select(*keep, F.col(z).cast("array<double>").alias("_z"), F.col(dz).cast("array<double>").alias("_dz"), F.col(y).cast("double").alias("_y"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, v = np.zeros((d, d)), np.zeros(d)
+        for b in batches:
+            if b.num_rows:
+                zz, dd = _vectors(b, "_z"), _vectors(b, "_dz")
+                m += zz.T @ dd
+                v += dd.T @ (b.column("_y").to_numpy() - zz @ alpha)
+        yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "g": [m.ravel()], "r": [v], "yy": [0.0], "n": [0]})
+
+    got = add_parts(rows.mapInArrow(sums, "d int, g array<double>, r array<double>, yy double, n long")).first()
+    m, v = np.array(got["g"]).reshape(d, d), np.array(got["r"])
+    push, turn = inverse @ (v - m @ alpha), inverse @ m @ inverse
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                zz, dd, y_ = _vectors(b, "_z"), _vectors(b, "_dz"), b.column("_y").to_numpy()
+                left = 1 - ((zz @ inverse) * zz).sum(axis=1)
+                dh = 2 * ((dd @ inverse) * zz).sum(axis=1) - 2 * ((zz @ turn) * zz).sum(axis=1)
+                err = (zz @ alpha - y_) / left
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(err), pa.array((dd @ alpha + zz @ push) / left + err * dh / left)], names=[*keep, "err", "derr"])
+
+    ddl = ", ".join([*(f"`{n}` {t}" for n, t in df.select(*keep).dtypes), "err double", "derr double"])
+    return rows.mapInArrow(run, ddl)
+
+
 def grid_minimum(f, low: float, high: float, points: int = 32, refine: int = 40) -> tuple[float, float]:
     """The least value of f on a grid, then golden sections around it; points where f is None or not finite are left out."""
 

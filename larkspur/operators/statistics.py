@@ -89,6 +89,62 @@ def self_consistent(df: DataFrame, e: str, c: float, term, tol: float = 1e-12, r
     return (low + high) / 2
 
 
+#: Each term's derivative by the error, for terms with a width d.
+DERIVATIVES = {
+    "mae": lambda e, d: F.signum(e),
+    "mse": lambda e, d: 2 * e,
+    "huber": lambda e, d: F.when(F.abs(e) < 2 * d, e / (2 * d)).otherwise(F.signum(e)),
+    "logcosh": lambda e, d: F.tanh(e * (LN2 / d)),
+}
+TERMS = {"mae": lambda e, d: F.abs(e), "mse": lambda e, d: e * e, "huber": huber_term, "logcosh": lambda e, d: logcosh_term(e, d)}
+
+
+def loss_gradients(df: DataFrame, e: str, kind: str, by: list[str], delta: float | None = None, squared: bool = False) -> DataFrame:
+    """All columns, the group's ``loss`` and its derivative by each error, ``gradient``.  kind: mae, mse, rmse, huber or logcosh; squared: of the loss's square."""
+    base = "mse" if kind == "rmse" else kind
+    err, d = F.col(e), None if delta is None else F.lit(float(delta))
+    totals = df.groupBy(*by).agg(F.avg(TERMS[base](err, d)).alias("loss"), F.count(e).alias("_n"))
+    out = df.join(totals, by).withColumn("gradient", DERIVATIVES[base](err, d) / F.col("_n"))
+    if kind == "rmse":
+        out = out.withColumn("loss", F.sqrt("loss")).withColumn("gradient", F.when(F.col("loss") > 0, F.col("gradient") / (2 * F.col("loss"))).otherwise(0.0))
+    return _squared(out.drop("_n")) if squared else out.drop("_n")
+
+
+def _squared(df: DataFrame) -> DataFrame:
+    return df.withColumn("gradient", 2 * F.col("loss") * F.col("gradient")).withColumn("loss", F.col("loss") * F.col("loss"))
+
+
+def self_consistent_gradients(df: DataFrame, e: str, losses: DataFrame, by: list[str], c: float, kind: str = "huber", squared: bool = False) -> DataFrame:
+    """The same for L = term(e; c L), from each group's solved ``losses`` (by, loss).
+
+    The mean term f is homogeneous: f(t e; t d) = t f(e; d), so its derivative by d follows from those by the errors, and dL/de_i = L f_i / sum e_j f_j.
+    """
+    d = F.col("loss") * c
+    err = F.col(e)
+    at = df.join(losses.select(*by, "loss"), by).withColumn("_f", F.when(F.col("loss") > 0, DERIVATIVES[kind](err, d)).otherwise(0.0))
+    sums = at.groupBy(*by).agg(F.sum(err * F.col("_f")).alias("_s"))
+    out = at.join(sums, by).withColumn("gradient", F.when(F.col("_s") > 0, F.col("loss") * F.col("_f") / F.col("_s")).otherwise(0.0)).drop("_f", "_s")
+    return _squared(out) if squared else out
+
+
+def self_consistent_by(df: DataFrame, e: str, c: float, by: list[str], kind: str = "logcosh", rounds: int = 60) -> DataFrame:
+    """(by, loss) with loss = mean term(e; c loss) in each group: bisection of all groups at once, one aggregation a round."""
+    term = TERMS[kind]
+    state = df.groupBy(*by).agg(F.avg(F.abs(F.col(e))).alias("_high")).withColumn("_low", F.lit(0.0))
+    rows = df.select(*by, F.col(e).alias("_e")).filter("_e is not null")
+    errors = rows.groupBy(*by).agg(F.collect_list("_e").alias("_es")).join(state, by)
+
+    def step(s):
+        mid = (s["low"] + s["high"]) / 2
+        d = F.greatest(mid * c, F.lit(1e-300))
+        mean = F.aggregate(s["es"], F.lit(0.0), lambda a, x: a + term(x, d)) / F.size(s["es"])
+        return F.struct(F.when(mean > mid, mid).otherwise(s["low"]).alias("low"), F.when(mean > mid, s["high"]).otherwise(mid).alias("high"), s["es"].alias("es"))
+
+    begin = F.struct(F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("_es").alias("es"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda s, _: step(s))
+    return errors.select(*by, ((done["low"] + done["high"]) / 2).alias("loss"))
+
+
 def weighted_median(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """x that makes sum |a x - b| least: the median of b / a weighted by |a| (the lower one where two do).  A group is sorted in one task; see
     :func:`weighted_median_of_all` for a whole table."""

@@ -117,9 +117,9 @@ m AS (SELECT DISTINCT mol FROM v) SELECT a.mol AS i, b.mol AS j, round(coalesce(
     for m, e in (("l1", L1), ("l2", f"sqrt({L2})")):
         query(f"max_pair_distance_{m}", f"WITH {VECTORS} SELECT round(max({e}), 6) AS max_dist FROM v l CROSS JOIN v r")(lambda s, d, m=m: kernels.max_pair_distance(vectors(s, d), m).select(r6("max_dist").alias("max_dist")))
     dist = f"WITH {VECTORS}, q AS (SELECT l.id AS i, r.id AS j, 2.0 - 2.0 * {kernel_sql(g, 1.0)} AS sqdist FROM v l CROSS JOIN v r)"
-    query("rkhs_sqdist", f"{dist} SELECT i, j, round(sqdist, 6) AS sqdist FROM q")(lambda s, d: kernels.squared_distances(kernels.kernel_matrix(vectors(s, d), None, g)).select("i", "j", r6("sqdist").alias("sqdist")))
+    query("rkhs_sqdist", f"{dist} SELECT i, j, round(sqdist, 6) AS sqdist FROM q")(lambda s, d: kernels.rkhs_distances(vectors(s, d), g).select("i", "j", r6("sqdist").alias("sqdist")))
     query("nearest_in_rkhs", f"{dist} SELECT i, arg_min(j, (round(sqdist, 9), j)) AS j, round(min(sqdist), 6) AS sqdist FROM q WHERE i <> j GROUP BY i")(
-        lambda s, d: kernels.nearest(kernels.squared_distances(kernels.kernel_matrix(vectors(s, d), None, g)).withColumn("sqdist", r6("sqdist", 9))).select("i", "j", r6("sqdist").alias("sqdist"))
+        lambda s, d: kernels.nearest_in_rkhs(vectors(s, d), g).select("i", "j", r6("sqdist").alias("sqdist"))
     )
 
 
@@ -372,8 +372,8 @@ f AS (SELECT e.mol, o1.p AS pi, o2.p AS pj, e.v FROM e JOIN o o1 ON e.mol = o1.m
 
 @query("coulomb_matrix", f"{CM} SELECT mol, CAST(pi * (pi - 1) / 2 + pj - 1 AS INTEGER) AS pos, round(v, 6) AS v FROM f")
 def coulomb_matrix(s, d):
-    c = geometry.coulomb_matrix(atoms(s, d), 32).select("mol", F.posexplode("x").alias("pos", "v"))
-    return c.filter("v <> 0").select("mol", "pos", r6("v").alias("v"))
+    places = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("pos"), v.alias("v"))), lambda e: e["v"] != 0)
+    return geometry.coulomb_matrix(atoms(s, d), 32).select("mol", F.inline(places)).select("mol", "pos", r6("v").alias("v"))
 
 
 @query("bob_bags", f"WITH {ATOMS}, m AS (SELECT mol, z, count(*) AS k FROM a GROUP BY mol, z) SELECT z, max(k) AS bag FROM m GROUP BY z")
@@ -707,11 +707,11 @@ def pca(s, d):
     return projected(v, "x", reductor(v, "x", 8, 1024), ["id"]).select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", r6("v").alias("v"))
 
 
-def _represented(f, local: bool) -> Query:
+def _represented(f, local: bool, many: bool = True) -> Query:
     from ..operators import representations as R
 
     def run(s, d):
-        x = R.represented(R.molecules(atoms(s, d)), f, local)
+        x = (R.represented_many if many else R.represented)(R.molecules(atoms(s, d)), f, local)
         keys = ["mol", "atom"] if local else ["mol"]
         return x.select(*keys, F.size("x").alias("size"), r6(V.norm(F.col("x")), 5).alias("norm"))
 
