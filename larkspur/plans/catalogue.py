@@ -171,10 +171,16 @@ def loss_self_consistent(s, d):
     return statistics.self_consistent_huber(_errors(s, d), "err", 0.25, ["user_id"]).select("user_id", r6("loss").alias("loss"))
 
 
-@query("loss_self_consistent_logcosh")
+@query(
+    "loss_self_consistent_logcosh",
+    """WITH RECURSIVE e AS (SELECT list(abs(value - 50.0) ORDER BY event_id) AS es, 0.0::DOUBLE AS low, avg(abs(value - 50.0)) AS high FROM events WHERE value IS NOT NULL),
+b AS (SELECT 0 AS k, es, low, high FROM e UNION ALL SELECT k + 1, es, CASE WHEN up THEN mid ELSE low END, CASE WHEN up THEN high ELSE mid END FROM (SELECT *, (low + high) / 2 AS mid,
+  list_avg(list_transform(es, lambda a: (a * (ln(2.0) / (0.25 * (low + high) / 2)) + ln(1 + exp(-2 * a * (ln(2.0) / (0.25 * (low + high) / 2)))) - ln(2.0)) * (0.25 * (low + high) / 2 / ln(2.0)))) > (low + high) / 2 AS up FROM b WHERE k < 45))
+SELECT round((low + high) / 2, 6) AS loss FROM b WHERE k = 45""",
+)
 def loss_self_consistent_logcosh(s, d):
     v = statistics.self_consistent(_errors(s, d), "err", 0.25, lambda e, x: statistics.logcosh_term(e, x))
-    return s.createDataFrame([(v,)], "loss double")
+    return s.createDataFrame([(v,)], "loss double").select(r6("loss").alias("loss"))
 
 
 @query(
@@ -207,16 +213,23 @@ def shift_mean(s, d):
     "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY l_returnflag",
 )
 def shift_dressed(s, d):
-    t = table(s, d, "lineitem").groupBy("l_returnflag")
-    return t.agg(r6(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), r6(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"))
+    t = table(s, d, "lineitem")
+    got = [(r[0], *map(float, statistics.dressed_atoms(t.filter(F.col("l_returnflag") == r[0]), ["l_quantity"], "l_extendedprice"))) for r in t.select("l_returnflag").distinct().collect()]  # three flags
+    return s.createDataFrame(got, "l_returnflag string, slope double, intercept double").select("l_returnflag", r6("slope", 4).alias("slope"), r6("intercept", 4).alias("intercept"))
 
 
-@query("dressed_atoms_elements")
+@query(
+    "dressed_atoms_elements",
+    f"""WITH RECURSIVE {ATOMS}, c AS (SELECT mol, count(*) FILTER (z = 1)::DOUBLE AS h, count(*) FILTER (z = 6)::DOUBLE AS n, count(*) FILTER (z = 8)::DOUBLE AS o, 1.0::DOUBLE AS one FROM a GROUP BY mol), q AS (SELECT c.*, o_totalprice AS y FROM c JOIN orders ON o_orderkey = mol),
+sys AS (SELECT [[sum(h*h), sum(h*n), sum(h*o), sum(h), sum(h*y)], [sum(h*n), sum(n*n), sum(n*o), sum(n), sum(n*y)], [sum(h*o), sum(n*o), sum(o*o), sum(o), sum(o*y)], [sum(h), sum(n), sum(o), sum(one), sum(y)]] AS a FROM q),
+e AS (SELECT 0 AS k, a FROM sys UNION ALL SELECT k + 1, list_transform(a, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / a[k + 1][k + 1]) ELSE list_transform(list_zip(row, a[k + 1]), lambda t: t[1] - row[k + 1] / a[k + 1][k + 1] * t[2]) END) FROM e WHERE k < 4)
+SELECT unnest(['1', '6', '8', 'constant']) AS term, unnest(list_transform(a, lambda row: round(row[5], 4))) AS coefficient FROM e WHERE k = 4""",
+)
 def dressed_elements(s, d):
     a = atoms(s, d)
     counts = statistics.element_counts(a, "mol", "z", [1, 6, 8]).join(table(s, d, "orders").select(F.col("o_orderkey").alias("mol"), "o_totalprice"), "mol")
     c = statistics.dressed_atoms(counts, ["n_1", "n_6", "n_8"], "o_totalprice")
-    return s.createDataFrame([(n, float(round(v, 4))) for n, v in zip(("1", "6", "8", "constant"), c, strict=True)], "term string, coefficient double")
+    return s.createDataFrame([(n, float(v)) for n, v in zip(("1", "6", "8", "constant"), c, strict=True)], "term string, coefficient double").select("term", r6("coefficient", 4).alias("coefficient"))
 
 
 @query("element_counts", f"WITH {ATOMS} SELECT mol, count(*) FILTER (z = 1) AS n_1, count(*) FILTER (z = 6) AS n_6, count(*) FILTER (z = 8) AS n_8 FROM a GROUP BY mol")
@@ -508,8 +521,11 @@ def normal_rhs(s, d):
     "SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / (sum(l_quantity * l_quantity) + 10.0), 6) AS alpha FROM lineitem GROUP BY l_returnflag",
 )
 def ridge_closed_form(s, d):
-    t = table(s, d, "lineitem").groupBy("l_returnflag")
-    return t.agg(r6(F.sum(F.col("l_quantity") * F.col("l_extendedprice")) / (F.sum(F.col("l_quantity") * F.col("l_quantity")) + 10.0)).alias("alpha"))
+    t, got = table(s, d, "lineitem"), []
+    for flag in sorted(r[0] for r in t.select("l_returnflag").distinct().collect()):  # three flags
+        g, r, _, _ = solvers.gramian(t.filter(F.col("l_returnflag") == flag).select(F.array(F.col("l_quantity").cast("double")).alias("z"), F.col("l_extendedprice").alias("y")), "z", "y")
+        got.append((flag, float(solvers.cholesky_solve(g, r, 10.0)[0])))
+    return s.createDataFrame(got, "l_returnflag string, alpha double").select("l_returnflag", r6("alpha").alias("alpha"))
 
 
 @query(
@@ -598,10 +614,10 @@ def homo_lumo(s, d):
 
 def _orbitals(s, d):
     v = vectors(s, d)
-    return v.select(F.floor(F.col("id") / 40).alias("mol"), F.floor(F.col("id") / 4).alias("orb"), F.lit(0.5).alias("orb_rho"), F.col("id").alias("arep"), ((F.col("z") + 1) / 10.0).alias("rho"), F.slice("x", 1, 8).alias("v"))
+    return v.select(F.floor(F.col("id") / 40).alias("mol"), F.floor(F.col("id") / 4).alias("orb"), F.lit(0.5).alias("orb_rho"), F.col("id").alias("arep"), ((F.col("z") + 1) / 10.0).alias("rho"), F.col("x").alias("v"))
 
 
-ORB = f"""WITH {VECTORS}, o AS (SELECT CAST(floor(id / 40) AS BIGINT) AS mol, CAST(floor(id / 4) AS BIGINT) AS orb, id, (z + 1) / 10.0 AS rho, list_transform(x[1:8], lambda t: t * 0.5 / 0.5) AS x FROM v),
+ORB = f"""WITH {VECTORS}, o AS (SELECT CAST(floor(id / 40) AS BIGINT) AS mol, CAST(floor(id / 4) AS BIGINT) AS orb, id, (z + 1) / 10.0 AS rho, list_transform(x, lambda t: t * 0.5 / 0.5) AS x FROM v),
 own AS (SELECT l.orb, sqrt(sum(l.rho * r.rho * exp(-{L2}))) AS n FROM o l JOIN o r ON l.orb = r.orb GROUP BY l.orb),
 w AS (SELECT o.mol, o.orb, o.x, o.rho / own.n AS rho FROM o JOIN own ON o.orb = own.orb),
 p AS (SELECT l.mol AS i, l.orb AS oi, r.mol AS j, r.orb AS oj, sum(l.rho * r.rho * exp(-{L2})) AS p FROM w l CROSS JOIN w r GROUP BY l.mol, l.orb, r.mol, r.orb)"""
@@ -610,13 +626,13 @@ p AS (SELECT l.mol AS i, l.orb AS oi, r.mol AS j, r.orb AS oj, sum(l.rho * r.rho
 @query("orbital_linear_kernel", f"{ORB} SELECT i, j, round(sum(0.25 * p), 6) AS k FROM p GROUP BY i, j")
 def orbital_linear(s, d):
     o = _orbitals(s, d)
-    return orbitals.orbital_kernel(o, o, [0.5] * 8).select("i", "j", r6("k").alias("k"))
+    return orbitals.orbital_kernel(o, o, [0.5] * 64).select("i", "j", r6("k").alias("k"))
 
 
 @query("orbital_gaussian_kernel", f"{ORB} SELECT i, j, round(sum(0.25 * exp(-(1 - p) / 0.49)), 6) AS k FROM p GROUP BY i, j")
 def orbital_gaussian(s, d):
     o = _orbitals(s, d)
-    return orbitals.orbital_kernel(o, o, [0.5] * 8, 0.7).select("i", "j", r6("k").alias("k"))
+    return orbitals.orbital_kernel(o, o, [0.5] * 64, 0.7).select("i", "j", r6("k").alias("k"))
 
 
 # Sources.
@@ -670,9 +686,14 @@ def last_row_wins(s, d):
 
 @query("refit_union", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def refit_union(s, d):
-    t = table(s, d, "lineitem")
-    both = t.filter("l_linenumber <= 3").unionByName(t.filter("l_linenumber > 3"))
-    return both.groupBy("l_returnflag").agg(r6(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.count("*").alias("n"))
+    t, got = table(s, d, "lineitem"), []
+    z, first = F.array(F.col("l_quantity").cast("double"), F.lit(1.0)), F.col("l_linenumber") <= 3
+    for flag in sorted(r[0] for r in t.select("l_returnflag").distinct().collect()):  # three flags
+        rows = t.filter(F.col("l_returnflag") == flag).select(z.alias("z"), F.col("l_extendedprice").alias("y"), first.alias("first"))
+        parts = [solvers.gramian(rows.filter(c), "z", "y") for c in ("first", "not first")]  # the second is added to what the first left
+        g, r, n = (sum(p[k] for p in parts) for k in (0, 1, 3))
+        got.append((flag, float(solvers.lu_solve(g, r)[0]), int(n)))
+    return s.createDataFrame(got, "l_returnflag string, slope double, n long").select("l_returnflag", r6("slope", 4).alias("slope"), "n")
 
 
 @query("incremental_gramian", "SELECT round(sum(value * value), 3) AS g, round(sum(value * length(event_type)), 3) AS r, count(*) AS n FROM events")
