@@ -14,6 +14,7 @@ the order; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ class WordIds:
     this is done word by word, and a word with other characters is given to the tokenizer as it is; none of its pieces crosses a blank.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -103,7 +104,8 @@ class WordIds:
 
 @lru_cache(1)
 def word_ids(path: str) -> WordIds:
-    """One table for all tasks of a worker."""
+    """One table for all tasks of a worker.  A worker has one core, so the tokenizer need not start threads, which hold memory of their own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordIds(path)
 
 
@@ -114,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
         from .common import row_numbers
 
         ids, last, full, rest = word_ids(tokenizer), np.array([end], "<u4").tobytes(), row_numbers(), row_numbers(REST)
-        for block in text_blocks(batches, limit=2 << 20):
+        for block in text_blocks(batches, limit=256 << 10):  # small, so that the pieces of a block take little beside the table
             out = []
             for doc, buf in zip(block.column("doc_id").to_pylist(), ids.encode([x or "" for x in block.column("text").to_pylist()]), strict=True):
                 buf += last
