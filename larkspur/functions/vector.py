@@ -47,6 +47,67 @@ def normalised(a: Column) -> Column:
     return F.when(norm_sq(a) > 0, divided(a, norm(a))).otherwise(a)
 
 
+def product(a: Column) -> Column:
+    return F.aggregate(a, F.lit(1.0), lambda s, x: s * x)
+
+
+def mean(a: Column) -> Column:
+    return total(a) / F.size(a)
+
+
+def deviation(a: Column) -> Column:
+    """Of the whole vector, not of a sample."""
+    return F.sqrt(F.greatest(F.lit(0.0), norm_sq(a) / F.size(a) - mean(a) * mean(a)))
+
+
+def median(a: Column) -> Column:
+    s, n = F.sort_array(a), F.size(a)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
+def argmin(a: Column) -> Column:
+    """The first place, from 0, of the least component."""
+    return (F.array_position(a, F.array_min(a)) - 1).cast("int")
+
+
+def argmax(a: Column) -> Column:
+    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+
+
+def argsort(a: Column) -> Column:
+    """Places, from 0, in the order of the components; equal ones as they stand."""
+    return F.transform(F.sort_array(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda s: s["i"])
+
+
+def cross(a: Column, b: Column) -> Column:
+    p = lambda v, i: F.get(v, F.lit(i))
+    return F.array(*[p(a, i) * p(b, j) - p(a, j) * p(b, i) for i, j in ((1, 2), (2, 0), (0, 1))])
+
+
+def matrix_product(rows: Column, v: Column) -> Column:
+    """Of a matrix, an array of rows, and a vector."""
+    return F.transform(rows, lambda r: dot(r, v))
+
+
+def trace(rows: Column) -> Column:
+    return total(F.transform(rows, lambda r, i: F.get(r, i)))
+
+
+def linspace(low: float, high: float, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(low)) + i * ((high - low) / (n - 1)))
+
+
+def joined(a: Column, b: Column) -> Column:
+    """One after the other; null counts as empty."""
+    empty = F.array().cast("array<double>")
+    return F.concat(F.coalesce(a, empty), F.coalesce(b, empty))
+
+
+def masked(a: Column, mask: Column) -> Column:
+    """Zero where the mask is true."""
+    return F.zip_with(a, mask, lambda x, m: F.when(m, 0.0).otherwise(x))
+
+
 def padded(a: Column, size: int) -> Column:
     """Zero-padded or cut to ``size``."""
     return F.slice(F.concat(a, F.array_repeat(F.lit(0.0), size)), 1, size)

@@ -728,11 +728,11 @@ def pca(s, d):
     return projected(v, "x", reductor(v, "x", 8, 1024), ["id"]).select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", r6("v").alias("v"))
 
 
-def _represented(f, local: bool, many: bool = True) -> Query:
+def _represented(f, local: bool) -> Query:
     from ..operators import representations as R
 
     def run(s, d):
-        x = (R.represented_many if many else R.represented)(R.molecules(atoms(s, d)), f, local)
+        x = R.represented_many(R.molecules(atoms(s, d)), f, local)
         keys = ["mol", "atom"] if local else ["mol"]
         return x.select(*keys, F.size("x").alias("size"), r6(V.norm(F.col("x")), 5).alias("norm"))
 
@@ -742,13 +742,9 @@ def _represented(f, local: bool, many: bool = True) -> Query:
 def _add_representations() -> None:
     from ..operators import representations as R
 
-    types = [(1,), (6,), (8,), (1, 1), (1, 6), (1, 8), (6, 6), (6, 8), (8, 8), (1, 6, 1), (6, 6, 6), (1, 6, 8), (6, 8, 6)]
-    query("representation_slatm")(_represented(lambda z, r: R.slatm(z, r, types, rcut=12.0, dgrids=(0.2, 0.2), sigmas=(0.3, 0.3)), False))
-    query("representation_fchl19")(_represented(lambda z, r: R.fchl19(z, r, elements=(1, 6, 8)), True))
-
     def cmbdf(s, d):
         tables = R.default_convolutions(0.01, 10.0, 0.005)
-        return _represented(lambda z, r: R.cmbdf(z, r, tables), True)(s, d)
+        return _represented(lambda z, r: R.cmbdf_many(z, r, tables), True)(s, d)
 
     query("representation_cmbdf")(cmbdf)
 

@@ -1 +1,495 @@
-"""Queries of sources, scalars and geometry."""
+"""Queries of sources, scalars, vectors, geometry and whole representations, with SQL for the same rows."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..functions import vector as V
+from ..operators import geometry, kernels, levels, orbitals, ranking, selection, solvers, statistics
+from ..operators.features import Signs, mapped, projected_with_remainder
+from ..operators.kernels import Kernel
+from ..sources import catalogues, store, xyz
+from .catalogue import ATOMS, BIAS, D2, H, L2, PAIRS, SIGN, TIE, VECTORS, atoms, query, r6, table, vectors
+from .systems import ORBITALS, SUPPLIERS, orbital_rows, supplier_atoms
+
+# Scalars and the periodic table.
+
+_SYMBOLS = "[" + ", ".join(f"'{x}'" for x in S.SYMBOLS[:50]) + "]"
+
+
+@query(
+    "periodic_table",
+    f"""SELECT p_partkey, {_SYMBOLS}[p_size] AS symbol, p_size AS charge, CASE WHEN p_size <= 18 THEN CASE WHEN p_size <= 2 THEN 1.0 WHEN p_size <= 10 THEN 2.0 ELSE 3.0 END END AS period,
+CASE WHEN p_size <= 18 THEN (p_size - CASE WHEN p_size <= 2 THEN 0 WHEN p_size <= 10 THEN 2 ELSE 10 END)::DOUBLE END AS valence FROM part""",
+)
+def periodic_table(s, d):
+    p = table(s, d, "part").select("p_partkey", F.col("p_size").alias("z"))
+    symbol = F.upper(S.symbol_of(F.col("z")))  # any case is read
+    p = p.withColumn("symbol", S.canonical_symbol(symbol)).withColumn("charge", S.nuclear_charge(F.concat(F.lit(" "), symbol)).cast(p.schema["z"].dataType)).withColumn("v", S.period_valence(F.col("z")))
+    return p.select("p_partkey", "symbol", "charge", F.col("v")[0].alias("period"), (F.col("v")[1] + F.col("v")[2] + F.col("v")[3]).alias("valence"))
+
+
+@query(
+    "element_places",
+    "WITH e AS (SELECT DISTINCT p_size % 11 + 1 AS z FROM part), k AS (SELECT z, row_number() OVER (ORDER BY z) - 1 AS place FROM e) SELECT p_partkey, place::INTEGER AS place, p_size % 11 + 1 IN (1, 6, 8) AS known FROM part JOIN k ON p_size % 11 + 1 = z",
+)
+def element_places(s, d):
+    p = table(s, d, "part").withColumn("z", F.col("p_size") % 11 + 1)
+    elements = sorted(r[0] for r in p.select("z").distinct().collect())  # elements
+    return p.select("p_partkey", S.element_place(F.col("z"), elements).alias("place"), F.col("z").isin(1, 6, 8).alias("known"))
+
+
+@query("outside_interval", "SELECT p_partkey, p_retailprice < 950 OR p_retailprice >= 1500 AS outside FROM part WHERE NOT p_size > 40")
+def outside_interval(s, d):
+    return table(s, d, "part").filter(~(F.col("p_size") > 40)).select("p_partkey", S.outside(F.col("p_retailprice"), 950.0, 1500.0).alias("outside"))
+
+
+@query("all_except", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def all_except(s, d):
+    taken = table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(s, d, "part").select("p_partkey").join(taken, "p_partkey", "left_anti")
+
+
+_X = "(p_retailprice / 1000)"
+
+
+@query(
+    "scalar_functions",
+    f"""SELECT p_partkey, bit_count(p_size::BIGINT) = 1 AS power, CASE WHEN p_size <= 1 THEN 1 ELSE pow(2, ceil(log2(p_size)))::BIGINT END AS next_power, round(acos(greatest(-1, least(1, {_X} - 0.5))), 6) AS angle,
+round(-1 / {_X}, 6) AS inverse, round(CASE WHEN {_X} < 1.4 THEN 0.5 * (cos({_X} * (pi() / 1.4)) + 1) ELSE 0 END, 6) AS cutoff, round(16 * pow({_X}, 4) - 48 * pow({_X}, 2) + 12, 4) AS hermite,
+round(sin({_X}), 6) AS sine, round(tanh({_X}), 6) AS tangent, round(cosh({_X}) - sinh({_X}), 6) AS falling, floor({_X} * 10)::BIGINT AS down, sign({_X} - 1.2)::DOUBLE AS side FROM part""",
+)
+def scalar_functions(s, d):
+    x, n = F.col("p_retailprice") / 1000, F.col("p_size")
+    return table(s, d, "part").select(
+        "p_partkey", S.is_power_of_two(n).alias("power"), S.next_power_of_two(n).alias("next_power"), r6(S.clamped_acos(x - 0.5)).alias("angle"), r6(S.negative_inverse(x)).alias("inverse"),
+        r6(S.cosine_cutoff(x, 1.4)).alias("cutoff"), r6(S.hermite(x, 4), 4).alias("hermite"), r6(F.sin(x)).alias("sine"), r6(F.tanh(x)).alias("tangent"), r6(F.cosh(x) - F.sinh(x)).alias("falling"),
+        F.floor(x * 10).alias("down"), F.signum(x - 1.2).alias("side"),
+    )
+
+
+@query("unit_conversions", "SELECT o_orderkey, round(o_totalprice * 27.211386245988, 3) AS ev, round(o_totalprice * 627.5094740631, 3) AS kcal_mol, round(o_totalprice * 0.529177210903, 4) AS angstrom FROM orders")
+def unit_conversions(s, d):
+    u = S.UNITS
+    return table(s, d, "orders").select("o_orderkey", *[r6(F.col("o_totalprice") * u[k], n).alias(a) for k, a, n in (("hartree_to_ev", "ev", 3), ("hartree_to_kcal_mol", "kcal_mol", 3), ("bohr_to_angstrom", "angstrom", 4))])
+
+
+@query(
+    "vector_reductions",
+    f"""WITH {VECTORS} SELECT id, round(list_sum(x), 6) AS total, round(list_product(list_transform(x[1:4], lambda t: t + 1)), 6) AS product, round(list_avg(x), 6) AS mean, round(list_stddev_pop(x), 6) AS deviation, round(list_median(x), 6) AS median,
+round(list_min(x), 6) AS least, round(list_max(x), 6) AS most, (list_position(x, list_min(x)) - 1)::INTEGER AS argmin, (list_position(x, list_max(x)) - 1)::INTEGER AS argmax, (list_grade_up(x)[1] - 1)::INTEGER AS first_sorted, round(list_reverse(x)[1], 6) AS last,
+list_bool_or(list_transform(x, lambda t: t > 0.3)) AS any_large, list_bool_and(list_transform(x, lambda t: t > -0.5)) AS all_above FROM v""",
+)
+def vector_reductions(s, d):
+    x = F.col("x")
+    return vectors(s, d).select(
+        "id", r6(V.total(x)).alias("total"), r6(V.product(F.transform(F.slice(x, 1, 4), lambda t: t + 1))).alias("product"), r6(V.mean(x)).alias("mean"), r6(V.deviation(x)).alias("deviation"), r6(V.median(x)).alias("median"),
+        r6(F.array_min(x)).alias("least"), r6(F.array_max(x)).alias("most"), V.argmin(x).alias("argmin"), V.argmax(x).alias("argmax"), V.argsort(x)[0].alias("first_sorted"), r6(F.reverse(x)[0]).alias("last"),
+        F.exists(x, lambda t: t > 0.3).alias("any_large"), F.forall(x, lambda t: t > -0.5).alias("all_above"),
+    )
+
+
+@query(
+    "vector_algebra",
+    f"""WITH {VECTORS}, c AS (SELECT id, x[1:3] AS a, x[4:6] AS b, [x[1:3], x[4:6], x[7:9]] AS m FROM v)
+SELECT id, round(a[2] * b[3] - a[3] * b[2], 6) + 0.0 AS cx, round(a[3] * b[1] - a[1] * b[3], 6) + 0.0 AS cy, round(a[1] * b[2] - a[2] * b[1], 6) + 0.0 AS cz, round(m[1][1] + m[2][2] + m[3][3], 6) AS trace, round(list_dot_product(m[3], b), 6) + 0.0 AS last, round(sqrt(list_dot_product(a, a)), 6) AS norm,
+round(a[1] + 0.5 * a[3], 6) + 0.0 AS weighted FROM c""",
+)
+def vector_algebra(s, d):
+    x = F.col("x")
+    a, b, m = F.slice(x, 1, 3), F.slice(x, 4, 3), F.array(F.slice(x, 1, 3), F.slice(x, 4, 3), F.slice(x, 7, 3))
+    c = V.cross(a, b)
+    return vectors(s, d).select("id", *[(r6(c[i]) + 0.0).alias(n) for i, n in enumerate(("cx", "cy", "cz"))], r6(V.trace(m)).alias("trace"), (r6(V.matrix_product(m, b)[2]) + 0.0).alias("last"), r6(V.norm(a)).alias("norm"), (r6(V.dot(a, V.linspace(1.0, 0.5, 3)) - 0.75 * a[1]) + 0.0).alias("weighted"))
+
+
+@query("masked_and_joined", f"WITH {VECTORS} SELECT id, round(list_sum(list_transform(list_zip(x, range(64)), lambda t: CASE WHEN t[2] % 3 = 0 THEN 0.0 ELSE t[1] END)), 6) AS masked, CASE WHEN id % 2 = 0 THEN 64 ELSE 128 END AS size FROM v")
+def masked_and_joined(s, d):
+    x = F.col("x")
+    mask = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i % 3 == 0)
+    return vectors(s, d).select("id", r6(V.total(V.masked(x, mask))).alias("masked"), F.size(V.joined(x, F.when(F.col("id") % 2 == 1, x))).alias("size"))
+
+
+# Sources: texts written from the tables and read again.
+
+SYMBOL = "CASE z WHEN 1 THEN 'H' WHEN 6 THEN 'C' ELSE 'O' END"
+
+
+def _symbol():
+    return F.when(F.col("z") == 1, "H").when(F.col("z") == 6, "C").otherwise("O")
+
+
+def _files(s, d):
+    """(name, body): a file in the style of a property catalogue for each order with line items."""
+    a = atoms(s, d).select("mol", F.struct("atom", F.concat_ws("\t", _symbol(), F.col("x").cast("string"), F.col("y").cast("string"), F.col("c").cast("string"), F.lit("0.1")).alias("line")).alias("l"))
+    a = a.groupBy("mol").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda t: t["line"]), "\n").alias("lines"))
+    o = a.join(table(s, d, "orders"), F.col("mol") == F.col("o_orderkey"))
+    values = F.concat_ws("\t", F.concat(F.lit("gdb "), F.col("mol").cast("string")), *[F.lit("1.5")] * 3, F.col("o_custkey").cast("string"), *[F.lit("2.5")] * 6, F.col("o_totalprice").cast("string"), *[F.lit("3.5")] * 4)
+    frequencies = F.concat_ws("\t", F.col("o_custkey").cast("string"), (F.col("o_custkey") + 10.5).cast("string"), F.lit("4.0"))
+    words = F.concat(F.lit("C"), F.col("mol").cast("string"), F.lit("\tC2"))
+    body = F.concat_ws("\n", F.col("n").cast("string"), values, "lines", frequencies, words, F.concat(F.lit("InChI=1/"), F.col("mol").cast("string"), F.lit("\tx")))
+    return o.select(F.col("mol").cast("string").alias("name"), body.alias("body"))
+
+
+@query(
+    "property_files",
+    f"WITH {ATOMS}, m AS (SELECT DISTINCT mol FROM a) SELECT mol::VARCHAR AS name, o_custkey::DOUBLE AS dipole, o_totalprice AS u0, o_custkey + 10.5 AS frequency, 'C' || mol AS smiles, 'InChI=1/' || mol AS inchi FROM m JOIN orders ON o_orderkey = mol",
+)
+def property_files(s, d):
+    f = _files(s, d)
+    out = catalogues.identifiers(f)
+    for name, alias in (("Dipole moment", "dipole"), ("Internal energy at 0 K", "u0"), (catalogues.HIGHEST_FREQUENCY, "frequency")):
+        out = out.join(catalogues.qm9_property(f, name).withColumnRenamed("value", alias), "name")
+    return out.select("name", "dipole", "u0", "frequency", "smiles", "inchi")
+
+
+@query(
+    "quantity_file",
+    f"WITH {ATOMS}, c AS (SELECT mol, sum(CASE z WHEN 1 THEN -0.500273 WHEN 6 THEN -37.846772 ELSE -75.064579 END) AS e FROM a GROUP BY mol) SELECT mol::VARCHAR AS name, round(o_totalprice - e + 1e-7, 4) AS value FROM c JOIN orders ON o_orderkey = mol",
+)
+def quantity_file(s, d):
+    f = _files(s, d)
+    energies = catalogues.atomization(catalogues.qm9_property(f, "Internal energy at 0 K"), catalogues.molecule_counts(f))
+    back = catalogues.read_quantity_lines(catalogues.quantity_lines(energies.select("name", F.col("energy").alias("value"))))
+    return back.select("name", r6(F.col("value") + TIE, 4).alias("value"))
+
+
+@query(
+    "solvation_energies",
+    "WITH r AS (SELECT s_nationkey, s_suppkey % 5 AS k, arg_max(s_acctbal, s_suppkey) AS v, max(s_suppkey) AS s FROM supplier GROUP BY s_nationkey, s_suppkey % 5) SELECT 'C' || s_nationkey || '-' || k AS smiles, v AS value, CASE WHEN s % 2 = 0 THEN NULL ELSE (s % 10)::DOUBLE END AS error FROM r",
+)
+def solvation_energies(s, d):
+    k = F.col("s_suppkey")
+    note = F.when(k % 2 == 0, catalogues.NO_ERROR).otherwise(F.lit(" measured"))
+    line = F.concat_ws(";", k.cast("string"), F.concat(F.lit(" C"), F.col("s_nationkey").cast("string"), F.lit("-"), (k % 5).cast("string")), F.lit(" name"), F.col("s_acctbal").cast("string"), (k % 10).cast("string"), note)
+    files = table(s, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", line.alias("line")))).alias("l"))
+    body = F.concat(F.lit("# one\n# two\n# three\n"), F.array_join(F.transform("l", lambda t: t["line"]), "\n"), F.lit("\n\n"))
+    return catalogues.solvation_rows(files.select(body.alias("value")))
+
+
+@query("excitation_comments", "SELECT o_orderkey::VARCHAR AS name, o_totalprice AS ground_state_energy, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::DOUBLE END AS s1_excitation, CASE WHEN o_orderkey % 4 = 0 THEN 2 WHEN o_orderkey % 3 = 0 THEN -1 ELSE 0 END AS charge FROM orders")
+def excitation_comments(s, d):
+    k = F.col("o_orderkey")
+    mark = F.when(k % 4 == 0, " charge=2").when(k % 3 == 0, " charge=-1").otherwise("")
+    comment = F.concat(F.col("o_totalprice").cast("string"), F.when(k % 2 == 0, F.concat(F.lit(" "), F.col("o_custkey").cast("string"))).otherwise(""), mark)
+    files = table(s, d, "orders").select(k.cast("string").alias("name"), F.concat(F.lit("1\n"), comment, F.lit("\nH 0 0 0\n")).alias("body"))
+    got = catalogues.comment_columns(files, {"ground_state_energy": 0, "s1_excitation": 1}).join(xyz.molecules(files).select("name", "charge"), "name")
+    return got.select("name", "ground_state_energy", "s1_excitation", "charge")
+
+
+@query(
+    "program_outputs",
+    "SELECT n.n_nationkey::VARCHAR AS name, m.k AS matrix, r.r::INTEGER AS row, (n.n_nationkey + r.r * 2 + c.c) * m.f AS v, c.c::INTEGER AS col, -n.n_nationkey - 0.5 AS energy, 'keep ' || n.n_nationkey AS rest FROM nation n CROSS JOIN (VALUES ('OVERLAP', 1.0::DOUBLE), ('FOCK', -0.5)) m(k, f) CROSS JOIN (SELECT unnest([0, 1]) AS r) r CROSS JOIN (SELECT unnest([0, 1]) AS c) c",
+)
+def program_outputs(s, d):
+    k = F.col("n_nationkey")
+    numbers = lambda f: F.concat(*[x for r in (0, 1) for c in (0, 1) for x in (((k + r * 2 + c) * f).cast("string"), F.lit(", " if c == 0 else ",\n"))])
+    body = F.concat(F.lit("head\n# MATRIX OVERLAP S\n"), numbers(1.0), F.lit("# MATRIX FOCK F\n"), numbers(-0.5), F.lit("# END\n"))
+    summary = F.concat(F.lit("x\n  :: total energy   "), (-k - 0.5).cast("string"), F.lit(" Eh    ::\ny"))
+    sections = F.concat(F.lit("[5D]\nk\n[Nval]\nC 4\n[GTO]\nkeep "), k.cast("string"))
+    n = table(s, d, "nation").select(k.cast("string").alias("name"), body.alias("body"), catalogues.total_energy(summary).alias("energy"), F.regexp_extract(catalogues.without_sections(sections, ["Nval", "5D"]), r"(keep \d+)", 1).alias("rest"))
+    m = catalogues.output_matrices(n.select("name", "body"))
+    return m.join(n, "name").select("name", "matrix", F.col("row").cast("int").alias("row"), F.posexplode("values").alias("col", "v"), "energy", "rest")
+
+
+@query("xyz_files", f"WITH {SUPPLIERS} SELECT mol::BIGINT AS mol, p::BIGINT AS atom, {SYMBOL} AS symbol, z, round(x[1], 4) AS x, round(x[2], 4) AS y, round(x[3], 4) AS c FROM a")
+def xyz_files(s, d):
+    path = store.scratch(s, "xyz")
+    a = supplier_atoms(s, d)
+    xyz.write_xyz(a.select(F.col("mol").cast("string").alias("name"), "atom", _symbol().alias("symbol"), "x", "y", "c"), path)
+    files = s.read.text(f"{path}/*", wholetext=True).select(F.regexp_extract(F.input_file_name(), "name=([^/]+)/", 1).alias("name"), F.col("value").alias("body"))
+    return xyz.atoms(files).select(F.col("name").cast("long").alias("mol"), F.col("atom").cast("long").alias("atom"), "symbol", "z", r6("x", 4).alias("x"), r6("y", 4).alias("y"), r6("c", 4).alias("c"))
+
+
+@query("stored_results", "SELECT event_id, round(value * 2, 6) AS result, event_id % 3 = 0 AS cached FROM events")
+def stored_results(s, d):
+    e = table(s, d, "events").select("event_id", "value")
+    path = store.scratch(s, "results")
+    store.save_table(e.filter("event_id % 3 = 0").select("event_id", (F.col("value") * 2).alias("result")), path)
+    old = store.load_table(s, path)
+    new = store.missing(e, old, ["event_id"]).select("event_id", (F.col("value") * 2).alias("result"))
+    seen = store.with_cache(e.select("event_id"), old, ["event_id"]).select("event_id", "cached")
+    return old.unionByName(new).join(seen, "event_id").select("event_id", r6("result").alias("result"), "cached")
+
+
+# Geometry.
+
+
+@query("too_close", f"WITH {ATOMS}, q AS (SELECT mol, atom, x + 0.7 AS x, y, c + 0.4 AS c FROM a) SELECT mol, atom FROM q l WHERE EXISTS (SELECT 1 FROM a r WHERE l.mol = r.mol AND {D2} < 1.21)")
+def too_close(s, d):
+    a = atoms(s, d)
+    points = a.select("mol", "atom", (F.col("x") + 0.7).alias("x"), "y", (F.col("c") + 0.4).alias("c"))
+    return geometry.too_close(points, a, 1.1).select("mol", "atom")
+
+
+def _sql_cross(a, b):
+    return [f"({a[1]} * {b[2]} - {a[2]} * {b[1]})", f"({a[2]} * {b[0]} - {a[0]} * {b[2]})", f"({a[0]} * {b[1]} - {a[1]} * {b[0]})"]
+
+
+def _sql_dot(a, b):
+    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+
+
+def _torsion_sql() -> str:
+    bonds = [[f"{k}{n + 1} - {k}{n}" for k in "xyc"] for n in range(3)]
+    t = ", ".join(f"lead({k}, {n}) OVER w AS {k}{n}" for n in range(4) for k in "xyc")
+    b = ", ".join(f"{e} AS {k}{n}" for n, bond in enumerate(bonds) for k, e in zip("uvw", bond, strict=True))
+    u, v, w = ([f"{k}{n}" for k in "uvw"] for n in range(3))
+    one, two = _sql_cross(u, v), _sql_cross(v, w)
+    return f"""WITH {ATOMS}, t AS (SELECT mol, atom, {t} FROM a WINDOW w AS (PARTITION BY mol ORDER BY atom)), b AS (SELECT mol, atom, {b} FROM t WHERE x3 IS NOT NULL),
+s AS (SELECT mol, atom, {_sql_dot(_sql_cross(one, two), v)} / sqrt({_sql_dot(v, v)}) AS s, {_sql_dot(one, two)} AS k FROM b) SELECT mol, atom, CASE WHEN s <> 0 OR k <> 0 THEN round(abs(atan2(s, k)), 5) END AS angle FROM s"""
+
+
+@query("torsions", _torsion_sql())
+def torsions(s, d):
+    return geometry.torsions(atoms(s, d)).select("mol", "atom", r6(F.abs("angle"), 5).alias("angle"))
+
+
+_PLACES = {(1, 0): 0, (1, 1): 1, (1, 6): 2, (1, 8): 3, (6, 0): 4, (6, 6): 5, (6, 8): 6, (8, 0): 7, (8, 8): 8}
+
+
+@query(
+    "bob_positions",
+    f"""WITH {ATOMS}, {PAIRS}, m AS (SELECT mol, z, count(*) AS k FROM a GROUP BY mol, z), b AS (SELECT coalesce(max(k) FILTER (z = 1), 0) AS h, coalesce(max(k) FILTER (z = 6), 0) AS n, coalesce(max(k) FILTER (z = 8), 0) AS o FROM m),
+sl AS (SELECT unnest([1, 1, 1, 1, 6, 6, 6, 8, 8]) AS z1, unnest([0, 1, 6, 8, 0, 6, 8, 0, 8]) AS z2, unnest([h, h * (h - 1) // 2, h * n, h * o, n, n * (n - 1) // 2, n * o, o, o * (o - 1) // 2]) AS k, unnest(range(9)) AS place FROM b),
+st AS (SELECT z1, z2, coalesce(sum(k) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sl),
+t AS (SELECT mol, least(zi, zj) AS z1, greatest(zi, zj) AS z2, zi * zj / r AS v FROM p WHERE i > j UNION ALL SELECT mol, z, 0, 0.5 * pow(z, 2.4) FROM a)
+SELECT mol, (start + row_number() OVER (PARTITION BY mol, t.z1, t.z2 ORDER BY v DESC) - 1)::INTEGER AS pos, round(v, 6) AS v FROM t JOIN st USING (z1, z2)""",
+)
+def bob_positions(s, d):
+    a = atoms(s, d)
+    sizes = {r["z"]: r["bag"] for r in geometry.bags(a).orderBy("z").collect()}  # elements: three here
+    places = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("pos"), v.alias("v"))), lambda e: e["v"] != 0)
+    return geometry.bag_of_bonds(a, sizes).select("mol", F.inline(places)).select("mol", "pos", r6("v").alias("v"))
+
+
+@query("toy_positions", f"WITH {ATOMS}, {PAIRS}, t AS (SELECT mol, i, zj, 1 / r AS d, row_number() OVER (PARTITION BY mol, i ORDER BY zj, 1 / r) - 1 AS n FROM p) SELECT mol, i AS atom, (2 * n)::INTEGER AS pos, round(d, 6) AS v FROM t UNION ALL SELECT mol, i, (2 * n + 1)::INTEGER, zj::DOUBLE FROM t")
+def toy_positions(s, d):
+    places = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("pos"), v.alias("v"))), lambda e: e["v"] != 0)
+    return geometry.toy_representation(atoms(s, d), 32).select("mol", "atom", F.inline(places)).select("mol", "atom", "pos", r6("v").alias("v"))
+
+
+# Whole representations: sums and sums by place of each block, so that a wrong place shows.
+
+_RC, _NX, _NA = 12.0, 60, 20
+_STEP, _EDGE = (_RC - 0.1) / (_NX - 1), math.radians(20)
+_TURN = (math.pi + 2 * _EDGE) / (_NA - 1)
+SLATM = f"""WITH {ATOMS}, t1 AS (SELECT mol, z AS z1, 0 AS z2, 0 AS z3, 0 AS g, z * count(*)::DOUBLE AS v FROM a GROUP BY mol, z),
+d AS (SELECT l.mol, l.atom AS i, r.atom AS j, l.z AS zi, r.z AS zj, sqrt({D2}) AS r FROM a l JOIN a r ON l.mol = r.mol AND l.atom <> r.atom),
+g2 AS (SELECT mol, least(zi, zj) AS z1, greatest(zi, zj) AS z2, r, unnest(range({_NX})) AS g FROM d WHERE i < j AND r < {_RC}),
+t2 AS (SELECT mol, z1, z2, 0 AS z3, g, sum(z1 * z2 * (1 / sqrt(2 * pi() * 0.09) * 0.2) / pow(0.1 + g * {_STEP}, 6) * exp(-pow(0.1 + g * {_STEP} - r, 2) / 0.18)) AS v FROM g2 GROUP BY mol, z1, z2, g),
+tr AS (SELECT ij.mol, ij.zi, ij.zj AS zm, jk.zj AS zk, ij.r AS ij, ik.r AS ik, jk.r AS jk FROM d ij JOIN d jk ON ij.mol = jk.mol AND ij.j = jk.i JOIN d ik ON ik.mol = ij.mol AND ik.i = ij.i AND ik.j = jk.j WHERE ij.i < jk.j AND ij.r <= {_RC} AND ik.r <= {_RC} AND jk.r <= {_RC}),
+an AS (SELECT mol, least(zi, zk) AS z1, zm AS z2, greatest(zi, zk) AS z3, zi * zm * zk * (0.2 / sqrt(2 * pi() * 0.09) / 3) / pow(ij * ik * jk, 3) AS w, acos(greatest(-1, least(1, (ij * ij + jk * jk - ik * ik) / (2 * ij * jk)))) AS m,
+  (ik * ik + jk * jk - ij * ij) / (2 * ik * jk) * ((ij * ij + ik * ik - jk * jk) / (2 * ij * ik)) AS e FROM tr),
+g3 AS (SELECT *, unnest(range({_NA})) AS g FROM an),
+t3 AS (SELECT mol, z1, z2, z3, g, sum(w * (1 + cos(-{_EDGE} + g * {_TURN}) * e) * exp(-pow(-{_EDGE} + g * {_TURN} - m, 2) / 0.18)) AS v FROM g3 GROUP BY mol, z1, z2, z3, g),
+al AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)"""
+
+
+def slatm_types(s, d) -> list[tuple[int, ...]]:
+    """All types of the data set: ones, pairs, triples, each in order."""
+    rows = geometry.many_body_types(atoms(s, d)).collect()  # some dozens for three elements
+    return sorted((tuple(z for z in r if z) for r in rows), key=lambda t: (len(t), t))
+
+
+def slatm(s, d):
+    from ..operators import representations as R
+
+    types = slatm_types(s, d)
+    return types, R.represented_many(R.molecules(atoms(s, d)), lambda z, r: R.slatm_many(z, r, types, rcut=_RC, dgrids=(0.2, 0.2), sigmas=(0.3, 0.3)), False)
+
+
+@query("representation_slatm", f"""{SLATM}, b AS (SELECT z, max(k) AS bag FROM (SELECT mol, z, count(*) AS k FROM a GROUP BY mol, z) GROUP BY z), w AS (SELECT (SELECT count(*) FROM b) + {_NX} * (SELECT count(*) FROM b l JOIN b m ON l.z <= m.z) + {_NA} * (
+  SELECT count(*) FROM b l JOIN b r ON l.z <= r.z CROSS JOIN b m WHERE l.bag >= 1 + (l.z = m.z)::INT + (l.z = r.z)::INT AND r.bag >= 1 + (r.z = m.z)::INT + (l.z = r.z)::INT AND m.bag >= 1 + (l.z = m.z)::INT + (r.z = m.z)::INT) AS size)
+SELECT mol, any_value(size)::INTEGER AS size, round(sqrt(sum(v * v)) / 1000, 5) AS norm FROM al, w GROUP BY mol""")
+def representation_slatm(s, d):
+    return slatm(s, d)[1].select("mol", F.size("x").alias("size"), r6(V.norm(F.col("x")) / 1000, 5).alias("norm"))
+
+
+@query("slatm_blocks", f"{SLATM} SELECT mol, z1, z2, z3, round(sum(v) / 1000, 5) AS total, round(sum(v * (g + 1)) / 1000, 5) AS placed FROM al GROUP BY mol, z1, z2, z3 HAVING sum(v) <> 0")
+def slatm_blocks(s, d):
+    types, x = slatm(s, d)
+    blocks, at = [], 1
+    for t in types:
+        n = {1: 1, 2: _NX, 3: _NA}[len(t)]
+        part = F.slice("x", at, n)
+        z = [F.lit(v).alias(f"z{k + 1}") for k, v in enumerate((*t, 0, 0)[:3])]
+        blocks.append(F.struct(*z, V.total(part).alias("total"), V.total(F.transform(part, lambda v, i: v * (i + 1))).alias("placed")))
+        at += n
+    return x.select("mol", F.inline(F.filter(F.array(*blocks), lambda b: b["total"] != 0))).select("mol", "z1", "z2", "z3", r6(F.col("total") / 1000, 5).alias("total"), r6(F.col("placed") / 1000, 5).alias("placed"))
+
+
+_CUT = "(0.5 * (cos(pi() * {r} / 8.0) + 1))"
+FCHL = f"""WITH {ATOMS}, d AS (SELECT l.mol, l.atom AS i, r.atom AS j, l.z AS zi, r.z AS zj, sqrt({D2}) AS r FROM a l JOIN a r ON l.mol = r.mol AND l.atom <> r.atom),
+g2 AS (SELECT *, ln(1 + 0.32 / (r * r)) AS s2, ln(r / sqrt(1 + 0.32 / (r * r))) AS mu, unnest(range(1, 25)) AS g FROM d WHERE r <= 8.0),
+t2 AS (SELECT mol, i, zj AS z1, 0 AS z2, g - 1 AS g, sum({_CUT.format(r='r')} / (sqrt(2 * pi() * s2) * (8.0 * g / 24)) * exp(-pow(ln(8.0 * g / 24) - mu, 2) / (2 * s2)) / pow(r, 1.8)) AS v FROM g2 GROUP BY mol, i, zj, g),
+tr AS (SELECT ij.mol, ij.i, least(ij.zj, ik.zj) AS z1, greatest(ij.zj, ik.zj) AS z2, ij.r AS ij, ik.r AS ik, jk.r AS jk FROM d ij JOIN d ik ON ij.mol = ik.mol AND ij.i = ik.i AND ij.j < ik.j JOIN d jk ON jk.mol = ij.mol AND jk.i = ij.j AND jk.j = ik.j WHERE ij.r <= 8.0 AND ik.r <= 8.0),
+an AS (SELECT *, (ij * ij + ik * ik - jk * jk) / (2 * ij * ik) AS c1, (ij * ij + jk * jk - ik * ik) / (2 * ij * jk) AS c2, (ik * ik + jk * jk - ij * ij) / (2 * ik * jk) AS c3 FROM tr),
+g3 AS (SELECT mol, i, z1, z2, ij, ik, acos(greatest(-1, least(1, c1))) AS w, sqrt(2.7 / pi()) * 13.4 * (1 + 3 * c1 * c2 * c3) / pow(ij * ik * jk, 0.57) * {_CUT.format(r='ij')} * {_CUT.format(r='ik')} AS f, unnest(range(1, 21)) AS g FROM an),
+s3 AS (SELECT *, exp(-2.7 * pow((ij + ik) / 2 - 8.0 * g / 20, 2)) * f * 2 * exp(-(pi() * pi()) / 2) AS s FROM g3),
+t3 AS (SELECT mol, i, z1, z2, 2 * (g - 1) AS g, sum(s * cos(w)) AS v FROM s3 GROUP BY mol, i, z1, z2, g UNION ALL SELECT mol, i, z1, z2, 2 * (g - 1) + 1, sum(s * sin(w)) FROM s3 GROUP BY mol, i, z1, z2, g),
+al AS (SELECT * FROM t2 UNION ALL SELECT * FROM t3)"""
+
+
+def fchl(s, d):
+    from ..operators import representations as R
+
+    return R.represented_many(R.molecules(atoms(s, d)), lambda z, r: R.fchl19_many(z, r, elements=(1, 6, 8)), True)
+
+
+@query("representation_fchl19", f"{FCHL} SELECT a.mol, a.atom, 312 AS size, round(coalesce(sqrt(sum(v * v)), 0), 5) AS norm FROM a LEFT JOIN al ON a.mol = al.mol AND a.atom = al.i GROUP BY a.mol, a.atom")
+def representation_fchl19(s, d):
+    return fchl(s, d).select("mol", "atom", F.size("x").alias("size"), r6(V.norm(F.col("x")), 5).alias("norm"))
+
+
+@query("fchl19_blocks", f"{FCHL} SELECT mol, i AS atom, z1, z2, round(sum(v) * 100, 5) + 0.0 AS total, round(sum(v * (g + 1)) * 100, 4) + 0.0 AS placed FROM al GROUP BY mol, i, z1, z2 HAVING sum(abs(v)) > 0")
+def fchl19_blocks(s, d):
+    blocks, at = [], 1
+    for t, n in [((z, 0), 24) for z in (1, 6, 8)] + [(p, 40) for p in ((1, 1), (1, 6), (1, 8), (6, 6), (6, 8), (8, 8))]:
+        part = F.slice("x", at, n)
+        z = [F.lit(v).alias(f"z{k + 1}") for k, v in enumerate(t)]
+        blocks.append(F.struct(*z, V.total(part).alias("total"), V.total(F.transform(part, lambda v, i: v * (i + 1))).alias("placed"), V.total(F.transform(part, lambda v: F.abs(v))).alias("any")))
+        at += n
+    x = fchl(s, d).select("mol", "atom", F.inline(F.filter(F.array(*blocks), lambda b: b["any"] > 0)))
+    return x.select("mol", "atom", "z1", "z2", (r6(F.col("total") * 100, 5) + 0.0).alias("total"), (r6(F.col("placed") * 100, 4) + 0.0).alias("placed"))
+
+
+# Levels, projections and derivatives of features.
+
+
+@query(
+    "nested_levels",
+    f"""WITH {VECTORS}, n AS (SELECT mol, z, list_transform(x, lambda t: t / CASE WHEN z % 2 = 0 THEN 2.0 ELSE 4.0 END) AS x FROM v), u AS (SELECT mol, z, unnest(x) AS e, unnest(range(64)) AS pos FROM n)
+SELECT mol, pos::INTEGER AS pos, round(sum(e), 6) AS v, round(sum(e * (z + 1)), 6) AS w FROM u GROUP BY mol, pos""",
+)
+def nested_levels(s, d):
+    part = F.struct(F.col("x").alias("representation"), F.col("z").alias("element_id"))
+    o = vectors(s, d).groupBy("mol").agg(F.collect_list(F.struct(part.alias("c"), (F.col("z") + 1.0).alias("w"))).alias("o"))
+    o = o.select("mol", F.transform("o", lambda t: t["c"]).alias("c"), F.transform("o", lambda t: t["w"]).alias("w"))
+    switch = levels.element_switch({e: levels.chain(levels.full_rescale(2.0 if e % 2 == 0 else 4.0)) for e in range(10)})
+    o = o.select("mol", levels.component_sum(switch)(F.col("c")).alias("v"), levels.weighted_component_sum(switch)(F.struct(F.col("c").alias("components"), F.col("w").alias("rhos"))).alias("w"))
+    return o.select("mol", F.posexplode(F.arrays_zip("v", "w")).alias("pos", "e")).select("mol", "pos", r6("e.v").alias("v"), r6("e.w").alias("w"))
+
+
+@query(
+    "projection_remainder",
+    f"""WITH {VECTORS}, j AS (SELECT unnest(range(8)) AS j), u AS (SELECT id, unnest(x) AS e, unnest(range(64)) AS i FROM v), c AS (SELECT id, j, sum(e * (1 - 2 * (bit_count((i & j)::BIGINT) % 2))) / 8.0 AS c FROM u CROSS JOIN j GROUP BY id, j),
+n AS (SELECT id, list_dot_product(x, x) AS n FROM v), r AS (SELECT id, sqrt(greatest(0, any_value(n) - sum(c * c))) AS r FROM c JOIN n USING (id) GROUP BY id) SELECT id, j::INTEGER AS pos, round(c, 6) + 0.0 AS v FROM c UNION ALL SELECT id, 8, round(r, 6) FROM r""",
+)
+def projection_remainder(s, d):
+    i, j = np.ogrid[:64, :8]
+    basis = (1.0 - 2.0 * (np.bitwise_count(i & j) % 2)) / 8.0
+    return projected_with_remainder(vectors(s, d), "x", basis, ["id"]).select("id", F.posexplode("z").alias("pos", "v")).select("id", "pos", (r6("v") + 0.0).alias("v"))
+
+
+_PHASE = f"j AS (SELECT unnest(range(64)) AS j), u AS (SELECT id, unnest(x) AS e, unnest(range(64)) AS i FROM v), ph AS (SELECT u.id, j.j, sum(e / 2.0 * {SIGN.format(sp=0)} * {H}) AS ph FROM u CROSS JOIN j GROUP BY u.id, j.j)"
+
+
+@query("feature_sigma_gradient", f"WITH {VECTORS}, {_PHASE} SELECT id, j.j::INTEGER AS pos, round(sin(ph + {BIAS.format(sp=0)}) * ph / 2.0 * sqrt(2.0 / 64), 6) + 0.0 AS v FROM ph j")
+def feature_sigma_gradient(s, d):
+    p = Signs.by_rule(1, 1, 64)
+    return mapped(vectors(s, d), "x", lambda x: p.sigma_gradient(x, 2.0), ["id"]).select("id", F.posexplode("z").alias("pos", "v")).select("id", "pos", (r6("v") + 0.0).alias("v"))
+
+
+@query("feature_input_gradient", f"WITH {VECTORS}, {_PHASE}, w AS (SELECT id, j.j, -sin(ph + {BIAS.format(sp=0)}) * sqrt(2.0 / 64) * (j.j + 1) / 64 AS w FROM ph j), i AS (SELECT unnest(range(64)) AS i) SELECT id, u.i::INTEGER AS pos, round(sum(w * {SIGN.format(sp=0)} * {H}) / 2.0, 6) + 0.0 AS v FROM w j CROSS JOIN i u GROUP BY id, u.i")
+def feature_input_gradient(s, d):
+    p, out = Signs.by_rule(1, 1, 64), (np.arange(64) + 1.0) / 64
+    return mapped(vectors(s, d), "x", lambda x: p.input_gradient(x, 2.0, np.tile(out, (len(x), 1))), ["id"]).select("id", F.posexplode("z").alias("pos", "v")).select("id", "pos", (r6("v") + 0.0).alias("v"))
+
+
+# Kernels and selection.
+
+
+@query("mirrored_kernel", f"WITH {VECTORS} SELECT l.id AS i, r.id AS j, round(exp(-{L2} / 2.0), 6) AS k FROM v l CROSS JOIN v r")
+def mirrored_kernel(s, d):
+    return kernels.mirrored(kernels.kernel_matrix(vectors(s, d), None, Kernel("gaussian", (1.0,)), lower=True)).select("i", "j", r6("k").alias("k"))
+
+
+@query("observable_folds", "WITH k AS (SELECT o_orderkey, f.fold, (('0x' || substr(md5(f.fold || ':' || o_orderkey), 1, 8))::BIGINT >> 1) AS h FROM orders CROSS JOIN (SELECT unnest(range(2)) AS fold) f), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY h, o_orderkey) - 1 AS rank, count(*) OVER (PARTITION BY fold) AS n FROM k) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(fold AS INTEGER) AS fold, rank < floor(n * 0.5) AS train FROM lineitem JOIN r ON l_orderkey = o_orderkey")
+def observable_folds(s, d):
+    f = ranking.folds(table(s, d, "orders"), "o_orderkey", 2).withColumnRenamed("o_orderkey", "l_orderkey")
+    return selection.observable_folds(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), f, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "fold", "train")
+
+
+@query(
+    "work_shares",
+    """WITH RECURSIVE l AS (SELECT s_nationkey AS job, count(*)::DOUBLE + s_nationkey / 100.0 AS load FROM supplier GROUP BY s_nationkey), q AS (SELECT *, row_number() OVER (ORDER BY load DESC, job) AS n FROM l),
+w AS (SELECT 0::BIGINT AS n, -1::BIGINT AS job, 0 AS worker, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS total UNION ALL
+  SELECT q.n, q.job::BIGINT, (list_position(total, list_min(total)) - 1)::INTEGER, list_transform(total, lambda t, i: CASE WHEN i = list_position(total, list_min(total)) THEN t + load ELSE t END) FROM w JOIN q ON q.n = w.n + 1) SELECT job, worker FROM w WHERE n > 0""",
+)
+def work_shares(s, d):
+    n = table(s, d, "supplier").groupBy("s_nationkey").agg(F.count("*").cast("double").alias("n")).orderBy("s_nationkey").collect()  # nations
+    got, _ = selection.longest_first([r["n"] + r["s_nationkey"] / 100.0 for r in n], 4)
+    return s.createDataFrame([(int(r["s_nationkey"]), w) for r, w in zip(n, got, strict=True)], "job long, worker int")
+
+
+@query("nearest_excluded", "SELECT count(*) // 2 AS gone, count(*) AS n FROM nation".replace("count(*) // 2", "5::BIGINT"))
+def nearest_excluded(s, d):
+    keys = [r[0] for r in table(s, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # nations
+    x = np.array(keys, float)
+    gone = solvers.exclude_nearest((x[:, None] - x[None]) ** 2, count=5)
+    return s.createDataFrame([(len(gone), len(keys))], "gone long, n long")
+
+
+@query("minima", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, 1.25::DOUBLE AS grid, 1.25::DOUBLE AS steepest FROM lineitem")
+def minima(s, d):
+    """A least-squares line by L-BFGS on aggregates (centred, to be well conditioned), and one-dimensional minima of (x - 1.25)**2."""
+    t = table(s, d, "lineitem").select((F.col("l_quantity") - 25.0).alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
+
+    def value(x):
+        e = F.lit(float(x[0])) * F.col("a") / 25 + F.lit(float(x[1])) - F.col("b")
+        r = t.agg(F.avg(e * e), F.avg(2 * e * F.col("a") / 25), F.avg(2 * e)).first()
+        return r[0], np.array(r[1:], float)
+
+    from ..operators.models import descend
+
+    slope, level = solvers.minimise(value, np.zeros(2), rounds=60, tol=1e-11)
+    at, _ = solvers.grid_minimum(lambda x: (x - 1.25) ** 2, -4.0, 4.0)
+    down = descend(lambda x: float((x[0] - 1.25) ** 2), np.array([0.25]), step=0.5)[0]
+    return s.createDataFrame([(float(slope) / 25 * 1000, (float(level) - float(slope)) * 1000, float(at), float(down))], "slope double, intercept double, grid double, steepest double").select(
+        r6("slope", 3).alias("slope"), r6("intercept", 2).alias("intercept"), r6("grid", 4).alias("grid"), r6("steepest", 4).alias("steepest")
+    )
+
+
+@query("ensemble_differences", "SELECT l_orderkey, round(sum((l_extendedprice - l_tax) * l_quantity) / sum(l_quantity) + 1e-7, 4) AS mean, count(*) AS conformers, arg_min(l_linenumber, (l_extendedprice, l_linenumber, l_partkey)) AS least FROM lineitem GROUP BY l_orderkey")
+def ensemble_differences(s, d):
+    t = table(s, d, "lineitem").withColumn("q", F.col("l_extendedprice") - F.col("l_tax"))
+    means = t.groupBy("l_orderkey").agg(r6(statistics.weighted_mean(F.col("q"), F.col("l_quantity")) + TIE, 4).alias("mean"), F.count("*").alias("conformers"))
+    return means.join(ranking.best(t, ["l_orderkey"], ["l_extendedprice", "l_linenumber", "l_partkey"]).select("l_orderkey", F.col("l_linenumber").alias("least")), "l_orderkey")
+
+
+# Orbitals.
+
+
+@query(
+    "orbital_pairs_kernel",
+    f"""WITH {ORBITALS.rsplit(', kk AS', 1)[0]}, sg AS (SELECT DISTINCT orb, CASE WHEN orb % 2 = 0 THEN -0.5 ELSE 0.5 END AS s FROM o) SELECT i, j, round(sum(a.s * b.s * p), 6) + 0.0 AS k FROM p JOIN sg a ON a.orb = p.oi JOIN sg b ON b.orb = p.oj GROUP BY i, j""",
+)
+def orbital_pairs_kernel(s, d):
+    o = orbital_rows(s, d)
+    even = F.col("orb") % 2 == 0
+    pairs = orbitals.determinant_pairs(o.filter(even), o.filter(~even))
+    return orbitals.orbital_kernel(pairs, pairs, [0.5] * 64).select("i", "j", (r6("k") + 0.0).alias("k"))
+
+
+@query("orbital_deviations", f"WITH {VECTORS}, u AS (SELECT (z + 1) / 10.0 * 0.5 AS w, unnest(x) AS e, unnest(range(64)) AS pos FROM v) SELECT pos::INTEGER AS pos, round(sqrt(greatest(0, sum(w * e * e) / sum(w) - pow(sum(w * e) / sum(w), 2))), 6) AS std FROM u GROUP BY pos")
+def orbital_deviations(s, d):
+    return orbitals.component_deviations(orbital_rows(s, d)).select("pos", r6("std").alias("std"))
+
+
+@query("orbitals_by_atom", f"WITH {VECTORS} SELECT CAST(floor(id / 40) AS BIGINT) AS mol, id % 10 AS atom, count(*) AS parts, round(sum((z + 1) / 10.0), 6) AS weight FROM v GROUP BY floor(id / 40), id % 10")
+def orbitals_by_atom(s, d):
+    o = orbital_rows(s, d).withColumn("arep", F.col("arep") % 10)
+    return orbitals.by_atom(o).select("mol", "atom", F.size("parts").cast("long").alias("parts"), r6(F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["rho"])).alias("weight"))
+
+
+@query("occupied_orbitals", "WITH o AS (SELECT o_custkey AS mol, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS idx, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT mol, count(*) AS occupied, max(idx)::INTEGER AS last FROM o WHERE idx <= n // 2 GROUP BY mol")
+def occupied_orbitals(s, d):
+    w = Window.partitionBy("mol")
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("mol"), F.col("o_orderkey").alias("k"), "o_totalprice")
+    o = o.withColumn("idx", F.row_number().over(w.orderBy("o_totalprice", "k"))).withColumn("occ", F.when(F.col("idx") <= F.floor(F.count("*").over(w) / 2), 2.0).otherwise(0.0))
+    return orbitals.occupied(o).groupBy("mol").agg(F.count("*").alias("occupied"), F.max("idx").alias("last"))

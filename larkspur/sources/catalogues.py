@@ -84,15 +84,20 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_l")).select(key, "_l.*")
 
 
-def free_solvation(spark: SparkSession, path: str, skip: int = 3) -> DataFrame:
-    """(smiles, value, error): ``;``-separated lines after ``skip``; a noted default error is null; the last row of a SMILES wins."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines(F.col("value"))).alias("n", "line")).filter((F.col("n") >= skip) & (F.trim("line") != ""))
+def solvation_rows(text: DataFrame, skip: int = 3) -> DataFrame:
+    """(smiles, value, error) from texts (value): ``;``-separated lines after ``skip``; a noted default error is null; the last row of a SMILES wins."""
+    rows = text.select(F.posexplode(lines(F.col("value"))).alias("n", "line")).filter((F.col("n") >= skip) & (F.trim("line") != ""))
     t = F.split("line", ";")
     error = F.when(F.element_at(t, -1) == NO_ERROR, None).otherwise(F.trim(F.get(t, F.lit(4))).try_cast("double"))
     out = rows.select("n", F.expr("substring(get(split(line, ';'), 1), 2)").alias("smiles"), F.trim(F.get(t, F.lit(3))).try_cast("double").alias("value"), error.alias("error"))
     return last_by_key(out, "smiles", "n").select("smiles", "value", "error")
 
 
+def free_solvation(spark: SparkSession, path: str, skip: int = 3) -> DataFrame:
+    """The same from a file."""
+    return solvation_rows(spark.read.text(path, wholetext=True), skip)
+
+
 def mean_and_error(values: Column) -> tuple[Column, Column]:
     """Mean of an array, and its standard error (null for one value)."""
     n = F.size(values)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,17 @@ def save_table(df: DataFrame, path: str, compression: str = "zstd") -> None:
     df.write.option("compression", compression).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; a local one only where that is unset and everything runs in one process."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

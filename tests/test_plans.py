@@ -22,12 +22,18 @@ def test_neighbours_are_no_theta_join(spark, sf):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_element_matched_kernels_join_on_the_element(spark, sf):
+def test_tiles_meet_by_an_equi_join(spark, sf):
     v = catalogue.vectors(spark, sf)
-    sums = kernels._pairs(kernels.tiles(v, "mol", "x", "z"), kernels.tiles(v, "mol", "x", "z"), True)
-    text = plan(sums)
-    assert "a_z" in text and "CartesianProduct" not in text and "NestedLoop" not in text
-    assert "embedding" in plan(kernels.kernel_matrix(v, None, Kernel()))
+    for df in (kernels.kernel_matrix(v, None, Kernel()), kernels.local_kernel_matrix(v, None, Kernel(), z="z"), kernels.rkhs_distances(v, Kernel()), catalogue.QUERIES["orbital_gaussian_kernel"](spark, sf)):
+        text = plan(df)
+        assert "SortMergeJoin" in text and "CartesianProduct" not in text and "NestedLoop" not in text and "Broadcast" not in text
+    # sums over atoms are final where they are made: pairs of molecules are not shuffled
+    assert "HashAggregate" not in plan(kernels.local_kernel_matrix(v, None, Kernel(), z="z"))
+
+
+def test_coulomb_matrices_take_one_shuffle(spark, sf):
+    a = catalogue.atoms(spark, sf)
+    assert plan(geometry.coulomb_matrix(a)).count("Exchange") <= plan(a).count("Exchange") + 1
 
 
 def test_losses_combine_before_the_shuffle(spark, sf):
