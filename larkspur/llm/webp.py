@@ -26,7 +26,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -588,22 +587,32 @@ def put_code(out: Writer, lengths: np.ndarray) -> None:
     for s in LENGTH_ORDER:
         out.put(4 if s < 13 else 5, 3)
     out.put(0, 1)
+    first, value, size, before = length_codes(), 0, 0, -1
+    for at, n in zip(used, lengths[used].tolist(), strict=True):
+        if at - before > 1:
+            v, k = zeros(at - before - 1)
+            value |= v << size
+            size += k
+        value |= first[n] << size
+        size += 4 if n < 13 else 5
+        before = at
+    v, k = zeros(len(lengths) - before - 1)
+    out.put(value | v << size, size + k)
+
+
+@lru_cache(2048)
+def zeros(count: int) -> tuple[int, int]:
+    """So many lengths of zero: value and number of bits."""
     first, value, size = length_codes(), 0, 0
-    for n, run in groupby(lengths.tolist()):
-        left = len(list(run))
-        while n == 0 and left >= 3:
-            k = min(left, 138)
-            if k > 10:
-                value |= (first[18] | (k - 11) << 5) << size
-                size += 12
-            else:
-                value |= (first[17] | (k - 3) << 5) << size
-                size += 8
-            left -= k
-        for _ in range(left):
-            value |= first[n] << size
-            size += 4 if n < 13 else 5
-    out.put(value, size)
+    while count >= 3:
+        k = min(count, 138)
+        value |= (first[18] | (k - 11) << 5 if k > 10 else first[17] | (k - 3) << 5) << size
+        size += 12 if k > 10 else 8
+        count -= k
+    for _ in range(count):
+        value |= first[0] << size
+        size += 4
+    return value, size
 
 
 @lru_cache(1)
@@ -661,7 +670,7 @@ def entropies(samples: np.ndarray) -> np.ndarray:
     return n * math.log2(n) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1)
 
 
-def best_transform(bgra: np.ndarray, rows: int = 16) -> tuple[int | None, object]:
+def best_transform(bgra: np.ndarray, rows: int = 8) -> tuple[int | None, object]:
     """The transform that leaves the least entropy on up to ``rows`` rows in a row from the middle, and its parameter."""
     start = max(0, (len(bgra) - rows) // 2)
     some = bgra[start : start + rows]
@@ -737,7 +746,8 @@ def put_pixels(out: Writer, argb: np.ndarray, wide: int, main: bool) -> Writer:
     for at, n, _ in copies:
         literal[at : at + n] = False
     cache_bits, hits = 0, None
-    if main and len(argb) >= 64:
+    some = argb[:512].tolist()
+    if main and len(argb) >= 64 and 10 * len(set(some)) < 8 * len(some):  # a fifth of the first pixels repeat
         gain, hits = cache_gain(argb, literal, 8)
         cache_bits = 8 if gain > 0.05 * 20 * len(argb) else 0
     out.put(1 if cache_bits else 0, 1)
