@@ -226,9 +226,9 @@ def fchl19_many(
     return np.concatenate((first, second), axis=2)
 
 
-def fchl19(z: np.ndarray, r: np.ndarray, **how) -> np.ndarray:
+def fchl19(z: np.ndarray, r: np.ndarray, elements=(1, 6, 7, 8, 16), **how) -> np.ndarray:
     """(atoms, features) of one molecule."""
-    return fchl19_many(z[None], r[None], **how)[0]
+    return fchl19_many(z[None], r[None], elements, **how)[0]
 
 
 def numeric_gradient(f: Callable[[np.ndarray], np.ndarray], r: np.ndarray, step: float = 1e-4) -> np.ndarray:

@@ -75,7 +75,7 @@ def test_nulls_and_empty(spark, sets):
     assert kernels.kernel_matrix(odd, db, KINDS[0]).count() == 0
 
 
-def test_force_kernels():
+def test_force_kernels(spark):
     """Derivative blocks against differences of the plain kernel."""
     rng = np.random.default_rng(3)
     sigma = 1.3
@@ -102,9 +102,17 @@ def test_force_kernels():
     y = forces.joined_targets([1.0, 2.0], [np.ones((3, 3)), np.zeros((2, 3))])
     e, f = forces.split_targets(y, [3, 2])
     assert e.tolist() == [1, 2] and f[0].sum() == 9 and f[1].shape == (2, 3)
-    model = forces.ForceRidge(sigma, 1e-10).fit([a, b], [0.5, -0.2], [np.full((3, 3), 0.1), np.zeros((2, 3))])
-    e, f = model.predict([a, b])
-    assert np.allclose(e, [0.5, -0.2], atol=1e-3)
+    rows = [(i, m.z.tobytes(), m.x.tobytes(), m.g.tobytes(), m.x.shape[1]) for i, m in enumerate((a, b))]
+    mols = spark.createDataFrame(rows, "mol long, z binary, x binary, g binary, d long")
+    targets = spark.createDataFrame([(0, 0.5, [0.1] * 9), (1, -0.2, [0.0] * 6)], "mol long, energy double, forces array<double>")
+    for process in (True, False):
+        model = forces.ForceRidge(sigma, 1e-10, process).fit(mols, targets)
+        got = {r["mol"]: r for r in model.predict(mols).collect()}
+        assert len(got[0]["forces"]) == 9 and len(got[1]["forces"]) == 6
+        if process:
+            assert np.allclose([got[0]["energy"], got[1]["energy"]], [0.5, -0.2], atol=1e-3)
+    with pytest.raises(ValueError):
+        forces.ForceRidge(sigma, most=9).fit(mols, targets)
 
 
 def test_orbital_kernel(spark):
