@@ -3,17 +3,17 @@
 Each byte that lies in a window of ``width`` bytes which also starts in a document with a smaller doc_id is removed; windows
 are judged on the input.
 
-Shipping every suffix to its place would send each byte ``width`` times.  Instead the windows of a text are dealt out by their
-minimiser, the smallest hash of their ``seed`` -byte strings: windows in a row with the same minimiser go together as one
-string, about 3.2 bytes for each byte of text, packed by zstd.  Equal windows have equal minimisers at the same place, so they meet in
-one bucket.  There:
-
-1. A string takes part if the ``width``-limited context to one side of its minimiser (half of what the window has beyond it) also
-   occurs in another document; two windows cannot be equal otherwise.
-2. Equal strings are put together, byte by byte compared; all but those of the smallest document are repeats.  The map side does the
-   same for a block of texts before anything is sent, so that a passage with any number of copies costs one string for each block.
-3. The windows of the rest are ordered by most-significant-digit passes, eight bytes a digit, through ``width`` bytes only; a group that no
-   longer has two documents leaves the sort.  The groups left are exactly the repeated windows, and each has its smallest doc_id.
+The method is a radix sort of all windows by their bytes, most significant digit first and through ``width`` bytes only (:func:`radix_groups`): eight bytes a digit, and a
+group that has no two documents any more leaves the sort.  The groups left at the end are exactly the repeated windows, and each has its smallest doc_id.
+
+Two things only say where windows are sorted and which of them need not be; the result is the same without them (``contexts`` and ``collapsed`` switch them off, as the tests do):
+
+* Place.  Shipping every window would send each byte ``width`` times.  Instead the windows of a text are dealt out by their minimiser, the smallest hash of their ``seed`` -byte
+  strings: windows in a row with the same minimiser go together as one string, about 3.2 bytes for each byte of text, packed by zstd.  Equal windows have equal minimisers at the
+  same place, so they meet in one bucket.  Seeds that a sample finds very often rank behind all others, so that a frequent phrase does not fill a bucket.
+* Omission.  A string takes part if the ``width``-limited context to one side of its minimiser (half of what the window has beyond it) also occurs in another document; two
+  windows cannot be equal otherwise.  Equal strings are put together, byte by byte compared, before anything is sent and again in a bucket: all but those of the smallest document are
+  repeats, and a passage with any number of copies costs one string for each block.
 
 The removed ranges come back by row and meet the texts in one join.
 
@@ -105,12 +105,17 @@ def collapse(data: np.ndarray, at8: np.ndarray, start: np.ndarray, size: np.ndar
 class Strings:
     """Windows in a row with one minimiser: start, number of windows, place of the minimiser, its hash, document."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int, seed: int):
-        """data: texts one after the other and 64 spare bytes; bounds: where each text starts, and the end."""
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int, seed: int, hot: np.ndarray | None = None):
+        """data: texts one after the other and 64 spare bytes; bounds: where each text starts, and the end; hot: hashes that rank behind all others."""
         n, w = int(bounds[-1]), width - seed + 1
         at8 = words(data)
         h = mix(at8[:n] ^ mix(at8[seed - 8 : n + seed - 8]))
-        h >>= np.uint64(24)
+        h >>= np.uint64(25)
+        if hot is not None and len(hot):
+            marked = np.zeros(1 << 16, bool)
+            marked[(hot >> np.uint64(23)).astype(np.int64)] = True
+            maybe = np.flatnonzero(marked[(h >> np.uint64(23)).astype(np.int64)])
+            h[maybe[np.isin(h[maybe], hot)]] |= np.uint64(1 << 39)
         h <<= np.uint64(24)
         h |= np.arange(n, dtype=np.uint64)  # equal hashes: the first place
         low, have = h, 1
@@ -180,7 +185,7 @@ def segments(batches: Iterator[pa.RecordBatch], width: int, block: int) -> Itera
         yield tuple(np.array(x, np.int64) for x in list(zip(*held, strict=True))[:4]) + ([h[4] for h in held],)
 
 
-def deal(width: int, seed: int, buckets: int, block: int):
+def deal(width: int, seed: int, buckets: int, block: int, hot: np.ndarray, collapsed: bool):
     """Texts to packed strings by bucket (bucket >= 0), and ranges already known as repeats (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -189,11 +194,11 @@ def deal(width: int, seed: int, buckets: int, block: int):
             if bounds[-1] < width:
                 continue
             data = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
-            s = Strings(data, bounds, width, seed)
+            s = Strings(data, bounds, width, seed, hot)
             if not len(s.start):
                 continue
             at8, size, doc = words(data), s.windows + width - 1, s.doc
-            leader = collapse(data, at8, s.start, size, s.rel, ids[doc])
+            leader = collapse(data, at8, s.start, size, s.rel, ids[doc]) if collapsed else np.arange(len(s.start))
             known = ids[doc] > ids[doc[leader]]
             where = np.where(known, -1, (s.hash % np.uint64(buckets)).astype(np.int64))
             order = np.argsort(where, kind="stable")
@@ -248,7 +253,7 @@ def radix_groups(at8: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.
     return least
 
 
-def bucket_ranges(blobs: list[bytes], width: int, seed: int) -> dict[str, np.ndarray] | None:
+def bucket_ranges(blobs: list[bytes], width: int, seed: int, contexts: bool = True, collapsed: bool = True) -> dict[str, np.ndarray] | None:
     parts = [unpack(b) for b in blobs]
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
     rows, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
@@ -262,7 +267,7 @@ def bucket_ranges(blobs: list[bytes], width: int, seed: int) -> dict[str, np.nda
     # 1. contexts: a window has width - seed bytes beside its minimiser, so half of them at one side
     half = (width - seed + 1) // 2
     right, left = size - rel >= seed + half, rel >= half
-    live = np.zeros(len(start), bool)
+    live = np.full(len(start), not contexts)
     for ok, first in ((right, rel), (left, rel - half)):
         x = np.flatnonzero(ok)
         live[x[several(span_hash(at8, start[x] + first[x], seed + half), doc[x])]] = True
@@ -271,7 +276,7 @@ def bucket_ranges(blobs: list[bytes], width: int, seed: int) -> dict[str, np.nda
         return None
     start, size, rel, windows, doc, short, begin = (v[x] for v in (start, size, rel, windows, doc, short, begin))
     # 2. equal strings
-    leader = collapse(data, at8, start, size, rel, doc)
+    leader = collapse(data, at8, start, size, rel, doc) if collapsed else np.arange(len(start))
     whole = np.flatnonzero(doc > doc[leader])
     found = [(rows[short[whole]], begin[whole], begin[whole] + size[whole])]
     # 3. windows of one of each; equal strings of the smallest document share its result
@@ -300,7 +305,7 @@ def bucket_ranges(blobs: list[bytes], width: int, seed: int) -> dict[str, np.nda
     return {"file": name[:, 0], "row": name[:, 1], "start": a, "stop": b} if len(a) else None
 
 
-def judge(width: int, seed: int):
+def judge(width: int, seed: int, contexts: bool = True, collapsed: bool = True):
     """Packed strings in order of their bucket to ranges of repeated bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -312,12 +317,12 @@ def judge(width: int, seed: int):
                     yield {"file": rows[short, 0], "row": rows[short, 1], "start": begin, "stop": begin + windows + (width - 1)}
                     continue
                 if bucket != key and blobs:
-                    if out := bucket_ranges(blobs, width, seed):
+                    if out := bucket_ranges(blobs, width, seed, contexts, collapsed):
                         yield out
                     blobs = []
                 key = bucket
                 blobs.append(blob)
-        if blobs and (out := bucket_ranges(blobs, width, seed)):
+        if blobs and (out := bucket_ranges(blobs, width, seed, contexts, collapsed)):
             yield out
 
     return run
@@ -329,14 +334,34 @@ def buckets_for(docs: DataFrame, target: int = 48 << 20) -> int:
     return max(4 * shuffle_parts(docs.sparkSession), min(1 << 20, 10 * stated // target))
 
 
-def repeats(rows: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES, block: int = 5_000_000) -> DataFrame:
+def hot_seeds(rows: DataFrame, width: int, seed: int, buckets: int, block: int, part: int = 64, most: int = 4096) -> np.ndarray:
+    """Hashes of the minimisers that, by one row in ``part``, stand for over half a bucket's share of all strings; ``most`` of them at the most.
+
+    They only change which bucket a window goes to, never the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for _, _, _, _, texts in segments(batches, width, block):
+            bounds = np.cumsum([0, *map(len, texts)])
+            if bounds[-1] >= width:
+                h, n = np.unique(Strings(np.frombuffer(b"".join(texts) + bytes(64), np.uint8), bounds, width, seed).hash, return_counts=True)
+                yield {"h": h.astype(np.int64), "n": n}
+
+    counts = stored(map_arrow(rows.filter(F.pmod(F.xxhash64("file", "row"), F.lit(part)) == 0), run, "h long,n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") >= max(8, total // (2 * buckets))).orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array(sorted(r["h"] for r in found), np.uint64)
+
+
+def repeats(rows: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES, block: int = 5_000_000, contexts: bool = True, collapsed: bool = True) -> DataFrame:
     """From rows (file, row, doc_id, text) to file, row, start and stop of ranges of repeated bytes; ranges may overlap and touch."""
     buckets = buckets_for(rows)
-    dealt = map_arrow(rows, deal(width, seed, buckets, block), "bucket int,blob binary")
+    hot = hot_seeds(rows, width, seed, buckets, block)
+    dealt = map_arrow(rows, deal(width, seed, buckets, block, hot, collapsed), "bucket int,blob binary")
     # known ranges stay where they are spread: each goes by its own hash
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("blob"), F.lit(1 << 20))).cast("int")
     met = dealt.withColumn("place", place).repartition(max(shuffle_parts(rows.sparkSession), buckets // 4), "place").sortWithinPartitions("place").select("bucket", "blob")
-    return map_arrow(met, judge(width, seed), RANGES)
+    return map_arrow(met, judge(width, seed, contexts, collapsed), RANGES)
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -350,11 +375,11 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[heads].tolist(), b[[*(heads[1:] - 1), len(b) - 1]].tolist(), strict=True))
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED_BYTES, contexts: bool = True, collapsed: bool = True) -> DataFrame:
     """doc_id, kept (the bytes left), n_bytes, n_removed, n_spans, kept_sha256: one row for each row of ``docs``."""
     rows = named_rows(docs.select(F.col("doc_id").cast("long"), "text"))
     # written, so that the packed strings are off the disks when the texts move
-    by_row = stored(repeats(rows, width, seed).groupBy("file", "row").agg(F.collect_list(F.shiftleft("start", 31).bitwiseOR(F.col("stop"))).alias("ranges")))
+    by_row = stored(repeats(rows, width, seed, contexts=contexts, collapsed=collapsed).groupBy("file", "row").agg(F.collect_list(F.shiftleft("start", 31).bitwiseOR(F.col("stop"))).alias("ranges")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in text_blocks(batches, limit=8 << 20):
