@@ -269,7 +269,8 @@ def test_readings_split_otherwise(spark, sf, tmp_path):
 
     def between(x):
         out = whole(x)
-        spark.conf.set(key, "1")
+        if {"ranges", "body"} & set(x.columns):
+            spark.conf.set(key, "1")
         return out
 
     try:
@@ -301,3 +302,18 @@ def test_special_tokens_are_the_tokenizers(spark):
     (got,) = packing.packed(docs(spark, [(1, text, "s")]), tokenizer_file()).collect()
     want = [*t.encode(text, add_special_tokens=False).ids, 2]
     assert 49407 in want and (got["length"], got["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
+def test_very_long_texts(spark):
+    """One text of 3 MB among short ones, twice: equal groups, one component, its words and all its tokens."""
+    long = " ".join(f"w{i % 7919}" for i in range(450_000))
+    rows = [(1, long, "s"), (2, long + " ", "t"), (3, "short one", "s"), (4, None, None)]
+    groups = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs(spark, rows)).collect()}
+    assert groups[1]["keep_id"] == groups[2]["keep_id"] == 2 and groups[1]["group_size"] == 2 and [r["doc_id"] for r in exact_dedup.drop_copies(docs(spark, rows)).orderBy("doc_id").collect()] == [2, 3, 4]
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, rows)).collect()}
+    assert near[1] == near[2] == 1 and near[3] == 3
+    assert {r["doc_id"]: r["size"] for r in mixing.mixed(docs(spark, rows)).collect()} == {1: 450_000, 2: 450_000, 3: 2, 4: 0}
+    pieces = packing.packed(docs(spark, rows), tokenizer_file()).collect()
+    for i in (1, 2):
+        mine = sorted((r["start"], r["length"], r["doc_tokens"]) for r in pieces if r["doc_id"] == i)
+        assert sum(n for _, n, _ in mine) == mine[0][2] > 450_000 and all(n == 4096 for _, n, _ in mine[:-1])

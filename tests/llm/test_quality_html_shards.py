@@ -79,6 +79,57 @@ def test_quality_of_awkward_rows(spark):
     assert quality.good_documents(docs(spark, AWKWARD), labels.limit(0)).columns == docs(spark, []).columns
 
 
+def plain_score(field, text):
+    """The same field, line by line: products of weights over all labellings of a chain, added from the left and from the right."""
+    lines = quality.document_lines(text)
+    x, sizes = quality.line_features(lines)
+    zero = [0.0] * x.shape[1]
+    unary = []
+    for i in range(len(lines)):
+        near = [*x[i], *(x[i - 1] if i else zero), *(x[i + 1] if i + 1 < len(lines) else zero)]
+        unary.append(sum(float(a) * float(b) for a, b in zip(near, field.weights, strict=True)))
+    n, s = len(lines), field.steps
+    left, right = [[0.0, 0.0] for _ in range(n)], [[0.0, 0.0] for _ in range(n)]
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    for i in range(n):
+        for y in (0, 1):
+            left[i][y] = y * unary[i] + (add(left[i - 1][0] + s[0][y], left[i - 1][1] + s[1][y]) if i else 0.0)
+    for i in range(n - 2, -1, -1):
+        for y in (0, 1):
+            right[i][y] = add(s[y][0] + right[i + 1][0], s[y][1] + unary[i + 1] + right[i + 1][1])
+    good = bad = 0.0
+    for i in range(n):
+        p = 1 / (1 + math.exp(min(700.0, max(-700.0, left[i][0] + right[i][0] - left[i][1] - right[i][1]))))
+        good, bad = good + (sizes[i] + 1) * p, bad + (sizes[i] + 1) * (1 - p)
+    z = field.curve[0] * (math.log(good + 1e-3) - math.log(bad + 1e-3)) + field.curve[1]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_against_a_plain_scorer(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = quality.learn(d, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.classified(d, labels).collect()}
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    texts |= {-1: "", -2: "one line only", -3: "x\n" * 3000}
+    extra = {i: float(quality.scores(field, [texts[i]])[0]) for i in (-1, -2, -3)}
+    for i, t in texts.items():
+        assert abs(plain_score(field, t) - (extra | got)[i]) < 1e-6, i
+
+
+def test_learning_sample_is_bounded(spark):
+    """Repeated doc_ids give one row each, and long texts a stretch of lines."""
+    rows = [(i, "\n".join([f"good line {i}."] * n), "s") for i in range(30) for n in (3, 4000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    seen = []
+    whole = quality.train
+    quality.train = lambda f, s, q: seen.append(([len(x) for x in f], len(q))) or whole(f, s, q)
+    try:
+        quality.learn(docs(spark, rows), labels, most=10, most_lines=50)
+    finally:
+        quality.train = whole
+    assert seen[0][1] <= 10 and max(seen[0][0]) <= 50
+
+
 # html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>x";</script></head><body>
@@ -218,6 +269,54 @@ def test_windows_against_suffix_array(pages, least):
     assert np.array_equal(covered, html_extract.repeated(tokens, page, least, 2))
 
 
+def brute_host(texts, least):
+    """The method on whole pages without marks: what a window of ``least`` tokens (block ends count) shares with another page of the host goes."""
+    streams = [[w for block in t for w in (*block.split(" "), None)] for t in texts]
+    pages = {}
+    for i, s in enumerate(streams):
+        for k in range(len(s) - least + 1):
+            pages.setdefault(tuple(s[k : k + least]), set()).add(i)
+    out = []
+    for s in streams:
+        gone = set()
+        for k in range(len(s) - least + 1):
+            if len(pages[tuple(s[k : k + least])]) > 1:
+                gone |= set(range(k, k + least))
+        out.append(" ".join(w for k, w in enumerate(s) if k not in gone and w is not None))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_host_repeats_against_brute_force(spark, seed):
+    """Whole pages, all elements a reader sees, over three hosts; each page has words of its own, so none is a copy."""
+    rng = random.Random(seed)
+    shared = [own(7000 + seed * 100 + i, rng.randrange(5, 20)) for i in range(8)]
+    hosts = []
+    for h in range(3):
+        pages = []
+        for i in range(14):
+            blocks = [own(seed * 10_000 + h * 1000 + i * 10 + k, 30) for k in range(2)] + rng.sample(shared, rng.randrange(4))
+            rng.shuffle(blocks)
+            pages.append(blocks)
+        hosts.append(pages)
+    tags = ["div", "p", "nav", "footer", "article", "li"]
+    rows, want = [], {}
+    for h, pages in enumerate(hosts):
+        for i, (blocks, text) in enumerate(zip(pages, brute_host(pages, 8), strict=True)):
+            html = "".join(f"<{t}>{b}</{t}>" for b in blocks for t in [rng.choice(tags)])
+            rows.append((100 * h + i, f"https://host{h}.example/{i}", f"<script>x</script>{html}"))
+            want[100 * h + i] = text
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.main_text(df, markup=False, lot=rng.choice([1, 5, 2000])).collect()} == want
+
+
+def test_very_long_page(spark):
+    body = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, "http://h.example/1", f"<article><p>{body}</p></article>"), (2, "http://h.example/2", f"<div>{body}</div>"), (3, "http://h.example/3", None)]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (body, len(body)), 2: (body, len(body)), 3: ("", 0)}
+
+
 # shards
 
 

@@ -104,12 +104,49 @@ def test_suffix_dedup(spark, seed):
 
 def test_suffix_dedup_in_small_blocks(spark, monkeypatch):
     whole = suffix_dedup.repeats
-    monkeypatch.setattr(suffix_dedup, "repeats", lambda d, w, s: whole(d, w, s, block=300))
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda d, w, s, **how: whole(d, w, s, block=300, **how))
     rows = spliced(9)
     assert got_repeats(docs(spark, [(i, t, "s") for i, t in rows])) == brute_repeats(rows)
     assert got_repeats(docs(spark, AWKWARD)) == brute_repeats([(i, t) for i, t, _ in AWKWARD])
 
 
+@pytest.mark.parametrize(("contexts", "collapsed"), [(False, False), (False, True), (True, False)])
+def test_the_radix_sort_alone_gives_the_same(spark, contexts, collapsed):
+    rows = spliced(4)
+    assert got_repeats(docs(spark, [(i, t, "s") for i, t in rows]), contexts=contexts, collapsed=collapsed) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("share", [0.02, 0.5, 1.0])
+def test_hot_seeds_change_no_result(spark, monkeypatch, share):
+    """Whatever seeds rank last, the same windows are found; hot ones are left where a window has another."""
+    rows = spliced(6)
+    data = np.frombuffer("".join(t or "" for _, t in rows).encode() + bytes(64), np.uint8)
+    bounds = np.array([0, len(data) - 64])
+    plain = suffix_dedup.Strings(data, bounds, 50, 8)
+    kinds = np.unique(plain.hash)
+    hot = kinds[: max(1, int(share * len(kinds)))]
+    again = suffix_dedup.Strings(data, bounds, 50, 8, hot)
+    assert again.windows.sum() == plain.windows.sum() and np.isin(again.hash, hot).sum() <= np.isin(plain.hash, hot).sum() * (share < 1)
+    monkeypatch.setattr(suffix_dedup, "hot_seeds", lambda *_: hot)
+    assert got_repeats(docs(spark, [(i, t, "s") for i, t in rows])) == brute_repeats(rows)
+
+
+def test_hot_seeds_are_found(spark):
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice(["the same phrase ", *("%x " % rng.getrandbits(40) for _ in range(3))]) for _ in range(300))) for i in range(400)]
+    named = suffix_dedup.named_rows(docs(spark, [(i, t, "s") for i, t in rows]).select("doc_id", "text"))
+    assert 0 < len(suffix_dedup.hot_seeds(named, 50, 8, 64, 5_000_000, part=4)) <= 4096
+
+
+def test_very_long_text(spark):
+    """Longer than a block: pieces of one text do not remove each other's bytes, and others find what is in any of them."""
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    rows = [(5, long + long), (9, long[199_900:200_100] + "?" + long[-60:]), (7, "x" * 300_000)]
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert (got[5]["n_removed"], got[7]["n_removed"], got[9]["n_removed"], got[9]["n_spans"]) == (0, 0, 260, 2) and bytes(got[9]["kept"]) == b"?"
+
+
 def test_suffix_dedup_of_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert got_repeats(df) == brute_repeats([(r["doc_id"], r["text"]) for r in df.collect()])
@@ -390,7 +427,7 @@ def test_webp_meta_groups():
 
 
 def test_media(spark, sf):
-    for df in (docs(spark, AWKWARD), spark.read.parquet(f"{sf}/documents.parquet").limit(60)):
+    for df in (docs(spark, AWKWARD), spark.read.parquet(f"{sf}/documents.parquet")):
         texts = {}
         for r in df.collect():
             texts.setdefault(r["doc_id"], []).append((r["text"] or "").encode())
