@@ -44,13 +44,22 @@ def boltzmann(df: DataFrame, by: list[str], energy: str, kt: float) -> DataFrame
     return df.withColumn("_w", w).withColumn("rho", F.col("_w") / F.sum("_w").over(g)).drop("_w")
 
 
-def prefix_ranges(df: DataFrame, order: str, size: str) -> DataFrame:
-    """Exclusive running sums: where each row's segment begins and ends.  Sums in bounded parts first, so no task orders all rows."""
-    parts = df.withColumn("_part", F.floor(F.col(order) / 4096))
-    sums = parts.groupBy("_part").agg(F.sum(size).alias("_s"))
-    before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("_in", inside).join(before, "_part").select(
+def prefix_ranges(df: DataFrame, order: str, size: str, buckets: int = 4096) -> DataFrame:
+    """Exclusive running sums over an integer column: where each row's segment begins and ends.
+
+    Ranges of ``order`` are cut twice, into ``buckets`` wide ones of ``buckets`` narrow ones each, by its least and greatest value; wide ones are added up first, narrow ones inside a
+    wide one, rows inside a narrow one, so that no task orders all rows or all ranges.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets**2))
+    narrow = F.floor((F.col(order) - F.lit(low or 0)) / width)
+    parts = df.withColumns({"_part": narrow, "_wide": F.floor(narrow / buckets)})
+    sums = parts.groupBy("_wide", "_part").agg(F.sum(size).alias("_s"))
+    before = Window.unboundedPreceding
+    wide = sums.groupBy("_wide").agg(F.sum("_s").alias("_w")).select("_wide", F.coalesce(F.sum("_w").over(Window.orderBy("_wide").rowsBetween(before, -1)), F.lit(0)).alias("_b"))
+    offsets = sums.join(wide, "_wide").select("_part", (F.col("_b") + F.coalesce(F.sum("_s").over(Window.partitionBy("_wide").orderBy("_part").rowsBetween(before, -1)), F.lit(0))).alias("_before"))
+    inside = F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(before, 0))
+    return parts.withColumn("_in", inside).join(offsets, "_part").select(
         *df.columns, (F.col("_before") + F.col("_in") - F.col(size)).alias("lower"), (F.col("_before") + F.col("_in")).alias("upper")
     )
 
@@ -63,7 +72,7 @@ def folds(df: DataFrame, key: str, n: int, ratio: float = 0.5) -> DataFrame:
 
 
 def learning_subsets(df: DataFrame, key: str, sizes: list[int], most: int = 8) -> DataFrame:
-    """(size, subset, key): for each size one seeded order, cut into at most ``most`` disjoint slices."""
+    """(size, subset, key): for each size one seeded order, cut into disjoint slices, of which at most ``most`` are used: the number of repetitions of a learning curve."""
     s = df.select(key).distinct().withColumn("size", F.explode(F.array(*[F.lit(x) for x in sizes])))
     s = ranked(s, ["size"], seeded(F.col("size"), F.col(key)), [key]).withColumn("subset", F.floor(F.col("rank") / F.col("size")))
     return s.filter((F.col("subset") < F.floor(F.col("n") / F.col("size"))) & (F.col("subset") < most)).select("size", "subset", key)

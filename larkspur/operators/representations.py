@@ -242,9 +242,75 @@ def numeric_gradient(f: Callable[[np.ndarray], np.ndarray], r: np.ndarray, step:
     return np.stack(out, axis=-1).reshape(*out[0].shape, r.shape[0], 3)
 
 
-def fchl19_gradient(z: np.ndarray, r: np.ndarray, **how) -> tuple[np.ndarray, np.ndarray]:
-    """Representation, and its derivatives by position (atoms, features, atoms, 3)."""
-    return fchl19(z, r, **how), numeric_gradient(lambda x: fchl19(z, x, **how), r)
+def fchl19_gradient(
+    z: np.ndarray, r: np.ndarray, elements=(1, 6, 7, 8, 16), n2: int = 24, n3: int = 20, fourier: int = 1, eta2: float = 0.32, eta3: float = 2.7, zeta: float = math.pi,
+    rcut: float = 8.0, acut: float = 8.0, decay2: float = 1.8, decay3: float = 0.57, weight3: float = 13.4,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Representation, and its derivatives by position (atoms, features, atoms, 3).
+
+    Every term is a function of one distance, or of the three sides of a triangle; its slopes by these go to the ends of each side along the side.
+    """
+    n, ne = len(z), len(elements)
+    x = fchl19(z, r, elements, n2=n2, n3=n3, fourier=fourier, eta2=eta2, eta3=eta3, zeta=zeta, rcut=rcut, acut=acut, decay2=decay2, decay3=decay3, weight3=weight3)
+    out = np.zeros((n, x.shape[1], n, 3))
+    kind = np.array([list(elements).index(int(c)) for c in z])
+    d, others = distances(r), ~np.eye(n, dtype=bool)
+    along = (r[:, None] - r[None]) / np.where(others, d, 1.0)[:, :, None]  # from the second to the first
+    cut = lambda v, c: (0.5 * (np.cos(np.pi * v / c) + 1), -0.5 * np.pi / c * np.sin(np.pi * v / c))
+
+    def put(i, columns, slope, u, plus, minus):
+        """slope (terms, width) by a side whose direction u points to ``plus`` and away from ``minus``."""
+        v = slope[:, :, None] * u[:, None, :]
+        np.add.at(out, (i[:, None], columns, plus[:, None]), v)
+        np.add.at(out, (i[:, None], columns, minus[:, None]), -v)
+
+    i, j = np.nonzero(others & (d <= rcut))
+    a = d[i, j][:, None]
+    grid = np.linspace(0, rcut, n2 + 1)[1:]
+    s2 = np.log(1 + eta2 / a**2)
+    ds2 = -2 * eta2 / (a**3 + eta2 * a)
+    off = np.log(grid) - np.log(a) + s2 / 2
+    bell = np.exp(-(off**2) / (2 * s2)) / (np.sqrt(2 * np.pi * s2) * grid * a**decay2)
+    c, dc = cut(a, rcut)
+    slope = bell * (dc + c * (off * (1 / a - ds2 / 2) / s2 + off**2 * ds2 / (2 * s2**2) - ds2 / (2 * s2) - decay2 / a))
+    put(i, kind[j][:, None] * n2 + np.arange(n2), slope, along[i, j], i, j)
+
+    near = others & (d <= acut)
+    i, j, k = np.nonzero(near[:, :, None] & near[:, None, :] & np.triu(np.ones((n, n), bool), 1)[None])
+    if not len(i):
+        return x, out
+    a, b, c = d[i, j], d[i, k], d[j, k]
+    cos = cosines(a, b, c), cosines(a, c, b), cosines(b, c, a)  # at i, j and k
+    by_side = (  # slopes of the cosines by a, b and c
+        (1 / b - cos[0] / a, 1 / a - cos[0] / b, -c / (a * b)),
+        (1 / c - cos[1] / a, -b / (a * c), 1 / a - cos[1] / c),
+        (-a / (b * c), 1 / c - cos[2] / b, 1 / b - cos[2] / c),
+    )
+    angle = np.arccos(np.clip(cos[0], -1, 1))
+    turn = -1 / np.sqrt(np.maximum(1 - cos[0] ** 2, 1e-24))  # of the angle by its cosine
+    (fa, dfa), (fb, dfb) = cut(a, acut), cut(b, acut)
+    product, power = cos[0] * cos[1] * cos[2], (a * b * c) ** -decay3
+    scale = math.sqrt(eta3 / math.pi) * weight3
+    strength = scale * (1 + 3 * product) * power
+    away = (a + b)[:, None] / 2 - np.linspace(0, acut, n3 + 1)[1:]
+    ring = np.exp(-eta3 * away**2)
+    odd = 2 * np.arange(fourier) + 1
+    size = 2 * np.exp(-((zeta * odd) ** 2) / 2)
+    waves = np.stack((np.cos(odd * angle[:, None]), np.sin(odd * angle[:, None])), axis=2) * size[:, None]
+    bent = np.stack((-odd * np.sin(odd * angle[:, None]), odd * np.cos(odd * angle[:, None])), axis=2) * size[:, None]
+    p, q = np.minimum(kind[j], kind[k]), np.maximum(kind[j], kind[k])
+    columns = (ne * n2 + n3 * 2 * fourier * (q + ne * p - p * (p + 1) // 2))[:, None] + np.arange(n3 * 2 * fourier)
+    sides = ((a, dfa * fb, 0.5, along[i, j], i, j), (b, fa * dfb, 0.5, along[i, k], i, k), (c, np.zeros_like(c), 0.0, along[j, k], j, k))
+    for side, (length, dcut, share, u, plus, minus) in enumerate(sides):
+        dproduct = by_side[0][side] * cos[1] * cos[2] + cos[0] * by_side[1][side] * cos[2] + cos[0] * cos[1] * by_side[2][side]
+        dstrength = 3 * scale * dproduct * power - decay3 * strength / length
+        dshell = ring * (dcut * strength + fa * fb * dstrength)[:, None] - 2 * eta3 * share * away * ring * (fa * fb * strength)[:, None]
+        shell = ring * (fa * fb * strength)[:, None]
+        flat_waves = waves.reshape(len(i), 1, 2 * fourier)
+        dwaves = (bent * (turn * by_side[0][side])[:, None, None]).reshape(len(i), 1, 2 * fourier)
+        slope = (dshell[:, :, None] * flat_waves + shell[:, :, None] * dwaves).reshape(len(i), -1)
+        put(i, columns, slope, u, plus, minus)
+    return x, out
 
 
 # cMBDF

@@ -50,7 +50,8 @@ def self_consistent_huber(df: DataFrame, e: str, c: float, by: list[str] | None
     m that holds is the one for which 2 c L parts the sorted errors at m.  A group's errors are sorted in one task; without ``by``, for a whole table, use
     :func:`self_consistent`.
     """
-    by = by or []
+    if not by:
+        raise ValueError("one task would sort the whole table; use self_consistent")
     part = Window.partitionBy(*by)
     order = part.orderBy("a")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -148,7 +149,8 @@ def self_consistent_by(df: DataFrame, e: str, c: float, by: list[str], kind: str
 def weighted_median(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """x that makes sum |a x - b| least: the median of b / a weighted by |a| (the lower one where two do).  A group is sorted in one task; see
     :func:`weighted_median_of_all` for a whole table."""
-    by = by or []
+    if not by:
+        raise ValueError("one task would sort the whole table; use weighted_median_of_all")
     part = Window.partitionBy(*by)
     r = df.select(*by, (F.col(b) / F.col(a)).alias("x"), F.abs(F.col(a)).alias("w")).filter("w > 0 and x is not null")
     r = r.withColumn("run", F.sum("w").over(part.orderBy("x").rangeBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(part))
