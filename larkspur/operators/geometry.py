@@ -150,18 +150,11 @@ def bag_slots(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
 
 
 def bag_of_bonds(atoms: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """(mol, x): the slots of ``sizes`` (element -> bag, in the order of the dict), each sorted falling and padded with zeros."""
-    place = {z: i for i, z in enumerate(sizes)}
-    rank = lambda c: F.element_at(F.create_map(*[F.lit(v) for kv in place.items() for v in kv]), c)
-    p = pairs(atoms, both=False).withColumn("a", F.when(rank(F.col("zi")) <= rank(F.col("zj")), F.col("zi")).otherwise(F.col("zj")))
-    p = p.withColumn("b", F.col("zi") + F.col("zj") - F.col("a")).select("mol", "a", "b", (F.col("zi") * F.col("zj") / F.col("r")).alias("v"))
-    own = atoms.select("mol", F.col("z").alias("a"), F.lit(0).alias("b"), (0.5 * F.pow(F.col("z").cast("double"), F.lit(2.4))).alias("v"))
-    each = p.union(own)
-    parts = []
-    for z, w, n in bag_slots(sizes):
-        got = F.sort_array(F.collect_list(F.when((F.col("a") == z) & (F.col("b") == w), F.col("v"))), asc=False)
-        parts.append(F.slice(F.concat(got, F.array_repeat(F.lit(0.0), n)), 1, n) if n else F.array().cast("array<double>"))
-    return each.groupBy("mol").agg(F.concat(*parts).alias("x"))
+    """(mol, x): the slots of ``sizes`` (element -> bag, in the order of the dict), each sorted falling and padded with zeros.  One shuffle brings molecules together."""
+    from .representations import bags_many, molecules, represented_many
+
+    slots = bag_slots(sizes)
+    return represented_many(molecules(atoms), lambda z, r: bags_many(z, r, slots), False)
 
 
 def many_body_types(atoms: DataFrame, periodic: bool = False) -> DataFrame:

@@ -117,6 +117,31 @@ def coulomb(z: np.ndarray, r: np.ndarray, size: int = 29) -> np.ndarray:
     return coulomb_many(z[None], r[None], size)[0]
 
 
+def bags_many(z: np.ndarray, r: np.ndarray, slots: list[tuple[int, int, int]]) -> np.ndarray:
+    """Bags of bonds: ``slots`` are (z, z', places) in order, z' 0 for an element's own terms; each bag sorted falling, zeros behind, what does not fit left out."""
+    (m, n), d = z.shape, distances(r)
+    starts = np.cumsum([0, *(k for _, _, k in slots)])
+    place = {t: k for k, t in enumerate((a, b) for a, b, _ in slots)}
+    top = int(z.max(initial=0)) + 1
+    i, j = np.triu_indices(n, 1)
+    pair = z[:, i] * z[:, j] / d[:, i, j]
+    codes = np.concatenate((z * top, np.minimum(z[:, i], z[:, j]) * top + np.maximum(z[:, i], z[:, j])), axis=1)
+    known = {min(a, b) * top + max(a, b) if b else a * top: k for (a, b), k in place.items() if max(a, b) < top}
+    kinds = np.full(top * top, -1)
+    kinds[list(known)] = list(known.values())
+    values, kind = np.concatenate((0.5 * z**2.4, pair), axis=1).ravel(), kinds[codes].ravel()
+    mol = np.repeat(np.arange(m), codes.shape[1])
+    use = np.flatnonzero(kind >= 0)
+    order = use[np.lexsort((-values[use], kind[use], mol[use]))]
+    key = mol[order] * len(slots) + kind[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, int)
+    rank = np.arange(len(key)) - np.repeat(first, np.diff([*first, len(key)]))
+    fits = rank < np.array([k for _, _, k in slots])[kind[order]]
+    out = np.zeros((m, int(starts[-1])))
+    out[mol[order][fits], starts[kind[order][fits]] + rank[fits]] = values[order][fits]
+    return out
+
+
 # SLATM
 
 

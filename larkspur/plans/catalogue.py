@@ -706,18 +706,50 @@ def incremental_gramian(s, d):
     return solvers.add_parts(parts).select(r6(F.col("g")[0], 3).alias("g"), r6(F.col("r")[0], 3).alias("r"), "n")
 
 
-@query("krr_end_to_end")
+@query(
+    "krr_end_to_end",
+    f"""WITH RECURSIVE {VECTORS}, o AS (SELECT id, x, z::DOUBLE - avg(z) OVER () AS y, row_number() OVER (ORDER BY id) AS n FROM v),
+rows AS (SELECT l.n AS i, list(exp(-{L2} / 2.0) + CASE WHEN l.n = r.n THEN 1e-6 ELSE 0 END ORDER BY r.n) AS row FROM o l CROSS JOIN o r GROUP BY l.n), sys AS (SELECT list(row ORDER BY i) AS a FROM rows), b AS (SELECT list(y ORDER BY n) AS b FROM o),
+cg AS (SELECT 0 AS k, list_transform(b, lambda v: 0.0::DOUBLE) AS x, b AS r, b AS p, list_dot_product(b, b) AS rr FROM b UNION ALL
+  SELECT k + 1, list_transform(list_zip(x, p), lambda t: t[1] + al * t[2]), rn, list_transform(list_zip(rn, p), lambda t: t[1] + list_dot_product(rn, rn) / rr * t[2]), list_dot_product(rn, rn) FROM (
+    SELECT *, list_transform(list_zip(r, ap), lambda t: t[1] - al * t[2]) AS rn FROM (SELECT *, rr / list_dot_product(p, ap) AS al FROM (SELECT cg.*, list_transform(a, lambda row: list_dot_product(row, p)) AS ap FROM cg, sys WHERE k < 600 AND rr > 1e-24)))),
+sol AS (SELECT x AS s FROM cg ORDER BY k DESC LIMIT 1)
+SELECT o.id, round(list_dot_product(rows.row, s) - 1e-6 * s[o.n] + (SELECT avg(z) FROM v), 6) AS prediction FROM rows JOIN o ON o.n = rows.i, sol""",
+)
 def krr(s, d):
     rows = vectors(s, d).withColumn("y", F.col("z").cast("double"))
     model = KernelRidge(Kernel("gaussian", (1.0,)), 1e-6).fit(rows)
     return model.predict(rows).select("id", r6("prediction").alias("prediction"))
 
 
-@query("sorf_end_to_end")
+def _three_transforms(sigma: float = 1.0) -> str:
+    """CTEs f (id, j, f) of 4 stacks of 64 features after 3 transforms, by the rule of Signs."""
+    sign = "(CASE WHEN ((u.i + 1) * 7919 + ({t} + 1) * 104729 + (u.s + 1) * 1299709 + 15485863) * 31 // 16 % 2 = 0 THEN 1.0 ELSE -1.0 END)"
+    steps = [f"t0 AS (SELECT id, s, unnest(x) / {sigma} AS e, unnest(range(64)) AS i FROM v CROSS JOIN (SELECT unnest(range(4)) AS s))"]
+    for t in range(3):
+        steps.append(f"t{t + 1} AS (SELECT u.id, u.s, j.j AS i, sum(u.e * {sign.format(t=t)} * {H}) / 8.0 AS e FROM t{t} u CROSS JOIN jj j GROUP BY u.id, u.s, j.j)")
+    return "jj AS (SELECT unnest(range(64)) AS j), " + ", ".join(steps) + ", f AS (SELECT id, s * 64 + i AS j, cos(8.0 * e + ((i + 1) * 2654435 + (s + 1) * 40503 + 971) % 6283 / 1000.0) * sqrt(2.0 / 256) AS f FROM t3)"
+
+
+@query(
+    "sorf_end_to_end",
+    f"""WITH RECURSIVE {VECTORS}, {_three_transforms()}, fv AS (SELECT id, list(f ORDER BY j) AS f FROM f GROUP BY id), ys AS (SELECT id, z::DOUBLE AS y, avg(z) OVER () AS my FROM v),
+g AS (SELECT l.j AS a, r.j AS b, sum(l.f * r.f) AS g FROM f l JOIN f r ON l.id = r.id GROUP BY l.j, r.j), lam AS (SELECT 1e-6 * sum(g) / least(256, (SELECT count(*) FROM v)) AS l2 FROM g WHERE a = b),
+rr AS (SELECT j AS a, sum(f * (y - my)) AS r FROM f JOIN ys USING (id) GROUP BY j), rows AS (SELECT a, list(g + CASE WHEN a = b THEN l2 ELSE 0 END ORDER BY b) AS row FROM g CROSS JOIN lam GROUP BY a),
+sys AS (SELECT list(list_concat(row, [r]) ORDER BY rows.a) AS a FROM rows JOIN rr ON rr.a = rows.a),
+e AS (SELECT 0 AS k, a FROM sys UNION ALL SELECT k + 1, list_transform(a, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / a[k + 1][k + 1]) ELSE list_transform(list_zip(row, a[k + 1]), lambda t: t[1] - row[k + 1] / a[k + 1][k + 1] * t[2]) END) FROM e WHERE k < 256),
+al AS (SELECT list_transform(a, lambda row: row[-1]) AS al FROM e WHERE k = 256) SELECT ys.id, round(list_dot_product(fv.f, al) + my, 5) AS prediction FROM fv JOIN ys USING (id), al""",
+)
 def sorf(s, d):
     rows = vectors(s, d).withColumn("y", F.col("z").cast("double"))
     model = FeatureRidge(Signs.by_rule(4, 3, 64), 1.0, 1e-6).fit(rows)
-    return model.predict(rows).select("id", r6("prediction").alias("prediction"))
+    return model.predict(rows).select("id", r6("prediction", 5).alias("prediction"))
+
+
+@query("sorf_three_transforms", f"WITH {VECTORS}, {_three_transforms(2.0)} SELECT id, j::INTEGER AS pos, round(f, 6) + 0.0 AS v FROM f")
+def sorf_three_transforms(s, d):
+    z = random_features(vectors(s, d), "x", Signs.by_rule(4, 3, 64), 2.0, ["id"])
+    return z.select("id", F.posexplode("z").alias("pos", "v")).select("id", "pos", (r6("v") + 0.0).alias("v"))
 
 
 @query("pca_reductor")

@@ -493,3 +493,32 @@ def occupied_orbitals(s, d):
     o = table(s, d, "orders").select(F.col("o_custkey").alias("mol"), F.col("o_orderkey").alias("k"), "o_totalprice")
     o = o.withColumn("idx", F.row_number().over(w.orderBy("o_totalprice", "k"))).withColumn("occ", F.when(F.col("idx") <= F.floor(F.count("*").over(w) / 2), 2.0).otherwise(0.0))
     return orbitals.occupied(o).groupBy("mol").agg(F.count("*").alias("occupied"), F.max("idx").alias("last"))
+
+
+# Functions that a user gives.
+
+
+@query("parallel_map", f"WITH {ATOMS} SELECT mol, count(*)::DOUBLE AS n, sum(z)::DOUBLE AS charge, round(max(x) - min(x), 6) AS width FROM a GROUP BY mol")
+def parallel_map(s, d):
+    """A function of charges and coordinates over all molecules, as a user would hand it in."""
+    from ..operators import representations as R
+
+    x = R.represented(R.molecules(atoms(s, d)), lambda z, r: np.array([len(z), z.sum(), np.ptp(r[:, 0])], float), False)
+    return x.select("mol", F.col("x")[0].alias("n"), F.col("x")[1].alias("charge"), r6(F.col("x")[2]).alias("width"))
+
+
+def _column_kernels() -> None:
+    from .catalogue import kernel_sql
+
+    for name, k in {"gaussian": Kernel("gaussian", (1.5,)), "laplacian": Kernel("laplacian", (6.0,)), "matern": Kernel("matern", (2.0,), 2, "l2")}.items():
+        sql = f"WITH {VECTORS} SELECT l.id AS i, r.id AS j, round({kernel_sql(k, k.sigmas[0])}, 6) AS k FROM v l JOIN v r ON l.mol = r.mol AND l.z = r.z"
+
+        def f(s, d, k=k):
+            v = vectors(s, d)
+            pairs = v.alias("l").join(v.alias("r"), (F.col("l.mol") == F.col("r.mol")) & (F.col("l.z") == F.col("r.z")))
+            return pairs.select(F.col("l.id").alias("i"), F.col("r.id").alias("j"), r6(k.column(F.col("l.x"), F.col("r.x"))).alias("k"))
+
+        query(f"kernel_column_{name}", sql)(f)
+
+
+_column_kernels()
