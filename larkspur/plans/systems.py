@@ -602,6 +602,22 @@ def force_feature_ridge(s, d):
     return p.select("mol", F.posexplode(F.concat(F.array("energy"), "forces")).alias("q", "v")).select("mol", "q", (r6("v", 5) + 0.0).alias("v"))
 
 
+@query(
+    "force_fold_objective",
+    f"""WITH RECURSIVE {FEATURE4}, ax AS (SELECT unnest([1, 2, 3]) AS c), {FORCE_Y}, nat AS (SELECT mol, count(*) AS n FROM a GROUP BY mol), w AS (SELECT oy.mol, oy.q, oy.y, CASE WHEN q = 0 THEN 1.0 ELSE 1.0 / nat.n END AS w FROM oy JOIN nat USING (mol)),
+g AS (SELECT l.j AS a, r.j AS b, sum(l.v * r.v * w) AS g FROM fr l JOIN fr r ON l.mol = r.mol AND l.q = r.q JOIN w ON w.mol = l.mol AND w.q = l.q WHERE l.mol % 2 = 0 GROUP BY l.j, r.j), rr AS (SELECT j AS a, sum(v * y * w) AS r FROM fr JOIN w USING (mol, q) WHERE mol % 2 = 0 GROUP BY j),
+lam AS (SELECT 0.01 * sum(g) / least(4, (SELECT count(*) FROM y WHERE mol % 2 = 0)) AS l2 FROM g WHERE a = b), rows AS (SELECT a, list(g + CASE WHEN a = b THEN l2 ELSE 0 END ORDER BY b) AS row FROM g CROSS JOIN lam GROUP BY a),
+sys AS (SELECT list(list_concat(row, [r]) ORDER BY rows.a) AS a FROM rows JOIN rr ON rr.a = rows.a), {eliminated('el', 'sys')}, p AS (SELECT mol, q, sum(v * a[j + 1][-1]) AS p FROM fr, el_x WHERE mol % 2 = 1 GROUP BY mol, q)
+SELECT round(-1 / avg(abs(p - y) * sqrt(w)), 5) AS objective FROM p JOIN w USING (mol, q)""",
+)
+def force_fold_objective(s, d):
+    params = {e: Signs.by_rule(1, 1, 4, e) for e in (1, 6, 8)}
+    t = force_targets(s, d)
+    folds = t.select("mol", F.lit(0).alias("fold"), (F.col("mol") % 2 == 0).alias("train"))
+    v = forces.force_fold_objective(forces.FeatureForceRidge(params, 2.0, 0.01), supplier_molecules(s, d), t, folds)
+    return table_of([(v,)], s, "objective double").select(r6("objective", 5).alias("objective"))
+
+
 # Orbitals: a ridge on their kernel.
 
 ORBITALS = f"""{VECTORS}, o AS (SELECT CAST(floor(id / 40) AS BIGINT) AS mol, CAST(floor(id / 4) AS BIGINT) AS orb, id, (z + 1) / 10.0 AS rho, list_transform(x, lambda t: t * 0.5 / 0.5) AS x FROM v),
