@@ -133,6 +133,14 @@ class Code:
         return s
 
 
+@lru_cache(64)
+def code_of_lengths(packed: int, n: int) -> Code:
+    """The code in which lengths are written, from its own lengths: three bits each, in the format's order."""
+    lengths = np.zeros(19, np.int64)
+    lengths[list(LENGTH_ORDER[:n])] = [packed >> 3 * i & 7 for i in range(n)]
+    return Code(lengths)
+
+
 def read_lengths(bits: Bits, size: int) -> np.ndarray:
     lengths = np.zeros(size, np.int64)
     if bits.read(1):
@@ -141,11 +149,10 @@ def read_lengths(bits: Bits, size: int) -> np.ndarray:
         if two:
             lengths[bits.read(8)] = 1
         return lengths
-    first = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        first[LENGTH_ORDER[i]] = bits.read(3)
+    n = 4 + bits.read(4)
+    first = bits.read(3 * n)
     most = size if not bits.read(1) else 2 + bits.read(2 + 2 * bits.read(3))
-    code, at, last = Code(first), 0, 8
+    code, at, last = code_of_lengths(first, n), 0, 8
     pairs, mask = code.steps(), (1 << code.bits) - 1
     start = bits.position()
     value, read, out = bits.slice(start, 14 * size + 64), 0, []  # 7 bits of code and 7 more for a symbol at most
@@ -264,20 +271,23 @@ def one_group_pixels(bits: Bits, group: list[Code], count: int, wide: int, cache
             if id(c) not in known:
                 known[id(c)] = c.lengths[window if c.bits and (1 << c.bits) - 1 == mask else window & ((1 << c.bits) - 1)]
             sizes.append(known[id(c)])
-        p1 = np.arange(reach, dtype=np.int32) + sizes[0][:reach]
-        p2 = p1 + sizes[1][p1]
-        p3 = p2 + sizes[2][p2]
-        p4 = p3 + sizes[3][p3]
+        p1 = np.arange(reach) + sizes[0][:reach]
+        p2 = p1 + sizes[1].take(p1, mode="clip")
+        p3 = p2 + sizes[2].take(p2, mode="clip")
+        ends = np.full(reach + most + 1, -1)  # places behind the reach stop the walk too
+        p4 = ends[:reach]
+        np.add(p3, sizes[3].take(p3, mode="clip"), out=p4)
         if top >= 256:
-            first = green.symbols[window[:reach] & ((1 << green.bits) - 1)]
-            p4[first >= 256] = -1
+            first = green.symbols.take(window[:reach] & ((1 << green.bits) - 1), mode="clip")
             if cache_bits:
-                p4 = np.where(first >= 280, p1, p4)
-        walk, at = memoryview(p4), start - low * 8
+                np.copyto(p4, p1, where=first >= 280)
+                first[first >= 280] = 0
+            p4[first >= 256] = -1
+        walk, at = memoryview(ends), start - low * 8
         while done < count and at < reach:
-            stops, left = [], count - done
-            for _ in range(left):
-                if at >= reach or (to := walk[at]) < 0:
+            stops = []
+            for _ in range(count - done):
+                if (to := walk[at]) < 0:
                     break
                 stops.append(at)
                 at = to
@@ -663,33 +673,40 @@ def prefix_of(n: int) -> tuple[int, int, int]:
 LEAST, LONGEST, FARTHEST = 4, 4096, (1 << 20) - 120
 
 
-def entropies(samples: np.ndarray) -> np.ndarray:
-    """Bits of each row of bytes under a code fitted to it."""
-    k, n = samples.shape
-    counts = np.bincount((samples + (np.arange(k) << 8)[:, None]).ravel(), minlength=k << 8).reshape(k, 256)
-    return n * math.log2(n) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1)
+@lru_cache(1)
+def self_information(most: int = 1 << 16) -> np.ndarray:
+    """c log2 c for counts up to ``most``."""
+    c = np.arange(most + 1)
+    return c * np.log2(np.maximum(c, 1))
+
+
+def entropy(samples: np.ndarray) -> float:
+    """Bits a byte of at most 2**16 bytes under a code fitted to them."""
+    n = samples.size
+    return math.log2(n) - float(self_information()[np.bincount(samples.ravel(), minlength=256)].sum()) / n if n else 8.0
 
 
 def best_transform(bgra: np.ndarray, rows: int = 8) -> tuple[int | None, object]:
     """The transform that leaves the least entropy on up to ``rows`` rows in a row from the middle, and its parameter."""
     start = max(0, (len(bgra) - rows) // 2)
     some = bgra[start : start + rows]
-    crossed = some.copy()
-    crossed[..., 0::2] -= some[..., 1:2]  # what the factors of CROSS do, but for rounding
-    crossed[..., 3] = some[..., 3]
-    tried = (None, None), (PREDICTOR, LEFT), (PREDICTOR, TOP), (CROSS_COLOUR, CROSS)
-    costs = entropies(np.stack((some, differences(some, LEFT), differences(some, TOP), crossed)).reshape(4, -1))
-    costs[0] *= 0.98  # a transform must be worth its description
-    costs[1:] += 60
-    best = int(np.argmin(costs))
+    n = some.size
+    costs = [
+        0.98 * n * entropy(some),  # a transform must be worth its description
+        n * entropy(some[:, 1:] - some[:, :-1]) + 60,
+        n * entropy(some[1:] - some[:-1]) + 60,
+        # what the factors of CROSS do, but for rounding: red and blue less green
+        n / 2 * (entropy(some[..., 0::2] - some[..., 1:2]) + entropy(some[..., 1::2])) + 60,
+    ]
+    best = costs.index(min(costs))
     argb = argb_of(some).ravel()
     if 3 * len(table := set(argb[:400].tolist())) < min(400, len(argb)):  # repeats enough to ask for all pixels
         table = np.unique(argb_of(bgra))
         if len(table) <= 256:
-            index = entropies(np.searchsorted(table, argb)[None])[0]
+            index = len(argb) * entropy(np.searchsorted(table, argb))
             if index + 24.0 * len(table) * len(some) / len(bgra) < costs[best]:
                 return PALETTE, table
-    return tried[best]
+    return ((None, None), (PREDICTOR, LEFT), (PREDICTOR, TOP), (CROSS_COLOUR, CROSS))[best]
 
 
 #: Red and blue less green: factors of 32 (one, in fifths of bits), green to red in blue's place, green to blue in green's.
