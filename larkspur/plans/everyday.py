@@ -522,3 +522,103 @@ def _column_kernels() -> None:
 
 
 _column_kernels()
+
+
+# More of the above: local SLATM, projections, saved parameters, guesses.
+
+SLATM_LOCAL = f"""WITH {ATOMS}, d AS (SELECT l.mol, l.atom AS i, r.atom AS j, l.z AS zi, r.z AS zj, sqrt({D2}) AS r FROM a l JOIN a r ON l.mol = r.mol AND l.atom <> r.atom),
+g2 AS (SELECT mol, i AS atom, least(zi, zj) AS z1, greatest(zi, zj) AS z2, r, unnest(range({_NX})) AS g FROM d WHERE r < {_RC}),
+t2 AS (SELECT mol, atom, z1, z2, 0 AS z3, g, sum(z1 * z2 * (1 / sqrt(2 * pi() * 0.09) * 0.2) / pow(0.1 + g * {_STEP}, 6) * exp(-pow(0.1 + g * {_STEP} - r, 2) / 0.18)) / 2 AS v FROM g2 GROUP BY mol, atom, z1, z2, g),
+tr AS (SELECT ij.mol, ij.j AS atom, ij.zi, ij.zj AS zm, jk.zj AS zk, ij.r AS ij, ik.r AS ik, jk.r AS jk FROM d ij JOIN d jk ON ij.mol = jk.mol AND ij.j = jk.i JOIN d ik ON ik.mol = ij.mol AND ik.i = ij.i AND ik.j = jk.j WHERE ij.i < jk.j AND ij.r < {_RC} AND ik.r < {_RC} AND jk.r < {_RC}),
+an AS (SELECT mol, atom, least(zi, zk) AS z1, zm AS z2, greatest(zi, zk) AS z3, zi * zm * zk * (0.2 / sqrt(2 * pi() * 0.09) / 3) / pow(ij * ik * jk, 3) AS w, acos(greatest(-1, least(1, (ij * ij + jk * jk - ik * ik) / (2 * ij * jk)))) AS m,
+  (ik * ik + jk * jk - ij * ij) / (2 * ik * jk) * ((ij * ij + ik * ik - jk * jk) / (2 * ij * ik)) AS e FROM tr),
+g3 AS (SELECT *, unnest(range({_NA})) AS g FROM an),
+t3 AS (SELECT mol, atom, z1, z2, z3, g, sum(w * (1 + cos(-{_EDGE} + g * {_TURN}) * e) * exp(-pow(-{_EDGE} + g * {_TURN} - m, 2) / 0.18)) AS v FROM g3 GROUP BY mol, atom, z1, z2, z3, g),
+al AS (SELECT mol, atom, z AS z1, 0 AS z2, 0 AS z3, 0 AS g, z::DOUBLE AS v FROM a UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)"""
+
+
+@query("slatm_local_blocks", f"{SLATM_LOCAL} SELECT mol, atom, z1, z2, z3, round(sum(v) / 1000, 5) AS total, round(sum(v * (g + 1)) / 1000, 5) AS placed FROM al GROUP BY mol, atom, z1, z2, z3 HAVING sum(v) <> 0")
+def slatm_local_blocks(s, d):
+    from ..operators import representations as R
+
+    types, blocks, at = slatm_types(s, d), [], 1
+    x = R.represented_many(R.molecules(atoms(s, d)), lambda z, r: R.slatm_many(z, r, types, True, rcut=_RC, dgrids=(0.2, 0.2), sigmas=(0.3, 0.3)), True)
+    for t in types:
+        n = {1: 1, 2: _NX, 3: _NA}[len(t)]
+        part = F.slice("x", at, n)
+        z = [F.lit(v).alias(f"z{k + 1}") for k, v in enumerate((*t, 0, 0)[:3])]
+        blocks.append(F.struct(*z, V.total(part).alias("total"), V.total(F.transform(part, lambda v, i: v * (i + 1))).alias("placed")))
+        at += n
+    x = x.select("mol", "atom", F.inline(F.filter(F.array(*blocks), lambda b: b["total"] != 0)))
+    return x.select("mol", "atom", "z1", "z2", "z3", r6(F.col("total") / 1000, 5).alias("total"), r6(F.col("placed") / 1000, 5).alias("placed"))
+
+
+@query("neighbor_counts", f"WITH {ATOMS}, {PAIRS} SELECT mol, i, count(*) AS n, round(sum(r), 5) AS reach FROM p WHERE r < 4.97 GROUP BY mol, i")
+def neighbor_counts(s, d):
+    return geometry.neighbours(atoms(s, d), 4.97).groupBy("mol", "i").agg(F.count("*").alias("n"), r6(F.sum("r"), 5).alias("reach"))
+
+
+_BASIS8 = "(1 - 2 * (bit_count((w.i & w.k)::BIGINT) % 2)) / 8.0"
+
+
+def _basis8():
+    i, j = np.ogrid[:64, :8]
+    return (1.0 - 2.0 * (np.bitwise_count(i & j) % 2)) / 8.0
+
+
+@query("projected_scaled", f"WITH {VECTORS}, w AS (SELECT id, e, i, k FROM (SELECT id, unnest(x) AS e, unnest(range(64)) AS i FROM v) CROSS JOIN (SELECT unnest(range(8)) AS k)) SELECT id, k::INTEGER AS pos, round(sum(e * {_BASIS8}) / 0.7, 6) + 0.0 AS v FROM w GROUP BY id, k")
+def projected_scaled(s, d):
+    from ..operators.features import projected
+
+    return projected(vectors(s, d), "x", _basis8(), ["id"], 0.7).select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", (r6("v") + 0.0).alias("v"))
+
+
+@query(
+    "sorf_local_reduced",
+    f"""WITH {VECTORS}, w AS (SELECT id, mol, z, e, i, k FROM (SELECT id, mol, z, unnest(x) AS e, unnest(range(64)) AS i FROM v) CROSS JOIN (SELECT unnest(range(8)) AS k)),
+u AS (SELECT id, mol, z, k AS i, sum(e * {_BASIS8}) AS e FROM w GROUP BY id, mol, z, k), j AS (SELECT unnest(range(8)) AS j),
+f AS (SELECT u.id, u.mol, j.j, cos(sum(e / 0.9 * {SIGN.format(sp='u.z')} * {H}) + {BIAS.format(sp='any_value(u.z)')}) * sqrt(2.0 / 8) AS f FROM u CROSS JOIN j GROUP BY u.id, u.mol, j.j)
+SELECT mol, j::INTEGER AS pos, round(sum(f), 6) + 0.0 AS v FROM f GROUP BY mol, j""",
+)
+def sorf_local_reduced(s, d):
+    from ..operators.features import local_random_features
+
+    params, basis = {e: Signs.by_rule(1, 1, 8, e) for e in range(10)}, {e: _basis8() for e in range(10)}
+    z = local_random_features(vectors(s, d), "mol", "z", "x", params, 0.9, basis)
+    return z.select("mol", F.posexplode("z").alias("pos", "v")).select("mol", "pos", (r6("v") + 0.0).alias("v"))
+
+
+@query(
+    "saved_parameters",
+    f"""WITH {VECTORS}, j AS (SELECT unnest(range(64)) AS j), u AS (SELECT id, unnest(x) AS e, unnest(range(64)) AS i FROM v)
+SELECT u.id, CAST(j.j AS INTEGER) AS pos, round(cos(sum(e / 3.0 * {SIGN.format(sp=0)} * {H}) + {BIAS.format(sp=0)}) * sqrt(2.0 / 64), 6) + 0.0 AS v FROM u CROSS JOIN j GROUP BY u.id, j.j""",
+)
+def saved_parameters(s, d):
+    from ..operators.features import random_features
+
+    path = store.scratch(s, "signs")
+    store.save_table(Signs.by_rule(1, 1, 64).table(s), path)
+    z = random_features(vectors(s, d), "x", Signs.of_table(store.load_table(s, path)), 3.0, ["id"])
+    return z.select("id", F.posexplode("z").alias("pos", "v")).select("id", "pos", (r6("v") + 0.0).alias("v"))
+
+
+@query("range_width_guesses", f"WITH {VECTORS}, u AS (SELECT unnest(x) AS e, unnest(range(64)) AS pos FROM v), s AS (SELECT pos, var_pop(e) AS v FROM u GROUP BY pos) SELECT (CASE WHEN pos < 16 THEN 0 WHEN pos < 40 THEN 1 ELSE 2 END)::INTEGER AS part, round(sqrt(3 * sum(v)), 6) AS sigma FROM s GROUP BY CASE WHEN pos < 16 THEN 0 WHEN pos < 40 THEN 1 ELSE 2 END")
+def range_width_guesses(s, d):
+    rows = statistics.component_moments(vectors(s, d), "x").orderBy("pos").collect()  # components
+    got = levels.guess_range_sigmas([r["variance"] for r in rows], [0, 16, 40, 64])
+    return s.createDataFrame([(i, float(v)) for i, v in enumerate(got)], "part int, sigma double").select("part", r6("sigma").alias("sigma"))
+
+
+_PLAIN = "list_transform(es, lambda e: CASE WHEN abs((low + high) / 2 - e) < 200.0 THEN ((low + high) / 2 - e) / 200.0 ELSE sign((low + high) / 2 - e) END)"
+
+
+@query(
+    "linear_minima",
+    f"""WITH RECURSIVE e AS (SELECT list(value * 10 ORDER BY event_id) AS es, min(value * 10) AS low, max(value * 10) AS high FROM events WHERE value IS NOT NULL),
+b AS (SELECT 0 AS k, es, low::DOUBLE AS low, high::DOUBLE AS high FROM e UNION ALL SELECT k + 1, es, CASE WHEN up THEN low ELSE mid END, CASE WHEN up THEN mid ELSE high END FROM (SELECT *, (low + high) / 2 AS mid, list_avg({_PLAIN}) > 0 AS up FROM b WHERE k < 50))
+SELECT round((low + high) / 2, 2) AS huber, (SELECT round(avg(value * 10), 4) FROM events) AS mse FROM b WHERE k = 50""",
+)
+def linear_minima(s, d):
+    t = table(s, d, "events").filter("value is not null").select(F.lit(1.0).alias("one"), (F.col("value") * 10).alias("y"))
+    huber, mse = (float(selection.linear_minimum(t, ["one"], "y", kind, 100.0)[0]) for kind in ("huber", "mse"))
+    return s.createDataFrame([(huber, mse)], "huber double, mse double").select(r6("huber", 2).alias("huber"), r6("mse", 4).alias("mse"))

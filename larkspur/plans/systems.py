@@ -646,3 +646,33 @@ def orbital_ridge(s, d):
     o = orbital_rows(s, d)
     labels = o.groupBy("mol").agg(F.avg((F.col("arep") % 31).cast("double")).alias("y"))
     return orbitals.OrbitalRidge([0.5] * 64, 0.7, 0.01).fit(o, labels).predict(o).select("mol", r6("prediction", 5).alias("prediction"))
+
+
+# Saved models and guessed widths.
+
+
+@query(
+    "krr_saved",
+    f"""WITH RECURSIVE {MEANS}, {kernel_system('[y - my]', '0.01')}, {eliminated('e', 'sys')},
+al AS (SELECT unnest(list_transform(a, lambda row: row[-1])) AS alpha, unnest(range(1, len(a) + 1)) AS n FROM e_x), tr AS (SELECT t.*, row_number() OVER (ORDER BY id) AS n FROM t)
+SELECT l.id, round(sum({gauss(SIGMA)} * alpha) + (SELECT avg(y) FROM y), 6) AS prediction FROM v l CROSS JOIN tr r JOIN al ON al.n = r.n GROUP BY l.id""",
+)
+def krr_saved(s, d):
+    from ..sources.store import scratch
+
+    path = scratch(s, "model")
+    M.KernelRidge(Kernel("gaussian", (SIGMA,)), 0.01, solver="lu").fit(means(s, d)).save(path)
+    return M.KernelRidge.load(s, path).predict(vectors(s, d)).select("id", r6("prediction").alias("prediction"))
+
+
+@query(
+    "multilevel_width_guesses",
+    f"""WITH {VECTORS}, sa AS (SELECT sqrt(sum(v)) AS s FROM (SELECT pos, var_pop(e) AS v FROM (SELECT unnest(x) AS e, unnest(range(64)) AS pos FROM v) GROUP BY pos)), j AS (SELECT unnest(range(64)) AS j), u AS (SELECT id, mol, z, unnest(x) / (SELECT s FROM sa) AS e, unnest(range(64)) AS i FROM v),
+fa AS (SELECT u.id, u.mol, j.j, cos(sum(e * {SIGN.format(sp='u.z')} * {H}) + {BIAS.format(sp='any_value(u.z)')}) * sqrt(2.0 / 64) AS f FROM u CROSS JOIN j GROUP BY u.id, u.mol, j.j), s1 AS (SELECT mol, j, sum(f) AS f FROM fa GROUP BY mol, j),
+nn AS (SELECT mol, sqrt(sum(f * f)) AS n FROM s1 GROUP BY mol), w AS (SELECT j, f / n AS e FROM s1 JOIN nn USING (mol)), sb AS (SELECT sqrt(sum(v)) AS s FROM (SELECT j, var_pop(e) AS v FROM w GROUP BY j))
+SELECT 0 AS map, round(s, 6) AS sigma FROM sa UNION ALL SELECT 1, round(s, 6) FROM sb""",
+)
+def multilevel_width_guesses(s, d):
+    model, objects, _ = multilevel(s, d)
+    maps = model.pipeline.guess_sigmas(objects).maps()
+    return table_of([(i, float(m.sigma)) for i, m in enumerate(maps)], s, "map int, sigma double").select("map", r6("sigma").alias("sigma"))
