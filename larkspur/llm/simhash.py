@@ -172,7 +172,8 @@ def links(nodes: DataFrame, limit: int = LIMIT, most: int = 20_000) -> DataFrame
                 for at in range(0, len(hole), 100_000):
                     yield {"hole": hole[at : at + 100_000], "fp": fp[at : at + 100_000], "home": home[at : at + 100_000]}
 
-    filed = map_arrow(nodes, file, "hole long,fp long,home boolean")
+    # dealt out first, by a hash of its own so that Spark does not leave this out: fingerprints are few bytes, but each is filed many times
+    filed = map_arrow(nodes.select("fp").repartition(shuffle_parts(spark), F.xxhash64("fp")), file, "hole long,fp long,home boolean")
     # counted apart, so that the entries of a hole with very many need not be in one task before they are dealt out
     holes = filed.groupBy("hole").agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 and any")
     met = filed.join(holes.select("hole", "n"), "hole")
