@@ -132,4 +132,19 @@ WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]*>?', '', 'g') AS b FROM a),
 c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(b, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c""",
+    # rounds of compaction as steps of a recursive query: each step's rows are a version's shards
+    "op9_sharding": r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n, CASE WHEN doc_id IS NOT NULL THEN
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 64 END AS m FROM documents, tab),
+e AS (SELECT doc_id, n, CASE WHEN m IS NULL THEN -1 WHEN m < 24 THEN m ELSE 24 + (m - 24) // 8 END AS arrival FROM d),
+s AS (SELECT 1 AS version, 'a000001-' || lpad(arrival::VARCHAR, 6, '0') AS name, 1 AS born, count(*) AS n_rows, sum(n)::BIGINT AS n_bytes, [arrival] AS arrivals FROM e GROUP BY arrival),
+r AS (SELECT * FROM s UNION ALL
+  SELECT version, CASE WHEN merged THEN 'm' || lpad(version::VARCHAR, 6, '0') || '-' || lpad((row_number() OVER (PARTITION BY merged ORDER BY last) - 1)::VARCHAR, 6, '0') ELSE name END, born, n_rows, n_bytes, arrivals FROM (
+    SELECT any_value(version) + 1 AS version, bool_or(merged) AS merged, max(place) AS last, any_value(name) AS name, CASE WHEN bool_or(merged) THEN any_value(version) + 1 ELSE max(born) END AS born, sum(n_rows)::BIGINT AS n_rows, sum(n_bytes)::BIGINT AS n_bytes, flatten(list(arrivals)) AS arrivals FROM (
+      SELECT *, small AND n // 4 < size // 4 AS merged, CASE WHEN small AND n // 4 < size // 4 THEN tier || ':' || n // 4 ELSE name END AS key, bool_or(small AND n // 4 < size // 4) OVER () AS more FROM (
+        SELECT *, row_number() OVER (PARTITION BY tier, small ORDER BY born, name) - 1 AS n, count(*) OVER (PARTITION BY tier, small) AS size, row_number() OVER (ORDER BY born, name) AS place FROM (
+          SELECT *, CASE WHEN n_bytes = 0 THEN 0 ELSE (length(bin(n_bytes)) + 1) // 2 END AS tier, n_bytes < 134217728 AS small FROM r))) WHERE more GROUP BY key)),
+l AS (SELECT *, unnest(arrivals) AS arrival FROM r WHERE version = (SELECT max(version) FROM r))
+SELECT doc_id, n AS n_bytes, name AS shard, (CASE WHEN l.n_bytes = 0 THEN 0 ELSE (length(bin(l.n_bytes)) + 1) // 2 END)::INTEGER AS shard_tier, l.n_rows AS shard_rows, l.n_bytes AS shard_bytes, len(arrivals)::INTEGER AS shard_arrivals, version::BIGINT AS manifest_version FROM e JOIN l USING (arrival)""",
 }
