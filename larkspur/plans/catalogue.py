@@ -758,27 +758,3 @@ def pca(s, d):
 
     v = vectors(s, d)
     return projected(v, "x", reductor(v, "x", 8, 1024), ["id"]).select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", r6("v").alias("v"))
-
-
-def _represented(f, local: bool) -> Query:
-    from ..operators import representations as R
-
-    def run(s, d):
-        x = R.represented_many(R.molecules(atoms(s, d)), f, local)
-        keys = ["mol", "atom"] if local else ["mol"]
-        return x.select(*keys, F.size("x").alias("size"), r6(V.norm(F.col("x")), 5).alias("norm"))
-
-    return run
-
-
-def _add_representations() -> None:
-    from ..operators import representations as R
-
-    def cmbdf(s, d):
-        tables = R.default_convolutions(0.01, 10.0, 0.005)
-        return _represented(lambda z, r: R.cmbdf_many(z, r, tables), True)(s, d)
-
-    query("representation_cmbdf")(cmbdf)
-
-
-_add_representations()

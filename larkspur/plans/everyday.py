@@ -622,3 +622,43 @@ def linear_minima(s, d):
     t = table(s, d, "events").filter("value is not null").select(F.lit(1.0).alias("one"), (F.col("value") * 10).alias("y"))
     huber, mse = (float(selection.linear_minimum(t, ["one"], "y", kind, 100.0)[0]) for kind in ("huber", "mse"))
     return s.createDataFrame([(huber, mse)], "huber double, mse double").select(r6("huber", 2).alias("huber"), r6("mse", 4).alias("mse"))
+
+
+def _smeared(name: str, n: int, step: str, weights: list[str]) -> str:
+    """CTEs ``name`` (i, f, k, v): weights over a grid of n places, smeared by a Gaussian of width 1/2 and its derivatives to the fourth, each scaled to a largest value of 1."""
+    t, root = f"sqrt(2.0) * {name}_y", "sqrt(2.0)"
+    shapes = ["1.0", f"-2 * {root} * {name}_y", f"4 * pow({t}, 2) - 2 * {root}", f"-8 * pow({t}, 3) + 12 * {root} * {name}_y", f"16 * pow({t}, 4) - 48 * pow({t}, 2) + 12 * 2.0"]
+    each = ", ".join(f"exp(-2.0 * {name}_y * {name}_y) * sqrt(2.0 / pi()) * ({e}) * {'1.0' if i == 0 else f'pow(-{root}, 5)'}" for i, e in enumerate(shapes))
+    return f"""{name}_w AS (SELECT m, unnest(range({len(weights)})) AS f, unnest([{', '.join(weights)}]) AS v FROM (SELECT m, m * ({step} / {n}) AS x FROM (SELECT unnest(range({n})) AS m))),
+{name}_s AS (SELECT w, unnest(range(5)) AS i, unnest([{each}]) AS v FROM (SELECT w, w * ({step} / {n}) - {step} AS {name}_y FROM (SELECT unnest(range({2 * n})) AS w))),
+{name}_c AS (SELECT s.i, w.f, s.w + w.m - {n - 1} AS k, sum(s.v * w.v) AS v FROM {name}_s s JOIN {name}_w w ON s.w + w.m BETWEEN {n - 1} AND {2 * n - 2} GROUP BY s.i, w.f, s.w + w.m),
+{name} AS (SELECT i, f, k, v / max(abs(v)) OVER (PARTITION BY i, f) AS v FROM {name}_c)"""
+
+
+_CMBDF = f"""WITH {ATOMS}, {_smeared('tr', 1000, '10.0', ['exp(-1.5 * x)', 'exp(-5.0 * x)', '1 / pow(x + 1, 3)', '1 / pow(x + 1, 5)'])}, {_smeared('ta', 630, 'pi()', ['cos(x)', 'cos(2 * x)', 'cos(3 * x)', 'cos(4 * x)'])},
+d AS (SELECT l.mol, l.atom AS i, r.atom AS j, l.z AS zi, r.z AS zj, sqrt({D2}) AS r FROM a l JOIN a r ON l.mol = r.mol AND l.atom <> r.atom),
+r2 AS (SELECT mol, d.i AS atom, 0 AS part, tr.i, tr.f, sum(sqrt(zi * zj) * tr.v) AS v FROM d JOIN tr ON tr.k = floor(d.r / (10.0 / 1000))::BIGINT WHERE d.r < 10.0 GROUP BY mol, d.i, tr.i, tr.f),
+t AS (SELECT ij.mol, ij.i, ij.j, ik.j AS k, cbrt(ij.zi * ij.zj * ik.zj) / pow(ij.r * ik.r * jk.r, 2) AS w, ij.r AS ij, ik.r AS ik, jk.r AS jk FROM d ij JOIN d ik ON ij.mol = ik.mol AND ij.i = ik.i AND ij.i < ij.j AND ij.j < ik.j JOIN d jk ON jk.mol = ij.mol AND jk.i = ij.j AND jk.j = ik.j
+  WHERE ij.r < 10.0 AND ik.r < 10.0),
+c AS (SELECT *, greatest(-1, least(1, (ij * ij + ik * ik - jk * jk) / (2 * ij * ik))) AS c1, greatest(-1, least(1, (ij * ij + jk * jk - ik * ik) / (2 * ij * jk))) AS c2, greatest(-1, least(1, (ik * ik + jk * jk - ij * ij) / (2 * ik * jk))) AS c3 FROM t),
+o AS (SELECT mol, i AS atom, w, c1 AS c, c2 * c3 AS o FROM c UNION ALL SELECT mol, j, w, c2, c1 * c3 FROM c UNION ALL SELECT mol, k, w, c3, c1 * c2 FROM c),
+r3 AS (SELECT mol, atom, 1 AS part, ta.i, ta.f, sum(2 * ta.v * w * CASE WHEN ta.f = 0 THEN o ELSE 1 END) AS v FROM o JOIN ta ON ta.k = least(629, floor(acos(c) / (pi() / 630))::BIGINT) GROUP BY mol, atom, ta.i, ta.f),
+al AS (SELECT * FROM r2 UNION ALL SELECT * FROM r3)"""
+
+
+def cmbdf(s, d):
+    from ..operators import representations as R
+
+    tables = R.default_convolutions(0.01, 10.0, 0.005)
+    return R.represented_many(R.molecules(atoms(s, d)), lambda z, r: R.cmbdf_many(z, r, tables), True)
+
+
+@query("representation_cmbdf", f"{_CMBDF} SELECT a.mol, a.atom, 40 AS size, round(coalesce(sqrt(sum(v * v)), 0), 5) AS norm FROM a LEFT JOIN al ON a.mol = al.mol AND a.atom = al.atom GROUP BY a.mol, a.atom")
+def representation_cmbdf(s, d):
+    return cmbdf(s, d).select("mol", "atom", F.size("x").alias("size"), r6(V.norm(F.col("x")), 5).alias("norm"))
+
+
+@query("cmbdf_positions", f"{_CMBDF} SELECT mol, atom, (20 * part + 4 * i + f)::INTEGER AS pos, round(v, 5) + 0.0 AS v FROM al WHERE abs(v) > 0.01")
+def cmbdf_positions(s, d):
+    places = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("pos"), v.alias("v"))), lambda e: F.abs(e["v"]) > 0.01)
+    return cmbdf(s, d).select("mol", "atom", F.inline(places)).select("mol", "atom", "pos", (r6("v", 5) + 0.0).alias("v"))
