@@ -752,9 +752,27 @@ def sorf_three_transforms(s, d):
     return z.select("id", F.posexplode("z").alias("pos", "v")).select("id", "pos", (r6("v") + 0.0).alias("v"))
 
 
-@query("pca_reductor")
+def _directions(n: int) -> str:
+    """CTEs p1 (a) and d1, d2, ... (v): the leading directions of X'X one by one, each from a high power of what the ones before it leave (squared 22 times); its largest component is positive."""
+    out = []
+    for c in range(1, n + 1):
+        out.append(f"""q{c} AS (SELECT 0 AS k, a FROM p{c} UNION ALL SELECT k + 1, list_transform(b, lambda row: list_transform(row, lambda e: e / s)) FROM (
+  SELECT k, b, list_sum(list_transform(range(1, 65), lambda i: b[i][i])) AS s FROM (SELECT k, list_transform(a, lambda row: list_transform(a, lambda col: list_dot_product(row, col))) AS b FROM q{c} WHERE k < 22)))""")
+        out.append(f"""u{c} AS (SELECT list_transform(w, lambda e: e / sqrt(list_dot_product(w, w))) AS w FROM (SELECT a[list_position(list_transform(range(1, 65), lambda i: a[i][i]), list_max(list_transform(range(1, 65), lambda i: a[i][i])))] AS w FROM q{c} WHERE k = 22))""")
+        out.append(f"d{c} AS (SELECT list_transform(w, lambda e: e * sign(list_max(w) + list_min(w))) AS v FROM u{c})")
+        out.append(f"p{c + 1} AS (SELECT list_transform(a, lambda row, i: list_transform(row, lambda e, j: e - l * v[i] * v[j])) AS a FROM (SELECT a, v, list_dot_product(v, list_transform(a, lambda row: list_dot_product(row, v))) AS l FROM p{c}, d{c}))")
+    return ", ".join(out)
+
+
+# fitted on 1,024 vectors at the most, in hash order; the SQL takes all, so it is for tables of no more
+@query(
+    "pca_reductor",
+    f"""WITH RECURSIVE {VECTORS}, u AS (SELECT id, unnest(x) AS e, unnest(range(64)) AS i FROM v), g AS (SELECT l.i AS a, r.i AS b, sum(l.e * r.e) AS g FROM u l JOIN u r ON l.id = r.id GROUP BY l.i, r.i),
+p1 AS (SELECT list(row ORDER BY a) AS a FROM (SELECT a, list(g ORDER BY b) AS row FROM g GROUP BY a)), {_directions(8)}
+{' UNION ALL '.join(f"SELECT id, {c - 1} AS pos, round(list_dot_product(x, d{c}.v), 6) + 0.0 AS v FROM v, d{c}" for c in range(1, 9))}""",
+)
 def pca(s, d):
     from ..operators.features import projected, reductor
 
     v = vectors(s, d)
-    return projected(v, "x", reductor(v, "x", 8, 1024), ["id"]).select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", r6("v").alias("v"))
+    return projected(v, "x", reductor(v, "x", 8, 1024), ["id"]).select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", (r6("v") + 0.0).alias("v"))
