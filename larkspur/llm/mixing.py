@@ -57,7 +57,7 @@ def order_key(seed: str):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
 
 
-def shares(rows: DataFrame, names: dict[str, str], weights, share: float, epochs: int) -> DataFrame:
+def shares(rows: DataFrame, names: dict[str, str], weights, share: float, epochs: int, digits: int) -> DataFrame:
     """``rows`` with source_size, target, whole and part under ``names``; they have skey, bucket, place, id and size under ``names``.
 
     Totals of buckets are written once; the rows then meet them where the windows over buckets have put them, without another shuffle.
@@ -65,10 +65,14 @@ def shares(rows: DataFrame, names: dict[str, str], weights, share: float, epochs
     n = names
     buckets = cut(rows.groupBy(F.col(n["skey"]).alias("skey"), F.col(n["bucket"]).alias("bucket")).agg(F.sum(n["size"]).alias("bucket_size")))
     targets = water_levels(buckets.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs)
-    running = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.join(targets, "skey").select(
+    # running sums in two levels: over the leading digits of a source's buckets, and over the buckets below them
+    below = Window.unboundedPreceding, -1
+    tops = buckets.groupBy("skey", F.substring("bucket", 1, digits // 2).alias("top")).agg(F.sum("bucket_size").alias("top_size"))
+    tops = tops.select("skey", "top", F.coalesce(F.sum("top_size").over(Window.partitionBy("skey").orderBy("top").rowsBetween(*below)), F.lit(0)).alias("before_top"))
+    inner = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("skey", "top").orderBy("bucket").rowsBetween(*below)), F.lit(0))
+    offsets = buckets.withColumn("top", F.substring("bucket", 1, digits // 2)).withColumn("inner", inner).join(tops, ["skey", "top"]).join(targets, "skey").select(
         F.col("skey").alias(n["skey"]), F.col("bucket").alias(n["bucket"]), F.col("source_size").alias(n["source_size"]), F.col("target").alias(n["target"]),
-        F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias(n["before"]),
+        (F.col("before_top") + F.col("inner")).alias(n["before"]),
     )
     inside = Window.partitionBy(n["skey"], n["bucket"]).orderBy(n["place"], n["id"], n["size"]).rowsBetween(Window.unboundedPreceding, -1)
     size, source_size, target = (F.col(n[x]) for x in ("size", "source_size", "target"))
@@ -88,7 +92,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2,
     """doc_id, source, size, source_size, target, taken, whole, part: one row for each row of ``docs``.  Texts are read once; sizes and places are written."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), source_key().alias("skey"), word_count(F.col("text")).alias("size"), order_key(seed).alias("place"))
     rows = cut(rows.withColumn("bucket", F.substring("place", 1, digits)))
-    return shares(rows, {x: x for x in NAMES}, weights, share, epochs).select(
+    return shares(rows, {x: x for x in NAMES}, weights, share, epochs, digits).select(
         F.col("id").alias("doc_id"), F.when(F.col("skey") != "0", F.expr("substring(skey, 2)")).alias("source"), "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part",
     )
@@ -104,7 +108,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int =
     n = {x: fresh(names, f"_mix_{x}") for x in NAMES}
     text = F.col("text")
     rows = docs.withColumns({n["id"]: F.col("doc_id").cast("long"), n["skey"]: source_key(), n["size"]: word_count(text), n["place"]: order_key(seed)})
-    planned = shares(rows.withColumn(n["bucket"], F.substring(n["place"], 1, digits)), n, weights, share, epochs)
+    planned = shares(rows.withColumn(n["bucket"], F.substring(n["place"], 1, digits)), n, weights, share, epochs, digits)
     part, cutoff = F.col(n["part"]), fresh(names, "_mix_cut")
     cases = F.concat(
         F.array_repeat(F.lit(False), F.col(n["whole"]).cast("int")),
