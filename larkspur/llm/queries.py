@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, topk, webp, whitening
+from . import exact_dedup, html_extract, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, suffix_dedup, topk, webp, whitening
 from .common import table
 
 
@@ -71,13 +71,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), F.crc32(conv.cast("string").cast("binary")) % 4, conv - conv % 20)
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality, op3_mixing, op4_exact_dedup, op5_webp, op6_secrets, op7_suffix_dedup, op8_packing, op9_sharding, op10_html, op11_whitening, op13_topk)
+    for f in (op1_simhash, op2_quality, op3_mixing, op4_exact_dedup, op5_webp, op6_secrets, op7_suffix_dedup, op8_packing, op9_sharding, op10_html, op11_whitening, op12_trie, op13_topk)
 }
 
 def _found(place: int, rule: secrets.Rule) -> str:
@@ -147,6 +152,20 @@ WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]*>?', '', 'g') AS b FROM a),
 c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(b, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c""",
+    "op12_trie": r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, sha256(length(role)::VARCHAR || ':' || role || text)) AS ts FROM d GROUP BY c),
+h AS (SELECT c, ts, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 4 AS h FROM o, tab),
+r AS (SELECT h.c, list_concat(coalesce(b.ts, [])[1:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN h b ON b.c = h.c - h.c % 20),
+p AS (SELECT c, len(ts) AS length, unnest(range(len(ts) + 1)) AS depth, ts FROM r),
+n AS (SELECT depth, ts[1:depth] AS ts, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (length = depth), '') AS ends FROM p GROUP BY ALL),
+w AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(ts[depth].text, '[^\x20\x09-\x0D]+')) END AS own FROM n),
+k AS (SELECT ts[1:depth - 1] AS ts, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+l AS (SELECT w.*, coalesce(n_children, 0) AS n_children FROM w LEFT JOIN k USING (ts)),
+s AS (SELECT ts, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT ts[1:unnest(range(depth + 1))] AS ts, own, n_children FROM l) GROUP BY ts)
+SELECT l.conv_id, l.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, l.n_convs, l.n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(l.ends) AS ends_sha256
+FROM l JOIN s USING (ts) LEFT JOIN n u ON l.depth > 0 AND u.ts = l.ts[1:l.depth - 1]""",
     "op13_topk": r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x, row_number() OVER () AS r FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
