@@ -325,3 +325,22 @@ def descend(value, x0: np.ndarray, step: float = 0.5, shortest: float = 1e-2, ro
             x = x - step * g / n
             f = value(x)
     return x
+
+
+def descend_along(value, x0: np.ndarray, step: float = 0.5, shortest: float = 1e-2, rounds: int = 100) -> tuple[np.ndarray, list[float]]:
+    """Normalised steepest descent along given gradients (value returns both); a step that does not help is halved, one that does is kept.  The best point, and the values on the way."""
+    x = np.array(x0, float)
+    f, g = value(x)
+    history = [f]
+    for _ in range(rounds):
+        n = float(np.linalg.norm(g))
+        if n == 0 or not math.isfinite(n) or step < shortest:
+            break
+        new = x - step * g / n
+        v, slope = value(new)
+        if math.isfinite(v) and v < f:
+            x, f, g = new, v, slope
+            history.append(f)
+        else:
+            step /= 2
+    return x, history

@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to a new folder that all executors share, and read from there: what several passes need is made once, and lost executors make nothing again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

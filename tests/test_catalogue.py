@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from larkspur.plans import catalogue, everyday, nested, streams, systems  # noqa: F401
+from larkspur.plans import catalogue, everyday, learning, nested, streams, systems  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
