@@ -88,7 +88,7 @@ class Tiles:
     def labels(self, columns: int) -> np.ndarray:
         """(n, columns) on the driver."""
         out = np.empty((self.n, columns))
-        for r in self.table.select("rank", "n", "y").toLocalIterator():
+        for r in self.table.select("rank", "n", "y").collect():  # n * columns numbers
             out[self.starts[r["rank"]] :][: r["n"]] = np.frombuffer(r["y"]).reshape(r["n"], columns)
         return out
 
@@ -147,7 +147,7 @@ def _gathered(df: DataFrame, tiles: Tiles, columns: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"rank": pa.array([r], pa.int32()), "s": [v.tobytes()]})
 
     out = np.zeros((tiles.n, columns))
-    for r in df.repartition("rank").mapInArrow(run, "rank int, s binary").toLocalIterator():
+    for r in df.repartition("rank").mapInArrow(run, "rank int, s binary").collect():
         v = np.frombuffer(r["s"]).reshape(-1, columns)
         out[tiles.starts[r["rank"]] :][: len(v)] = v
     return out
@@ -321,7 +321,7 @@ class LargeKernelRidge:
         return kernel_predictions(self.rows(label), query, self.kernel).withColumn("prediction", F.col("prediction") + F.lit(float(self.mean[label])))
 
 
-def _nearest(left: DataFrame, right: DataFrame, kernel: Kernel | Linear | None, digits: int) -> DataFrame:
+def _nearest(left: Tiles, right: Tiles, kernel: Kernel | Linear | None, digits: int) -> DataFrame:
     """(i, sqdist, j): for each row of ``left`` the nearest other row of ``right``, the smallest j of equals; a cell leaves one row for each of its rows."""
 
     def f(a: list, b: list) -> Iterator[dict]:
@@ -339,7 +339,7 @@ def _nearest(left: DataFrame, right: DataFrame, kernel: Kernel | Linear | None,
             use = np.isfinite(best)
             yield {"i": ids[use], "sqdist": best[use], "j": at[use]}
 
-    found = cells(Tiles.of(left), Tiles.of(right), f, "i long, sqdist double, j long")
+    found = cells(left, right, f, "i long, sqdist double, j long")
     return found.groupBy("i").agg(F.min(F.struct("sqdist", "j")).alias("m")).select("i", "m.sqdist", "m.j")
 
 
@@ -349,28 +349,37 @@ def thinned(df: DataFrame, least: float | None = None, count: int | None = None,
     The plain form drops one of the closest pair, a side drawn by seed and ids, again and again.  A pair of rows that are each other's nearest meets that fate whatever happens elsewhere, so all such
     pairs go in one round; rows whose nearest was dropped search again among those left.  Distances, of vectors or in the kernel's space, are rounded to ``digits`` places; equal ones go by ids.
     """
-    rows = written(df.select(F.col(id_col).cast("long").alias("id"), V.as_vector(vec).alias("x")).filter("id is not null and x is not null").dropDuplicates(["id"]), "rows")
+    base = written(df.select(F.col(id_col).cast("long").alias("id"), V.as_vector(vec).alias("x")).filter("id is not null and x is not null").dropDuplicates(["id"]), "rows")
     side = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "i", "j")), 1, 2), 16, 10).cast("int") % 2
-    gone, stale, near = None, rows, None
     below = F.lit(True) if least is None else F.col("sqdist") < float(least) ** 2
+    tiles = Tiles.of(base)
+    near, gone, known = written(_nearest(tiles, tiles, kernel, digits), "nearest"), [], []
     while True:
-        new = _nearest(stale, rows, kernel, digits)
-        near = written(new if near is None else near.unionByName(new), "nearest")
         back = near.select(F.col("i").alias("j"), F.col("j").alias("i"))
         pairs = near.filter("i < j").filter(below).join(back, ["i", "j"])
         drop = written(pairs.select(F.when(side == 0, F.col("i")).otherwise(F.col("j")).alias("id"), F.when(side == 0, F.col("j")).otherwise(F.col("i")).alias("partner"), "sqdist"), "dropped")
-        ahead = near.agg(F.min("sqdist")).first()[0]
-        if gone is not None and count is not None and ahead is not None and gone.filter(F.col("sqdist") < F.lit(ahead)).count() >= count:
-            break
-        gone = drop if gone is None else gone.unionByName(drop)
-        if not drop.count():
+        if count is not None and known:
+            ahead = near.agg(F.min("sqdist")).first()[0]
+            done = gone[0].unionByName(gone[1]) if len(gone) == 2 else gone[0]
+            for g in gone[2:]:
+                done = done.unionByName(g)
+            if ahead is None or done.filter(F.col("sqdist") < F.lit(ahead)).count() >= count:
+                break
+        gone.append(drop)
+        known.append(drop.count())
+        if not known[-1]:
             break
         out = drop.select(F.col("id").alias("j"))
-        rows = written(rows.join(drop.select("id"), "id", "left_anti"), "rows")
+        rows = base
+        for g in gone:  # a round drops a part of all rows, so there are few
+            rows = rows.join(g.select("id"), "id", "left_anti")
         left = near.join(drop.select(F.col("id").alias("i")), "i", "left_anti")
-        stale = written(rows.join(left.join(out, "j", "left_semi").select(F.col("i").alias("id")), "id"), "stale")
-        near = left.join(out, "j", "left_anti").select("i", "sqdist", "j")
+        stale = base.join(left.join(out, "j", "left_semi").select(F.col("i").alias("id")), "id")
+        near = written(left.join(out, "j", "left_anti").select("i", "sqdist", "j").unionByName(_nearest(Tiles.of(stale), Tiles.of(rows), kernel, digits)), "nearest")
+    all_ = gone[0]
+    for g in gone[1:]:
+        all_ = all_.unionByName(g)
     if count is None:
-        return gone
+        return all_
     low, high = F.least("id", "partner"), F.greatest("id", "partner")
-    return gone.orderBy("sqdist", low, high).limit(count)
+    return all_.orderBy("sqdist", low, high).limit(count)

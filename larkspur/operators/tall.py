@@ -29,16 +29,18 @@ def _triangle(*blocks: np.ndarray) -> np.ndarray:
 
 
 def r_factor(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], width: int | None = None) -> np.ndarray:
-    """R (with a diagonal that is not negative) of the matrix whose rows ``f`` makes of batches: a triangle for each partition, a tree of these in some sixteen tasks, then one."""
+    """R (with a diagonal that is not negative) of the matrix whose rows ``f`` makes of batches: a triangle for each partition, of these one in each of at most 64 tasks, and the last of those."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         r = None
         for b in batches:
             if b.num_rows:
                 x = f(b)
                 r = _triangle(*([] if r is None else [r]), x)
         if r is not None:
-            yield pa.RecordBatch.from_pydict({"d": pa.array([r.shape[1]], pa.int32()), "r": pa.array([r.ravel().tolist()], pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"p": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "d": pa.array([r.shape[1]], pa.int32()), "r": pa.array([r.ravel().tolist()], pa.list_(pa.float64()))})
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = None
@@ -49,15 +51,16 @@ def r_factor(df: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], width: in
             yield pa.RecordBatch.from_pydict({"d": pa.array([r.shape[1]], pa.int32()), "r": pa.array([r.ravel().tolist()], pa.list_(pa.float64()))})
 
     ddl = "d int, r array<double>"
-    got = df.mapInArrow(first, ddl).repartition(16).mapInArrow(again, ddl).coalesce(1).mapInArrow(again, ddl).first()
-    if got is None:
+    got = df.mapInArrow(first, f"p int, {ddl}").repartition("p").mapInArrow(again, ddl).collect()  # at most 64 triangles
+    if not got:
         return np.zeros((width or 0, width or 0))
-    r = np.array(got["r"]).reshape(-1, got["d"])
-    return np.concatenate([r, np.zeros((got["d"] - len(r), got["d"]))])  # fewer rows than columns: zeros below
+    d = got[0]["d"]
+    r = _triangle(*[np.array(g["r"]).reshape(-1, d) for g in got])
+    return np.concatenate([r, np.zeros((d - len(r), d))])  # fewer rows than columns: zeros below
 
 
 def keyed_totals(df: DataFrame, f: Callable[[pa.RecordBatch], dict[int, np.ndarray]], salts: int = 16) -> dict[int, np.ndarray]:
-    """For each key, the sum over batches of a flat array: added up by partition, then by key and salt, then by key."""
+    """For each key, the sum over batches of a flat array: added up by partition, then by key and salt, the rest on the driver (``salts`` arrays for each key at most)."""
     ddl = "k long, p long, s array<double>"
 
     def rows(out: dict[int, np.ndarray], p: int) -> Iterator[pa.RecordBatch]:
@@ -81,8 +84,10 @@ def keyed_totals(df: DataFrame, f: Callable[[pa.RecordBatch], dict[int, np.ndarr
                 out[k] = out[k] + v.values.to_numpy() if k in out else v.values.to_numpy().copy()
         yield from rows(out, 0)
 
-    got = df.mapInArrow(first, ddl).repartition("k", "p").mapInArrow(again, ddl).repartition("k").mapInArrow(again, ddl)
-    return {r["k"]: np.array(r["s"]) for r in got.toLocalIterator()}
+    total: dict[int, np.ndarray] = {}
+    for r in df.mapInArrow(first, ddl).repartition("k", "p").mapInArrow(again, ddl).collect():  # ``salts`` arrays for each key at most
+        total[r["k"]] = total[r["k"]] + np.array(r["s"]) if r["k"] in total else np.array(r["s"])
+    return total
 
 
 def _rows(df: DataFrame, z: str, y: str | None, weight: str | None, keep: list[str]) -> DataFrame:

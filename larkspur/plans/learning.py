@@ -233,5 +233,5 @@ SELECT unnest(ids) AS id, round(unnest(list_transform(m, lambda row: list_dot_pr
 )
 def large_kernel_ridge(s, d):
     rows = vectors(s, d).withColumn("y", F.col("z").cast("double"))
-    model = large_kernels.LargeKernelRidge(Kernel("gaussian", (0.5,)), 0.01, landmarks=64).fit(rows)
+    model = large_kernels.LargeKernelRidge(Kernel("gaussian", (0.5,)), 0.01, landmarks=256).fit(rows)
     return model.predict(rows).select("id", r6("prediction").alias("prediction"))
