@@ -191,7 +191,9 @@ def fchl_two_body(atoms: DataFrame, rcut: float = 8.0, n: int = 24, eta: float =
 
 
 def toy_representation(atoms: DataFrame, most: int) -> DataFrame:
-    """(mol, atom, x): (1/r, z) of the other atoms in order of (z, 1/r), padded to 2 (most - 1)."""
+    """(mol, atom, x): (1/r, z) of the other atoms in order of (z, 1/r), padded to 2 (most - 1); an atom with more than ``most`` - 1 others is an error."""
     n = 2 * (most - 1)
     v = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("zj").cast("double").alias("z"), (1 / F.col("r")).alias("d")))), lambda s: F.array(s["d"], s["z"])))
-    return pairs(atoms).groupBy("mol", F.col("i").alias("atom")).agg(F.slice(F.concat(v, F.array_repeat(F.lit(0.0), n)), 1, n).alias("x"))
+    return pairs(atoms).groupBy("mol", F.col("i").alias("atom")).agg(v.alias("v")).select(
+        "mol", "atom", F.when(F.size("v") > n, F.raise_error(F.lit(f"more than {most} atoms")).cast("array<double>")).otherwise(F.slice(F.concat("v", F.array_repeat(F.lit(0.0), n)), 1, n)).alias("x")
+    )

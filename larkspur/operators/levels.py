@@ -567,6 +567,39 @@ class MultilevelModel:
         return self.fit(objects, labels)
 
 
+    def anneal(
+        self, objects: DataFrame, labels: DataFrame, coefficients: tuple[float, ...] = (1.0, 0.5, 0.25), starts: int = 4, spread: float = 0.5, rounds: int = 6, seed: int = 0, loss: str = "huber"
+    ) -> MultilevelModel:
+        """Descents from several starts under losses that sharpen: the first start is the model as it is, the others are moved from it by normal steps of ``spread`` in the logarithms.
+
+        In each cycle a loss is quadratic up to ``coefficient`` times the mean absolute leave-one-out error with which the start enters it (a self-consistent loss, one step at a time), so early cycles see a smooth
+        valley and late ones nearly the mean absolute error.  After each cycle the better half of the starts goes on.  ``history`` has (coefficient, start, error before, error after).
+        """
+        from .models import descend_along
+
+        def at(x: np.ndarray, loss: str, delta: float) -> tuple[float, np.ndarray]:
+            self.pipeline.set_logs(x[:-1])
+            self.ratio = math.exp(x[-1])
+            v, slopes, by_ratio = self.loss_and_slopes(objects, labels, loss, delta)
+            return v, np.append(slopes, by_ratio)
+
+        rng, first = np.random.default_rng(seed), np.append(self.pipeline.logs(), math.log(self.ratio))
+        points = [first, *[first + spread * rng.normal(size=len(first)) for _ in range(starts - 1)]]
+        live = [(at(x, "mae", 1.0)[0], k, x) for k, x in enumerate(points)]
+        self.history = []
+        for c in coefficients:
+            after = []
+            for error, k, x in live:
+                new, _ = descend_along(lambda t, d=c * error: at(t, loss, d), x, rounds=rounds)
+                now = at(new, "mae", 1.0)[0]
+                self.history.append((c, k, error, now))
+                after.append(min((error, k, x), (now, k, new), key=lambda v: v[0]))
+            live = sorted(after, key=lambda v: v[:2])[: max(1, len(after) // 2)]
+        self.pipeline.set_logs(live[0][2][:-1])
+        self.ratio = math.exp(live[0][2][-1])
+        return self.fit(objects, labels)
+
+
 def dispersion(df: DataFrame, vec: str, weight: str | None = None) -> float:
     m = component_moments(df, vec, None if weight is None else F.abs(F.col(weight)))
     return math.sqrt(m.agg(F.sum("variance")).first()[0] or 0.0)

@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from . import solvers
 from .features import Signs, local_random_features, mapped, random_features
 from .kernels import Kernel, dense, kernel_predictions, local_dense, local_kernel_matrix
 from .statistics import dressed_atoms, element_counts
+from .tall import TallSVD, keyed_totals
 
 
 @dataclass
@@ -32,7 +34,7 @@ class KernelRidge:
     def training(self, df: DataFrame) -> tuple[list[int], np.ndarray, float]:
         rows = df.select("id", "y").orderBy("id").limit(self.most + 1).collect()
         if len(rows) > self.most:
-            raise ValueError(f"more than {self.most} training rows; use FeatureRidge")
+            raise ValueError(f"more than {self.most} training rows; use LargeKernelRidge or FeatureRidge")
         y = np.array([r["y"] for r in rows], float)
         mean = float(y.mean()) if self.shift and len(y) else 0.0
         return [r["id"] for r in rows], y - mean, mean
@@ -182,15 +184,13 @@ class FeatureRidge:
         return solvers.feature_loo_errors(z, "z", "y", self.g[:d, :d], self.r[:d] - self.mean * self.g[:d, d], self.l2, keep)
 
     def optimise_ratio(self, df: DataFrame, low: float = -25.0, high: float = 0.0, points: int = 8) -> FeatureRidge:
-        """Regularisation by mean absolute leave-one-out errors; each point is one pass over the rows."""
-
-        def value(log_ratio):
-            self.ratio = math.exp(log_ratio)
-            self.solve()
-            return self.loo(df, []).agg(F.avg(F.abs("err"))).first()[0]
-
-        at, _ = solvers.grid_minimum(value, low, high, points, refine=6)
-        self.ratio = math.exp(at)
+        """Regularisation by mean absolute leave-one-out errors: features are made once, then a grid and finer ones around its best point are a pass each, for all their points."""
+        self.solve()
+        z = written(self.features(df.select("x", (F.col("y") - F.lit(self.mean)).alias("y")), ["y"]), "features")
+        svd = TallSVD.fit(z, "z", "y")
+        unit = svd.relative_l2(1.0, self.n)
+        if unit > 0:
+            self.ratio = svd.best_l2(z, "z", "y", (low + math.log(unit), high + math.log(unit)), max(4, points))[0] / unit
         return self.solve()
 
     def plane_distances(self, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -257,18 +257,30 @@ def local_fold_objective(atoms: DataFrame, labels: DataFrame, kernel: Kernel, fo
 
 
 def feature_fold_objective(rows: DataFrame, folds: DataFrame, key: str, ratio: float = 1e-6) -> float:
-    """The same of feature rows (key, z, y): a Gramian for each fold, added up on the executors, and one pass for the errors."""
-    total, folded = 0.0, [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    for f in folded:
-        part = rows.join(folds.filter(F.col("fold") == f).select(key, "train"), key)
-        g, r, _, n = solvers.gramian(part.filter("train"), "z", "y")
+    """The same of feature rows (key, z, y): the Gramians of all folds' training rows in one aggregation, and one pass for the errors of all folds."""
+    part = rows.select(key, F.col("z").cast("array<double>").alias("z"), F.col("y").cast("double").alias("y")).join(folds.select(key, F.col("fold").cast("long").alias("fold"), "train"), key)
+    matrix = lambda b: np.asarray(b.column("z").flatten(), float).reshape(b.num_rows, -1)
+
+    def gramians(b) -> dict[int, np.ndarray]:
+        x = np.concatenate([matrix(b), b.column("y").to_numpy()[:, None]], axis=1)
+        f = b.column("fold").to_numpy()
+        return {int(k): np.append(x[f == k].T @ x[f == k], (f == k).sum()) for k in np.unique(f)}
+
+    alphas = {}
+    for k, v in keyed_totals(part.filter("train").select("z", "y", "fold"), gramians).items():
+        size = math.isqrt(len(v) - 1)
+        g = v[:-1].reshape(size, size)
         try:
-            a = solvers.cholesky_solve(g, r, solvers.relative_l2(g, n, ratio))
+            alphas[k] = solvers.cholesky_solve(g[:-1, :-1], g[:-1, -1], solvers.relative_l2(g[:-1, :-1], int(v[-1]), ratio))
         except np.linalg.LinAlgError:
             return 0.0
-        p = mapped(part.filter("not train"), "z", lambda z, a=a[:, None]: z @ a, ["y"], "p")
-        total += p.agg(F.avg(F.abs(F.col("p")[0] - F.col("y")))).first()[0]
-    return -len(folded) / total if total > 0 else 0.0
+
+    def errors(b) -> dict[int, np.ndarray]:
+        z, y, f = matrix(b), b.column("y").to_numpy(), b.column("fold").to_numpy()
+        return {int(k): np.array([np.abs(z[f == k] @ alphas[int(k)] - y[f == k]).sum(), (f == k).sum()]) for k in np.unique(f)}
+
+    means = [v[0] / v[1] for v in keyed_totals(part.filter("not train").select("z", "y", "fold"), errors).values()]
+    return -len(means) / sum(means) if means and sum(means) > 0 else 0.0
 
 
 def uncertainty_targets(errors: DataFrame, logs: bool = False) -> DataFrame:

@@ -99,8 +99,10 @@ def cosines(ab, ac, bc):
 
 
 def coulomb_many(z: np.ndarray, r: np.ndarray, size: int = 29) -> np.ndarray:
-    """Lower triangles by rows, atoms by falling row norm (to nine places, then as given), zero-padded."""
+    """Lower triangles by rows, atoms by falling row norm (to nine places, then as given), zero-padded.  More than ``size`` atoms are an error."""
     m, n = z.shape
+    if n > size:
+        raise ValueError(f"{n} atoms do not fit in {size} places")
     d, own = distances(r), np.arange(n)
     d[:, own, own] = 1
     c = z[:, :, None] * z[:, None, :] / d
@@ -109,7 +111,7 @@ def coulomb_many(z: np.ndarray, r: np.ndarray, size: int = 29) -> np.ndarray:
     c = np.take_along_axis(np.take_along_axis(c, order[:, :, None], 1), order[:, None, :], 2)
     i, j = np.tril_indices(n)
     out = np.zeros((m, size * (size + 1) // 2))
-    out[:, : len(i)] = c[:, i, j][:, : out.shape[1]]
+    out[:, : len(i)] = c[:, i, j]
     return out
 
 
@@ -118,7 +120,7 @@ def coulomb(z: np.ndarray, r: np.ndarray, size: int = 29) -> np.ndarray:
 
 
 def bags_many(z: np.ndarray, r: np.ndarray, slots: list[tuple[int, int, int]]) -> np.ndarray:
-    """Bags of bonds: ``slots`` are (z, z', places) in order, z' 0 for an element's own terms; each bag sorted falling, zeros behind, what does not fit left out."""
+    """Bags of bonds: ``slots`` are (z, z', places) in order, z' 0 for an element's own terms; each bag sorted falling, zeros behind.  What has no place is an error."""
     (m, n), d = z.shape, distances(r)
     starts = np.cumsum([0, *(k for _, _, k in slots)])
     place = {t: k for k, t in enumerate((a, b) for a, b, _ in slots)}
@@ -136,9 +138,10 @@ def bags_many(z: np.ndarray, r: np.ndarray, slots: list[tuple[int, int, int]]) -
     key = mol[order] * len(slots) + kind[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, int)
     rank = np.arange(len(key)) - np.repeat(first, np.diff([*first, len(key)]))
-    fits = rank < np.array([k for _, _, k in slots])[kind[order]]
+    if len(use) < len(kind) or (rank >= np.array([k for _, _, k in slots])[kind[order]]).any():
+        raise ValueError("atoms or pairs without a place in the bags")
     out = np.zeros((m, int(starts[-1])))
-    out[mol[order][fits], starts[kind[order][fits]] + rank[fits]] = values[order][fits]
+    out[mol[order], starts[kind[order]] + rank] = values[order]
     return out
 
 

@@ -416,28 +416,29 @@ def observable_folds(s, d):
 
 
 @query(
-    "work_shares",
-    """WITH RECURSIVE l AS (SELECT s_nationkey AS job, count(*)::DOUBLE + s_nationkey / 100.0 AS load FROM supplier GROUP BY s_nationkey), q AS (SELECT *, row_number() OVER (ORDER BY load DESC, job) AS n FROM l),
-w AS (SELECT 0::BIGINT AS n, -1::BIGINT AS job, 0 AS worker, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS total UNION ALL
-  SELECT q.n, q.job::BIGINT, (list_position(total, list_min(total)) - 1)::INTEGER, list_transform(total, lambda t, i: CASE WHEN i = list_position(total, list_min(total)) THEN t + load ELSE t END) FROM w JOIN q ON q.n = w.n + 1) SELECT job, worker FROM w WHERE n > 0""",
+    "program_outputs",
+    """SELECT n_regionkey AS name, count(*) AS orbitals, string_agg(n_nationkey || ':' || substr(n_name, 1, 2), ' ' ORDER BY n_nationkey) AS places, sum(n_nationkey)::INTEGER AS alpha, (sum(n_nationkey) - 1)::INTEGER AS beta,
+round(-sum(n_nationkey) - 0.25, 6) AS energy FROM nation GROUP BY n_regionkey""",
 )
-def work_shares(s, d):
-    n = table(s, d, "supplier").groupBy("s_nationkey").agg(F.count("*").cast("double").alias("n")).orderBy("s_nationkey").collect()  # nations
-    got, _ = selection.longest_first([r["n"] + r["s_nationkey"] / 100.0 for r in n], 4)
-    return s.createDataFrame([(int(r["s_nationkey"]), w) for r, w in zip(n, got, strict=True)], "job long, worker int")
-
-
-@query("nearest_excluded", "SELECT count(*) // 2 AS gone, count(*) AS n FROM nation".replace("count(*) // 2", "5::BIGINT"))
-def nearest_excluded(s, d):
-    keys = [r[0] for r in table(s, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # nations
-    x = np.array(keys, float)
-    gone = solvers.exclude_nearest((x[:, None] - x[None]) ** 2, count=5)
-    return s.createDataFrame([(len(gone), len(keys))], "gone long, n long")
+def program_outputs(s, d):
+    """Outputs of an optimisation for each region: words that count in one section and not in another stand in both."""
+    n = table(s, d, "nation").orderBy("n_nationkey")
+    row = F.concat(F.lit("  1.1 A "), (F.col("n_nationkey") + 1).cast("string"), F.lit(" "), F.substring("n_name", 1, 2), F.lit("  0.5"))
+    t = n.groupBy(F.col("n_regionkey").alias("name")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))).alias("rows"), F.sum("n_nationkey").cast("int").alias("n"))
+    c = lambda v: F.col(v).cast("string") if isinstance(v, str) else v.cast("string")
+    body = F.concat_ws(
+        "\n", F.lit(" 1.1 A 9 xx 0.5"), F.lit(" Final alpha occupancy:  77"), F.lit(" !UHF STATE 1.1 Energy -1.5"), F.lit(" BASIS DATA"), F.transform("rows", lambda r: r["row"]), F.lit(" 1.1 A no xx 0.5"), F.lit(" NUCLEAR CHARGE: 9"),
+        F.lit(" END OF GEOMETRY OPTIMIZATION."), F.concat(F.lit(" Final alpha occupancy: "), c("n")), F.concat(F.lit(" Final beta occupancy: "), c(F.col("n") - 1)),
+        F.concat(F.lit("  !UHF STATE 1.1 Energy  -"), c("n"), F.lit(".25")), F.lit(" Final beta occupancy: 99"), F.lit(" !UHF STATE 1.1 Energy 3.0"),
+    )
+    got = catalogues.program_outputs(t.select("name", body.alias("body")), optimised=True, restricted=False)
+    places = F.array_join(F.transform("orbitals", lambda o: F.concat(o["atom"].cast("string"), F.lit(":"), o["label"])), " ")
+    return got.select("name", F.size("orbitals").cast("long").alias("orbitals"), places.alias("places"), F.col("occupied")[0].alias("alpha"), F.col("occupied")[1].alias("beta"), r6("energy").alias("energy"))
 
 
-@query("minima", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, 1.25::DOUBLE AS grid, 1.25::DOUBLE AS steepest FROM lineitem")
+@query("minima", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem")
 def minima(s, d):
-    """A least-squares line by L-BFGS on aggregates (centred, to be well conditioned), and one-dimensional minima of (x - 1.25)**2."""
+    """A least-squares line by L-BFGS on aggregates (centred, to be well conditioned)."""
     t = table(s, d, "lineitem").select((F.col("l_quantity") - 25.0).alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
 
     def value(x):
@@ -445,14 +446,8 @@ def minima(s, d):
         r = t.agg(F.avg(e * e), F.avg(2 * e * F.col("a") / 25), F.avg(2 * e)).first()
         return r[0], np.array(r[1:], float)
 
-    from ..operators.models import descend
-
     slope, level = solvers.minimise(value, np.zeros(2), rounds=60, tol=1e-11)
-    at, _ = solvers.grid_minimum(lambda x: (x - 1.25) ** 2, -4.0, 4.0)
-    down = descend(lambda x: float((x[0] - 1.25) ** 2), np.array([0.25]), step=0.5)[0]
-    return s.createDataFrame([(float(slope) / 25 * 1000, (float(level) - float(slope)) * 1000, float(at), float(down))], "slope double, intercept double, grid double, steepest double").select(
-        r6("slope", 3).alias("slope"), r6("intercept", 2).alias("intercept"), r6("grid", 4).alias("grid"), r6("steepest", 4).alias("steepest")
-    )
+    return s.createDataFrame([(float(slope) / 25 * 1000, (float(level) - float(slope)) * 1000)], "slope double, intercept double").select(r6("slope", 3).alias("slope"), r6("intercept", 2).alias("intercept"))
 
 
 @query("ensemble_differences", "SELECT l_orderkey, round(sum((l_extendedprice - l_tax) * l_quantity) / sum(l_quantity) + 1e-7, 4) AS mean, count(*) AS conformers, arg_min(l_linenumber, (l_extendedprice, l_linenumber, l_partkey)) AS least FROM lineitem GROUP BY l_orderkey")

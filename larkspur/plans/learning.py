@@ -205,20 +205,31 @@ def pivoted_rows(s, d):
     return large_kernels.chosen_rows(vectors(s, d), Kernel("gaussian", (0.7,)), 12).select("id", "place", r6("residual").alias("residual"))
 
 
-@query(
-    "thinned_rows",
-    f"""WITH RECURSIVE {VECTORS}, p AS MATERIALIZED (SELECT l.id AS i, r.id AS j, round({L2}, 9) AS d FROM v l JOIN v r ON l.id < r.id),
+def _thinned_sql(source: str, count: int) -> str:
+    """One of the closest pair of ``p`` (i, j, d), again and again."""
+    least = "(arg_min({'d': p.d, 'i': i, 'j': j}, {'d': p.d, 'i': i, 'j': j}))"
+    return f"""WITH RECURSIVE {source},
 e AS (SELECT 0 AS k, -1::BIGINT AS id, -1::BIGINT AS partner, 0.0::DOUBLE AS d, []::BIGINT[] AS gone UNION ALL
   SELECT k + 1, CASE WHEN side = 0 THEN i ELSE j END, CASE WHEN side = 0 THEN j ELSE i END, pd, list_append(gone, CASE WHEN side = 0 THEN i ELSE j END) FROM (
     SELECT *, ('0x' || substr(md5('0:' || i || ':' || j), 1, 2))::INTEGER % 2 AS side FROM (
-      SELECT k, gone, (arg_min({{'d': p.d, 'i': i, 'j': j}}, {{'d': p.d, 'i': i, 'j': j}})).i AS i, (arg_min({{'d': p.d, 'i': i, 'j': j}}, {{'d': p.d, 'i': i, 'j': j}})).j AS j, min(p.d) AS pd
-      FROM e, p WHERE k < 40 AND NOT list_contains(gone, i) AND NOT list_contains(gone, j) GROUP BY k, gone)))
-SELECT id, partner, round(d, 6) AS sqdist FROM e WHERE k > 0""",
-)
+      SELECT k, gone, {least}.i AS i, {least}.j AS j, min(p.d) AS pd FROM e, p WHERE k < {count} AND NOT list_contains(gone, i) AND NOT list_contains(gone, j) GROUP BY k, gone)))
+SELECT id, partner, round(d, 6) AS sqdist FROM e WHERE k > 0"""
+
+
+@query("thinned_rows", _thinned_sql(f"{VECTORS}, p AS MATERIALIZED (SELECT l.id AS i, r.id AS j, round({L2}, 9) AS d FROM v l JOIN v r ON l.id < r.id)", 40))
 def thinned_rows(s, d):
     return large_kernels.thinned(vectors(s, d), count=40).select("id", "partner", r6("sqdist").alias("sqdist"))
 
 
+@query(
+    "nearest_excluded",
+    _thinned_sql("n AS (SELECT c_nationkey::BIGINT AS id, avg(c_acctbal)::DOUBLE / 100 AS x FROM customer GROUP BY c_nationkey), p AS MATERIALIZED (SELECT l.id AS i, r.id AS j, round((l.x - r.x) * (l.x - r.x), 6) AS d FROM n l JOIN n r ON l.id < r.id)", 8),
+)
+def nearest_excluded(s, d):
+    n = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.array((F.avg("c_acctbal") / 100).cast("double")).alias("x"))
+    return large_kernels.thinned(n, count=8, digits=6).select("id", "partner", r6("sqdist").alias("sqdist"))
+
+
 #: The same system by conjugate gradients in SQL, over one row that holds the kernel.
 @query(
     "large_kernel_ridge",

@@ -62,3 +62,17 @@ def stream_training(s, d):
     model = M.FeatureRidge(Signs.by_rule(1, 1, 64), 1.0, 0.01)
     incremental.add_batches(rows(stream(s, d, "embeddings")), model, path, f"{path}-state").awaitTermination()
     return incremental.finished(s, model, path).predict(rows(table(s, d, "embeddings"))).select("id", r6("prediction").alias("prediction"))
+
+
+@query(
+    "stream_models_by_user",
+    """WITH t AS (SELECT user_id, count(*) AS n, count(*) + 0.5 AS a, sum(length(event_type))::DOUBLE AS b, sum(length(event_type) * length(event_type)) + 0.5 AS c, sum(value) AS p, sum(value * length(event_type)) AS q FROM events WHERE value IS NOT NULL GROUP BY user_id)
+SELECT user_id, n, round((c * p - b * q) / (a * c - b * b), 4) AS level, round((a * q - b * p) / (a * c - b * b), 4) AS slope FROM t""",
+)
+def stream_models_by_user(s, d):
+    """A ridge model for each user from one stream of events."""
+    path = store.scratch(s, "models")
+    z = F.array(F.lit(1.0), F.length("event_type").cast("double"))
+    models = incremental.models_by_key(stream(s, d, "events"), "user_id", z, F.col("value"), 0.5)
+    incremental.keep_latest(models, path, f"{path}-state").awaitTermination()
+    return incremental.latest(s, path).select(F.col("key").alias("user_id"), "n", r6(F.col("alphas")[0], 4).alias("level"), r6(F.col("alphas")[1], 4).alias("slope"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import forces, kernels, levels, orbitals, selection, solvers, statistics
+from ..operators import forces, kernels, large_kernels, levels, orbitals, selection, solvers, statistics, tall
 from ..operators import models as M
 from ..operators.features import Signs
 from ..operators.kernels import Kernel
@@ -358,10 +358,8 @@ h AS (SELECT id, a, b, y, (a * a * bb - 2 * a * b * ab + b * b * aa) / det AS h,
 
 @query("loo_svd_errors", f"{_TWO} SELECT id, round((p - y) / (1 - h), 6) AS err FROM h")
 def loo_svd_errors(s, d):
-    rows = nations(s, d).orderBy("id").collect()  # nations
-    z, y = np.array([[r["a"], r["b"]] for r in rows]), np.array([r["y"] for r in rows])
-    e = selection.LeaveOneOut(z).errors(y, 0.5)
-    return table_of([(r["id"], float(v)) for r, v in zip(rows, e, strict=True)], s, f"id {nations(s, d).schema['id'].dataType.simpleString()}, err double").select("id", r6("err").alias("err"))
+    rows = nations(s, d).withColumn("z", F.array("a", "b"))
+    return tall.TallSVD.fit(rows, "z", "y").errors(rows, "z", "y", 0.5, ["id"]).select("id", r6("err").alias("err"))
 
 
 @query(
@@ -371,35 +369,22 @@ def loo_svd_errors(s, d):
 SELECT round(avg(abs((p - y) / (1 - h))), 6) AS mae, round(avg(sign((p - y) / (1 - h)) * (dp / (1 - h) + (p - y) * dh / ((1 - h) * (1 - h)))), 6) AS derivative FROM q""",
 )
 def loo_lambda_derivative(s, d):
-    rows = nations(s, d).orderBy("id").collect()  # nations
-    z, y = np.array([[r["a"], r["b"]] for r in rows]), np.array([r["y"] for r in rows])
-    v = selection.LeaveOneOut(z).mean_absolute(y, 0.5)
-    return table_of([v], s, "mae double, derivative double").select(r6("mae").alias("mae"), r6("derivative").alias("derivative"))
+    rows = nations(s, d).withColumn("z", F.array("a", "b"))
+    got = tall.TallSVD.fit(rows, "z", "y").loss_path(rows, "z", "y", [0.5])
+    return table_of([v[1:] for v in got], s, "mae double, derivative double").select(r6("mae").alias("mae"), r6("derivative").alias("derivative"))
 
 
 @query("ridge_by_svd", f"{_TWO} SELECT DISTINCT round(ca, 6) AS ca, round(cb, 6) AS cb FROM h")
 def ridge_by_svd(s, d):
-    rows = nations(s, d).orderBy("id").collect()  # nations
-    x = solvers.ridge_from_svd(np.array([[r["a"], r["b"]] for r in rows]), np.array([r["y"] for r in rows]), 0.5)
+    x = tall.TallSVD.fit(nations(s, d).withColumn("z", F.array("a", "b")), "z", "y").solution(0.5)
     return table_of([tuple(map(float, x))], s, "ca double, cb double").select(r6("ca").alias("ca"), r6("cb").alias("cb"))
 
 
 @query("independent_rows", "SELECT n_nationkey, n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) AS independent FROM nation")
 def independent_rows(s, d):
-    n = table(s, d, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").collect()  # nations
-    one = np.eye(1 + max(r["n_regionkey"] for r in n))[[r["n_regionkey"] for r in n]]
-    keep = solvers.independent_rows(one @ one.T, 1e-9)
-    return table_of([(r["n_nationkey"], bool(k)) for r, k in zip(n, keep, strict=True)], s, f"n_nationkey {table(s, d, 'nation').schema['n_nationkey'].dataType.simpleString()}, independent boolean")
-
-
-@query(
-    "finite_difference_weights",
-    "SELECT degree, point, weight::DOUBLE AS weight FROM (VALUES (1, -2, 0.083333), (1, -1, -0.666667), (1, 0, 0.0), (1, 1, 0.666667), (1, 2, -0.083333), (2, -2, -0.083333), (2, -1, 1.333333), (2, 0, -2.5), (2, 1, 1.333333), (2, 2, -0.083333)) t(degree, point, weight)",
-)
-def finite_difference_weights(s, d):
-    points = [-2, -1, 0, 1, 2]
-    rows = [(o, p, float(w)) for o in (1, 2) for p, w in zip(points, solvers.finite_difference_weights(points, o), strict=True)]
-    return table_of(rows, s, "degree int, point int, weight double").select("degree", "point", (r6("weight") + 0.0).alias("weight"))
+    n = table(s, d, "nation").select("n_nationkey", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (i == F.col("n_regionkey")).cast("double")).alias("x"))
+    taken = large_kernels.chosen_rows(n, large_kernels.Linear(), 32, "n_nationkey").select(F.col("id").alias("n_nationkey"), F.lit(True).alias("taken"))
+    return n.join(taken, "n_nationkey", "left").select("n_nationkey", F.coalesce("taken", F.lit(False)).alias("independent"))
 
 
 @query(

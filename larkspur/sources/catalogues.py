@@ -135,6 +135,46 @@ def output_matrices(files: DataFrame) -> DataFrame:
     )
 
 
+def program_outputs(files: DataFrame, optimised: bool = False, restricted: bool = True) -> DataFrame:
+    """(name, orbitals, occupied, energy) from texts (name, body) of an electronic-structure program.
+
+    One scan over a text's lines carries a state, since the same words mean other things in other sections: orbitals (atom from 0, label) are rows of symmetry A between BASIS DATA and NUCLEAR CHARGE:;
+    occupancies (one, or alpha and beta) count outside of it and, with ``optimised``, only after the geometry's optimisation has ended; the first line of five words with Energy as the fourth ends the scan.
+    Orbital rows whose atom is no number are left out.  What a text does not have is an empty list or null.
+    """
+    zero = "named_struct('basis', false, 'final', %s, 'over', false, 'orbitals', cast(array() as array<struct<atom:int,label:string>>), 'occupied', cast(array() as array<int>), 'energy', cast(null as double))"
+    word = lambda t, i: F.get(t, F.lit(i))
+
+    def starts(t: Column, *words: str) -> Column:
+        out = F.lit(True)
+        for i, w in enumerate(words):
+            out = out & F.coalesce(word(t, i) == w, F.lit(False))
+        return out
+
+    def step(s: Column, line: Column) -> Column:
+        t = F.split(F.trim(line), TOKENS)
+        begins, ends = starts(t, "BASIS", "DATA"), starts(t, "NUCLEAR", "CHARGE:")
+        inside, outside = ~s["over"] & s["basis"] & ~begins, ~s["over"] & ~s["basis"] & ~begins
+        atom = word(t, 2).try_cast("int")
+        row = inside & F.coalesce(word(t, 1) == "A", F.lit(False)) & atom.isNotNull()
+        orbital = F.array(F.struct((atom - 1).alias("atom"), word(t, 3).alias("label")))
+        final = s["final"] | (outside & starts(t, "END", "OF", "GEOMETRY", "OPTIMIZATION."))
+        read = outside & final
+        if restricted:
+            occupied = F.when(read & starts(t, "Final", "occupancy:"), F.array(word(t, 2).try_cast("int"))).otherwise(s["occupied"])
+        else:
+            n = F.array(word(t, 3).try_cast("int"))
+            occupied = F.when(read & starts(t, "Final", "alpha", "occupancy:"), n).when(read & starts(t, "Final", "beta", "occupancy:"), F.concat(s["occupied"], n)).otherwise(s["occupied"])
+        energy = read & (F.size(t) == 5) & F.coalesce(word(t, 3) == "Energy", F.lit(False))
+        return F.struct(
+            F.when(begins, True).when(ends, False).otherwise(s["basis"]).alias("basis"), final.alias("final"), (s["over"] | energy).alias("over"),
+            F.when(row, F.concat(s["orbitals"], orbital)).otherwise(s["orbitals"]).alias("orbitals"), occupied.alias("occupied"), F.when(energy, word(t, 4).try_cast("double")).otherwise(s["energy"]).alias("energy"),
+        )
+
+    state = F.aggregate(lines(F.col("body")), F.expr(zero % ("false" if optimised else "true")), step)
+    return files.select("name", state.alias("s")).select("name", F.col("s.orbitals").alias("orbitals"), F.col("s.occupied").alias("occupied"), F.col("s.energy").alias("energy"))
+
+
 def without_sections(body: Column, names: list[str]) -> Column:
     """A molden-like text without the sections ``[name]``."""
     for n in names:

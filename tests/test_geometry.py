@@ -148,3 +148,25 @@ def test_fchl_gradient_and_valence(mols):
     assert R.bagged(np.array([1, 6, 1]), np.array([[1.0], [5.0], [2.0]]), {1: 3, 6: 1}).tolist() == [2, 1, 0, 5]
     p = np.array([[1.0, 0, 0], [0, 0, 0], [0, 1.0, 0], [0, 1.0, 1.0]])
     assert math.isclose(abs(R.torsion(*p)), math.pi / 2)
+
+
+def test_nothing_is_cut_off(spark):
+    """Atoms that do not fit are an error, not a shorter representation."""
+    import numpy as np
+    import pytest
+
+    from larkspur.operators import geometry, representations
+
+    rng = np.random.default_rng(1)
+    z, r = np.full((1, 6), 6), rng.normal(size=(1, 6, 3))
+    assert representations.coulomb_many(z, r, 6).shape == (1, 21)
+    with pytest.raises(ValueError):
+        representations.coulomb_many(z, r, 4)
+    with pytest.raises(ValueError):
+        representations.bags_many(z, r, [(6, 0, 4), (6, 6, 15)])
+    with pytest.raises(ValueError):
+        representations.bags_many(z, r, [(1, 0, 6), (1, 1, 15)])
+    atoms = spark.createDataFrame([(1, i, 6, float(i), 0.0, float(i * i)) for i in range(6)], "mol long, atom long, z int, x double, y double, c double")
+    assert geometry.toy_representation(atoms, 6).count() == 6
+    with pytest.raises(Exception, match="more than 4 atoms"):
+        geometry.toy_representation(atoms, 4).collect()

@@ -105,3 +105,13 @@ def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "z array<double>, dz array<double>, y double")
     loss, by, by_ratio = slopes.loo_gradient(empty, "z", "dz", "y", 3, 0.1)
     assert loss == 0 and by.tolist() == [0, 0, 0] and by_ratio == 0
+
+
+def test_annealing(spark):
+    """Two starts, two cycles; the better start goes on and the error does not grow."""
+    df, labels = objects(spark, 30)
+    species = {e: Signs.seeded(1, 2, 8, e) for e in (1, 6)}
+    model = levels.MultilevelModel(levels.Pipeline([("map", levels.FeatureLevel(species, 1.3), "z"), ("sum", ["mol"])]), "mol", 0.05)
+    before = model.fit(df, labels).loo(df, labels).agg(F.avg(F.abs("err"))).first()[0]
+    after = model.anneal(df, labels, coefficients=(1.0, 0.25), starts=2, rounds=1).loo(df, labels).agg(F.avg(F.abs("err"))).first()[0]
+    assert after <= before + 1e-9 and [h[0] for h in model.history] == [1.0, 1.0, 0.25] and np.isclose(model.history[0][2], before)

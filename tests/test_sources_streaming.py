@@ -90,3 +90,58 @@ def test_stream_errors(spark, tmp_path):
     q = incremental.windowed_errors(stream, "ts", "e").writeStream.outputMode("update").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").groupBy().sum("n").first()[0] == 10
+
+
+def _events(spark, folder, rows):
+    spark.createDataFrame(rows, "u long, x array<double>, y double, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_models_by_key_go_on_after_a_restart(spark, tmp_path):
+    """Two runs of one stream give the models of all rows; null labels and features are left out."""
+    import datetime
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from larkspur.streaming import incremental
+
+    rng = np.random.default_rng(1)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(int(rng.integers(4)), rng.normal(size=3).tolist(), float(rng.normal()), day) for _ in range(60)]
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in (rows[:25] + [(0, None, 1.0, day), (1, [1.0, None, 2.0], 1.0, day), (2, [1.0, 1.0, 1.0], None, day)], rows[25:]):
+        _events(spark, src, part)
+        stream = spark.readStream.schema("u long, x array<double>, y double, ts timestamp").parquet(src)
+        incremental.keep_latest(incremental.models_by_key(stream, "u", F.col("x"), F.col("y"), 0.5), out, state).awaitTermination()
+    got = {r["key"]: r for r in incremental.latest(spark, out).collect()}
+    for u in range(4):
+        x, y = np.array([r[1] for r in rows if r[0] == u]), np.array([r[2] for r in rows if r[0] == u])
+        assert got[u]["n"] == len(y) and np.allclose(got[u]["alphas"], np.linalg.solve(x.T @ x + 0.5 * np.eye(3), x.T @ y))
+
+
+def test_states_of_silent_keys_go(spark, tmp_path):
+    """A key whose last row lies further back than its time to live starts anew; rows behind the watermark are dropped."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from larkspur.streaming import incremental
+
+    at = lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in ([(1, [1.0], 2.0, at(0)), (2, [1.0], 1.0, at(0))], [(2, [1.0], 1.0, at(30))], [(2, [1.0], 1.0, at(31)), (2, [1.0], 50.0, at(3))], [(1, [1.0], 4.0, at(32))]):
+        _events(spark, src, part)
+        stream = spark.readStream.schema("u long, x array<double>, y double, ts timestamp").parquet(src)
+        models = incremental.models_by_key(stream, "u", F.col("x"), F.col("y"), 1.0, "ts", "2 days", ttl_ms=5 * 24 * 3600 * 1000)
+        incremental.keep_latest(models, out, state).awaitTermination()
+    got = {r["key"]: (r["n"], r["alphas"][0]) for r in incremental.latest(spark, out).collect()}
+    assert got[1] == (1, 2.0) and got[2][0] in (2, 3) and got[2][1] < 1.0
+
+
+def test_program_outputs_without_their_parts(spark):
+    from larkspur.sources import catalogues
+
+    files = spark.createDataFrame([("a", ""), ("b", None), ("c", "BASIS DATA\n 1 A 2 1s x\nNUCLEAR CHARGE: 1\n Final occupancy:  5\n STATE of 1.1 Energy -2.5\n Final occupancy: 6"), ("d", "BASIS DATA\n 1 A 1 2p")], "name string, body string")
+    got = {r["name"]: r for r in catalogues.program_outputs(files).collect()}
+    assert got["c"]["energy"] == -2.5 and got["c"]["occupied"] == [5] and [tuple(o) for o in got["c"]["orbitals"]] == [(1, "1s")]
+    assert got["a"]["energy"] is None and got["a"]["occupied"] == [] and [tuple(o) for o in got["d"]["orbitals"]] == [(0, "2p")]

@@ -187,7 +187,7 @@ def test_cells_hold_sixteen_tiles_a_side(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(330, 2))
     tiles = large_kernels.Tiles.of(points(spark, x).repartition(1), tile=8)
-    sizes = large_kernels.cells(tiles, None, lambda a, b: iter([{"l": [len(a)], "r": [len(b)], "p": [sum(j[0] >= i[0] for i in a for j in b)]}]), "l int, r int, p int").collect()
+    sizes = large_kernels.cells(tiles, None, lambda a, b: iter([{"l": [len(a)], "r": [len(b)], "p": [sum(j[0] >= i[0] for i in a for j in b)]}]), "l long, r long, p long").collect()
     assert len(tiles.starts) == 42 and max(max(r["l"], r["r"]) for r in sizes) == 16 and sum(r["p"] for r in sizes) == 42 * 43 // 2
     p = rng.normal(size=(330, 2))
     k = Kernel("gaussian", (1.0,))
