@@ -258,11 +258,16 @@ class FeatureLevel:
     sigma: float = 1.0
     kind: str = "plain"
     mixing: float = 1.0
+    scaled: bool = True  # else the width is no hyperparameter
 
     def logs(self) -> np.ndarray:
+        if not self.scaled:
+            return np.zeros(0)
         return np.log([self.sigma, self.mixing] if self.kind == "extensive" else [self.sigma])
 
     def set_logs(self, t: np.ndarray) -> None:
+        if not self.scaled:
+            return
         self.sigma = math.exp(t[0])
         if self.kind == "extensive":
             self.mixing = math.exp(t[1])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import large_kernels, tall
+from ..operators import definitions, large_kernels, tall
+from ..operators.features import Signs
 from ..operators.kernels import Kernel
 from .catalogue import BIAS, H, L2, SIGN, VECTORS, query, r6, table, vectors
 from .systems import eliminated, gauss, multilevel, table_of
@@ -28,6 +29,22 @@ def multilevel_feature_slopes(s, d):
     return e.select("mol", "pos", r6("t.v").alias("v"), (r6("t.a") + 0.0).alias("by_atoms"), (r6("t.b") + 0.0).alias("by_top"))
 
 
+@query(
+    "multilevel_defined",
+    f"WITH {_DUAL} SELECT CAST(floor(id / 5) AS BIGINT) AS grp, j::INTEGER AS pos, round(sum(f * (id % 3 + 1)), 6) AS v FROM f GROUP BY floor(id / 5), j",
+)
+def multilevel_defined(s, d):
+    """Atoms in molecules in weighted groups of molecules, by a checked definition."""
+    of = definitions.ObjectType(64, (definitions.Nesting("list", "mol"), definitions.Nesting("rhos", "grp", "w")), "z", tuple(range(10)))
+    rows = vectors(s, d).select("mol", F.floor(F.col("mol") / 5).alias("grp"), (F.col("mol") % 3 + 1).cast("double").alias("w"), "z", "x")
+    # the innermost sum is over a molecule's atoms, the outer one over a group's molecules
+    x = definitions.features(
+        ["sorf", "element_id_switch", "component_sum", "normalization", "sorf", "weighted_component_sum"], of, rows, {0: {"sigma": 2.0}, 4: {"sigma": 0.5}},
+        signs=lambda place, element, stacks, transforms, size: Signs.by_rule(stacks, transforms, size, element),
+    )
+    return x.select("grp", F.posexplode("x").alias("pos", "v")).select("grp", "pos", r6("v").alias("v"))
+
+
 def _moved(k: int) -> str:
     """CTEs of what hyperparameter ``k`` moves: Z'dZ, dZ'(y - p), l2, and the derivative of each error."""
     return f"""m{k} AS (SELECT list(row ORDER BY a) AS m FROM (SELECT l.j AS a, list(s ORDER BY b) AS row FROM (SELECT l.j AS j, r.j AS b, sum(l.f * r.d{k}) AS s FROM f l JOIN f r ON l.id = r.id GROUP BY l.j, r.j) l GROUP BY l.j)),
