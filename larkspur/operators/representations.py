@@ -423,6 +423,68 @@ def cmbdf(z: np.ndarray, r: np.ndarray, tables: tuple[np.ndarray, np.ndarray], r
     return cmbdf_many(z[None], r[None], tables, rcut, n_atm)[0]
 
 
+def hermite(flat: np.ndarray, slope: np.ndarray, step: float, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, tables) values and slopes between the nodes of tables (tables, grid), by cubics that meet the nodes' values and slopes."""
+    k = np.minimum((x / step).astype(int), flat.shape[1] - 2)
+    t = x / step - k
+    f0, f1, m0, m1 = flat[:, k], flat[:, k + 1], slope[:, k] * step, slope[:, k + 1] * step
+    value = (2 * t**3 - 3 * t**2 + 1) * f0 + (t**3 - 2 * t**2 + t) * m0 + (3 * t**2 - 2 * t**3) * f1 + (t**3 - t**2) * m1
+    return value.T, (((6 * t**2 - 6 * t) * (f0 - f1) + (3 * t**2 - 4 * t + 1) * m0 + (3 * t**2 - 2 * t) * m1) / step).T
+
+
+def cmbdf_gradient(z: np.ndarray, r: np.ndarray, tables: tuple[np.ndarray, np.ndarray], rcut: float = 10.0, n_atm: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """(m, n, features) and their derivatives (m, n, features, n, 3) by all positions, of many molecules of one size.
+
+    The tables are read between their nodes by cubics, so values are smooth and the slopes are theirs exactly.  Distances and angles go by the chain rule: a pair pulls along its line, and an angle's
+    weight, the product of the other cosines and the distances in front go by the triple's three distances.
+    """
+    (m, n), d = z.shape, distances(r)
+    (fr, fa), steps = (t.reshape(-1, t.shape[2]) for t in tables), (rcut / tables[0].shape[2], math.pi / tables[1].shape[2])
+    sr, sa = (np.gradient(t, h, axis=1) for t, h in zip((fr, fa), steps, strict=True))
+    near, above = (d > 0) & (d < rcut), np.triu(np.ones((n, n), bool), 1)
+    line = lambda b, i, j: (r[b, i] - r[b, j]) / d[b, i, j][:, None]
+
+    def gathered(values: list, keys: list, size: int, width: int) -> np.ndarray:
+        return added_up(np.concatenate([np.empty((0, width)), *values]), np.concatenate([np.empty(0, np.int64), *keys]), size)
+
+    b, i, j = np.nonzero(near & above[None])
+    weight = np.sqrt(z[b, i] * z[b, j])[:, None]
+    v, dv = (weight * x for x in hermite(fr, sr, steps[0], d[b, i, j]))
+    pull = (dv[:, :, None] * line(b, i, j)[:, None]).reshape(len(b), 3 * len(fr))
+    first = gathered([v, v], [b * n + i, b * n + j], m * n, len(fr))
+    g_first = gathered([pull, -pull, pull, -pull], [(b * n + at) * n + c for at in (i, j) for c in (i, j)], m * n * n, 3 * len(fr))
+
+    b, i, j, k = np.nonzero(near[:, :, :, None] & near[:, :, None, :] & (above[None, :, :] & above[:, :, None])[None])
+    ij, ik, jk = d[b, i, j], d[b, i, k], d[b, j, k]
+    by = lambda f: np.stack(f, axis=1)  # noqa: E731  derivatives by ij, ik and jk
+    cos = [np.clip(c, -1, 1) for c in (cosines(ij, ik, jk), cosines(ij, jk, ik), cosines(ik, jk, ij))]
+    dcos = [by((1 / ik - cos[0] / ij, 1 / ij - cos[0] / ik, -jk / (ij * ik))), by((1 / jk - cos[1] / ij, -ik / (ij * jk), 1 / ij - cos[1] / jk)), by((-ij / (ik * jk), 1 / jk - cos[2] / ik, 1 / ik - cos[2] / jk))]
+    pref = 2 * np.cbrt(z[b, i] * z[b, j] * z[b, k]) / (ij * ik * jk) ** n_atm
+    dpref = by(tuple(-n_atm * pref / x for x in (ij, ik, jk)))
+    leading = np.arange(len(fa)) % tables[1].shape[1] == 0
+    lines = line(b, i, j), line(b, i, k), line(b, j, k)
+    values, keys, pulls, places = [], [], [], []
+    for at, own, (p, q) in ((i, 0, (1, 2)), (j, 1, (0, 2)), (k, 2, (0, 1))):
+        a, da = hermite(fa, sa, steps[1], np.arccos(cos[own]))
+        turn = -1 / np.sqrt(np.maximum(1 - cos[own] ** 2, 1e-24))  # of the angle by its cosine
+        others, dothers = cos[p] * cos[q], dcos[p] * cos[q][:, None] + cos[p][:, None] * dcos[q]
+        with_others = np.where(leading, others[:, None], 1.0)
+        values.append(a * pref[:, None] * with_others)
+        keys.append(b * n + at)
+        # (triples, features, three distances)
+        slope = (da * (pref * turn)[:, None] * with_others)[:, :, None] * dcos[own][:, None] + (a * with_others)[:, :, None] * dpref[:, None]
+        slope += (a * np.where(leading, pref[:, None], 0.0))[:, :, None] * dothers[:, None]
+        along = [slope[:, :, x, None] * lines[x][:, None] for x in range(3)]
+        for c, g in ((i, along[0] + along[1]), (j, along[2] - along[0]), (k, -along[1] - along[2])):
+            pulls.append(g.reshape(len(b), 3 * len(fa)))
+            places.append((b * n + at) * n + c)
+    second = gathered(values, keys, m * n, len(fa))
+    g_second = gathered(pulls, places, m * n * n, 3 * len(fa))
+    shape = lambda g, f: g.reshape(m, n, n, f, 3).transpose(0, 1, 3, 2, 4)
+    x = np.concatenate((first, second), axis=1).reshape(m, n, -1)
+    return x, np.concatenate((shape(g_first, len(fr)), shape(g_second, len(fa))), axis=2)
+
+
 def bagged(z: np.ndarray, x: np.ndarray, sizes: dict[int, int]) -> np.ndarray:
     """A global vector of atoms' rows: for each element ``sizes`` rows, each column sorted falling, zeros behind."""
     out, at = np.zeros((sum(sizes.values()), x.shape[1])), 0

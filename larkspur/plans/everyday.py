@@ -657,3 +657,49 @@ def representation_cmbdf(s, d):
 def cmbdf_positions(s, d):
     places = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("pos"), v.alias("v"))), lambda e: F.abs(e["v"]) > 0.01)
     return cmbdf(s, d).select("mol", "atom", F.inline(places)).select("mol", "atom", "pos", (r6("v", 5) + 0.0).alias("v"))
+
+
+def _between(name: str, n: int, step: str, x: str, dx: str) -> str:
+    """Value and slope times ``dx`` of table ``name`` (of n places) at ``x``, by cubics over the cell."""
+    h, t = f"({step} / {n})", "t"
+    return f"""(2 * pow({t}, 3) - 3 * pow({t}, 2) + 1) * v0 + (pow({t}, 3) - 2 * pow({t}, 2) + {t}) * m0 + (3 * pow({t}, 2) - 2 * pow({t}, 3)) * v1 + (pow({t}, 3) - pow({t}, 2)) * m1 AS v,
+((6 * pow({t}, 2) - 6 * {t}) * (v0 - v1) + (3 * pow({t}, 2) - 4 * {t} + 1) * m0 + (3 * pow({t}, 2) - 2 * {t}) * m1) / {h} AS s"""
+
+
+def _cells(name: str, n: int, step: str) -> str:
+    """CTE ``name``_h (i, f, k, v0, v1, m0, m1): a cell's values and slopes (times its width) at both nodes, by central differences, one-sided at the ends."""
+    return f"""{name}_g AS (SELECT i, f, k, v, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / (CASE WHEN k = 0 OR k = {n - 1} THEN 1 ELSE 2 END) AS m FROM {name} WINDOW w AS (PARTITION BY i, f ORDER BY k)),
+{name}_h AS (SELECT i, f, k, v AS v0, m AS m0, lead(v) OVER w AS v1, lead(m) OVER w AS m1 FROM {name}_g WINDOW w AS (PARTITION BY i, f ORDER BY k))"""
+
+
+_SLOPED = f"""WITH {ATOMS}, {_smeared('tr', 1000, '10.0', ['exp(-1.5 * x)', 'exp(-5.0 * x)', '1 / pow(x + 1, 3)', '1 / pow(x + 1, 5)'])}, {_smeared('ta', 630, 'pi()', ['cos(x)', 'cos(2 * x)', 'cos(3 * x)', 'cos(4 * x)'])},
+{_cells('tr', 1000, '10.0')}, {_cells('ta', 630, 'pi()')},
+d AS (SELECT l.mol, l.atom AS i, r.atom AS j, l.z AS zi, r.z AS zj, sqrt({D2}) AS r, (l.x - r.x) / sqrt({D2}) * (l.atom % 3 - r.atom % 3) AS dr FROM a l JOIN a r ON l.mol = r.mol AND l.atom <> r.atom),
+q2 AS (SELECT mol, d.i AS atom, tr_h.i, tr_h.f, sqrt(zi * zj) AS w, dr, d.r / (10.0 / 1000) - k AS t, v0, v1, m0, m1 FROM d JOIN tr_h ON tr_h.k = least(998, floor(d.r / (10.0 / 1000))::BIGINT) WHERE d.r < 10.0),
+r2 AS (SELECT mol, 4 * i + f AS pos, sum(w * s * dr) AS v FROM (SELECT mol, i, f, w, dr, {_between('tr', 1000, '10.0', 'd.r', 'dr')} FROM q2) GROUP BY mol, i, f),
+t AS (SELECT ij.mol, ij.i, ij.j, ik.j AS k, 2 * cbrt(ij.zi * ij.zj * ik.zj) / pow(ij.r * ik.r * jk.r, 2) AS w, ij.r AS ij, ik.r AS ik, jk.r AS jk, ij.dr AS dij, ik.dr AS dik, jk.dr AS djk
+  FROM d ij JOIN d ik ON ij.mol = ik.mol AND ij.i = ik.i AND ij.i < ij.j AND ij.j < ik.j JOIN d jk ON jk.mol = ij.mol AND jk.i = ij.j AND jk.j = ik.j WHERE ij.r < 10.0 AND ik.r < 10.0),
+c AS (SELECT *, w * -2 * (dij / ij + dik / ik + djk / jk) AS dw, greatest(-1, least(1, (ij * ij + ik * ik - jk * jk) / (2 * ij * ik))) AS c1, greatest(-1, least(1, (ij * ij + jk * jk - ik * ik) / (2 * ij * jk))) AS c2, greatest(-1, least(1, (ik * ik + jk * jk - ij * ij) / (2 * ik * jk))) AS c3 FROM t),
+e AS (SELECT *, (1 / ik - c1 / ij) * dij + (1 / ij - c1 / ik) * dik - jk / (ij * ik) * djk AS e1, (1 / jk - c2 / ij) * dij + (1 / ij - c2 / jk) * djk - ik / (ij * jk) * dik AS e2, (1 / jk - c3 / ik) * dik + (1 / ik - c3 / jk) * djk - ij / (ik * jk) * dij AS e3 FROM c),
+o AS (SELECT mol, w, dw, c1 AS c, e1 AS dc, c2 * c3 AS o, e2 * c3 + c2 * e3 AS eo FROM e UNION ALL SELECT mol, w, dw, c2, e2, c1 * c3, e1 * c3 + c1 * e3 FROM e UNION ALL SELECT mol, w, dw, c3, e3, c1 * c2, e1 * c2 + c1 * e2 FROM e),
+q3 AS (SELECT o.*, ta_h.i, ta_h.f, acos(c) / (pi() / 630) - k AS t, v0, v1, m0, m1 FROM o JOIN ta_h ON ta_h.k = least(628, floor(acos(c) / (pi() / 630))::BIGINT)),
+r3 AS (SELECT mol, 20 + 4 * i + f AS pos, sum(CASE WHEN f = 0 THEN s * turn * dc * w * o + v * dw * o + v * w * eo ELSE s * turn * dc * w + v * dw END) AS v FROM (
+  SELECT *, -1 / sqrt(greatest(1 - c * c, 1e-24)) AS turn, {_between('ta', 630, 'pi()', 'acos(c)', 'dc')} FROM q3) GROUP BY mol, i, f),
+al AS (SELECT * FROM r2 UNION ALL SELECT * FROM r3)"""
+
+
+@query("cmbdf_slopes", f"{_SLOPED} SELECT mol, pos::INTEGER AS pos, round(v / (1 + abs(v)), 5) + 0.0 AS slope FROM al")
+def cmbdf_slopes(s, d):
+    """Slopes of a molecule's summed features as its atoms move along x, each by its number modulo 3; bounded, since close atoms make them large."""
+    from ..operators import representations as R
+
+    tables = R.default_convolutions(0.01, 10.0, 0.005)
+
+    def f(z, r):
+        x, g = R.cmbdf_gradient(z, r, tables)
+        moved = np.einsum("mafc,c->mf", g[..., 0], (np.arange(z.shape[1]) + 1) % 3 * 1.0)
+        return np.where(x.any(axis=(1, 2))[:, None], moved, np.nan)  # no two atoms within the cutoff: nothing to give
+
+    x = R.represented_many(R.molecules(atoms(s, d)).filter(F.size("atoms") > 1), f, False)
+    e = x.select("mol", F.posexplode("x").alias("pos", "v")).filter(~F.isnan("v") & ((F.col("pos") < 20) | (F.col("v") != 0)))
+    return e.select("mol", "pos", (r6(F.col("v") / (1 + F.abs("v")), 5) + 0.0).alias("slope"))

@@ -170,3 +170,26 @@ def test_nothing_is_cut_off(spark):
     assert geometry.toy_representation(atoms, 6).count() == 6
     with pytest.raises(Exception, match="more than 4 atoms"):
         geometry.toy_representation(atoms, 4).collect()
+
+
+def test_cmbdf_slopes_are_differences():
+    """Of the values between the tables' nodes, by every position; and moving or turning a whole molecule changes nothing."""
+    import numpy as np
+
+    from larkspur.operators import representations as R
+
+    tables = R.default_convolutions(0.01, 10.0, 0.005)
+    rng = np.random.default_rng(3)
+    z, r = rng.choice([1, 6, 8], (2, 5)), rng.normal(size=(2, 5, 3)) * 1.5
+    x, g = R.cmbdf_gradient(z, r, tables)
+    assert x.shape == (2, 5, 40) and g.shape == (2, 5, 40, 5, 3)
+    assert np.allclose(x, R.cmbdf_many(z, r, tables), atol=0.05 * np.abs(x).max())
+    for a, c in ((0, 0), (2, 1), (4, 2)):
+        h = np.zeros_like(r)
+        h[:, a, c] = 1e-5
+        ends = [R.cmbdf_gradient(z, r + t * h, tables)[0] for t in (1, -1)]
+        assert np.allclose(g[:, :, :, a, c], (ends[0] - ends[1]) / 2e-5, atol=1e-6 * max(1, np.abs(g).max()))
+    assert np.abs(g.sum(axis=3)).max() < 1e-9 * np.abs(g).max()
+    assert np.abs(np.einsum("mafbi,mbj->mafij", g, r) - np.einsum("mafbi,mbj->mafji", g, r)).max() < 1e-8 * np.abs(g).max()
+    one, slopes = R.cmbdf_gradient(z[:, :1], r[:, :1], tables)
+    assert not one.any() and not slopes.any()
