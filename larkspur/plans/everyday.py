@@ -688,7 +688,7 @@ r3 AS (SELECT mol, 20 + 4 * i + f AS pos, sum(CASE WHEN f = 0 THEN s * turn * dc
 al AS (SELECT * FROM r2 UNION ALL SELECT * FROM r3)"""
 
 
-@query("cmbdf_slopes", f"{_SLOPED} SELECT mol, pos::INTEGER AS pos, round(v / (1 + abs(v)), 5) + 0.0 AS slope FROM al")
+@query("cmbdf_slopes", f"{_SLOPED} SELECT mol, pos::INTEGER AS pos, round(v / (1 + abs(v)), 5) + 0.0 AS slope FROM al WHERE mol NOT IN (SELECT mol FROM d WHERE abs(r - 10) < 1e-6)")
 def cmbdf_slopes(s, d):
     """Slopes of a molecule's summed features as its atoms move along x, each by its number modulo 3; bounded, since close atoms make them large."""
     from ..operators import representations as R
@@ -698,8 +698,10 @@ def cmbdf_slopes(s, d):
     def f(z, r):
         x, g = R.cmbdf_gradient(z, r, tables)
         moved = np.einsum("mafc,c->mf", g[..., 0], (np.arange(z.shape[1]) + 1) % 3 * 1.0)
-        return np.where(x.any(axis=(1, 2))[:, None], moved, np.nan)  # no two atoms within the cutoff: nothing to give
+        edge = (np.abs(R.distances(r) - 10.0) < 1e-6).any(axis=(1, 2))  # a distance at the cutoff may fall on either side of it
+        there = np.stack([x[:, :, :20].any(axis=(1, 2)), x[:, :, 20:].any(axis=(1, 2))], axis=1) & ~edge[:, None]
+        return np.where(np.repeat(there, 20, axis=1), moved, np.nan)  # no two (or three) atoms within the cutoff: nothing to give
 
     x = R.represented_many(R.molecules(atoms(s, d)).filter(F.size("atoms") > 1), f, False)
-    e = x.select("mol", F.posexplode("x").alias("pos", "v")).filter(~F.isnan("v") & ((F.col("pos") < 20) | (F.col("v") != 0)))
+    e = x.select("mol", F.posexplode("x").alias("pos", "v")).filter(~F.isnan("v"))
     return e.select("mol", "pos", (r6(F.col("v") / (1 + F.abs("v")), 5) + 0.0).alias("slope"))
