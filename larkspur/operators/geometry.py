@@ -26,20 +26,19 @@ def pairs(atoms: DataFrame, other: DataFrame | None = None, both: bool = True) -
 def neighbours(atoms: DataFrame, rcut: float, small: int = 64) -> DataFrame:
     """(mol, i, j, r) with r < rcut.
 
-    Molecules of at most ``small`` atoms are joined with themselves; larger ones by a range join over cells of edge rcut, where each
-    atom meets its own cell and the 26 around, so that pairs grow with the atoms and not with their square.
+    One equi-join over molecule and cell: a molecule of at most ``small`` atoms is one cell; larger ones have cells of edge rcut, where each atom meets its own cell and the 26
+    around, so that pairs grow with the atoms and not with their square.
     """
-    large = atoms.groupBy("mol").agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select("mol")
-    few, many = atoms.join(large, "mol", "left_anti"), atoms.join(large, "mol", "left_semi")
-    near = (F.col("l.atom") != F.col("r.atom")) & (_d2() < rcut * rcut)
-    out = [F.col("l.mol").alias("mol"), F.col("l.atom").alias("i"), F.col("r.atom").alias("j"), F.sqrt(_d2()).alias("r")]
-    own = few.alias("l").join(few.alias("r"), (F.col("l.mol") == F.col("r.mol")) & near).select(*out)
-    left = many.select("*", *[F.floor(F.col(k) / rcut).alias(f"c{k}") for k in ("x", "y", "c")])
+    large = atoms.groupBy("mol").agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select("mol", F.lit(1).alias("_large"))
+    big, axes = F.col("_large").isNotNull(), ("x", "y", "c")
+    left = atoms.join(large, "mol", "left").select("mol", "atom", *axes, "_large", *[F.when(big, F.floor(F.col(k) / rcut)).otherwise(0).alias(f"c{k}") for k in axes])
     right = left
-    for k in ("x", "y", "c"):
-        right = right.withColumn("_s", F.explode(F.expr("sequence(-1, 1)"))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_s")).drop("_s")
+    for k in axes:
+        right = right.withColumn("_s", F.explode(F.when(big, F.array(*[F.lit(t) for t in (-1, 0, 1)])).otherwise(F.array(F.lit(0))))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_s")).drop("_s")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("mol", "cx", "cy", "cc")]
-    return own.union(left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & near).select(*out))
+    near = (F.col("l.atom") != F.col("r.atom")) & (_d2() < rcut * rcut)
+    out = [F.col("l.mol").alias("mol"), F.col("l.atom").alias("i"), F.col("r.atom").alias("j"), F.sqrt(_d2()).alias("r")]
+    return left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & near).select(*out)
 
 
 def too_close(points: DataFrame, atoms: DataFrame, least: float) -> DataFrame:
