@@ -12,7 +12,7 @@ from ..operators import forces, kernels, large_kernels, levels, orbitals, select
 from ..operators import models as M
 from ..operators.features import Signs
 from ..operators.kernels import Kernel
-from .catalogue import ATOMS, BIAS, H, L2, SIGN, VECTORS, atoms, query, r6, table, vectors
+from .catalogue import ATOMS, BIAS, H, L2, SIGN, SQL, VECTORS, atoms, query, r6, table, vectors
 
 
 def eliminated(name: str, source: str, size: str = "len(a)") -> str:
@@ -263,6 +263,18 @@ def uncertainty_ratios(s, d):
     return plain.select("id", r6("y", 4).alias("ratio")).join(logs.select("id", r6("y", 4).alias("log_ratio")), "id")
 
 
+@query(
+    "uncertainty",
+    f"""{_LOO64}, t AS (SELECT id, abs((p - y) / (1 - h)) / (l2 * h) AS y2, l2 * h AS d2 FROM q CROSS JOIN lam), my2 AS (SELECT avg(y2) AS my2 FROM t),
+r2 AS (SELECT list(r ORDER BY j) AS r FROM (SELECT j, sum(f * (y2 - my2)) AS r FROM f JOIN t USING (id), my2 GROUP BY j)), al2 AS (SELECT list_transform(inv, lambda row: list_dot_product(row, r)) AS al2 FROM m, r2)
+SELECT t.id, round(abs(list_dot_product(fv.f, al2) + my2) * d2, 6) AS uncertainty FROM fv JOIN t USING (id), al2, my2""",
+)
+def uncertainty(s, d):
+    """What a second model says of the first one's errors, beside each prediction."""
+    rows, model = feature_model(s, d)
+    return M.Uncertainty(model, M.FeatureRidge(Signs.by_rule(1, 1, 64), 1.0, 0.01)).fit(rows).predict(rows).select("id", r6("uncertainty").alias("uncertainty"))
+
+
 @query(
     "local_sorf_ridge",
     f"""WITH RECURSIVE {VECTORS}, j AS (SELECT unnest(range(64)) AS j), u AS (SELECT id, mol, z, unnest(x) AS e, unnest(range(64)) AS i FROM v),
@@ -580,13 +592,16 @@ lam AS (SELECT 0.01 * sum(g) / least(4, (SELECT count(*) FROM y)) AS l2 FROM g W
 sys AS (SELECT list(list_concat(row, [r]) ORDER BY rows.a) AS a FROM rows JOIN rr ON rr.a = rows.a), {eliminated('el', 'sys')}
 SELECT mol::BIGINT AS mol, q::INTEGER AS q, round(sum(v * a[j + 1][-1]), 5) + 0.0 AS v FROM fr, el_x GROUP BY mol, q""",
 )
-def force_feature_ridge(s, d):
+def force_feature_ridge(s, d, solver="gramian"):
     params = {e: Signs.by_rule(1, 1, 4, e) for e in (1, 6, 8)}
     m = supplier_molecules(s, d)
-    p = forces.FeatureForceRidge(params, 2.0, 0.01).fit(m, force_targets(s, d)).predict(m)
+    p = forces.FeatureForceRidge(params, 2.0, 0.01, solver=solver).fit(m, force_targets(s, d)).predict(m)
     return p.select("mol", F.posexplode(F.concat(F.array("energy"), "forces")).alias("q", "v")).select("mol", "q", (r6("v", 5) + 0.0).alias("v"))
 
 
+query("force_feature_triangle", SQL["force_feature_ridge"])(lambda s, d: force_feature_ridge(s, d, "triangle"))
+
+
 @query(
     "force_fold_objective",
     f"""WITH RECURSIVE {FEATURE4}, ax AS (SELECT unnest([1, 2, 3]) AS c), {FORCE_Y}, nat AS (SELECT mol, count(*) AS n FROM a GROUP BY mol), w AS (SELECT oy.mol, oy.q, oy.y, CASE WHEN q = 0 THEN 1.0 ELSE 1.0 / nat.n END AS w FROM oy JOIN nat USING (mol)),
