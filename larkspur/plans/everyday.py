@@ -416,11 +416,11 @@ def observable_folds(s, d):
 
 
 @query(
-    "program_outputs",
+    "program_sections",
     """SELECT n_regionkey AS name, count(*) AS orbitals, string_agg(n_nationkey || ':' || substr(n_name, 1, 2), ' ' ORDER BY n_nationkey) AS places, sum(n_nationkey)::INTEGER AS alpha, (sum(n_nationkey) - 1)::INTEGER AS beta,
 round(-sum(n_nationkey) - 0.25, 6) AS energy FROM nation GROUP BY n_regionkey""",
 )
-def program_outputs(s, d):
+def program_sections(s, d):
     """Outputs of an optimisation for each region: words that count in one section and not in another stand in both."""
     n = table(s, d, "nation").orderBy("n_nationkey")
     row = F.concat(F.lit("  1.1 A "), (F.col("n_nationkey") + 1).cast("string"), F.lit(" "), F.substring("n_name", 1, 2), F.lit("  0.5"))
