@@ -3,11 +3,12 @@
 Two texts are equal when they are identical after deleting the bytes of ``[\\x20\\x09-\\x0D]``.  The owner of a group is
 the row with the most code points in its original text, then the smallest doc_id (nulls last), then the first row.
 
-Each map task inserts the full byte strings of its rows into a compressed radix trie below a key of length and content
-hash; a terminal node keeps the best owner and the number of rows.  When the trie holds more than ``budget`` bytes, its
+Each map task inserts the full byte strings of its rows into a compressed radix trie, where texts share the nodes of their common
+beginnings; a terminal node keeps the best owner and the number of rows.  When the trie holds more than ``budget`` bytes, its
 subtrees are spilled, the largest first: their terminals go out as partial groups and the memory is released.  Partial groups
-are shuffled by (length, hash), so a text with any number of copies sends one row for each map task, and a reducer's
-trie merges them, comparing full byte strings.  It reads in key order, so the subtree of a finished key is released.
+are dealt to partitions by (length, hash), so a text with any number of copies sends one row for each map task or spill, and a reducer's
+trie merges the full byte strings of its partition.  It reads in the order of (length, hash), so what it holds when it passes ``budget`` is finished
+but for the key at hand, goes out and is released.
 
 The input is read once.  That reading writes partial groups and, beside them, each row with the name of its partial group; owners come
 back to the rows by an equi-join on that name, which no more than a task's rows share.  :func:`drop_copies` needs no join: a terminal
@@ -34,10 +35,12 @@ NO_ID = 2**63 - 1
 
 
 class Node:
-    __slots__ = ("label", "children", "value")
+    """held: bytes of the value that count for the trie's size."""
+
+    __slots__ = ("label", "children", "value", "held")
 
     def __init__(self, label: bytes, value=None):
-        self.label, self.children, self.value = label, {}, value
+        self.label, self.children, self.value, self.held = label, {}, value, 0
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -82,35 +85,68 @@ class Patricia:
             node, at = upper, at + n
         return node
 
-    def items(self, node: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, object]]:
+    def terminals(self, node: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, Node]]:
         todo = [(node or self.root, prefix)]
         while todo:
             node, prefix = todo.pop()
             key = prefix + node.label
             if node.value is not None:
-                yield key, node.value
+                yield key, node
             todo += [(x, key) for x in node.children.values()]
 
+    def items(self, node: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, object]]:
+        return ((key, x.value) for key, x in self.terminals(node, prefix))
+
     def spill(self, share: float = 0.5) -> Iterator[tuple[bytes, object]]:
-        """Release the largest subtrees below the root until at most ``share`` of the bytes is left; yields what they held."""
-        weigh = lambda top: sum(len(k) + 200 for k, _ in self.items(top))
-        tops = sorted(self.root.children.items(), key=lambda x: -weigh(x[1]))
+        """Release the largest subtrees of the first fork until at most ``share`` of the bytes is left; yields what they held."""
+        fork, prefix = self.root, b""
+        while len(fork.children) == 1 and fork.value is None:
+            (fork,) = fork.children.values()
+            prefix += fork.label
+        weights = {first: weight(top) for first, top in fork.children.items()}
         goal = self.size * share
-        for first, top in tops:
+        for first in sorted(weights, key=weights.get, reverse=True):
             if self.size <= goal:
                 break
-            self.size -= min(self.size, weigh(top))
-            del self.root.children[first]
-            yield from self.items(top)
+            self.size -= weights[first]
+            yield from self.items(fork.children.pop(first), prefix)
+        if self.size > goal and fork.value is not None:
+            yield prefix, fork.value
+            self.size -= fork.held
+            fork.value, fork.held = None, 0
+        if not fork.children and fork.value is None:  # nothing is left but the way to the fork
+            self.root, self.size = Node(b""), 0
+
+    def keep(self, last) -> Iterator[tuple[bytes, object]]:
+        """Release all terminals but those whose value ``last`` holds of; yields what was released."""
+        nodes = list(self.terminals())
+        self.root, self.size = Node(b""), 0
+        for key, old in nodes:
+            if last(old.value):
+                new = self.find(key)
+                new.value, new.held = old.value, old.held
+                self.size += old.held
+            else:
+                yield key, old.value
+
+
+def weight(top: Node) -> int:
+    """The bytes of a subtree: labels, values and 200 for each node."""
+    total, todo = 0, [top]
+    while todo:
+        node = todo.pop()
+        total += len(node.label) + 200 + node.held
+        todo += node.children.values()
+    return total
 
 
 def normalised(text: str | None) -> bytes:
     return encoded(text).translate(None, WHITE)
 
 
-def trie_key(body: bytes) -> bytes:
-    """Hash, length and content; the hash leads so that subtrees below the root are of like size."""
-    return xxhash.xxh64_digest(body) + len(body).to_bytes(8, "big") + body
+def place(body: bytes) -> tuple[int, int]:
+    """Hash and length, by which texts are dealt to partitions."""
+    return int.from_bytes(xxhash.xxh64_digest(body), "big", signed=True), len(body)
 
 
 PARTIAL = "h long,len long,body binary,grp long,n long,chars long,owner long,owner_row long"
@@ -131,9 +167,9 @@ def read_groups(budget: int):
 
         def partial(items) -> Iterator[dict]:
             held, total = [], 0
-            for key, (grp, n, (chars, owner, row)) in items:
-                held.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:16], "big"), key[16:], grp, n, -chars, owner, row, None, None, None))
-                total += len(key)
+            for body, (grp, n, (chars, owner, row)) in items:
+                held.append((*place(body), body, grp, n, -chars, owner, row, None, None, None))
+                total += len(body)
                 if total > 4 << 20 or len(held) == 2000:
                     yield columns_of(held, READ)
                     held, total = [], 0
@@ -144,7 +180,7 @@ def read_groups(budget: int):
             members = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 n, body = next(numbers), normalised(text)
-                node = trie.find(trie_key(body))
+                node = trie.find(body)
                 mine = (-len(text or ""), NO_ID if doc is None else doc, n)
                 if node.value is None:
                     node.value = [n, 1, mine]
@@ -160,43 +196,41 @@ def read_groups(budget: int):
     return run
 
 
-def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Merge partial groups that arrive in order of (h, len)."""
-    trie, key = Patricia(), None
-    out: list[tuple] = []
+def merged_groups(budget: int):
+    """Partial groups that arrive in the order of (len, h) to (grp, n, owner, owner_row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        trie = Patricia()
 
-    def finish():
-        for _, (groups, n, (_, owner, row)) in trie.items():
-            out.extend((g, n, owner, row) for g in groups)
+        def out(items) -> Iterator[dict]:
+            rows = [(g, n, owner, row) for _, (groups, n, (_, owner, row), _) in items for g in groups]
+            if rows:
+                yield columns_of(rows, OWNED)
 
-    for batch in text_blocks(batches, "body"):
-        for h, size, body, grp, n, chars, owner, row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if (h, size) != key:
-                finish()
-                trie, key = Patricia(), (h, size)
-            node = trie.find(body)
-            if node.value is None:
-                node.value = [[grp], n, (-chars, owner, row)]
-            else:
-                node.value[0].append(grp)
-                node.value[1] += n
-                node.value[2] = min(node.value[2], (-chars, owner, row))
-        if out:
-            yield dict(zip(("grp", "n", "owner", "owner_row"), zip(*out, strict=True), strict=True))
-            out.clear()
-    finish()
-    if out:
-        yield dict(zip(("grp", "n", "owner", "owner_row"), zip(*out, strict=True), strict=True))
+        for batch in text_blocks(batches, "body"):
+            for h, size, body, grp, n, chars, owner, row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                node = trie.find(body)
+                if node.value is None:
+                    node.value = [[grp], n, (-chars, owner, row), (size, h)]
+                else:
+                    node.value[0].append(grp)
+                    node.value[1] += n
+                    node.value[2] = min(node.value[2], (-chars, owner, row))
+                if trie.size > budget:
+                    yield from out(trie.keep(lambda value, key=(size, h): value[3] == key))
+        yield from out(trie.items())
+
+    return run
 
 
 def exact_groups(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
     """doc_id, row, keep_id, keep_row, group_size, kept, text_sha256: one row for each row of ``docs``.
 
-    budget: bytes of trie that a map task holds before it spills subtrees.
+    budget: bytes of trie that a task holds before it releases subtrees or finished keys.
     """
     read = stored(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), read_groups(budget), READ))
     partial = read.filter("body is not null").select(*[x.split()[0] for x in PARTIAL.split(",")])
-    owned = map_arrow(partial.repartition("h", "len").sortWithinPartitions("h", "len"), owners, OWNED)
+    owned = map_arrow(partial.repartition("h", "len").sortWithinPartitions("len", "h"), merged_groups(budget), OWNED)
     members = read.filter("row is not null").select("grp", "doc_id", "row", "text_sha256")
     return members.join(owned, "grp").select(
         "doc_id",
@@ -213,14 +247,14 @@ def best_rows(schema: pa.Schema, text_at: int, id_at: int, budget: int, extra: l
     """Rows to the best row of each text so far; with ``extra`` names the hash and length of its text are added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, last = Patricia(), None
+        trie = Patricia()
         names = [*schema.names, *extra]
         kinds = [*schema.types, *([pa.int64(), pa.int64()] if extra else [])]
         done: list[tuple] = []
 
         def finish(items) -> None:
-            for key, (_, row) in items:
-                done.append((*row, int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:16], "big")) if extra else row)
+            for body, (_, row, _) in items:
+                done.append((*row, *place(body)) if extra else row)
 
         def out(least: int = 1) -> Iterator[pa.RecordBatch]:
             if len(done) >= least:
@@ -231,19 +265,16 @@ def best_rows(schema: pa.Schema, text_at: int, id_at: int, budget: int, extra: l
         for batch in text_blocks(batches, schema.names[text_at], limit=4 << 20):
             keys = None if extra else list(zip(batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist(), strict=True))
             for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[: len(schema)]), strict=True)):
-                if keys and keys[i] != last:  # in key order: what came before is finished
-                    finish(trie.items())
-                    trie, last = Patricia(), keys[i]
-                text, doc = row[text_at], row[id_at]
-                node = trie.find(trie_key(normalised(text)))
+                text, doc, key = row[text_at], row[id_at], keys and keys[i]
+                node = trie.find(normalised(text))
                 rank = (-len(text or ""), NO_ID if doc is None else doc)
-                if node.value is None:
-                    trie.size += len(text or "")
-                    node.value = (rank, row)
-                elif rank < node.value[0] or (rank == node.value[0] and repr(row) < repr(node.value[1])):
-                    node.value = (rank, row)
-                if extra and trie.size > budget:
-                    finish(trie.spill())
+                if node.value is None or rank < node.value[0] or (rank == node.value[0] and repr(row) < repr(node.value[1])):
+                    node.value = (rank, row, key)
+                    trie.size += len(text or "") - node.held
+                    node.held = len(text or "")
+                if trie.size > budget:
+                    # in the order of keys: what has another key is finished
+                    finish(trie.spill() if extra else trie.keep(lambda value, key=key: value[2] == key))
                     yield from out()
             yield from out()
         finish(trie.items())
@@ -266,4 +297,4 @@ def drop_copies(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
     schema = to_arrow_schema(docs.schema)
     keyed = T.StructType([*docs.schema.fields, T.StructField(h, T.LongType()), T.StructField(size, T.LongType())])
     best = docs.mapInArrow(best_rows(schema, *where, budget, [h, size]), keyed)
-    return best.repartition(h, size).sortWithinPartitions(h, size).mapInArrow(best_rows(schema, *where, budget, []), docs.schema)
+    return best.repartition(h, size).sortWithinPartitions(size, h).mapInArrow(best_rows(schema, *where, budget, []), docs.schema)

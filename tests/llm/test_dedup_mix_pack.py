@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -38,6 +39,40 @@ def test_trie_against_dict():
     spilled = dict(trie.spill(0.5))
     assert spilled and not set(spilled) & set(dict(trie.items()))
     assert {**spilled, **dict(trie.items())} == plain
+    assert trie.size == sum(exact_dedup.weight(x) for x in trie.root.children.values())
+    before = dict(trie.items())
+    gone = dict(trie.keep(lambda value: value % 2))
+    assert gone == {k: v for k, v in before.items() if v % 2 == 0} and dict(trie.items()) == {k: v for k, v in before.items() if v % 2}
+    for _ in range(20):
+        gone |= dict(trie.spill(0.5))
+    assert gone | dict(trie.items()) == before and not trie.root.children
+
+
+def test_texts_share_the_nodes_of_their_beginnings():
+    """200 texts with 1,700 bytes in common take a little more than their own endings, and one way to them."""
+    head, trie = bytes(random.Random(5).randrange(33, 127) for _ in range(1700)), exact_dedup.Patricia()
+    keys = [head + f"{i:04d}".encode() for i in range(200)]
+    for k in keys:
+        trie.find(k).value = 1
+    assert trie.size < 1700 + 250 * 220 < sum(map(len, keys)) / 4
+    assert {k for k, _ in trie.spill(0.9)} | {k for k, _ in trie.items()} == set(keys)
+    assert trie.size < 1700 + 180 * 220
+
+
+@pytest.mark.parametrize("budget", [300, 3000, 1 << 20])
+def test_reducers_release_finished_keys(budget):
+    """Partial groups in key order, of texts with long common beginnings: the same owners whatever the trie may hold."""
+    rng = random.Random(8)
+    texts = [b"x" * 300 + bytes(rng.choice(b"abc") for _ in range(rng.randrange(4))) for _ in range(200)]
+    rows = sorted((*exact_dedup.place(t)[::-1], t, i, rng.randrange(1, 4), rng.randrange(5), rng.randrange(50), i) for i, t in enumerate(texts))
+    cols = list(zip(*[(h, n, *r) for n, h, *r in rows], strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "len", "body", "grp", "n", "chars", "owner", "owner_row"])
+    got = {r[0]: r[1:] for out in exact_dedup.merged_groups(budget)(iter([batch.slice(0, 90), batch.slice(90)])) for r in zip(*out.values(), strict=True)}
+    for _, _, t, grp, *_ in rows:
+        same = [r for r in rows if r[2] == t]
+        chars, owner, row = min((-r[5], r[6], r[7]) for r in same)
+        assert got[grp] == (sum(r[4] for r in same), owner, row)
+    assert len(got) == len(texts)
 
 
 @given(st.binary(max_size=40), st.binary(max_size=40))
