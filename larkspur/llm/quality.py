@@ -8,8 +8,8 @@ Only documents are labelled.  Lines first take their document's label; after a f
 themselves are taken as good, all but the worst one, and the field is fitted again.
 
 The learning rows are a bounded sample: ``most`` labelled documents in the order of a hash of doc_id, less the held-out ones, one
-label and one row for each doc_id (the lowest label, the text that sorts first by its hash), of a text with over ``most_lines`` lines a stretch of so many from a
-place given by the hash.  So the driver holds at most ``most * most_lines`` lines' features of 72 bytes.  Neither labels nor doc_id, lang or source are inputs of a score.
+label and one row for each doc_id (the lowest label, the text that sorts first by its hash).  Texts are learned from whole: in that order a document is taken if its lines fit in what is
+left of ``most_lines``, so the driver holds at most so many lines' features of 72 bytes.  Neither labels nor doc_id, lang or source are inputs of a score.
 
 Cases: a null or empty text is one empty line and is scored like any other; rows of labels with nulls are left out; with no labelled
 rows, or one class only, every score is the share of good labels, 1 without any (nothing can be rejected); repeated rows get equal scores; a null doc_id is not held
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_blocks
+from .common import cut, map_arrow, text_blocks
 
-MOST, MOST_LINES, THRESHOLD, FOLDS, HELD_OUT = 4000, 256, 0.7, 4, 2
+MOST, MOST_LINES, THRESHOLD, FOLDS, HELD_OUT = 4000, 1 << 20, 0.7, 4, 2
 
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
@@ -214,25 +214,30 @@ def fold(doc_id="doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST, most_lines: int = MOST_LINES) -> Field:
-    """Fit on at most ``most`` labelled documents outside the held-out fold, ``most_lines`` lines of each."""
+    """Fit on at most ``most`` labelled documents outside the held-out fold, of ``most_lines`` lines together."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).dropna()
     known = known.groupBy("id").agg(F.min("quality").alias("quality")).filter(fold("id") != HELD_OUT)
-    known = known.orderBy(F.xxhash64(F.lit("larkspur-quality"), "id"), "id").limit(most)
+    order = F.xxhash64(F.lit("larkspur-quality"), "id")
+    known = known.orderBy(order, "id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in text_blocks(batches):
-            got = []
-            for t, h in zip(b.column("text").to_pylist(), b.column("mark").to_pylist(), strict=True):
-                lines = document_lines(t)
-                at = h % max(1, len(lines) - most_lines + 1)
-                got.append(line_features(lines[at : at + most_lines]))
-            yield {"id": b.column("id"), "quality": b.column("quality"), "mark": b.column("mark"), "lines": [f.tobytes() for f, _ in got], "sizes": [s.tobytes() for _, s in got]}
+            counts = [(t or "").count("\n") + 1 for t in b.column("text").to_pylist()]
+            # a text that can't fit is not looked at
+            got = [line_features(document_lines(t) if n <= most_lines else []) for t, n in zip(b.column("text").to_pylist(), counts, strict=True)]
+            yield {"id": b.column("id"), "quality": b.column("quality"), "mark": b.column("mark"), "n": counts, "lines": [f.tobytes() for f, _ in got], "sizes": [s.tobytes() for _, s in got]}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id")
     rows = rows.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = map_arrow(rows, run, "id long,quality int,mark long,lines binary,sizes binary")
-    # one row for each doc_id: ``most`` at the most, of ``most_lines`` lines each
-    rows = rows.groupBy("id").agg(F.min_by(F.struct("quality", "lines", "sizes"), "mark").alias("r")).select("id", "r.*").limit(most).collect()
+    rows = map_arrow(rows, run, "id long,quality int,mark long,n long,lines binary,sizes binary")
+    # one row for each doc_id: ``most`` at the most
+    rows = cut(rows.groupBy("id").agg(F.min_by(F.struct("quality", "n", "lines", "sizes"), "mark").alias("r")).select("id", "r.*"))
+    left, taken = most_lines, []
+    for r in rows.select("id", "n").orderBy(order, "id").limit(most).collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append(r["id"])
+    rows = rows.filter(F.col("id").isin(taken)).collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["lines"])))
     return train(
         [np.frombuffer(r["lines"], np.float32).reshape(-1, FEATURES) for r in rows], [np.frombuffer(r["sizes"], np.int64) for r in rows], np.array([r["quality"] for r in rows], np.int64)

@@ -117,17 +117,31 @@ def test_scores_against_a_plain_scorer(spark, sf):
 
 
 def test_learning_sample_is_bounded(spark):
-    """Repeated doc_ids give one row each, and long texts a stretch of lines."""
-    rows = [(i, "\n".join([f"good line {i}."] * n), "s") for i in range(30) for n in (3, 4000)]
+    """Repeated doc_ids give one row each, texts are whole, and those that don't fit in the lines left are passed over."""
+    rows = [(i, "\n".join([f"good line {i}."] * (n + i)), "s") for i in range(30) for n in ((3, 5) if i % 3 else (4000,))]
+    whole_texts = {n + i for i in range(30) for n in ((3, 5) if i % 3 else ())}
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
     seen = []
     whole = quality.train
     quality.train = lambda f, s, q: seen.append(([len(x) for x in f], len(q))) or whole(f, s, q)
     try:
-        quality.learn(docs(spark, rows), labels, most=10, most_lines=50)
+        for lines in (50, 1 << 20, 0):
+            quality.learn(docs(spark, rows), labels, most=10, most_lines=lines)
     finally:
         quality.train = whole
-    assert seen[0][1] <= 10 and max(seen[0][0]) <= 50
+    assert 1 <= seen[0][1] < 10 and sum(seen[0][0]) <= 50 and set(seen[0][0]) <= whole_texts
+    assert seen[1][1] == 10 and max(seen[1][0]) > 4000
+    assert seen[2] == ([], 0)
+
+
+def test_good_documents_with_clashing_names(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    names = ("id", "mark", "quality", "lines", "sizes", "n", "held_out", "score", "predicted", "r")
+    out = quality.good_documents(d.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names]), labels)
+    assert out.columns == [*d.columns, *names]
+    got = out.collect()
+    assert got and all([r[n] for n in names] == list(names) for r in got)
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in quality.classified(d, labels).filter("predicted = 1").collect())
 
 
 # html
