@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, map_arrow, text_blocks
+from .common import encoded, fresh, map_arrow, text_blocks
 
 #: Fixed values of the format: order of code length codes; (x, y) of the first 120 distance codes.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -899,16 +899,17 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def pixels(stored: DataFrame, column: str = "media") -> DataFrame:
-    """All columns, and the first image of a column of WebP files as height, width and RGBA samples."""
+    """All columns, and the first image of a column of WebP files as ``pixel_height``, ``pixel_width`` and ``pixel_rgba`` (underscores follow where the input has such names); nulls for null."""
+    names = [fresh(stored.columns, n) for n in ("pixel_height", "pixel_width", "pixel_rgba")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches, column, limit=4 << 20):
             got = [None if m is None else decode(m)[0] for m in b.column(column).to_pylist()]
             new = [[None if g is None else g.shape[0] for g in got], [None if g is None else g.shape[1] for g in got], [None if g is None else g.tobytes() for g in got]]
             cols = [pa.array(v, k) for v, k in zip(new, (pa.int32(), pa.int32(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "pixel_height", "pixel_width", "pixel_rgba"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
 
     from pyspark.sql import types as T
 
-    new = [T.StructField("pixel_height", T.IntegerType()), T.StructField("pixel_width", T.IntegerType()), T.StructField("pixel_rgba", T.BinaryType())]
+    new = [T.StructField(n, k) for n, k in zip(names, (T.IntegerType(), T.IntegerType(), T.BinaryType()), strict=True)]
     return stored.mapInArrow(run, T.StructType([*stored.schema.fields, *new]))

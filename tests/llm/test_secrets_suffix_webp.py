@@ -439,3 +439,13 @@ def test_media(spark, sf):
         shown = webp.pixels(stored).collect()
         assert all(r["pixel_height"] * r["pixel_width"] * 4 == len(r["pixel_rgba"]) for r in shown)
     assert webp.features(webp.media(docs(spark, []))).count() == 0
+
+
+def test_pixels_beside_columns_of_their_names(spark):
+    df = webp.media(docs(spark, AWKWARD[:3])).selectExpr("media", "doc_id AS pixel_width", "1 AS PIXEL_HEIGHT", "'z' AS pixel_rgba")
+    df = df.unionByName(spark.createDataFrame([(None, 5, 1, "z")], df.schema))
+    out = webp.pixels(df)
+    assert out.columns == [*df.columns, "pixel_height_", "pixel_width_", "pixel_rgba_"]
+    got = out.collect()
+    assert {r["pixel_rgba"] for r in got} == {"z"} and [r["pixel_width"] for r in got] == [r[1] for r in df.collect()]
+    assert all(r["media"] is None and r["pixel_rgba_"] is None or r["pixel_height_"] * r["pixel_width_"] * 4 == len(r["pixel_rgba_"]) for r in got)
