@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import definitions, large_kernels, tall
+from ..operators import curves, definitions, large_kernels, tall
 from ..operators.features import Signs
 from ..operators.kernels import Kernel
-from .catalogue import BIAS, H, L2, SIGN, VECTORS, query, r6, table, vectors
+from .catalogue import BIAS, H, L2, SEED, SIGN, VECTORS, query, r6, table, vectors
 from .systems import eliminated, gauss, multilevel, table_of
 
 # Derivatives through two levels: atoms to molecules (width 2), normalised, and a top map (width 1/2).
@@ -263,3 +263,59 @@ def large_kernel_ridge(s, d):
     rows = vectors(s, d).withColumn("y", F.col("z").cast("double"))
     model = large_kernels.LargeKernelRidge(Kernel("gaussian", (0.5,)), 0.01, landmarks=256).fit(rows)
     return model.predict(rows).select("id", r6("prediction").alias("prediction"))
+
+
+# Learning curves: each subset of the training rows chooses its own hyperparameters by leave-one-out errors.
+
+
+def _subsets(rows: str, sizes: list[int], most: int) -> str:
+    """CTEs: the rows (id, ..., y) of ``rows`` in disjoint subsets of each size, labels less their mean ``my``."""
+    return f"""sk AS (SELECT r.*, size, {SEED.format(k="size || ':' || id")} AS h FROM {rows} r CROSS JOIN (SELECT unnest({sizes}) AS size)),
+sr AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY size ORDER BY h, id) - 1) / size) AS BIGINT) AS subset, floor(count(*) OVER (PARTITION BY size) / size) AS most FROM sk),
+m AS MATERIALIZED (SELECT * REPLACE (y - avg(y) OVER (PARTITION BY size, subset) AS y), avg(y) OVER (PARTITION BY size, subset) AS my FROM sr WHERE subset < most AND subset < {most})"""
+
+
+LINES = """t AS (SELECT o_orderkey AS id, [1.0::DOUBLE, n, q, p, r]::DOUBLE[] AS z, (o_totalprice / 10000)::DOUBLE AS y FROM orders
+  JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) / 10 AS q, sum(l_extendedprice) / 10000 AS p, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
+
+
+@query(
+    "feature_learning_curve",
+    f"""WITH RECURSIVE {LINES}, u AS (SELECT * FROM t WHERE id % 4 <> 0), {_subsets('u', [50, 200], 8)},
+g AS (SELECT size, subset, a, b, sum(z[a] * z[b]) AS g FROM m, range(1, 6) p(a), range(1, 6) q(b) GROUP BY size, subset, a, b), gr AS (SELECT size, subset, a, sum(z[a] * y) AS r FROM m, range(1, 6) p(a) GROUP BY size, subset, a),
+st AS (SELECT size, subset, l2, a, list(g + CASE WHEN a = b THEN l2 ELSE 0 END ORDER BY b) AS row FROM g, (SELECT unnest({PATH}::DOUBLE[]) AS l2) GROUP BY size, subset, l2, a),
+s AS (SELECT {{'size': size, 'subset': subset, 'l2': l2}} AS key, list(list_concat(list_concat(row, list_transform(range(1, 6), lambda c: CASE WHEN c = st.a THEN 1.0 ELSE 0.0 END)), [r]) ORDER BY st.a) AS a FROM st JOIN gr USING (size, subset, a) GROUP BY size, subset, l2),
+{_keyed('e', 's', 5)}, w AS (SELECT key.size AS size, key.subset AS subset, key.l2 AS l2, list_transform(a, lambda row: row[6:10]) AS inv, list_transform(a, lambda row: row[11]) AS al FROM e_x),
+lo AS (SELECT size, subset, l2, any_value(al) AS al, any_value(my) AS my, avg(abs((list_dot_product(z, al) - y) / (1 - list_dot_product(z, list_transform(inv, lambda row: list_dot_product(row, z)))))) AS loss FROM m JOIN w USING (size, subset) GROUP BY size, subset, l2),
+best AS (SELECT size, subset, min(loss) AS loss, arg_min({{'l2': l2, 'al': al, 'my': my}}, loss) AS b FROM lo GROUP BY size, subset)
+SELECT size::INTEGER AS size, subset, b.l2 AS l2, round(any_value(best.loss), 6) AS training_loss, round(avg(abs(list_dot_product(z, b.al) + b.my - y)), 6) AS loss, count(*) AS n FROM best, t WHERE t.id % 4 = 0 GROUP BY size, subset, b.l2""",
+)
+def feature_learning_curve(s, d):
+    each = [F.count("*").alias("n"), (F.sum("l_quantity") / 10).alias("q"), (F.sum("l_extendedprice") / 10000).alias("p"), F.count_if(F.col("l_returnflag") == "R").alias("r")]
+    rows = table(s, d, "orders").join(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*each), "o_orderkey")
+    z = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in "nqpr"])
+    rows = rows.select(F.col("o_orderkey").alias("id"), z.alias("z"), (F.col("o_totalprice").cast("double") / 10000).alias("y"))
+    points = curves.FeatureCurve([50, 200], PATH).run(rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0"))
+    return points.select("size", "subset", "l2", r6("training_loss").alias("training_loss"), r6("loss").alias("loss"), "n")
+
+
+_KEYED_20 = _keyed("e", "s", 0).replace("k < 0", "k < len(a)").replace("k = 0)", "k = len(a))")
+
+
+@query(
+    "kernel_learning_curve",
+    f"""WITH RECURSIVE t AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, (vec_id % 7 + 3 * embedding[1]::DOUBLE) AS y FROM embeddings), u AS (SELECT * FROM t WHERE id % 4 <> 0), {_subsets('u', [10, 20], 4)},
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY size, subset ORDER BY id) AS a FROM m), d AS (SELECT l.size, l.subset, l.a, r.a AS b, list_distance(l.x, r.x) ** 2 AS d2 FROM o l JOIN o r ON l.size = r.size AND l.subset = r.subset),
+st AS (SELECT size, subset, sigma, l2, a, list(exp(-d2 / (2 * sigma * sigma)) + CASE WHEN a = b THEN l2 ELSE 0 END ORDER BY b) AS row FROM d, (SELECT unnest([0.5, 1.0]) AS sigma), (SELECT unnest([0.001, 0.1, 1.0]) AS l2) GROUP BY size, subset, sigma, l2, a),
+s AS (SELECT {{'size': size, 'subset': subset, 'sigma': sigma, 'l2': l2}} AS key, list(list_concat(list_concat(row, list_transform(range(1, size + 1), lambda c: CASE WHEN c = st.a THEN 1.0 ELSE 0.0 END)), [y]) ORDER BY st.a) AS a FROM st JOIN o USING (size, subset, a) GROUP BY key),
+{_KEYED_20}, w AS (SELECT key, list_transform(a, lambda row: row[2 * key.size + 1]) AS al, list_transform(a, lambda row, i: row[key.size + i]) AS dg FROM e_x),
+best AS (SELECT key.size AS size, key.subset AS subset, min(loss) AS loss, arg_min({{'sigma': key.sigma, 'l2': key.l2, 'al': al}}, loss) AS b FROM (SELECT *, list_avg(list_transform(list_zip(al, dg), lambda p: abs(p[1] / p[2]))) AS loss FROM w) GROUP BY key.size, key.subset),
+p AS (SELECT t.id, size, subset, any_value(b.sigma) AS sigma, any_value(b.l2) AS l2, any_value(best.loss) AS training_loss, abs(sum(b.al[o.a] * exp(-(list_distance(t.x, o.x) ** 2) / (2 * b.sigma * b.sigma))) + any_value(my) - any_value(t.y)) AS err
+  FROM best JOIN o USING (size, subset), t WHERE t.id % 4 = 0 GROUP BY t.id, size, subset)
+SELECT size::INTEGER AS size, subset, sigma::DOUBLE AS sigma, l2::DOUBLE AS l2, round(any_value(training_loss), 6) AS training_loss, round(avg(err), 6) AS loss, count(*) AS n FROM p GROUP BY size, subset, sigma, l2""",
+)
+def kernel_learning_curve(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = e.withColumn("y", F.col("id") % 7 + 3 * F.col("x")[0])
+    points = curves.KernelCurve(Kernel("gaussian"), [10, 20], [0.5, 1.0], [0.001, 0.1, 1.0], most=4).run(rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0"))
+    return points.select("size", "subset", "sigma", "l2", r6("training_loss").alias("training_loss"), r6("loss").alias("loss"), "n")
