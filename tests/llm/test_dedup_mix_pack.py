@@ -352,3 +352,23 @@ def test_very_long_texts(spark):
     for i in (1, 2):
         mine = sorted((r["start"], r["length"], r["doc_tokens"]) for r in pieces if r["doc_id"] == i)
         assert sum(n for _, n, _ in mine) == mine[0][2] > 450_000 and all(n == 4096 for _, n, _ in mine[:-1])
+
+
+def test_near_groups_broadcast_nothing(spark, sf, monkeypatch):
+    import importlib
+
+    plans = []
+
+    def kept(df):
+        out = common_cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    common_cut = simhash.cut
+    monkeypatch.setattr(importlib.import_module("larkspur.llm.components"), "cut", kept)
+    monkeypatch.setattr(simhash, "cut", kept)
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    for out in (simhash.near_groups(texts), simhash.drop_near(texts)):
+        out.collect()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
