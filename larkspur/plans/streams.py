@@ -14,11 +14,11 @@ from .systems import _NORMAL, eliminated
 
 
 def stream(s: SparkSession, d: str, name: str, **options) -> DataFrame:
-    """A table's file as a stream."""
-    reader = s.readStream.schema(table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    """A table as a stream, be it one file or a folder of them: as a pattern the path may be either."""
+    reader = s.readStream.schema(table(s, d, name).schema)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.parquet(d)
+    return reader.parquet(f"{d}/{name}.parque[t]")
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:

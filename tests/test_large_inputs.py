@@ -24,3 +24,11 @@ def test_gradients_by_entries(spark, sf, monkeypatch):
                 assert np.allclose(got, block, atol=1e-12)
     row = systems.supplier_molecules(spark, sf).selectExpr("max(length(g) / length(z))").first()[0]
     assert row == 9  # before: 9 for each atom
+
+
+def test_streams_of_folders(spark, sf, tmp_path):
+    from larkspur.plans import streams
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert streams.stream_training(spark, str(tmp_path)).count() == e.count()
