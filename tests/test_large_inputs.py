@@ -32,3 +32,11 @@ def test_streams_of_folders(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     e.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert streams.stream_training(spark, str(tmp_path)).count() == e.count()
+
+
+def test_objects_of_larger_molecules(spark, sf, tmp_path):
+    from larkspur.plans import nested
+
+    spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("* except (l_orderkey)", "l_orderkey div 64 as l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    most = nested.objects_of_molecules(spark, str(tmp_path)).agg({"atoms": "max"}).first()[0]
+    assert most > 16
