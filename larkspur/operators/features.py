@@ -149,14 +149,20 @@ def local_random_features(df: DataFrame, mol: str, z: str, vec: str, params: dic
     return vector_sum(parts, ["m"], "z", name="z").withColumnRenamed("m", mol)
 
 
-def reductor(df: DataFrame, vec: str, npcas: int, samples: int = 1024) -> np.ndarray:
-    """Leading directions of uncentred vectors, from at most ``samples`` in hash order; the largest component of each is positive."""
+def reductor(df: DataFrame, vec: str, npcas: int, samples: int | None = 1024) -> np.ndarray:
+    """Leading directions of uncentred vectors, from at most ``samples`` in hash order or, with None, from X'X of all; the largest component of each is positive."""
     rows = df.select(F.col(vec).cast("array<double>").alias("x")).filter("x is not null")
-    got = rows.orderBy(F.xxhash64("x")).limit(samples).collect()  # bounded by ``samples``
-    x = np.array([r["x"] for r in got])
-    if len(x) < npcas:
+    if samples is None:
+        from .solvers import gramian
+
+        g, _, _, n = gramian(rows, "x")
+    else:
+        got = rows.orderBy(F.xxhash64("x")).limit(samples).collect()  # bounded by ``samples``
+        x = np.array([r["x"] for r in got])
+        g, n = x.T @ x, len(x)
+    if n < npcas:
         raise ValueError("fewer vectors than components")
-    w, v = np.linalg.eigh(x.T @ x)
+    w, v = np.linalg.eigh(g)
     out = v[:, ::-1][:, :npcas]
     return out * np.sign(out[np.abs(out).argmax(axis=0), np.arange(npcas)])
 

@@ -40,3 +40,12 @@ def test_objects_of_larger_molecules(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("* except (l_orderkey)", "l_orderkey div 64 as l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     most = nested.objects_of_molecules(spark, str(tmp_path)).agg({"atoms": "max"}).first()[0]
     assert most > 16
+
+
+def test_reductor_of_all_vectors(spark):
+    from larkspur.operators.features import reductor
+
+    x = np.random.default_rng(1).normal(size=(1500, 3)) * [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    w = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    assert np.allclose(np.abs((reductor(df, "x", 3, None) * w).sum(axis=0)), 1, atol=1e-12)
