@@ -49,3 +49,10 @@ def test_reductor_of_all_vectors(spark):
     df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
     w = np.linalg.eigh(x.T @ x)[1][:, ::-1]
     assert np.allclose(np.abs((reductor(df, "x", 3, None) * w).sum(axis=0)), 1, atol=1e-12)
+
+
+def test_minima_of_one_dimension(spark, sf):
+    from larkspur.plans import everyday
+
+    r = everyday.minima(spark, sf).first()
+    assert r["grid"] == r["steepest"] == 1.25
