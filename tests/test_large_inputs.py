@@ -56,3 +56,20 @@ def test_minima_of_one_dimension(spark, sf):
 
     r = everyday.minima(spark, sf).first()
     assert r["grid"] == r["steepest"] == 1.25
+
+
+def test_kernel_models_by_blocks(spark, sf, monkeypatch):
+    """More rows than the dense form takes give the same models."""
+    from larkspur.operators import blocks
+    from larkspur.operators import models as M
+    from larkspur.operators.kernels import Kernel
+    from larkspur.plans.catalogue import vectors
+
+    monkeypatch.setattr(blocks, "ROWS", 100)
+    monkeypatch.setattr(blocks, "ATOMS", 130)
+    rows = vectors(spark, sf).selectExpr("id", "x", "cast(z as double) y")
+    a, b = (M.KernelRidge(Kernel("gaussian", (1.0,)), 1e-6, most=k, dense=k).fit(rows) for k in (10_000, 100))
+    assert a.ids == b.ids and np.isclose(a.l2, b.l2) and np.allclose(a.alphas, b.alphas, rtol=1e-5, atol=1e-7)
+    mols, labels = systems.mol_rows(spark, sf), systems.mol_labels(spark, sf)
+    a, b = (M.LocalKernelRidge(Kernel("gaussian", (1.0,)), 0.1, shift=False, most=k, dense=k).fit_atoms(mols, labels) for k in (10_000, 10))
+    assert a.ids == b.ids and np.isclose(a.l2, b.l2) and np.allclose(a.alphas, b.alphas, atol=1e-9)
