@@ -73,3 +73,18 @@ def test_kernel_models_by_blocks(spark, sf, monkeypatch):
     mols, labels = systems.mol_rows(spark, sf), systems.mol_labels(spark, sf)
     a, b = (M.LocalKernelRidge(Kernel("gaussian", (1.0,)), 0.1, shift=False, most=k, dense=k).fit_atoms(mols, labels) for k in (10_000, 10))
     assert a.ids == b.ids and np.isclose(a.l2, b.l2) and np.allclose(a.alphas, b.alphas, atol=1e-9)
+
+
+def test_force_process_by_blocks(spark, sf, monkeypatch):
+    """More energies and forces than the dense form takes give the same model; ranges of large molecules and small ones that share a block."""
+    from larkspur.operators import blocks
+
+    mols = systems.supplier_molecules(spark, sf)
+    targets = systems.force_targets(spark, sf)
+    dense = forces.ForceRidge(1.5, 0.1, dense=10_000).fit(mols, targets).alphas
+    for rows in (7, 40):
+        monkeypatch.setattr(blocks, "ROWS", rows)
+        got = forces.ForceRidge(1.5, 0.1, dense=10).fit(mols, targets)
+        assert np.allclose(got.alphas, dense, atol=1e-9)
+    sizes = [blocks.grouped(s, 4) for s in ([3, 1, 2, 5], [0, 4, 0])]
+    assert sizes == [([(0, 0), (0, 3), (1, 0), (2, 0)], [4, 2, 5]), ([(0, 0), (0, 0), (0, 4)], [4])]
