@@ -88,3 +88,18 @@ def test_force_process_by_blocks(spark, sf, monkeypatch):
         assert np.allclose(got.alphas, dense, atol=1e-9)
     sizes = [blocks.grouped(s, 4) for s in ([3, 1, 2, 5], [0, 4, 0])]
     assert sizes == [([(0, 0), (0, 3), (1, 0), (2, 0)], [4, 2, 5]), ([(0, 0), (0, 0), (0, 4)], [4])]
+
+
+def test_local_folds_by_blocks(spark, sf, monkeypatch):
+    from larkspur.operators import blocks
+    from larkspur.operators import models as M
+    from larkspur.operators import ranking
+    from larkspur.operators.kernels import Kernel
+
+    monkeypatch.setattr(blocks, "ROWS", 12)
+    monkeypatch.setattr(blocks, "ATOMS", 70)
+    mols, labels = systems.mol_rows(spark, sf), systems.mol_labels(spark, sf)
+    folds = ranking.folds(labels, "id", 2)
+    for matched in (True, False):
+        a, b = (M.local_fold_objective(mols, labels, Kernel("gaussian", (1.0,)), folds, 0.1, matched, dense=k) for k in (10_000, 10))
+        assert np.isclose(a, b, rtol=1e-9)
