@@ -41,12 +41,15 @@ def neighbours(atoms: DataFrame, rcut: float, small: int = 64) -> DataFrame:
     return left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & near).select(*out)
 
 
-def too_close(points: DataFrame, atoms: DataFrame, least: float) -> DataFrame:
-    """The rows of ``points`` that have an atom of their molecule nearer than ``least``: a semi join on cells of that edge, each point looking into its own cell and the 26 around."""
-    left = points.select("*", *[F.floor(F.col(k) / least).alias(f"c{k}") for k in ("x", "y", "c")])
-    right = atoms.select("mol", "x", "y", "c", *[F.floor(F.col(k) / least).alias(f"c{k}") for k in ("x", "y", "c")])
-    for k in ("x", "y", "c"):
-        right = right.withColumn("_s", F.explode(F.expr("sequence(-1, 1)"))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_s")).drop("_s")
+def too_close(points: DataFrame, atoms: DataFrame, least: float, small: int = 64) -> DataFrame:
+    """The rows of ``points`` that have an atom of their molecule nearer than ``least``: a semi join.  Molecules of at most ``small`` atoms meet whole; larger ones by cells of edge ``least``, each atom in its own and the 26 around."""
+    axes = ("x", "y", "c")
+    large = atoms.groupBy("mol").agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select("mol", F.lit(1).alias("_large"))
+    cell = [F.when(F.col("_large").isNotNull(), F.floor(F.col(k) / least)).otherwise(0).alias(f"c{k}") for k in axes]
+    left = points.join(large, "mol", "left").select(*[points[k] for k in points.columns], *cell)
+    right = atoms.join(large, "mol", "left").select("mol", *axes, "_large", *cell)
+    for k in axes:
+        right = right.withColumn("_s", F.explode(F.when(F.col("_large").isNotNull(), F.array(*[F.lit(t) for t in (-1, 0, 1)])).otherwise(F.array(F.lit(0))))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_s")).drop("_s")
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("mol", "cx", "cy", "cc")]
     return left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & (_d2() < least * least), "left_semi").drop("cx", "cy", "cc")
 

@@ -103,3 +103,24 @@ def test_local_folds_by_blocks(spark, sf, monkeypatch):
     for matched in (True, False):
         a, b = (M.local_fold_objective(mols, labels, Kernel("gaussian", (1.0,)), folds, 0.1, matched, dense=k) for k in (10_000, 10))
         assert np.isclose(a, b, rtol=1e-9)
+
+
+def _atoms(spark, sizes):
+    rng = np.random.default_rng(8)
+    rows = [(m, k + 1, int(rng.choice([1, 6, 8])), *(rng.random(3) * 6).tolist()) for m, n in enumerate(sizes) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "mol long, atom long, z int, x double, y double, c double")
+
+
+def test_too_close_of_small_molecules(spark):
+    """Small molecules are one cell: the same rows as by cells of the distance."""
+    from pyspark.sql import functions as F
+
+    from larkspur.operators import geometry
+
+    rows, atoms = _atoms(spark, [3, 9, 70, 1])
+    points = atoms.select("mol", "atom", (F.col("x") + 1.3).alias("x"), "y", "c")
+    want = {(m, k) for m, k, _, x, y, c in rows if any(m == o[0] and (x + 1.3 - o[3]) ** 2 + (y - o[4]) ** 2 + (c - o[5]) ** 2 < 1.21 for o in rows)}
+    assert 0 < len(want) < len(rows)
+    for small in (0, 8, 64, 100):
+        got = geometry.too_close(points, atoms, 1.1, small)
+        assert got.columns == points.columns and {(r["mol"], r["atom"]) for r in got.collect()} == want
