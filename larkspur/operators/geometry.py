@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import cosine_cutoff
-
 
 def _d2(a: str = "l", b: str = "r") -> Column:
     return sum(((F.col(f"{a}.{k}") - F.col(f"{b}.{k}")) * (F.col(f"{a}.{k}") - F.col(f"{b}.{k}")) for k in ("y", "c")), (F.col(f"{a}.x") - F.col(f"{b}.x")) * (F.col(f"{a}.x") - F.col(f"{b}.x")))
@@ -172,24 +173,76 @@ def many_body_types(atoms: DataFrame, periodic: bool = False) -> DataFrame:
     return one.union(two).union(three.filter(fits).select(F.col("l.z"), F.col("m.z"), F.col("r.z")))
 
 
+def _pair_grids(atoms: DataFrame, both: bool, near: Callable, keys: Callable, terms: Callable, first: int, ddl: str, most: int = 1 << 18) -> DataFrame:
+    """(mol, two keys, g, v): sums of terms(r, key, key), (pairs, grid), over the pairs of a molecule with near(r) and the same keys(atom, atom', z, z').  Molecules come together in one shuffle; many of one size are taken at a time."""
+    from .representations import molecules
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("atoms")
+            at, flat = col.offsets.to_numpy(), col.flatten()
+            at = at - at[0]
+            field = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
+            mol, atom, z, x, sizes = b.column("mol").to_numpy(), field("atom"), field("z"), [field(k) for k in "xyc"], np.diff(at)
+            for n in np.unique(sizes[sizes > 1]):
+                same, step, wide = np.flatnonzero(sizes == n), max(1, most // int(n) ** 2), max(1, most // int(n))
+                for lo in range(0, len(same), step):
+                    which = same[lo : lo + step]
+                    found = []
+                    for i0 in range(0, int(n), wide):
+                        i, j = (v.ravel() for v in np.meshgrid(np.arange(i0, min(n, i0 + wide)), np.arange(n), indexing="ij"))
+                        l, r = (at[which][:, None] + v for v in (i, j))
+                        d = np.sqrt(sum((v[l] - v[r]) ** 2 for v in x))
+                        use = near(d) & ((atom[l] != atom[r]) if both else (atom[l] > atom[r]))
+                        l, r, d = l[use], r[use], d[use]
+                        found.append((np.broadcast_to(mol[which][:, None], use.shape)[use], *keys(atom[l], atom[r], z[l], z[r]), d))
+                    m, p, q, d = (np.concatenate(v) for v in zip(*found, strict=True))
+                    if not len(d):
+                        continue
+                    order = np.lexsort((q, p, m))
+                    m, p, q, d = m[order], p[order], q[order], d[order]
+                    new = np.concatenate(([True], (m[1:] != m[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+                    key, out = np.cumsum(new) - 1, None
+                    for c in range(0, len(d), most // 8):
+                        part = slice(c, c + most // 8)
+                        t, k = terms(d[part], p[part], q[part]), key[part]
+                        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+                        out = np.zeros((key[-1] + 1, t.shape[1])) if out is None else out
+                        out[k[starts]] += np.add.reduceat(t, starts, axis=0)
+                    grid = out.shape[1]
+                    cols = [np.repeat(v[new], grid) for v in (m, p, q)] + [np.tile(np.arange(first, first + grid, dtype=np.int32), len(out)), out.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=names)
+
+    names = [c.split()[0] for c in ddl.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in ddl.split(", ")]
+    return molecules(atoms).select(F.col("mol").cast("long"), "atoms").mapInArrow(run, ddl)
+
+
 def slatm_two_body(atoms: DataFrame, rcut: float = 4.8, sigma: float = 0.05, dgrid: float = 0.03, power: int = 6, r0: float = 0.1) -> DataFrame:
     """(mol, z1, z2, g, v): smeared London terms on a grid of distances, whole molecule; grid places without a pair are absent."""
     nx = int((rcut - r0) / dgrid) + 1
-    p = pairs(atoms, both=False).filter(F.col("r") < rcut)
-    p = p.select("mol", F.least("zi", "zj").alias("z1"), F.greatest("zi", "zj").alias("z2"), "r").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
-    x = F.lit(r0) + F.col("g") * ((rcut - r0) / (nx - 1))
-    term = F.col("z1") * F.col("z2") / F.pow(x, F.lit(power)) * (dgrid / math.sqrt(2 * math.pi * sigma * sigma)) * F.exp(-(x - F.col("r")) * (x - F.col("r")) / (2 * sigma * sigma))
-    return p.groupBy("mol", "z1", "z2", "g").agg(F.sum(term).alias("v"))
+    x = r0 + np.arange(nx) * ((rcut - r0) / (nx - 1))
+    scale = dgrid / math.sqrt(2 * math.pi * sigma * sigma) / x**power
+
+    def terms(r: np.ndarray, z1: np.ndarray, z2: np.ndarray) -> np.ndarray:
+        return (z1.astype(float) * z2)[:, None] * scale * np.exp(-((x - r[:, None]) ** 2) / (2 * sigma * sigma))
+
+    return _pair_grids(atoms, False, lambda r: r < rcut, lambda i, j, zi, zj: (np.minimum(zi, zj), np.maximum(zi, zj)), terms, 0, "mol long, z1 int, z2 int, g int, v double")
 
 
 def fchl_two_body(atoms: DataFrame, rcut: float = 8.0, n: int = 24, eta: float = 0.32, power: float = 1.8) -> DataFrame:
     """(mol, i, z, g, v): log-normal radial terms of each atom's neighbours of element z."""
-    p = pairs(atoms).filter(F.col("r") <= rcut).withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    r, x = F.col("r"), F.col("g") * (rcut / n)
-    s2 = F.log(1 + eta / (r * r))
-    mu = F.log(r / F.sqrt(1 + eta / (r * r)))
-    term = cosine_cutoff(r, rcut) / (F.sqrt(s2) * math.sqrt(2 * math.pi) * x) * F.exp(-(F.log(x) - mu) * (F.log(x) - mu) / (2 * s2)) / F.pow(r, F.lit(power))
-    return p.groupBy("mol", "i", F.col("zj").alias("z"), "g").agg(F.sum(term).alias("v"))
+    x = np.arange(1, n + 1) * (rcut / n)
+
+    def terms(r: np.ndarray, i: np.ndarray, z: np.ndarray) -> np.ndarray:
+        if not r.all():
+            raise ValueError("two atoms of a molecule lie in one place")
+        s2 = np.log(1 + eta / (r * r))
+        mu = np.log(r / np.sqrt(1 + eta / (r * r)))
+        cut = np.where(r < rcut, 0.5 * (np.cos(r * (math.pi / rcut)) + 1), 0.0)
+        return (cut / np.sqrt(s2) / r**power / math.sqrt(2 * math.pi))[:, None] / x * np.exp(-((np.log(x) - mu[:, None]) ** 2) / (2 * s2)[:, None])
+
+    return _pair_grids(atoms, True, lambda r: r <= rcut, lambda i, j, zi, zj: (i, zj), terms, 1, "mol long, i long, z int, g int, v double")
 
 
 def toy_representation(atoms: DataFrame, most: int) -> DataFrame:

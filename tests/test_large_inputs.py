@@ -124,3 +124,27 @@ def test_too_close_of_small_molecules(spark):
     for small in (0, 8, 64, 100):
         got = geometry.too_close(points, atoms, 1.1, small)
         assert got.columns == points.columns and {(r["mol"], r["atom"]) for r in got.collect()} == want
+
+
+def test_pair_grids(spark):
+    """Two-body grids against plain sums, whatever is taken at once; no join and no state of all grid places."""
+    from larkspur.operators import geometry
+
+    rows, atoms = _atoms(spark, [3, 9, 9, 40, 1])
+    want, wide = {}, {}
+    x = 0.1 + np.arange(17) * (7.9 / 16)
+    for m, i, zi, *a in rows:
+        for o, j, zj, *b in rows:
+            r = np.linalg.norm(np.subtract(a, b))
+            if m != o or i == j or r >= 8:
+                continue
+            s2, mu, g = np.log(1 + 0.32 / r**2), np.log(r / np.sqrt(1 + 0.32 / r**2)), np.arange(1, 9.0)
+            wide[m, i, zj] = wide.get((m, i, zj), 0) + 0.5 * (np.cos(r * np.pi / 8) + 1) / (np.sqrt(s2 * 2 * np.pi) * g) * np.exp(-((np.log(g) - mu) ** 2) / (2 * s2)) / r**1.8
+            if i > j:
+                key = (m, min(zi, zj), max(zi, zj))
+                want[key] = want.get(key, 0) + zi * zj / x**6 * (0.48 / np.sqrt(2 * np.pi * 0.36)) * np.exp(-((x - r) ** 2) / 0.72)
+    for df, all_, first in ((geometry.slatm_two_body(atoms, 8.0, 0.6, 0.48), want, 0), (geometry.fchl_two_body(atoms, 8.0, 8), wide, 1)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        got = {tuple(r)[:-1]: r["v"] for r in df.collect()}
+        assert got.keys() == {(*k, n + first) for k, v in all_.items() for n in range(len(v))}
+        assert all(np.isclose(got[(*k, n + first)], t, rtol=1e-9) for k, v in all_.items() for n, t in enumerate(v))
