@@ -148,3 +148,23 @@ def test_pair_grids(spark):
         got = {tuple(r)[:-1]: r["v"] for r in df.collect()}
         assert got.keys() == {(*k, n + first) for k, v in all_.items() for n in range(len(v))}
         assert all(np.isclose(got[(*k, n + first)], t, rtol=1e-9) for k, v in all_.items() for n, t in enumerate(v))
+
+
+def test_weighted_medians_by_histograms(spark):
+    """No window over the rows of a group; ties, equal values, outliers, an empty key."""
+    from larkspur.operators import statistics
+
+    rng = np.random.default_rng(4)
+    rows = [(g, float(w), float(w * v)) for g, n in (("a", 400), ("b", 1), ("c", 2), (None, 50)) for w, v in zip(rng.integers(-3, 4, n), rng.choice([1.0, 2.5, 1e9, -7.0, *rng.random(40)], n), strict=True)]
+    rows += [("d", 1.0, 4.0), ("d", -1.0, -5.0), ("b", 2.0, 6.0)]
+    want = {}
+    for g in {r[0] for r in rows}:
+        v = sorted((b / a, abs(a)) for k, a, b in rows if k == g and a)
+        run = np.cumsum([w for _, w in v])
+        if v:
+            want[g] = v[int(np.argmax(2 * run >= run[-1]))][0]
+    df = spark.createDataFrame(rows, "g string, a double, b double").filter("a <> 0")
+    for bins in (2, 1024):
+        got = {r["g"]: r["x"] for r in statistics.weighted_median(df, "a", "b", ["g"], bins).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-12) for k in want)
+    assert want["d"] == 4.0
