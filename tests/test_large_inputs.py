@@ -168,3 +168,24 @@ def test_weighted_medians_by_histograms(spark):
         got = {r["g"]: r["x"] for r in statistics.weighted_median(df, "a", "b", ["g"], bins).collect()}
         assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-12) for k in want)
     assert want["d"] == 4.0
+
+
+def test_block_sums_stay_with_their_vectors(spark, sf):
+    """Sums of blocks are those of the vectors, and no vector leaves the task that makes it."""
+    from larkspur.operators import representations as R
+    from larkspur.plans import everyday
+    from larkspur.plans.catalogue import atoms
+
+    mols, f = R.molecules(atoms(spark, sf).filter("mol < 300")), everyday._fchl
+    blocks = [((z,), 24) for z in (1, 6, 8)] + [(p, 40) for p in ((1, 1), (1, 6), (1, 8), (6, 6), (6, 8), (8, 8))]
+    got = {(r["mol"], r["atom"], r["z1"], r["z2"]): (r["total"], r["placed"]) for most in (1, 1 << 15) for r in R.block_sums(mols, f, True, blocks, most).collect()}
+    want = {}
+    for r in R.represented_many(mols, f, True).collect():
+        at = 0
+        for t, n in blocks:
+            v, at = np.array(r["x"][at : at + n]), at + n
+            if v.any():
+                want[(r["mol"], r["atom"], *(*t, 0)[:2])] = v.sum(), v @ np.arange(1, n + 1)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in want)
+    for q in (everyday.fchl19_blocks, everyday.slatm_blocks, everyday.slatm_local_blocks):
+        assert "lambdafunction" not in q(spark, sf)._jdf.queryExecution().analyzed().toString()  # before: lambdas over vectors of some hundred numbers for each row
