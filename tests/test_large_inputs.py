@@ -189,3 +189,45 @@ def test_block_sums_stay_with_their_vectors(spark, sf):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in want)
     for q in (everyday.fchl19_blocks, everyday.slatm_blocks, everyday.slatm_local_blocks):
         assert "lambdafunction" not in q(spark, sf)._jdf.queryExecution().analyzed().toString()  # before: lambdas over vectors of some hundred numbers for each row
+
+
+def test_tiles_of_one_table_meet_once(spark):
+    """Kernels of a table with itself, and largest distances: half the blocks, the same rows; ids may repeat and lie in any order."""
+    from larkspur.operators import kernels as K
+    from larkspur.operators import orbitals
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(z), x.tolist()) for i, z, x in zip(rng.integers(0, 40, 150), rng.integers(0, 2, 150), rng.normal(size=(150, 6)), strict=True)]
+    df = spark.createDataFrame(rows, "mol long, z int, x array<double>").repartition(3)
+    other = df.select("*")
+    kernel, key = K.Kernel("laplacian", (2.0, 3.0)), lambda d: {(r["i"], r["j"], r["sigma"]): r["k"] for r in d.collect()}
+    for z in (None, "z"):
+        for lower in (False, True):
+            one = K.local_kernel_matrix(df, None, kernel, z=z, lower=lower, tile=16)
+            got, want = key(one), key(K.local_kernel_matrix(df, other, kernel, z=z, lower=lower, tile=16))
+            assert one.count() == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+            assert "a_last" in one._jdf.queryExecution().optimizedPlan().toString()  # before: every block twice
+    o = df.selectExpr("mol", "z as orb", "0.5 as orb_rho", "cast(x[0] * 1e6 as long) as arep", "1.0 as rho", "x as v")
+    got, want = ({(r["i"], r["j"]): r["k"] for r in orbitals.orbital_kernel(o, b, [1.0] * 6, 0.7).collect()} for b in (o, o.select("*")))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    x = np.array([r[2] for r in rows])
+    for metric, d in (("l1", np.abs(x[:, None] - x).sum(axis=2)), ("l2", np.sqrt(((x[:, None] - x) ** 2).sum(axis=2)))):
+        assert abs(K.max_pair_distance(df, metric, "mol", tile=16).first()[0] - d.max()) < 1e-9
+
+
+def test_largest_distance_by_bounds(monkeypatch):
+    """Pairs whose bound is below the best distance are not summed up."""
+    from larkspur.operators import kernels as K
+
+    rng = np.random.default_rng(5)
+    for scale in (1e-150, 1e-3, 1.0, 1e8):
+        for shift in (0.0, 1e3):
+            a, b = (scale * (rng.normal(size=(n, 7)) + shift) for n in (60, 80))
+            d = K.l1_block(a, b)
+            for best in (0.0, 0.9 * d.max(), 2 * d.max()):
+                assert abs(K._largest_l1(a, b, best, 50) - max(best, d.max())) <= 1e-12 * d.max()
+    monkeypatch.setattr(K, "l1_block", None)  # before: every pair by all components
+    assert K._largest_l1(np.zeros((2, 3)), np.ones((2, 3)), 0.0) == 3.0
+    monkeypatch.undo()
+    a[3, 2] = np.nan
+    assert np.isnan(K._largest_l1(a, b, 5.0))
