@@ -40,23 +40,35 @@ EXCITATIONS = {
 NO_ERROR = " Experimental uncertainty not presently available, so assigned a default value.  "
 
 
-def qm9_property(files: DataFrame, name: str) -> DataFrame:
-    """(name, value) from (name, body)."""
-    ls = lines(F.col("body"))
+def _value(ls: Column, name: str) -> Column:
     if name == HIGHEST_FREQUENCY:
         numbers = lambda s: F.transform(F.split(F.trim(s), TOKENS), lambda t: t.try_cast("double"))
         rows = F.filter(F.transform(F.slice(ls, 2, 1_000_000), numbers), lambda v: (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull()))
-        return files.select("name", F.array_max(F.get(rows, F.lit(0))).alias("value"))
+        return F.array_max(F.get(rows, F.lit(0)))
     found = F.filter(F.transform(ls, lambda s: F.split(F.trim(s), TOKENS)), lambda t: t[0] == "gdb")
-    return files.select("name", F.get(F.get(found, F.lit(0)), F.lit(QM9[name][0])).try_cast("double").alias("value"))
+    return F.get(F.get(found, F.lit(0)), F.lit(QM9[name][0])).try_cast("double")
+
+
+def _words(ls: Column) -> list[Column]:
+    n = F.trim(ls[0]).try_cast("int")
+    word = lambda k: F.get(F.split(F.trim(F.get(ls, n + k)), TOKENS), F.lit(0))
+    return [word(3).alias("smiles"), word(4).alias("inchi")]
+
+
+def qm9_property(files: DataFrame, name: str) -> DataFrame:
+    """(name, value) from (name, body)."""
+    return files.select("name", _value(lines(F.col("body")), name).alias("value"))
 
 
 def identifiers(files: DataFrame) -> DataFrame:
     """(name, smiles, inchi): first words of the lines after the frequencies."""
+    return files.select("name", *_words(lines(F.col("body"))))
+
+
+def qm9_row(files: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(name, smiles, inchi) and properties under the columns of ``names`` (column -> property): a file is read once, without a join."""
     ls = lines(F.col("body"))
-    n = F.trim(ls[0]).try_cast("int")
-    word = lambda k: F.get(F.split(F.trim(F.get(ls, n + k)), TOKENS), F.lit(0))
-    return files.select("name", word(3).alias("smiles"), word(4).alias("inchi"))
+    return files.select("name", *_words(ls), *[_value(ls, n).alias(c) for c, n in names.items()])
 
 
 def atomization(values: DataFrame, counts: DataFrame) -> DataFrame:
