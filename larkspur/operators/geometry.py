@@ -127,15 +127,23 @@ def dipole(atoms: DataFrame) -> DataFrame:
 def coulomb_matrix(atoms: DataFrame, size: int = 29) -> DataFrame:
     """(mol, x): lower triangle by rows of the matrix with 0.5 z**2.4 on the diagonal and z z'/r beside it, atoms by falling row
     norm (then by atom), zero-padded to size (size + 1) / 2.  One shuffle brings molecules together; triangles are made many at a time and padded in the JVM."""
-    from .representations import coulomb_many, molecules, represented_many
+    from .representations import molecules, represented_many
 
     n = size * (size + 1) // 2
+    return represented_many(molecules(atoms), _tight(size), False).select("mol", F.slice(F.concat("x", F.array_repeat(F.lit(0.0), n)), 1, n).alias("x"))
 
-    def tight(z, r):
-        k = z.shape[1]
-        return coulomb_many(z, r, k) if k < size else coulomb_many(z, r, size)
 
-    return represented_many(molecules(atoms), tight, False).select("mol", F.slice(F.concat("x", F.array_repeat(F.lit(0.0), n)), 1, n).alias("x"))
+def _tight(size: int) -> Callable:
+    from .representations import coulomb_many
+
+    return lambda z, r: coulomb_many(z, r, min(z.shape[1], size))
+
+
+def coulomb_entries(atoms: DataFrame, size: int = 29) -> DataFrame:
+    """(mol, pos, v): the same without zeros, so nothing is padded."""
+    from .representations import entries_many, molecules
+
+    return entries_many(molecules(atoms), _tight(size))
 
 
 def bags(atoms: DataFrame) -> DataFrame:
@@ -160,6 +168,14 @@ def bag_of_bonds(atoms: DataFrame, sizes: dict[int, int]) -> DataFrame:
     return represented_many(molecules(atoms), lambda z, r: bags_many(z, r, slots), False)
 
 
+def bag_entries(atoms: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(mol, pos, v): the same without zeros; padded vectors stay in the tasks that make them."""
+    from .representations import bags_many, entries_many, molecules
+
+    slots = bag_slots(sizes)
+    return entries_many(molecules(atoms), lambda z, r: bags_many(z, r, slots))
+
+
 def many_body_types(atoms: DataFrame, periodic: bool = False) -> DataFrame:
     """(z1, z2, z3): one-, two- and three-body types that fit into the largest counts of the data set; absent places are 0.  z2 is
     the middle of a triple, z1 <= z3."""

@@ -231,3 +231,35 @@ def test_largest_distance_by_bounds(monkeypatch):
     monkeypatch.undo()
     a[3, 2] = np.nan
     assert np.isnan(K._largest_l1(a, b, 5.0))
+
+
+def test_property_files_are_read_once(spark, sf):
+    """Words and properties of a file come from one reading, the same as by one query each."""
+    from larkspur.plans import everyday
+    from larkspur.sources import catalogues
+
+    f = everyday._files(spark, sf)
+    names = {"dipole": "Dipole moment", "frequency": catalogues.HIGHEST_FREQUENCY}
+    got = {r["name"]: (r["smiles"], r["inchi"], r["dipole"], r["frequency"]) for r in catalogues.qm9_row(f, names).collect()}
+    want = {r["name"]: [r["smiles"], r["inchi"]] for r in catalogues.identifiers(f).collect()}
+    for n in names.values():
+        for r in catalogues.qm9_property(f, n).collect():
+            want[r["name"]].append(r["value"])
+    assert got == {k: tuple(v) for k, v in want.items()}
+    plan = everyday.property_files(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # atoms with orders; before: also the files with themselves, for each property
+
+
+def test_entries_are_those_of_vectors(spark, sf):
+    """Entries without zeros, unpadded, are those of the padded vectors."""
+    from larkspur.operators import geometry
+    from larkspur.plans import catalogue, everyday
+
+    a = catalogue.atoms(spark, sf).filter("mol < 400").cache()
+    sizes = {r["z"]: r["bag"] for r in geometry.bags(a).orderBy("z").collect()}
+    for entries, whole in ((geometry.coulomb_entries(a, 32), geometry.coulomb_matrix(a, 32)), (geometry.bag_entries(a, sizes), geometry.bag_of_bonds(a, sizes))):
+        got = {(r["mol"], r["pos"]): r["v"] for r in entries.collect()}
+        want = {(r["mol"], k): v for r in whole.collect() for k, v in enumerate(r["x"]) if v}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for q in (catalogue.coulomb_matrix, everyday.bob_positions, everyday.cmbdf_slopes):
+        assert "Generate" not in q(spark, sf)._jdf.queryExecution().optimizedPlan().toString()  # before: padded vectors went to the JVM to be taken apart
