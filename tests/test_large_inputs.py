@@ -263,3 +263,16 @@ def test_entries_are_those_of_vectors(spark, sf):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     for q in (catalogue.coulomb_matrix, everyday.bob_positions, everyday.cmbdf_slopes):
         assert "Generate" not in q(spark, sf)._jdf.queryExecution().optimizedPlan().toString()  # before: padded vectors went to the JVM to be taken apart
+
+
+def test_orbital_kernel_is_gathered_by_batches(spark, monkeypatch):
+    """The driver reads batches of the kernel, not a row for each pair of molecules."""
+    from larkspur.operators import orbitals
+
+    read, rng = [], np.random.default_rng(6)
+    monkeypatch.setattr(orbitals, "written", lambda df, name: read.append(df.count()) or df)
+    rows = spark.createDataFrame([(m, o, 0.5, a, 1.0, rng.normal(size=3).tolist()) for m in range(30) for o in range(2) for a in range(2)], "mol long, orb long, orb_rho double, arep long, rho double, v array<double>")
+    labels = rows.selectExpr("mol", "mol % 7 * 1.0 as y").distinct()
+    got = orbitals.OrbitalRidge([1.0] * 3, 0.7, 1e-9).fit(rows, labels).predict(rows).collect()
+    assert all(abs(r["prediction"] - r["mol"] % 7) < 1e-4 for r in got) and len(got) == 30
+    assert read and read[0] < 30  # before: 900
