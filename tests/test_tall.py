@@ -182,6 +182,39 @@ def test_large_kernel_ridge_agrees_with_cholesky(spark):
     assert all(abs(a[i] - b[i]) < 1e-5 and abs(2 * a[i] - 1 - c[i]) < 1e-5 for i in a)
 
 
+def test_large_kernel_ridge_with_near_copies(spark):
+    """Groups of near copies take few steps: their small eigenvalues are solved by blocks."""
+    rng = np.random.default_rng(12)
+    x = np.repeat(1.5 * rng.normal(size=(30, 8)), [1, 20, 3] * 10, axis=0)
+    x = x[rng.permutation(len(x))] + 0.05 * rng.normal(size=x.shape)
+    y = x[:, 0] + rng.normal(size=len(x))
+    kernel, n = Kernel("gaussian", (1.0,)), len(x)
+    model = large_kernels.LargeKernelRidge(kernel, 1e-3, landmarks=8, tol=1e-8, most=15).fit(points(spark, x, y).repartition(3))  # before: over 200 steps
+    k = kernel.block(x, x)[0]
+    want = k @ np.linalg.solve(k + 1e-3 * np.eye(n), y - y.mean())
+    got = {r["id"]: r["alpha"] for r in model.rows().collect()}
+    assert len(got) == n and np.abs(k @ np.array([got[i] for i in range(n)]) - want).max() < 1e-6
+
+
+def test_blocks_of_near_copies(spark):
+    """Near rows go together, large blocks are cut, a block lies in one tile, and each row keeps its vector and label."""
+    x = np.concatenate([np.arange(9)[:, None] * 0.05, [[50.0]], np.full((7, 1), 99.0)])[np.random.default_rng(1).permutation(17)]
+    tiles = large_kernels.Tiles.of(points(spark, x, x[:, 0]).repartition(2), y=["y"], tile=3)
+    first = large_kernels.near_copies(tiles, Kernel("gaussian", (1.0,)))
+    ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in tiles.table.orderBy("rank").collect()])
+    assert all((x[ids[first[a]]] == 50) == (v == 50) and (x[ids[first[a]]] == 99) == (v == 99) for a, v in enumerate(x[ids]))
+    assert len(np.unique(first)) == 3 and (first[first] == first).all()
+    got = large_kernels.regrouped(tiles, first, tile=6, most=4)
+    rows = got.table.orderBy("rank").collect()
+    sizes = [np.frombuffer(r["blocks"], np.int64).tolist() for r in rows]
+    assert sorted(sum(sizes, [])) == [1, 1, 3, 4, 4, 4] and all(sum(v) == r["n"] <= 6 for v, r in zip(sizes, rows, strict=True)) and got.starts.tolist() == [0, *np.cumsum([r["n"] for r in rows])[:-1]]
+    seen = {i: (v, w) for r in rows for i, v, w in zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["x"]), np.frombuffer(r["y"]), strict=True)}
+    assert seen == {i: (v, v) for i, v in enumerate(x[:, 0])}
+    for r, v in zip(rows, sizes, strict=True):
+        for part in np.split(np.frombuffer(r["x"]), np.cumsum(v)[:-1]):
+            assert np.ptp(part) <= 4
+
+
 def test_cells_hold_sixteen_tiles_a_side(spark):
     """However many tiles there are, a cell has no more than sixteen on a side, and each pair of tiles meets once."""
     rng = np.random.default_rng(10)
