@@ -276,3 +276,24 @@ def test_orbital_kernel_is_gathered_by_batches(spark, monkeypatch):
     got = orbitals.OrbitalRidge([1.0] * 3, 0.7, 1e-9).fit(rows, labels).predict(rows).collect()
     assert all(abs(r["prediction"] - r["mol"] % 7) < 1e-4 for r in got) and len(got) == 30
     assert read and read[0] < 30  # before: 900
+
+
+def test_self_consistent_losses_gather_no_group(spark):
+    """Losses of all groups by aggregations, the same as by bisection; zeros, nulls, outliers, equal and single errors, groups without errors."""
+    import math
+
+    from larkspur.operators import statistics
+
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=300), "zeros": np.zeros(4), "one": [-3.0], "equal": [2.0] * 5, "far": [1e9, *[1e-3] * 200], "mixed": [0.0] * 50 + [7.0], "none": []}
+    rows = [(g, float(e)) for g, v in groups.items() for e in v] + [("a", None), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, err double")
+    terms = {"logcosh": lambda e, d: (abs(e) * math.log(2) / d + np.log1p(np.exp(-2 * abs(e) * math.log(2) / d)) - math.log(2)) * d / math.log(2), "huber": lambda e, d: np.where(abs(e) < 2 * d, e * e / (4 * d), abs(e) - d)}
+    for kind, c in (("logcosh", 0.25), ("logcosh", 20.0), ("huber", 0.25), ("huber", 5.0)):
+        out = statistics.self_consistent_by(df, "err", c, ["g"], kind)
+        got = {r["g"]: r["loss"] for r in out.collect()}
+        assert got.keys() == set(groups) - {"none"} and got["zeros"] == 0 and out.columns == ["g", "loss"]
+        for g in got.keys() - {"zeros"}:
+            v = np.array(groups[g])
+            assert abs(terms[kind](v, c * got[g]).mean() - got[g]) < 1e-11 * np.abs(v).mean() and got[g] > 0
+        assert "collect_list" not in out._jdf.queryExecution().analyzed().toString()  # before: a row for each group, with all its errors
