@@ -297,3 +297,25 @@ def test_self_consistent_losses_gather_no_group(spark):
             v = np.array(groups[g])
             assert abs(terms[kind](v, c * got[g]).mean() - got[g]) < 1e-11 * np.abs(v).mean() and got[g] > 0
         assert "collect_list" not in out._jdf.queryExecution().analyzed().toString()  # before: a row for each group, with all its errors
+
+
+def test_slatm_sums_make_no_vectors(monkeypatch):
+    """Sums of SLATM's blocks are those of its vectors; pairs and triples are summed over the grid before they are added up."""
+    from larkspur.operators import representations as R
+
+    rng = np.random.default_rng(8)
+    types = [(1,), (6,), (8,), *[(a, b) for a in (1, 6, 8) for b in (1, 6, 8) if a <= b], *[(a, m, b) for a in (1, 6, 8) for m in (1, 6) for b in (1, 6, 8) if a <= b]]
+    widths, n2, n3 = [], *map(len, R.slatm_grids(6.0, (0.3, 0.2)))
+    added = R.added_up
+    for n in (1, 2, 5):
+        z, r = rng.choice([1, 6, 8], (7, n)), rng.normal(size=(7, n, 3)) * 3
+        for local in (False, True):
+            x = R.slatm_many(z, r, types, local, (0.2, 0.3), (0.3, 0.2), 6.0)
+            want, at = [], 0
+            for k in (len(t) for t in types):
+                v, at = x[..., at : at + {1: 1, 2: n2, 3: n3}[k]], at + {1: 1, 2: n2, 3: n3}[k]
+                want += [v.sum(axis=-1), v @ np.arange(1, v.shape[-1] + 1)]
+            monkeypatch.setattr(R, "added_up", lambda v, *a: widths.append(v.shape[1]) or added(v, *a))
+            assert np.allclose(R.slatm_many(z, r, types, local, (0.2, 0.3), (0.3, 0.2), 6.0, sums=True), np.stack(want, axis=-1), rtol=1e-11)
+            monkeypatch.undo()
+    assert set(widths) == {2}
